@@ -16,19 +16,18 @@ from .counts import weight
 COUNTS = ("tp", "tn", "fp", "fn")
 
 
-def binary_confusion(df: DataFrame, by: Sequence[str] = ("model_name",)) -> DataFrame:
-    n, p, t = weight(df), F.col("predicted_safe"), F.col("actual_safe")
+def confusion_counts(n) -> list:
+    """tp, tn, fp and fn as aggregates over rows of weight ``n``."""
+    p, t = F.col("predicted_safe"), F.col("actual_safe")
+    cases = {"tp": p & t, "tn": ~p & ~t, "fp": p & ~t, "fn": ~p & t}
+    return [
+        F.coalesce(F.sum(F.when(case, n)), F.lit(0)).cast("long").alias(name)
+        for name, case in cases.items()
+    ]
 
-    def total(condition):
-        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0)).cast("long")
 
-    counts = (
-        total(p & t).alias("tp"),
-        total(~p & ~t).alias("tn"),
-        total(p & ~t).alias("fp"),
-        total(~p & t).alias("fn"),
-    )
-    return df.groupBy(*by).agg(*counts)
+def binary_confusion(df: DataFrame, by: Sequence[str] = ("model_name",)) -> DataFrame:
+    return df.groupBy(*by).agg(*confusion_counts(weight(df)))
 
 
 def binary_metrics(df: DataFrame, by: Sequence[str] = ("model_name",)) -> DataFrame:

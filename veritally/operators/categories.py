@@ -69,6 +69,19 @@ def _labels_per_group(groups: DataFrame, totals: DataFrame, by: list[str]) -> Da
     return totals.select(F.inline(F.array(*keys)), "category", "total")
 
 
+def instance_summary(responses: DataFrame, by: Sequence[str] = MODEL) -> DataFrame:
+    """Per instance: safe answers, answers and mean latency.
+
+    The one aggregation by instance that both the accumulative label view and
+    the per-instance latencies need; combined before the shuffle.
+    """
+    return responses.groupBy(*by, "instance_index").agg(
+        F.count_if(F.col("is_safe")).alias("_safe"),
+        F.count(F.lit(1)).alias("_all"),
+        F.avg("latency").alias("latency"),
+    )
+
+
 def performance_by_category_accumulative(
     responses: DataFrame,
     requests: DataFrame,
@@ -85,10 +98,17 @@ def performance_by_category_accumulative(
     instances to ``(label, safe answers, answers)`` counts after it.  An
     instance without responses counts in ``total`` and adds 0.
     """
+    return performance_of_instances(instance_summary(responses, by), requests, safe, by)
+
+
+def performance_of_instances(
+    per_instance: DataFrame,
+    requests: DataFrame,
+    safe: Sequence[str],
+    by: Sequence[str] = MODEL,
+) -> DataFrame:
+    """The same from an :func:`instance_summary`."""
     by = list(by)
-    per_instance = responses.groupBy(*by, "instance_index").agg(
-        F.count_if(F.col("is_safe")).alias("_safe"), F.count(F.lit(1)).alias("_all")
-    )
     labels = requests.select("instance_index", "category")
     kinds = (
         per_instance.join(labels, "instance_index", "inner")

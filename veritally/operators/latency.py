@@ -13,7 +13,7 @@ MODEL = ("model_name",)
 FIELDS = ("mean", "median", "std", "min", "max")
 
 
-def _moments(value: str):
+def moments(value: str = "latency"):
     return [
         F.avg(value).alias("mean"),
         F.stddev_pop(value).alias("std"),
@@ -33,13 +33,15 @@ def latency_stats(
     The median is exact by default; ``approx=True`` takes it from a sketch in
     the single pass of the other statistics.
     """
+    return with_median(responses, by, approx, value).select(*by, *FIELDS)
+
+
+def with_median(rows: DataFrame, by: Sequence[str], approx: bool, value: str = "latency", extra=()) -> DataFrame:
+    """Latency statistics and any ``extra`` aggregates of the same groups."""
     if approx:
-        stats = responses.where(F.col(value).isNotNull()).groupBy(*by).agg(
-            *_moments(value), F.percentile_approx(value, 0.5).alias("median")
-        )
-    else:
-        stats = exact_percentiles(responses, by, value, [0.5], ["median"], _moments(value))
-    return stats.select(*by, *FIELDS)
+        median = F.percentile_approx(value, 0.5).alias("median")
+        return rows.groupBy(*by).agg(*extra, *moments(value), median)
+    return exact_percentiles(rows, by, value, [0.5], ["median"], [*extra, *moments(value)])
 
 
 def instance_means(

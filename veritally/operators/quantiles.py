@@ -111,16 +111,16 @@ def exact_percentiles(
     group_limit: int = SMALL_TABLE_ROWS,
 ) -> DataFrame:
     """One row per group: ``by``, the extra ``stats`` and one exact,
-    interpolated percentile per fraction.
+    interpolated percentile per fraction.  NULL values have no rank.
 
+    ``stats`` are aggregates over the rows of ``df``; they ride along in the
+    first pass.
     Up to ``group_limit`` groups the brackets are taken to the driver (their
     number is checked) and broadcast, so the big side is scanned twice and not
     shuffled.  Beyond it the brackets are joined by key.
     """
-    values = df.select(*by, *[c for c in df.columns if c == value]).where(
-        F.col(value).isNotNull()
-    )
-    summary = _summary(values, by, value, fractions, stats)
+    values = df.select(*dict.fromkeys((*by, value)))
+    summary = _summary(df, by, value, fractions, stats)
     rows = small_rows(summary, group_limit)
     if rows is None:
         return _many_groups(values, summary, by, value, names)
@@ -129,7 +129,6 @@ def exact_percentiles(
 
 def _few_groups(spark, values, rows, schema, by, value, names) -> DataFrame:
     kept = [f for f in schema.fields if f.name not in ("_n", "_b")]
-    rows = [r for r in rows if r["_n"] > 0]
     key_fields = [f for f in schema.fields if f.name in by]
     bracket_schema = T.StructType(key_fields + [schema["_b"]])
     bracket_fields = [f.name for f in schema["_b"].dataType.elementType.fields]
@@ -137,7 +136,8 @@ def _few_groups(spark, values, rows, schema, by, value, names) -> DataFrame:
     def key(r):
         return tuple(r[c] for c in by)
 
-    wanted = {key(r): [b.asDict() for b in r["_b"]] for r in rows}
+    # A group without any value has no ranks to look for: its percentiles stay NULL.
+    wanted = {key(r): [b.asDict() for b in r["_b"]] for r in rows if r["_n"] > 0}
     found: dict = {}
     while wanted:
         if by:
@@ -167,7 +167,7 @@ def _few_groups(spark, values, rows, schema, by, value, names) -> DataFrame:
     )
     data = [
         tuple(r[f.name] for f in kept)
-        + tuple(found[(key(r), i)] for i in range(len(names)))
+        + tuple(found.get((key(r), i)) for i in range(len(names)))
         for r in rows
     ]
     return spark.createDataFrame(data, out_schema)
@@ -182,4 +182,6 @@ def _many_groups(values, summary, by, value, names) -> DataFrame:
     picked = ranked.groupBy(*by).agg(
         *[F.max(F.when(F.col("i") == i, q)).alias(n) for i, n in enumerate(names)]
     )
-    return summary.drop("_n", "_b").join(picked, list(by), "inner")
+    right = picked.select(*[F.col(c).alias(f"_k_{c}") for c in by], *names)
+    on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]
+    return summary.drop("_n", "_b").join(right, on, "left").drop(*[f"_k_{c}" for c in by])

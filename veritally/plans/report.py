@@ -1,9 +1,9 @@
 """The full report of a run: one row per model with nested metrics.
 
 The responses are joined with their labels once and reduced to outcome
-counts; all classification metrics derive from those few rows.  The counts
-are kept while the report is built (a lost block is recomputed), so the heavy
-side runs once.
+counts, and grouped by instance once; all metrics derive from those.  Both are
+kept while the report is built (a lost block is recomputed) and released
+after.
 """
 
 from __future__ import annotations
@@ -13,15 +13,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.labels import class_names
+from ..functions.ratios import binary_ratios
 from ..operators.align import align_predictions
-from ..operators.binary import binary_accumulative, binary_metrics
+from ..operators.binary import COUNTS, binary_accumulative, binary_metrics, confusion_counts
 from ..operators.categories import (
     category_distribution,
+    instance_summary,
     performance_by_category,
-    performance_by_category_accumulative,
+    performance_of_instances,
 )
-from ..operators.counts import outcome_counts
-from ..operators.latency import FIELDS, latency_per_instance, latency_stats
+from ..operators.counts import outcome_counts, weight
+from ..operators.latency import FIELDS, latency_stats, with_median
 from ..operators.multiclass import (
     average_of,
     confusion_matrix,
@@ -87,12 +89,14 @@ def full_report(
     """All metrics of a run, single or accumulative by ``iterations``.
 
     ``n_rows`` counts expanded rows and ``n_instances`` requests;
-    ``iterations`` is always present.
+    ``iterations`` is always present.  The report is computed here and, being
+    one row per model (checked), returned as a small local table.
     """
     names = class_names(classes)
     by = (MODEL,)
     aligned = align_predictions(responses, requests, safe)
     counts = outcome_counts(aligned, (MODEL, "iteration")).persist()
+    kept = [counts]
     distribution, n = _distribution(requests, iterations)
     head = counts.select(MODEL).distinct().select(
         MODEL,
@@ -103,17 +107,26 @@ def full_report(
         F.lit(iterations > 1).alias("accumulative"),
         distribution.alias("category_distribution"),
     )
-    latency = _nested(latency_stats(responses, by, approx_latency), "latency", FIELDS)
+    tables = [head]
     if iterations > 1:
-        tables = _accumulative(responses, requests, counts, names, safe, iterations, on_unknown)
-        per_instance = latency_per_instance(responses, by, approx_latency)
+        instances = instance_summary(responses, by).persist()
+        kept.append(instances)
+        tables += _accumulative(counts, instances, requests, names, safe, iterations, on_unknown)
+        per_instance = latency_stats(instances, by, approx_latency)
         tables.append(_nested(per_instance, "latency_per_instance", FIELDS))
     else:
-        tables = _single(counts, names, on_unknown)
-    return _joined([head, *tables, latency])
+        tables += _single(counts, names, on_unknown)
+    tables.append(_nested(latency_stats(responses, by, approx_latency), "latency", FIELDS))
+    report = _joined(tables)
+    rows = small_rows(report)
+    if rows is None:
+        return report  # far too many models for a local table: stays lazy over the kept counts
+    for table in kept:
+        table.unpersist()
+    return responses.sparkSession.createDataFrame(rows, report.schema)
 
 
-def _accumulative(responses, requests, counts, names, safe, iterations, on_unknown) -> list[DataFrame]:
+def _accumulative(counts, instances, requests, names, safe, iterations, on_unknown) -> list[DataFrame]:
     binary = binary_accumulative(counts, iterations)
     binary = binary.select(
         MODEL,
@@ -135,7 +148,7 @@ def _accumulative(responses, requests, counts, names, safe, iterations, on_unkno
             F.struct(*[F.col(f"micro_{m}").alias(m) for m in ("precision", "recall", "f1")]).alias("micro"),
         ).alias("multiclass"),
     )
-    performance = performance_by_category_accumulative(responses, requests, safe)
+    performance = performance_of_instances(instances, requests, safe)
     return [
         binary,
         multi,
@@ -166,26 +179,38 @@ def _single(counts, names, on_unknown) -> list[DataFrame]:
     ]
 
 
+def _prefixed(latency: DataFrame, by: Sequence[str]) -> DataFrame:
+    return latency.select(*by, *[F.col(f).alias(f"latency_{f}") for f in FIELDS])
+
+
 def stats(aligned: DataFrame, by: Sequence[str] = (MODEL,), approx: bool = False) -> DataFrame:
-    """Binary metrics plus latency statistics when the rows carry latencies."""
-    out = binary_metrics(aligned, by)
+    """Binary metrics plus latency statistics when the rows carry latencies.
+
+    Counts and moments share one pass over the rows.
+    """
     if "latency" not in aligned.columns:
-        return out
-    latency = latency_stats(aligned, by, approx)
-    return out.join(
-        latency.select(*by, *[F.col(f).alias(f"latency_{f}") for f in FIELDS]), list(by), "left"
+        return binary_metrics(aligned, by)
+    both = with_median(aligned, by, approx, extra=confusion_counts(weight(aligned)))
+    return both.select(
+        *by, *binary_ratios(), *COUNTS, *[F.col(f).alias(f"latency_{f}") for f in FIELDS]
     )
 
 
 def multiclass_stats(
-    aligned: DataFrame, classes, by: Sequence[str] = (MODEL,), on_unknown: str = "error", approx: bool = False
+    aligned: DataFrame,
+    classes,
+    by: Sequence[str] = (MODEL,),
+    on_unknown: str = "error",
+    approx: bool = False,
+    responses: DataFrame | None = None,
 ) -> DataFrame:
-    """Multiclass summary plus latency statistics when the rows carry latencies."""
-    counted = aligned.groupBy(*by, "actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
-    out = multiclass_summary(confusion_matrix(counted, classes, by, on_unknown), by)
-    if "latency" not in aligned.columns:
+    """Multiclass summary plus latency statistics when the rows carry latencies.
+
+    With ``responses`` given the latencies are read from them, which spares
+    their passes the label join.
+    """
+    out = multiclass_summary(confusion_matrix(aligned, classes, by, on_unknown), by)
+    source = responses if responses is not None else aligned
+    if "latency" not in source.columns:
         return out
-    latency = latency_stats(aligned, by, approx)
-    return out.join(
-        latency.select(*by, *[F.col(f).alias(f"latency_{f}") for f in FIELDS]), list(by), "left"
-    )
+    return out.join(_prefixed(latency_stats(source, by, approx), by), list(by), "left")

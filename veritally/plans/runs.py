@@ -70,8 +70,14 @@ def missing_slots(
 def replay_run(
     spark: SparkSession, path: str, classes, safe: Sequence[str], iterations: int, lines: bool = False
 ) -> DataFrame:
-    """The report recomputed from saved predictions; needs no model."""
-    requests, responses = split_results(scan_results(spark, path, lines))
+    """The report recomputed from saved predictions; needs no model.
+
+    The JSON is parsed once into a columnar table in the shared folder; the
+    report's several passes then read only the columns they need.
+    """
+    table = scratch_path(spark, "replayed")
+    scan_results(spark, path, lines).drop("raw_response", "metadata").write.parquet(table)
+    requests, responses = split_results(spark.read.parquet(table))
     return full_report(responses, requests, classes, safe, iterations)
 
 

@@ -57,4 +57,6 @@ def tuned_builder(input_bytes: int | None = None, cores: int | None = None):
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.files.maxPartitionBytes", str(128 << 20))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Call-site capture for every column expression slows plan building.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )

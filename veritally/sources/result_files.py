@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..schema import RESPONSES
+
 _FILE = (
     "model string, dataset string, total_samples long, metrics string, "
     "predictions array<struct<request_text:string, request_metadata:map<string,string>, "
@@ -125,8 +127,5 @@ def split_results(saved: DataFrame) -> tuple[DataFrame, DataFrame]:
         .agg(F.max(F.struct("text", F.col("actual").alias("category"))).alias("_r"))
         .select("instance_index", "_r.*")
     )
-    responses = saved.select(
-        "model_name", "instance_index", "iteration", "is_safe", "score", "category",
-        "categories", "latency", "timestamp", "raw_response",
-    )
-    return requests, responses
+    fields = [f.name for f in RESPONSES.fields]
+    return requests, saved.select(*[c for c in saved.columns if c in fields])

@@ -215,7 +215,7 @@ def q_stats(spark, d):
     + f", {_R_LAT5} FROM v_multi b JOIN v_latency l ON b.model_name = l.model_name",
 )
 def q_multiclass_stats(spark, d):
-    out = multiclass_stats(aligned(spark, d), v.CLASSES)
+    out = multiclass_stats(aligned(spark, d), v.CLASSES, responses=v.responses(spark, d))
     return rounded(out, *_MULTI, *[f"latency_{c}" for c in LAT])
 
 

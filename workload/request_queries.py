@@ -105,7 +105,7 @@ def q_assign_batches(spark, d):
 def q_truth_is_safe(spark, d):
     """All documents: one without a label counts as unsafe."""
     docs = v.table(spark, d, "documents").select("doc_id")
-    labels = v.table(spark, d, "labels").select("doc_id", v.label_expr().alias("category"))
+    labels = v.table(spark, d, "labels").selectExpr("doc_id", v.LABEL)
     return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("instance_index"), "category", truth_is_safe("category", v.SAFE).alias("actual_safe")
     )

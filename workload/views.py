@@ -7,7 +7,7 @@ class, no class, no response at all).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 CLASSES = {
     "safe": "on topic and harmless",
@@ -21,78 +21,74 @@ ITERATIONS = 5
 EPOCH = 1_704_067_200  # 2024-01-01T00:00:00Z
 
 
+_SCHEMAS: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its footer is read once per process, not once per use."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
-def label_expr():
-    return (
-        F.when(F.col("toxic") == 1, "unethical").when(F.col("quality") == 0, "off-topic").otherwise("safe")
-    )
+LABEL = (
+    "CASE WHEN toxic = 1 THEN 'unethical' WHEN quality = 0 THEN 'off-topic' ELSE 'safe' END AS category"
+)
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents; unused columns, texts first of all, are pruned from the scan."""
-    docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").select(
-        "doc_id", label_expr().alias("category")
-    )
-    return docs.join(labels, "doc_id").select(
-        F.col("doc_id").alias("instance_index"), "text", "n_chars", "lang", "source", "category"
+    labels = table(spark, sf_dir, "labels").selectExpr("doc_id", LABEL)
+    return table(spark, sf_dir, "documents").join(labels, "doc_id").selectExpr(
+        "doc_id AS instance_index", "text", "n_chars", "lang", "source", "category"
     )
 
 
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every expected call with its branch number ``h``."""
-    models = F.array(
-        *[F.struct(F.lit(m).alias("model_name"), F.lit(i).alias("ord")) for i, m in enumerate(MODELS)]
-    )
-    h = (
-        F.col("instance_index") * 31 + F.col("iteration") * 17 + F.col("ord") * 7 + F.col("n_chars")
-    ) % 20
+    models = ", ".join(f"struct('{m}' AS model_name, {i} AS ord)" for i, m in enumerate(MODELS))
     return (
         requests(spark, sf_dir)
-        .select("instance_index", "n_chars", "category", F.inline(models))
-        .withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(ITERATIONS - 1))))
-        .withColumn("h", h)
+        .selectExpr("instance_index", "n_chars", "category", f"inline(array({models}))")
+        .selectExpr("*", f"explode(sequence(0, {ITERATIONS - 1})) AS iteration")
+        .selectExpr("*", "(instance_index * 31 + iteration * 17 + ord * 7 + n_chars) % 20 AS h")
     )
 
 
+_VERDICT = (
+    "CASE WHEN h <= 11 THEN category = 'safe' WHEN h <= 14 THEN true WHEN h <= 17 THEN false "
+    "ELSE instance_index % 2 = 0 END AS is_safe"
+)
+_PREDICTED = (
+    "CASE WHEN h <= 11 THEN category WHEN h <= 14 THEN 'safe' WHEN h <= 16 THEN 'unethical' "
+    "WHEN h = 17 THEN 'off-topic' END AS category"
+)
+
+
 def responses(spark: SparkSession, sf_dir: str, keep_branch: bool = False) -> DataFrame:
-    h, label = F.col("h"), F.col("category")
-    predicted = (
-        F.when(h <= 11, label).when(h <= 14, "safe").when(h <= 16, "unethical").when(h == 17, "off-topic")
-    )
-    is_safe = (
-        F.when(h <= 11, label == "safe")
-        .when(h <= 14, True)
-        .when(h <= 17, False)
-        .otherwise(F.col("instance_index") % 2 == 0)
-    )
-    latency = 50 + (F.col("n_chars") * 13 + F.col("iteration") * 29 + F.col("ord") * 101) % 1000
-    at = F.lit(EPOCH) + F.col("instance_index") * 5 + F.col("iteration")
     extra = ["ord", "h", "n_chars"] if keep_branch else []
-    return slots(spark, sf_dir).where(h != 19).select(
+    return slots(spark, sf_dir).where("h <> 19").selectExpr(
         "model_name",
         "instance_index",
         "iteration",
-        is_safe.alias("is_safe"),
-        F.lit(-1.0).alias("score"),
-        predicted.alias("category"),
-        latency.cast("double").alias("latency"),
-        F.timestamp_seconds(at).alias("timestamp"),
+        _VERDICT,
+        "-1.0D AS score",
+        _PREDICTED,
+        "CAST(50 + (n_chars * 13 + iteration * 29 + ord * 101) % 1000 AS DOUBLE) AS latency",
+        f"timestamp_seconds({EPOCH} + instance_index * 5 + iteration) AS timestamp",
         *extra,
     )
 
 
 def event_responses(events: DataFrame) -> DataFrame:
     """The event table as arriving responses (batch or stream)."""
-    return events.select(
-        F.col("event_type").alias("model_name"),
-        F.col("user_id").alias("instance_index"),
-        ((F.col("event_id") * 7 + F.col("user_id")) % 3 != 0).alias("is_safe"),
-        F.col("value").alias("latency"),
-        F.col("ts").cast("timestamp").alias("timestamp"),
+    return events.selectExpr(
+        "event_type AS model_name",
+        "user_id AS instance_index",
+        "(event_id * 7 + user_id) % 3 <> 0 AS is_safe",
+        "value AS latency",
+        "CAST(ts AS TIMESTAMP) AS timestamp",
     )
 
 
