@@ -18,6 +18,9 @@ from ..plans.shared import SMALL_TABLE_ROWS, small_rows
 # Sketch size; its rank error is at most rows / ACCURACY.
 ACCURACY = 20_000
 _MARGIN = 4.0 / ACCURACY
+# Up to this many rows a group is its own bracket: the margin would be less
+# than a few ranks there, and the state is small anyway.
+SMALL_GROUP = 50_000
 
 
 def _summary(
@@ -32,6 +35,7 @@ def _summary(
         F.percentile_approx(value, points, ACCURACY).alias("_cuts"),
         *stats,
     )
+    small = F.col("_n") <= SMALL_GROUP
     brackets = []
     for i, p in enumerate(fractions):
         position = F.lit(float(p)) * (F.col("_n") - 1)
@@ -39,8 +43,8 @@ def _summary(
         brackets.append(
             F.struct(
                 F.lit(i).alias("i"),
-                F.get("_cuts", F.lit(2 * i)).alias("lo"),
-                F.get("_cuts", F.lit(2 * i + 1)).alias("hi"),
+                F.when(small, float("-inf")).otherwise(F.get("_cuts", F.lit(2 * i))).alias("lo"),
+                F.when(small, float("inf")).otherwise(F.get("_cuts", F.lit(2 * i + 1))).alias("hi"),
                 low.alias("low"),
                 F.least(low + 1, F.col("_n") - 1).alias("high"),
                 (position - low).alias("t"),
@@ -117,7 +121,8 @@ def exact_percentiles(
     first pass.
     Up to ``group_limit`` groups the brackets are taken to the driver (their
     number is checked) and broadcast, so the big side is scanned twice and not
-    shuffled.  Beyond it the brackets are joined by key.
+    shuffled.  Beyond it the brackets are joined by key, where AQE splits the
+    partition of a group that holds much of the data.
     """
     values = df.select(*dict.fromkeys((*by, value)))
     summary = _summary(df, by, value, fractions, stats)
@@ -174,13 +179,31 @@ def _few_groups(spark, values, rows, schema, by, value, names) -> DataFrame:
 
 
 def _many_groups(values, summary, by, value, names) -> DataFrame:
-    ranked = _around_ranks(_with_brackets(values, summary, by), by, value)
-    missed = F.col("too_high") | F.col("too_low")
-    q = F.when(
-        missed, F.raise_error(F.lit("percentile sketch exceeded its error bound")).cast("double")
-    ).otherwise(F.col("q"))
+    """Lazy form for any number of groups: count around the brackets, open
+    those the sketch missed, then read the ranks."""
+    v = F.col(value)
+    placed = (
+        _with_brackets(values, summary, by)
+        .select(*by, value, F.explode("_b").alias("_b"))
+        .groupBy(*by, "_b")
+        .agg(
+            F.count_if(v < F.col("_b.lo")).alias("_below"),
+            F.count_if(v <= F.col("_b.hi")).alias("_reached"),
+        )
+    )
+    b = F.col("_b")
+    opened = b.withField(
+        "lo", F.when(F.col("_below") > b["low"], F.lit(float("-inf"))).otherwise(b["lo"])
+    ).withField(
+        "hi", F.when(F.col("_reached") <= b["high"], F.lit(float("inf"))).otherwise(b["hi"])
+    )
+    # One entry per fraction, so the list is as long as ``names``.
+    brackets = placed.select(*by, opened.alias("_b")).groupBy(*by).agg(
+        F.collect_list("_b").alias("_b")
+    )
+    ranked = _around_ranks(_with_brackets(values, brackets, by), by, value)
     picked = ranked.groupBy(*by).agg(
-        *[F.max(F.when(F.col("i") == i, q)).alias(n) for i, n in enumerate(names)]
+        *[F.max(F.when(F.col("i") == i, F.col("q"))).alias(n) for i, n in enumerate(names)]
     )
     right = picked.select(*[F.col(c).alias(f"_k_{c}") for c in by], *names)
     on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]

@@ -32,7 +32,10 @@ from ..operators.multiclass import (
     per_class_mean,
     per_class_metrics,
 )
-from .shared import small_rows
+from .shared import settled, small_rows
+
+# Outcome counts (models x iterations x class pairs) up to this many are local.
+COUNT_ROWS = 100_000
 
 MODEL = "model_name"
 
@@ -70,9 +73,11 @@ def _distribution(requests: DataFrame, iterations: int):
 
 
 def _joined(tables: Sequence[DataFrame]) -> DataFrame:
+    """One row per model from all parts.  The parts are one-partition tables,
+    so merge joins need no exchange and the whole assembly is one task."""
     out = tables[0]
     for t in tables[1:]:
-        out = out.join(t, MODEL, "left")
+        out = out.join(t.hint("merge"), MODEL, "left")
     return out
 
 
@@ -95,8 +100,7 @@ def full_report(
     names = class_names(classes)
     by = (MODEL,)
     aligned = align_predictions(responses, requests, safe)
-    counts = outcome_counts(aligned, (MODEL, "iteration")).persist()
-    kept = [counts]
+    counts = settled(outcome_counts(aligned, (MODEL, "iteration")), COUNT_ROWS)
     distribution, n = _distribution(requests, iterations)
     head = counts.select(MODEL).distinct().select(
         MODEL,
@@ -110,23 +114,19 @@ def full_report(
     tables = [head]
     if iterations > 1:
         instances = instance_summary(responses, by).persist()
-        kept.append(instances)
-        tables += _accumulative(counts, instances, requests, names, safe, iterations, on_unknown)
-        per_instance = latency_stats(instances, by, approx_latency)
+        performance = settled(performance_of_instances(instances, requests, safe))
+        per_instance = latency_stats(instances, by, approx_latency).coalesce(1)
+        instances.unpersist()
+        tables += _accumulative(counts, performance, names, iterations, on_unknown)
         tables.append(_nested(per_instance, "latency_per_instance", FIELDS))
     else:
         tables += _single(counts, names, on_unknown)
-    tables.append(_nested(latency_stats(responses, by, approx_latency), "latency", FIELDS))
-    report = _joined(tables)
-    rows = small_rows(report)
-    if rows is None:
-        return report  # far too many models for a local table: stays lazy over the kept counts
-    for table in kept:
-        table.unpersist()
-    return responses.sparkSession.createDataFrame(rows, report.schema)
+    overall = latency_stats(responses, by, approx_latency).coalesce(1)
+    tables.append(_nested(overall, "latency", FIELDS))
+    return settled(_joined(tables))
 
 
-def _accumulative(counts, instances, requests, names, safe, iterations, on_unknown) -> list[DataFrame]:
+def _accumulative(counts, performance, names, iterations, on_unknown) -> list[DataFrame]:
     binary = binary_accumulative(counts, iterations)
     binary = binary.select(
         MODEL,
@@ -148,7 +148,6 @@ def _accumulative(counts, instances, requests, names, safe, iterations, on_unkno
             F.struct(*[F.col(f"micro_{m}").alias(m) for m in ("precision", "recall", "f1")]).alias("micro"),
         ).alias("multiclass"),
     )
-    performance = performance_of_instances(instances, requests, safe)
     return [
         binary,
         multi,

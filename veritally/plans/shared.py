@@ -41,6 +41,19 @@ def small_rows(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> list | None:
     return rows if len(rows) <= limit else None
 
 
+def settled(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> DataFrame:
+    """``df`` computed once: a one-partition local table when it is small,
+    else kept in executor storage.
+
+    Aggregates and joins over one-partition tables plan no exchange, so the
+    arithmetic after the last real aggregation is a single task.
+    """
+    rows = small_rows(df, limit)
+    if rows is None:
+        return df.persist()
+    return df.sparkSession.createDataFrame(rows, df.schema).coalesce(1)
+
+
 def tuned_builder(input_bytes: int | None = None, cores: int | None = None):
     """Session builder with adaptive settings sized to the input.
 
