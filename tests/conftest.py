@@ -5,8 +5,10 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
-# Python workers unpickle functions of the package.
-os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
+# Python workers import the test modules; the package itself travels with its tasks.
+os.environ["PYTHONPATH"] = os.pathsep.join(
+    filter(None, [os.path.dirname(__file__), os.environ.get("PYTHONPATH")])
+)
 
 from veritally.plans.shared import tuned_builder  # noqa: E402
 

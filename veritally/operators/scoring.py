@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 import time
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from ..schema import SCORED
 
+# Executors get these small helpers inside the task itself, so they need no
+# copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _COLUMNS = [f.name for f in SCORED.fields]
 
 

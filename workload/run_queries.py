@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from veritally.functions.keywords import KEYWORD_RULES, NO_HIT
@@ -33,6 +36,9 @@ from .registry import query, rounded
 from .request_queries import _KEYWORD_SQL
 from .sql import BINARY
 
+# The Python classifier below travels with its tasks.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _FLAGSHIP_SQL = f"""
     , v_kw AS (
       SELECT 'keyword' AS model_name, p = 'none' AS is_safe, category = 'safe' AS actual_safe
