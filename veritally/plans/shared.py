@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 # Most rows a table may have to be taken to the driver and broadcast.
 SMALL_TABLE_ROWS = 10_000
 
+_LOCAL_DIRS: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the session names in ``spark.checkpoint.dir``.
@@ -21,9 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    path = tempfile.mkdtemp(prefix="veritally-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="veritally-")
+    return _LOCAL_DIRS[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
