@@ -79,7 +79,8 @@ def peak_concurrency(
     """Most calls in flight at once per group.
 
     A call lasts from ``timestamp - latency`` to ``timestamp``; a call ending
-    at an instant is over before one starting then.  The running count is
+    at an instant is over before one starting then, so the count after all
+    changes of an instant is the highest within it.  The running count is
     split by time bucket so that a group with most of the rows is still many
     tasks: equal instants are counted together first, each bucket is swept on
     its own, and the count carried in from earlier buckets is a running sum
@@ -99,10 +100,10 @@ def peak_concurrency(
             ),
         )
         .withColumn("bucket", F.floor(F.col("t") / F.lit(bucket_seconds * 1_000_000)))
-        .groupBy(*by, "bucket", "t", "step")
+        .groupBy(*by, "bucket", "t")
         .agg(F.sum("step").alias("d"))
     )
-    inside = Window.partitionBy(*by, "bucket").orderBy("t", "step")
+    inside = Window.partitionBy(*by, "bucket").orderBy("t")
     earlier = (
         Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     )

@@ -53,40 +53,46 @@ def _summary(
     return first.withColumn("_b", F.array(*brackets)).drop("_cuts")
 
 
-def _around_ranks(bracketed: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Second pass over rows that carry their group's brackets in ``_b``.
+def _around_ranks(values: DataFrame, attach, by: Sequence[str], value: str) -> DataFrame:
+    """Second pass; ``attach`` adds the brackets of a row's group as ``_b``.
 
-    Returns per group and fraction the interpolated value ``q`` and the counts
-    ``below`` and ``within`` the bracket.
+    Returns per group and fraction the interpolated value ``q`` and whether
+    the bracket missed the wanted ranks.  Rows are counted by the bracket
+    number alone; its bounds are attached again to the few counted rows.
     """
     v = F.col(value)
-    rows = bracketed.select(*by, value, F.explode("_b").alias("_b")).where(v <= F.col("_b.hi"))
+    rows = attach(values).select(*by, value, F.explode("_b").alias("_b")).where(v <= F.col("_b.hi"))
     inside = v >= F.col("_b.lo")
-    state = rows.groupBy(*by, "_b", F.when(inside, v).alias("_v")).agg(
+    state = rows.groupBy(*by, F.col("_b.i").alias("i"), F.when(inside, v).alias("_v")).agg(
         F.count(F.lit(1)).alias("_c")
     )
     # NULL stands for everything below the bracket and sorts first.
-    order = Window.partitionBy(*by, "_b").orderBy(F.col("_v").asc_nulls_first())
-    running = state.withColumn("_upto", F.sum("_c").over(order))
+    order = Window.partitionBy(*by, "i").orderBy(F.col("_v").asc_nulls_first())
+    running = attach(state.withColumn("_upto", F.sum("_c").over(order)))
+    own = F.get(F.filter("_b", lambda b: b["i"] == F.col("i")), F.lit(0))
+    running = running.select(
+        *by, "i", "_v", "_c", "_upto",
+        own["low"].alias("_low"), own["high"].alias("_high"), own["t"].alias("_t"),
+    )
 
     def at(rank: str) -> Column:
         reached = F.col("_v").isNotNull() & (F.col("_upto") > F.col(rank))
         return F.min(F.when(reached, F.col("_v")))
 
     return (
-        running.groupBy(*by, "_b")
+        running.groupBy(*by, "i", "_low", "_high", "_t")
         .agg(
-            at("_b.low").alias("_lower"),
-            at("_b.high").alias("_upper"),
-            F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_c"))), F.lit(0)).alias("below"),
-            F.sum("_c").alias("reached"),
+            at("_low").alias("_lower"),
+            at("_high").alias("_upper"),
+            F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_c"))), F.lit(0)).alias("_below"),
+            F.sum("_c").alias("_reached"),
         )
         .select(
             *by,
-            F.col("_b.i").alias("i"),
-            (F.col("_lower") + (F.col("_upper") - F.col("_lower")) * F.col("_b.t")).alias("q"),
-            (F.col("below") > F.col("_b.low")).alias("too_high"),
-            (F.col("reached") <= F.col("_b.high")).alias("too_low"),
+            "i",
+            (F.col("_lower") + (F.col("_upper") - F.col("_lower")) * F.col("_t")).alias("q"),
+            (F.col("_below") > F.col("_low")).alias("too_high"),
+            (F.col("_reached") <= F.col("_high")).alias("too_low"),
         )
     )
 
@@ -146,16 +152,18 @@ def _few_groups(spark, values, rows, schema, by, value, names) -> DataFrame:
     found: dict = {}
     while wanted:
         if by:
-            table = spark.createDataFrame(
-                [(*k, [tuple(b[f] for f in bracket_fields) for b in bs]) for k, bs in wanted.items()],
-                bracket_schema,
+            table = F.broadcast(
+                spark.createDataFrame(
+                    [(*k, [tuple(b[f] for f in bracket_fields) for b in bs]) for k, bs in wanted.items()],
+                    bracket_schema,
+                )
             )
-            carried = _with_brackets(values, F.broadcast(table), by)
+            ranked = _around_ranks(values, lambda df: _with_brackets(df, table, by), by, value)
         else:
-            carried = values.withColumn("_b", _literal_brackets(wanted[()]))
-        ranked = _around_ranks(carried, by, value)
+            literal = _literal_brackets(wanted[()])
+            ranked = _around_ranks(values, lambda df: df.withColumn("_b", literal), by, value)
         again: dict = {}
-        for r in ranked.collect():
+        for r in ranked.collect():  # one row per group and fraction
             if not (r["too_high"] or r["too_low"]):
                 found[(key(r), r["i"])] = r["q"]
                 continue
@@ -201,7 +209,7 @@ def _many_groups(values, summary, by, value, names) -> DataFrame:
     brackets = placed.select(*by, opened.alias("_b")).groupBy(*by).agg(
         F.collect_list("_b").alias("_b")
     )
-    ranked = _around_ranks(_with_brackets(values, brackets, by), by, value)
+    ranked = _around_ranks(values, lambda df: _with_brackets(df, brackets, by), by, value)
     picked = ranked.groupBy(*by).agg(
         *[F.max(F.when(F.col("i") == i, F.col("q"))).alias(n) for i, n in enumerate(names)]
     )

@@ -71,6 +71,8 @@ def tuned_builder(input_bytes: int | None = None, cores: int | None = None):
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        # Hash instead of sort for a join whose measured partitions all fit.
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", str(64 << 20))
         .config("spark.sql.files.maxPartitionBytes", str(128 << 20))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # Call-site capture for every column expression slows plan building.
