@@ -72,7 +72,7 @@ def normalize_chat(items: DataFrame, source: str, category: Column | None = None
     return out.withColumn("category", label)
 
 
-def conversation_texts(turns: DataFrame, turns_per_part: int = 100_000) -> DataFrame:
+def conversation_texts(turns: DataFrame, turns_per_part: int = 10_000) -> DataFrame:
     """Text of every conversation in turn order, joined by newline.
 
     One row ``(conv_id, part, text)`` per run of ``turns_per_part`` turn

@@ -71,7 +71,15 @@ def metrics_comparison(
 
 
 def run_summary(
-    wide: DataFrame, metrics: Sequence[str], by: Sequence[str] = MODEL, digits: int = 4
+    wide: DataFrame,
+    metrics: Sequence[str],
+    by: Sequence[str] = MODEL,
+    digits: int = 4,
+    **config: str,
 ) -> DataFrame:
-    """Flat summary ``(group, metric, value)`` to four decimals."""
-    return metrics_long(wide, metrics, by).withColumn("value", F.round("value", digits))
+    """Flat summary ``(config..., group, metric, value)`` to four decimals.
+
+    ``config`` (experiment, dataset and the like) becomes constant columns.
+    """
+    values = metrics_long(wide, metrics, by).withColumn("value", F.round("value", digits))
+    return values.select(*[F.lit(text).alias(name) for name, text in config.items()], "*")

@@ -70,7 +70,7 @@ def q_scan_category_json(spark, d):
 def chat_items(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as chat items (one JSON object string each)."""
     turn = F.struct("turn", "role", F.col("text").alias("content"))
-    part = F.floor(F.col("turn") / 100_000)
+    part = F.floor(F.col("turn") / 10_000)
     messages = F.transform(
         F.array_sort(F.collect_list(turn)), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))
     )
@@ -350,11 +350,14 @@ def q_next_experiment_index(spark, d):
 @query(
     "run_summary",
     f"""
-    SELECT model_name, metric, round(value, 4) AS value FROM (
+    SELECT 'demo' AS experiment, 'documents' AS dataset, model_name, metric, round(value, 4) AS value FROM (
       SELECT model_name, unnest(['accuracy', 'precision', 'recall', 'f1']) AS metric,
         unnest([accuracy, "precision", recall, f1]) AS value
       FROM (SELECT model_name, {BINARY} FROM v_binary))
     """,
 )
 def q_run_summary(spark, d):
-    return run_summary(binary_metrics(aligned(spark, d)), ("accuracy", "precision", "recall", "f1"))
+    metrics = ("accuracy", "precision", "recall", "f1")
+    return run_summary(
+        binary_metrics(aligned(spark, d)), metrics, experiment="demo", dataset="documents"
+    )

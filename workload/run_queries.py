@@ -96,7 +96,7 @@ _SCORED_SQL = f"""
     "score_requests",
     _SCORED_SQL + f"""
     SELECT 'keyword' AS model_name, instance_index, iteration, category,
-      category = 'none' AS is_safe, CASE WHEN category IS NULL THEN NULL ELSE -1.0::DOUBLE END AS score,
+      coalesce(category = 'none', false) AS is_safe, CASE WHEN category IS NULL THEN NULL ELSE -1.0::DOUBLE END AS score,
       CASE WHEN category IS NULL THEN 'ValueError: empty text' END AS error
     FROM (SELECT instance_index, iteration, CASE WHEN text = '' THEN NULL ELSE {_KEYWORD_SQL} END AS category
           FROM (SELECT *, lower(text) AS t FROM v_p))
@@ -105,7 +105,8 @@ _SCORED_SQL = f"""
 def q_score_requests(spark, d):
     expanded = expand_iterations(_prompts(spark, d), 2)
     return score_requests(expanded, "keyword", make_keyword_classifier, batch_size=16).select(
-        "model_name", "instance_index", "iteration", "category", "is_safe", "score", "error"
+        "model_name", "instance_index", "iteration", "category",
+        F.coalesce("is_safe", F.lit(False)).alias("is_safe"), "score", "error",
     )
 
 
