@@ -13,9 +13,15 @@ _FIELDS = (
 
 
 def chat_fields(item) -> Column:
+    """The typed text fields of an item."""
     return F.from_json(_col(item), _FIELDS)
 
 
+def chat_map(item) -> Column:
+    """All fields of an item as text."""
+    return F.from_json(_col(item), "map<string,string>")
+
+
 def messages_text(messages) -> Column:
     """Message contents joined by newline, NULL when no message has content."""
     parts = F.filter(
@@ -24,11 +30,10 @@ def messages_text(messages) -> Column:
     return F.when(F.size(parts) > 0, F.array_join(parts, "\n"))
 
 
-def all_string_fields(item) -> Column:
+def all_string_fields(item, plain) -> Column:
     """Every string-valued field in document order, joined by a space."""
-    raw = _col(item)
+    raw, plain = _col(item), _col(plain)
     typed = F.try_variant_get(F.parse_json(raw), "$", "map<string,variant>")
-    plain = F.from_json(raw, "map<string,string>")
     keys = F.filter(
         F.json_object_keys(raw),
         lambda k: F.schema_of_variant(F.element_at(typed, k)) == "STRING",
@@ -37,13 +42,16 @@ def all_string_fields(item) -> Column:
     return F.when(F.size(values) > 0, F.array_join(values, " "))
 
 
-def chat_text(item) -> Column:
-    """messages, then text, content, message, then all string fields; NULL if none."""
-    f = chat_fields(item)
+def chat_text(item, fields, plain) -> Column:
+    """messages, then text, content, message, then all string fields; NULL if none.
+
+    ``fields`` and ``plain`` are the parsed forms of ``item``.
+    """
+    f = _col(fields)
     return F.coalesce(
         messages_text(f["messages"]),
         f["text"],
         f["content"],
         f["message"],
-        all_string_fields(item),
+        all_string_fields(item, plain),
     )

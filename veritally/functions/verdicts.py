@@ -1,7 +1,8 @@
 """Raw model output to verdict, one expression per output format.
 
-Each function returns a STRUCT column so a caller adds all verdict fields in
-one projection.  Nothing here shuffles.
+Each function returns a plain STRUCT column, whose fields the optimizer takes
+apart, so a caller adds all verdict fields in one projection.  Nothing here
+shuffles.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
-from .labels import map_literal, mapped_or_same
+from .labels import mapped_or_same
 from .ratios import _col
 
 # Hazard code to class name of label-output guards.
@@ -59,13 +60,21 @@ HARM_THRESHOLD = 0.5
 _SAFE_LINE = r"(?U)\A[\s\x1c-\x1f]*safe[\s\x1c-\x1f]*\z"
 
 
-def guard_verdict(text, classes: Sequence[str]) -> Column:
+def guard_lines(text) -> Column:
+    return F.split(_col(text), "\n")
+
+
+def guard_complete(lines) -> Column:
+    """Whether a generation has the verdict line; fewer than 3 lines is a failure."""
+    return F.coalesce(F.size(_col(lines)) >= 3, F.lit(False))
+
+
+def guard_verdict(lines, classes: Sequence[str]) -> Column:
     """Line 3 is the verdict, later lines hold codes A1..An of the class list.
 
-    A code counts only as a whole line.  With fewer than 3 lines the struct is
-    NULL: the row is a failure and its batch neighbours are unaffected.
+    A code counts only as a whole line.  Defined for complete generations.
     """
-    lines = F.split(_col(text), "\n")
+    lines = _col(lines)
     tail = F.slice(lines, F.lit(4), F.greatest(F.size(lines) - 3, F.lit(0)))
     hits = F.array_compact(
         F.array(
@@ -75,15 +84,11 @@ def guard_verdict(text, classes: Sequence[str]) -> Column:
             ]
         ).cast("array<string>")
     )
-    categories = F.when(F.size(hits) > 0, hits)
-    return F.when(
-        F.size(lines) >= 3,
-        F.struct(
-            F.get(lines, F.lit(2)).rlike(_SAFE_LINE).alias("is_safe"),
-            F.lit(-1.0).alias("score"),
-            F.get(categories, F.lit(0)).alias("category"),
-            categories.alias("categories"),
-        ),
+    return F.struct(
+        F.get(lines, F.lit(2)).rlike(_SAFE_LINE).alias("is_safe"),
+        F.lit(-1.0).alias("score"),
+        F.get(hits, F.lit(0)).alias("category"),
+        F.when(F.size(hits) > 0, hits).alias("categories"),
     )
 
 
@@ -148,16 +153,11 @@ def rating_verdict(ratings, names: Mapping[str, str] = HARM_CLASSES) -> Column:
     )
 
 
-def structured_verdict(category, classes: Sequence[str], safe: Sequence[str]) -> Column:
-    """One chosen class to verdict; NULL when the class is not in the list."""
+def structured_verdict(category, safe: Sequence[str]) -> Column:
+    """One chosen class of the list to verdict."""
     c = _col(category)
-    return F.when(
-        c.isin(list(classes)),
-        F.struct(
-            c.isin(list(safe)).alias("is_safe"),
-            F.lit(-1.0).alias("score"),
-            c.alias("category"),
-        ),
+    return F.struct(
+        c.isin(list(safe)).alias("is_safe"), F.lit(-1.0).alias("score"), c.alias("category")
     )
 
 
@@ -165,10 +165,11 @@ __all__ = [
     "HAZARD_CODES",
     "MODERATION_CLASSES",
     "HARM_CLASSES",
+    "guard_lines",
+    "guard_complete",
     "guard_verdict",
     "label_verdict",
     "moderation_verdict",
     "rating_verdict",
     "structured_verdict",
-    "map_literal",
 ]

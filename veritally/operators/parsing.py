@@ -1,4 +1,4 @@
-"""Raw outputs to verdict rows, with failures split off by predicate."""
+"""Raw outputs to verdict rows, with failures split off by a predicate."""
 
 from __future__ import annotations
 
@@ -11,25 +11,23 @@ from ..functions.keywords import KEYWORD_RULES, NO_HIT, keyword_category
 from ..functions.labels import class_names
 
 
-def _spread(df: DataFrame, verdict: Column) -> DataFrame:
-    """Verdict struct fields as columns; rows with no verdict are dropped here
-    and returned by the matching ``*_failures`` operator."""
-    keep = [F.col(c) for c in df.columns]
-    return (
-        df.select(*keep, verdict.alias("_verdict"))
-        .where(F.col("_verdict").isNotNull())
-        .select(*keep, "_verdict.*")
+def _spread(df: DataFrame, verdict: Column, drop: Sequence[str] = ()) -> DataFrame:
+    """Verdict struct fields as columns beside the input columns."""
+    keep = [F.col(c) for c in df.columns if c not in drop]
+    return df.select(*keep, verdict.alias("_verdict")).select(
+        *[c for c in df.columns if c not in drop], "_verdict.*"
     )
 
 
 def parse_guard_output(raw: DataFrame, classes, text: str = "raw_response") -> DataFrame:
-    return _spread(raw, V.guard_verdict(text, class_names(classes)))
+    """Complete generations; the others are :func:`guard_output_failures`."""
+    split = raw.withColumn("_lines", V.guard_lines(text)).where(V.guard_complete("_lines"))
+    return _spread(split, V.guard_verdict("_lines", class_names(classes)), drop=["_lines"])
 
 
 def guard_output_failures(raw: DataFrame, text: str = "raw_response") -> DataFrame:
     """Generations with fewer than 3 lines."""
-    short = F.size(F.split(F.col(text), "\n")) < 3
-    return raw.where(F.col(text).isNull() | short).withColumn(
+    return raw.where(~V.guard_complete(V.guard_lines(text))).withColumn(
         "error", F.lit("Invalid response format: fewer than 3 lines")
     )
 
@@ -53,15 +51,19 @@ def parse_safety_ratings(
     return _spread(raw, V.rating_verdict(ratings, names))
 
 
+def _listed(chosen: str, classes) -> Column:
+    return F.coalesce(F.col(chosen).isin(class_names(classes)), F.lit(False))
+
+
 def parse_structured_category(
     raw: DataFrame, classes, safe: Sequence[str], chosen: str = "chosen"
 ) -> DataFrame:
-    return _spread(raw, V.structured_verdict(chosen, class_names(classes), safe))
+    """Rows whose class is in the list; the others are failures."""
+    return _spread(raw.where(_listed(chosen, classes)), V.structured_verdict(chosen, safe))
 
 
 def structured_category_failures(raw: DataFrame, classes, chosen: str = "chosen") -> DataFrame:
-    known = F.coalesce(F.col(chosen).isin(class_names(classes)), F.lit(False))
-    return raw.where(~known).withColumn(
+    return raw.where(~_listed(chosen, classes)).withColumn(
         "error", F.lit("Invalid response format: class not in list")
     )
 

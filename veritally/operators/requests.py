@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.chat import chat_text
+from ..functions.chat import chat_fields, chat_map, chat_text
 from ..functions.labels import array_literal
 from ..functions.prompts import guard_prompt, system_prompt
 
@@ -49,7 +49,9 @@ def normalize_chat(items: DataFrame, source: str, category: Column | None = None
     expression over ``toxic`` (BOOLEAN) and ``metadata``; by default it is the
     field of that name.
     """
-    fields = F.from_json("item", "map<string,string>")
+    # Parsed once per item, in a projection of its own.
+    parsed = items.withColumns({"_map": chat_map("item"), "_fields": chat_fields("item")})
+    fields = F.col("_map")
     extra = F.map_filter(
         fields,
         lambda k, v: ~k.isin(list(_TEXT_FIELDS)) & ~k.startswith("_"),
@@ -62,9 +64,9 @@ def normalize_chat(items: DataFrame, source: str, category: Column | None = None
     )
     # A field repeated in the item replaces the base entry of the same name.
     kept = F.map_filter(base, lambda k, v: ~F.map_contains_key(extra, k))
-    out = items.select(
+    out = parsed.select(
         *[c for c in items.columns if c != "item"],
-        chat_text("item").alias("text"),
+        chat_text("item", "_fields", "_map").alias("text"),
         (F.lower(toxic) == "true").alias("toxic"),
         F.map_concat(kept, extra).alias("metadata"),
     )

@@ -41,8 +41,8 @@ def scan_result_metrics(spark: SparkSession, path: str, lines: bool = False) ->
     Both writers put ``metrics`` at the top level; a file that nests it one
     level down is read too, and a file without any raises.
     """
-    docs = _result_documents(spark, path, lines)
-    f = F.from_json("value", _FILE)
+    docs = _result_documents(spark, path, lines).withColumn("_f", F.from_json("value", _FILE))
+    f = F.col("_f")
     metrics = F.coalesce(
         f["metrics"],
         _nested_metrics(F.col("value")),
@@ -60,13 +60,12 @@ def category_list(category: Column) -> Column:
     return F.when(category.isNotNull(), F.coalesce(listed, F.array(category)))
 
 
-def prediction_fields(raw: Column) -> dict[str, Column]:
-    """Response columns of one saved prediction (JSON text or a bare value).
+def prediction_fields(raw: Column, p: Column) -> dict[str, Column]:
+    """Response columns of one saved prediction: its text and its parsed form.
 
     A prediction that lacks a required field or is no object falls back to an
     unsafe verdict of model ``unknown`` that keeps the raw content.
     """
-    p = F.from_json(raw, _PREDICTION)
     complete = (
         p["is_safe"].isNotNull() & p["score"].isNotNull()
         & p["latency"].isNotNull() & p["model_name"].isNotNull()
@@ -97,19 +96,23 @@ def scan_results(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     Older files that use ``response`` or ``result`` instead of ``prediction``
     are accepted.  ``lines=True`` reads one result object per line.
     """
-    docs = _result_documents(spark, path, lines)
-    f = F.from_json("value", _FILE)
+    # Each parse is a projection of its own: used by several columns, it is
+    # evaluated once per row and not once per column.
+    docs = _result_documents(spark, path, lines).select(
+        "source_file", F.from_json("value", _FILE).alias("_f")
+    )
     each = docs.select(
-        "source_file", f["model"].alias("run_model"), f["dataset"].alias("dataset"),
-        F.posexplode(f["predictions"]).alias("position", "p"),
+        "source_file", F.col("_f.model").alias("run_model"), F.col("_f.dataset").alias("dataset"),
+        F.posexplode("_f.predictions").alias("position", "p"),
     ).select(
         "source_file", "run_model", "dataset", "position",
         F.col("p.request_text").alias("text"),
         F.col("p.request_metadata").alias("metadata"),
         F.coalesce("p.prediction", "p.response", "p.result").alias("_raw"),
     )
-    fields = prediction_fields(F.col("_raw"))
-    return each.select(
+    parsed = each.withColumn("_p", F.from_json("_raw", _PREDICTION))
+    fields = prediction_fields(F.col("_raw"), F.col("_p"))
+    return parsed.select(
         "source_file", "run_model", "dataset", "position", "text", "metadata",
         F.try_element_at("metadata", F.lit("category")).alias("actual"),
         *[c.alias(n) for n, c in fields.items()],
