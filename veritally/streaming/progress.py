@@ -27,18 +27,28 @@ def windowed_confusion(
     by: Sequence[str] = ("model_name",),
     width: str = "5 minutes",
     delay: str = "10 minutes",
+    salts: int = 8,
 ) -> DataFrame:
     """tp, tn, fp and fn per group and tumbling event-time window.
 
     Labels are joined as a static table by key; rows later than the watermark
     are dropped and closed windows leave the state, which holds one row per
     open window and group.
+
+    Adaptive skew handling does not apply to stateful streams, so the join is
+    salted: responses of one instance are spread over ``salts`` copies of its
+    label (key and class only).  ``salts=1`` joins plainly.
     """
-    labels = requests.select("instance_index", F.col("category").alias("actual"))
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+    labels = requests.select(
+        "instance_index", F.col("category").alias("actual"), copies.alias("_salt")
+    )
+    spread = F.pmod(F.xxhash64("timestamp", *by), F.lit(salts).cast("long"))
     joined = (
         stream.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
         .withWatermark("timestamp", delay)
-        .join(labels, "instance_index", "inner")
+        .withColumn("_salt", spread)
+        .join(labels, ["instance_index", "_salt"], "inner")
         .withColumn("actual_safe", truth_is_safe("actual", safe))
         .withColumnRenamed("is_safe", "predicted_safe")
         .withColumn("window", F.window("timestamp", width))
