@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from veritally.operators.align import align_predictions, dedupe_slots, failed_requests
 from veritally.operators.binary import binary_metrics
 from veritally.operators.counts import outcome_counts
@@ -11,6 +10,7 @@ from veritally.operators.multiclass import confusion_matrix, per_class_metrics
 from veritally.operators.requests import cross_models, expand_iterations
 from veritally.plans.shared import scratch_path, settled, shared_dir, small_rows
 from workload import views as v
+from workload.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,7 +75,7 @@ def test_no_global_window_and_no_row_python(spark):
     """Over all registered queries that only build a plan."""
     eager = ("scan_", "write_", "stream_", "replay", "evaluate_run", "full_report", "compare", "latency", "stats",
              "multiclass_stats", "run_log", "performance_by_category_acc")
-    for name, fn in entry.queries().items():
+    for name, fn in QUERIES.items():
         if name.startswith(eager):
             continue
         text = plan(fn(spark, SF))
