@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import mix64, powers
+from .common import mix64, powers, ragged
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -76,8 +76,6 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, size: int = 5) -> tuple[np.
     out = np.empty(int(out_bounds[-1]), np.uint64)
     long = np.flatnonzero(full > 0)
     if len(long):
-        from .common import ragged
-
         out[ragged(out_bounds[long], full[long])] = rolled[ragged(bounds[long], full[long])]
     for d in np.flatnonzero((count > 0) & (full == 0)):
         h = hashes[bounds[d] : bounds[d + 1]]
