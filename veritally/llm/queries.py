@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, shingle_join, toxicity
+from . import language_id, mixing, shingle_join, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,16 @@ def op3_toxicity(spark, sf_dir):
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+# Whole shares of the sources of ``documents``; others get mixing.DEFAULT_SHARE.
+SHARES = {f"src{i}": 1 + i % 5 for i in range(20)}
+
+
+@query
+def op6_mixing(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs, SHARES)
+
+
 @query
 def op7_ngram_jaccard_join(spark, sf_dir):
     return shingle_join.shingle_join(_table(spark, sf_dir, "documents"))
