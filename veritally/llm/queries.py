@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, shingle_join, toxicity
+from . import language_id, mixing, outliers, shingle_join, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,8 @@ def op6_mixing(spark, sf_dir):
 @query
 def op7_ngram_jaccard_join(spark, sf_dir):
     return shingle_join.shingle_join(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_quality_rules(spark, sf_dir):
+    return outliers.quality(_table(spark, sf_dir, "documents"))
