@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, outliers, shingle_join, toxicity
+from . import language_id, mixing, multi_index, outliers, shingle_join, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,8 @@ def op7_ngram_jaccard_join(spark, sf_dir):
 @query
 def op9_quality_rules(spark, sf_dir):
     return outliers.quality(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_embedding_near_dedup(spark, sf_dir):
+    return multi_index.near_vectors(_table(spark, sf_dir, "embeddings"))
