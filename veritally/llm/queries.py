@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, multi_index, outliers, shingle_join, toxicity
+from . import language_id, mixing, multi_index, outliers, shingle_join, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,14 @@ def op9_quality_rules(spark, sf_dir):
 @query
 def op10_embedding_near_dedup(spark, sf_dir):
     return multi_index.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op2_token_files(spark, sf_dir):
+    return token_files.token_files(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
