@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, multi_index, outliers, shingle_join, token_files, toxicity
+from . import language_id, lm_scoring, mixing, multi_index, outliers, shingle_join, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,8 @@ def _vocabulary(name: str) -> str:
 @query
 def op2_token_files(spark, sf_dir):
     return token_files.token_files(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
+@query
+def op8_lm_scoring(spark, sf_dir):
+    return lm_scoring.lm_scoring(_table(spark, sf_dir, "documents"))
