@@ -37,6 +37,8 @@ NUM, DEN = 75, 100
 COMMON = 32
 # Signatures a task holds before it packs them, and bytes of them per reduce partition.
 PACK_ROWS = 1 << 21
+# Pivots of a common value that all its sets are compared with, after the first.
+PIVOTS = 2
 # Rows of a common value compared with each other in one task.
 BLOCK = 2_000
 
@@ -373,6 +375,29 @@ def _compare_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"])
 
 
+def _labelled(stay: DataFrame, label: DataFrame) -> DataFrame:
+    return stay.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _next_pivots(stay: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs of sets with a new pivot of their common value, across components.
+
+    Only values with components of some size take part: comparing a value's
+    unrelated single sets is left to the blocks.
+    """
+    rows = _labelled(stay, label)
+    groups = rows.groupBy("value", "component").agg(
+        F.count("*").alias("sets"), F.max(F.struct("values", (-F.col("node")).alias("order"))).alias("best")
+    )
+    # The component with most sets is done: its pivot has been compared with all.
+    top = groups.groupBy("value").agg(F.max(F.struct("sets", "component"))["component"].alias("largest"), F.count("*").alias("k"))
+    rest = groups.join(top.where("k > 1"), "value").where("component <> largest")
+    pivot = rest.groupBy("value").agg(F.max("best").alias("best"), F.max(F.struct("best", "component"))["component"].alias("own"))
+    pivot = pivot.select("value", "own", (-F.col("best.order")).alias("next"))
+    pairs = rows.select("node", "value", "component").join(pivot, "value").where("component <> own")
+    return pairs.select(F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b")).distinct()
+
+
 def similarity_links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents' sets ``(doc_id, node, n)``, links ``(a, b)`` between nodes).
 
@@ -391,22 +416,36 @@ def similarity_links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     rare = met.where("kind = 3").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
     common = met.where("kind = 4").select("node", F.col("other").alias("value"), "sure").distinct()
-    sizes = common.groupBy("value").agg(F.count("*").alias("sets"), F.min("node").alias("pivot"))
-    ranked = common.join(sizes, "value").groupBy("node", "sure").agg(
+    # The pivot is the set with most common values: the one that copies were made from, if it is there.
+    central = common.groupBy("node").agg(F.count("*").alias("values"))
+    common = stored(common.join(central, "node"), "members")
+    best = F.struct("values", (-F.col("node")).alias("order"))
+    sizes = common.groupBy("value").agg(F.count("*").alias("sets"), (-F.max(best)["order"]).alias("pivot"))
+    ranked = common.join(sizes, "value").groupBy("node", "sure", "values").agg(
         F.sort_array(F.collect_list(F.struct("sets", "value", "pivot")), False).alias("most")
     )
     # A set leaves out its most common values, one fewer than it must share.  The list is bounded by the set's own segments.
     stay = stored(
-        ranked.select("node", F.explode(F.expr("slice(most, sure, greatest(size(most) - sure + 1, 0))")).alias("v"))
-        .select("node", "v.value", "v.pivot"), "common",
+        ranked.select("node", "values", F.explode(F.expr("slice(most, sure, greatest(size(most) - sure + 1, 0))")).alias("v"))
+        .select("node", "values", "v.value", "v.pivot"), "common",
     )
     stars = stay.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     pairs = stored(_close(rare.union(stars).distinct(), sets), "pairs")
     links = stored(_exact(pairs, sets, documents), "links")
 
-    # Sets that share a common value and are still apart.
+    # Further pivots, each the most central set outside the components of the earlier ones.
     label = components(links)
-    apart = stay.join(label, "node", "left").select("node", "value", F.coalesce("component", "node").alias("component"))
+    for _ in range(PIVOTS):
+        more = _next_pivots(stay, label).join(pairs, ["a", "b"], "left_anti")
+        more = stored(_close(more, sets), "pairs")
+        if not more.limit(1).count():
+            break
+        pairs = pairs.union(more)
+        links = links.union(stored(_exact(more, sets, documents), "links"))
+        label = components(links)
+
+    # Sets that share a common value and are still apart.
+    apart = _labelled(stay, label).select("node", "value", "component")
     split = apart.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y")
     split = split.select("value", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     members = apart.join(split, "value").join(sets.select("node", "n", "sketch"), "node")
