@@ -147,3 +147,40 @@ class HashTable:
             at[left] += 1
             left = left[at[left] < end[left]]
         return out
+
+
+class IdCache:
+    """Ids of text pieces by the pieces' hashes, in growing flat arrays."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def missing(self, keys: np.ndarray) -> np.ndarray:
+        """Positions of the sorted ``keys`` that are new; starts afresh at the limit."""
+        if len(self.keys) + len(keys) > self.limit:
+            self.clear()
+        place = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == keys[inside]
+        return np.flatnonzero(~known)
+
+    def add(self, keys: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(max(len(flat), len(self.ids)), np.uint32)))
+        self.ids[self.used : self.used + len(flat)] = flat
+        at = self.used + np.cumsum(size) - size
+        self.used += len(flat)
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.size = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.size, place, size)
+
+    def gather(self, keys: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces ``keys[where]`` one after the other, bounds per piece)."""
+        at = np.searchsorted(self.keys, keys)[where] if len(keys) else np.zeros(0, np.int64)
+        size = self.size[at]
+        return self.ids[ragged(self.at[at], size)], np.concatenate(([0], np.cumsum(size)))

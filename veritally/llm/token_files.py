@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Shipped, ragged, slices, stored, string_bytes, worker_cache
+from .common import IdCache, Shipped, slices, stored, string_bytes, worker_cache
 from .text import span_hashes
 
 END = 0
@@ -124,7 +124,7 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.clear()
+        self.known = IdCache(CACHE_PIECES)
 
     @staticmethod
     def of(vocabulary: str) -> Pieces:
@@ -134,42 +134,24 @@ class Pieces:
             cache[("pieces", vocabulary)] = Pieces(vocabulary)
         return cache[("pieces", vocabulary)]
 
-    def clear(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         found = [e.ids for e in encode(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(size.sum()))
-        if self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros(max(len(flat), len(self.ids)), np.uint32)))
-        self.ids[self.used : self.used + len(flat)] = flat
-        at = self.used + np.cumsum(size) - size
-        self.used += len(flat)
-        place = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.size = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.size, place, size)
+        self.known.add(keys, size, flat)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, bounds per document), without end ids."""
         starts = _cuts(data, offsets)
         ends = np.append(starts[1:], len(data))
         keys, first, where = np.unique(span_hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > CACHE_PIECES:
-            self.clear()
-        place = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        inside = place < len(self.keys)
-        known[inside] = self.keys[place[inside]] == keys[inside]
-        new = np.flatnonzero(~known)
+        new = self.known.missing(keys)
         if len(new):
             raw = data.tobytes()
             self._learn(keys[new], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[new]])
-        at = np.searchsorted(self.keys, keys)[where] if len(keys) else np.zeros(0, np.int64)
-        size = self.size[at]
-        bounds = np.searchsorted(starts, offsets)
-        return self.ids[ragged(self.at[at], size)], np.concatenate(([0], np.cumsum(size)))[bounds]
+        ids, sizes = self.known.gather(keys, where)
+        return ids, sizes[np.searchsorted(starts, offsets)]
 
 
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
