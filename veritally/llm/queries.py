@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, lm_scoring, mixing, multi_index, outliers, shingle_join, token_files, toxicity
+from . import language_id, lm_scoring, mixing, multi_index, outliers, pieces, shingle_join, token_files, toxicity, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,7 +56,7 @@ def op10_embedding_near_dedup(spark, sf_dir):
     return multi_index.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -64,9 +64,21 @@ def _vocabulary(name: str) -> str:
 
 @query
 def op2_token_files(spark, sf_dir):
-    return token_files.token_files(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return token_files.token_files(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 @query
 def op8_lm_scoring(spark, sf_dir):
     return lm_scoring.lm_scoring(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_sentencepiece(spark, sf_dir):
+    model = pieces.load(vocabulary("piece_bpe_32k.model"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, model, keep_ids=False).drop("text")
+
+
+@query
+def op5_html_extraction(spark, sf_dir):
+    return wrappers.extract_pages(_table(spark, sf_dir, "pages"))
