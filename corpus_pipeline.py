@@ -1,26 +1,71 @@
 """The corpus pipeline: five stages over ``documents``, each written and read again.
 
 toxicity > language ID > n-gram Jaccard join > mixing > SentencePiece.
+
+Every stage works on all rows that its predecessor kept, whatever their
+number.  All but the last return the columns of ``documents``; extra columns
+of the input are not carried along.  Rows that repeat stay rows of their own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veritally.llm import language_id as lang
+from veritally.llm import language_id, mixing, pieces, shingle_join, toxicity
 from veritally.llm.common import stored
+from veritally.llm.queries import SHARES, vocabulary
 
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text some language model explains, all columns kept."""
-    models = lang.fit(docs)
-    return lang.identify(docs.select(*DOCUMENT), models).where("NOT rejected").select(*DOCUMENT)
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the multiple-instance model predicts as toxic.
+
+    Learns from all labelled documents; NULL and empty texts are kept.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    weights = toxicity.fit(docs.select("doc_id", "text"), labels)
+    return toxicity.score(docs.select(*DOCUMENT), weights).where("predicted = 0").select(*DOCUMENT)
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that no language's model explains: those beyond
+    the calibrated limits, and NULL, empty and letterless texts."""
+    models = language_id.fit(docs)
+    return language_id.identify(docs.select(*DOCUMENT), models).where("NOT rejected").select(*DOCUMENT)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the smallest doc_id.
+
+    Texts without words are near copies of nothing and stay.
+    """
+    groups = shingle_join.shingle_join(docs.select("doc_id", "text"))
+    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
+    once = docs.select(*DOCUMENT).join(kept, "doc_id", "left_semi")
+    # A doc_id that occurs more than once with equal texts is a copy too.
+    return once.dropDuplicates(["doc_id", "text"]).select(*DOCUMENT)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in files whose order interleaves the sources by their shares."""
+    return mixing.in_order(mixing.mix(docs.select(*DOCUMENT), SHARES)).select(*DOCUMENT)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, lang, source, n_ids, ids, ids_crc32, round_trip, decoded_crc32`` per document."""
+    model = pieces.load(vocabulary("piece_bpe_32k.model"))
+    return pieces.encode(docs.select("doc_id", "lang", "source", "text"), model).drop("text")
 
 
-STAGES = [("language ID", identify_language)]
-# The stages' decisions come from trained models, which SQL cannot express.
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language ID", drop_unknown_language),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("SentencePiece", encode_pieces),
+]
+# Stages decide by trained models, which SQL cannot express; tests compare run() with plain code.
 ORACLE_SQL = None
 
 
