@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import IdCache, Shipped, slices, stored, string_bytes, worker_cache
+from .common import IdCache, Shipped, ragged, slices, stored, string_bytes, worker_cache
 from .text import span_hashes
 
 END = 0
@@ -30,7 +30,9 @@ STRIDE = 64
 # A block is closed after this many ids; a longer document is a block of its own.
 BLOCK_IDS = 1 << 16
 # Text pieces whose ids a worker remembers.
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 2_500_000
+# New pieces encoded in one call.
+JOINED = 256
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -125,6 +127,12 @@ class Pieces:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.known = IdCache(CACHE_PIECES)
+        feed = self._encode(["\n"])[0]
+        self.feed = feed[0] if len(feed) == 1 else None
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return [e.ids for e in encode(texts, add_special_tokens=False)]
 
     @staticmethod
     def of(vocabulary: str) -> Pieces:
@@ -134,12 +142,37 @@ class Pieces:
             cache[("pieces", vocabulary)] = Pieces(vocabulary)
         return cache[("pieces", vocabulary)]
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        found = [e.ids for e in encode(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(size.sum()))
-        self.known.add(keys, size, flat)
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Encodes new pieces: most of them many at a time, with line feeds between.
+
+        A line feed next to one space or none is always a token of its own,
+        so the ids between two of them are those of one piece.
+        """
+        raw = data.tobytes()
+        odd = np.concatenate(([0], np.cumsum((data <= 32) | (data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))))
+        plain = odd[ends] - odd[starts] == ((data[starts] == 32) & (ends - starts > 1))
+        size, ids = np.zeros(len(keys), np.int64), []
+        rows = np.flatnonzero(plain)
+        for part in np.array_split(rows, -(-len(rows) // JOINED)) if len(rows) and self.feed is not None else []:
+            text = b"\n".join(raw[a:b] for a, b in zip(starts[part].tolist(), ends[part].tolist()))
+            got = np.array(self._encode([text.decode("utf-8", "replace")])[0], np.uint32)
+            mark = np.flatnonzero(got == self.feed)
+            if len(mark) != len(part) - 1:
+                plain[part] = False
+                continue
+            size[part] = np.diff(mark, prepend=-1, append=len(got)) - 1
+            ids.append(got[got != self.feed])
+        if self.feed is None:
+            plain[:] = False
+        rest = np.flatnonzero(~plain)
+        found = self._encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[rest].tolist(), ends[rest].tolist())])
+        size[rest] = [len(x) for x in found]
+        ids += [np.array(x, np.uint32) for x in found]
+        order = np.concatenate((np.flatnonzero(plain), rest))
+        at = np.zeros(len(keys), np.int64)
+        at[order] = np.cumsum(size[order]) - size[order]
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        self.known.add(keys, size, flat[ragged(at, size)])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, bounds per document), without end ids."""
@@ -148,8 +181,7 @@ class Pieces:
         keys, first, where = np.unique(span_hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
         new = self.known.missing(keys)
         if len(new):
-            raw = data.tobytes()
-            self._learn(keys[new], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[new]])
+            self._learn(keys[new], data, starts[first[new]], ends[first[new]])
         ids, sizes = self.known.gather(keys, where)
         return ids, sizes[np.searchsorted(starts, offsets)]
 
