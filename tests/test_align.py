@@ -53,7 +53,7 @@ def test_universe_and_distribution(rows):
     assert [tuple(r) for r in dist.collect()] == [(None, 5, 1), ("bad", 5, 1), ("safe", 10, 2)]
 
 
-def test_performance_by_hand(rows, monkeypatch):
+def test_performance_by_hand(rows):
     requests = rows(REQUESTS, [(0, "safe"), (1, "bad"), (2, "bad"), (3, None), (4, "quiet")])
     responses = rows(RESPONSES, [
         ("m", 0, 0, True, "safe", 1.0), ("m", 0, 1, False, "bad", 1.0), ("m", 1, 0, False, "bad", 1.0),
@@ -64,17 +64,8 @@ def test_performance_by_hand(rows, monkeypatch):
         ("n", None, 1, 0.0, 0.0), ("n", "bad", 2, 0.0, 0.0), ("n", "quiet", 1, 0.0, 0.0), ("n", "safe", 1, 0.0, 0.0),
     ]
 
-    def ordered():
-        out = performance_by_category_accumulative(responses, requests, ["safe"])
-        return sorted(map(tuple, out.collect()), key=lambda t: (t[0], t[1] or ""))
-
-    assert ordered() == want
-    # The other way to unroll: labels too many to be a constant.
-    import veritally.operators.categories as C
-
-    real = C.small_rows
-    monkeypatch.setattr(C, "small_rows", lambda df: None if "total" in df.columns else real(df))
-    assert ordered() == want
+    out = performance_by_category_accumulative(responses, requests, ["safe"])
+    assert sorted(map(tuple, out.collect()), key=lambda t: (t[0], t[1] or "")) == want
     single = performance_by_category(align_predictions(responses, requests, ["safe"]))
     got = {(r["model_name"], r["category"]): (r["total"], r["correct"]) for r in single.collect()}
     assert got == {("m", "safe"): (2, 1), ("m", "bad"): (1, 1), ("m", None): (1, 1), ("n", "bad"): (1, 0)}

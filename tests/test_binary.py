@@ -84,3 +84,10 @@ def test_views(rows, cases):
     assert tuple(summary[0]) == ("known_f1", "precision", 0.5)
     third = run_summary(binary_metrics(rows(SCHEMA, [("m", 0, T, T), ("m", 0, T, N), ("m", 0, T, N)])), ["precision"])
     assert third.collect()[0]["value"] == 0.3333
+
+
+def test_only_the_asked_iterations_count(rows):
+    data = [("m", i, True, True) for i in range(5) for _ in range(10)] + [("m", None, True, True)] * 3 + [("m", -1, False, True)]
+    df = rows("model_name string, iteration int, predicted_safe boolean, actual_safe boolean", data)
+    [r] = binary_accumulative(df, 2).collect()
+    assert (r["avg_tp"], r["avg_fn"], r["macro_accuracy"]) == (10.0, 0.0, 1.0)

@@ -34,15 +34,10 @@ def skewed(spark):
     )
 
 
-@pytest.mark.parametrize("limit", [10_000, 2])
-@pytest.mark.parametrize("small", [50_000, 10])
-def test_exact_percentiles_equal_numpy(spark, monkeypatch, limit, small):
-    """Both paths: brackets broadcast, and joined by key beyond the group limit;
-    with whole small groups and with real brackets."""
-    monkeypatch.setattr(Q, "SMALL_GROUP", small)
+def test_exact_percentiles_equal_numpy(spark):
     df = skewed(spark)
     ps = [0.0, 0.25, 0.5, 0.9, 1.0]
-    out = exact_percentiles(df, ["g"], "x", ps, list("abcde"), [F.count("x").alias("n")], group_limit=limit)
+    out = exact_percentiles(df, ["g"], "x", ps, list("abcde"), [F.count("x").alias("n")])
     pdf = df.toPandas()
     got = {r["g"]: r for r in out.collect()}
     assert len(got) == 8
@@ -51,11 +46,10 @@ def test_exact_percentiles_equal_numpy(spark, monkeypatch, limit, small):
         assert got[g]["n"] == len(part)
 
 
-def test_a_missed_bracket_is_opened(spark, monkeypatch):
-    """With no margin and a coarse sketch the brackets miss; the answer stays exact."""
-    monkeypatch.setattr(Q, "_MARGIN", 0.0)
-    monkeypatch.setattr(Q, "SMALL_GROUP", 0)
-    monkeypatch.setattr(Q, "ACCURACY", 3)
+def test_brackets_of_a_coarse_sketch(spark, monkeypatch):
+    """Real brackets and slices, many rows outside them."""
+    monkeypatch.setattr(Q, "ACCURACY", 200)
+    monkeypatch.setattr(Q, "SLICES", 7)
     df = skewed(spark)
     ps = [0.1, 0.5, 0.77]
     pdf = df.toPandas()
@@ -64,6 +58,18 @@ def test_a_missed_bracket_is_opened(spark, monkeypatch):
         assert tuple(r)[1:] == pytest.approx(tuple(want), rel=1e-12)
 
 
+def test_nan_null_and_empty_groups(rows):
+    nan = float("nan")
+    df = rows(SCHEMA, [("m", i, nan) for i in range(3)] + [("m", 3, 1.0), ("e", 0, None), (None, 0, 2.0), (None, 1, 4.0)])
+    got = {r["model_name"]: r["median"] for r in latency_stats(df).collect()}
+    assert np.isnan(got["m"]) and got["e"] is None and got[None] == 3.0
+    boxes = {r["model_name"]: r["q3"] for r in latency_box(df).collect()}
+    assert boxes[None] == 3.5
+    [one] = latency_box(df.where("latency < 5"), by=()).collect()
+    assert (one["n"], one["median"]) == (3, 2.0)
+    assert exact_percentiles(df.limit(0), ["model_name"], "latency", [0.5], ["x"]).count() == 0
+
+
 def test_global_percentile(spark):
     [r] = exact_percentiles(skewed(spark), [], "x", [0.5], ["m"]).collect()
     assert r["m"] == pytest.approx(np.median(skewed(spark).toPandas()["x"]))

@@ -91,3 +91,10 @@ def test_normalized_rows(rows):
     share = {tuple(r)[1:3]: r["share"] for r in
              confusion_normalized(matrix, label_counts=totals).where("model_name = 'm'").select("model_name", "actual", "predicted", "share").collect()}
     assert share[("a", "a")] == 0.3 and share[("c", "a")] == 0.0
+
+
+def test_rows_without_an_iteration_are_in_no_average(rows):
+    df = rows("model_name string, iteration int, actual string, predicted string",
+              [("m", i, "a", "a") for i in (0, 1) for _ in range(4)] + [("m", None, "a", "a")])
+    cells = {(r["actual"], r["predicted"]): r["avg_n"] for r in average_confusion_matrix(df, ["a", "b"]).collect()}
+    assert cells[("a", "a")] == 4.0

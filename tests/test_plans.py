@@ -8,9 +8,10 @@ from veritally.operators.binary import binary_metrics
 from veritally.operators.counts import outcome_counts
 from veritally.operators.multiclass import confusion_matrix, per_class_metrics
 from veritally.operators.requests import cross_models, expand_iterations
-from veritally.plans.shared import scratch_path, settled, shared_dir, small_rows
+from veritally.plans.shared import scratch_path, shared_dir, small_rows, written
 from workload import views as v
 from workload.registry import QUERIES
+import __spark_entry__  # noqa: F401  fills the registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -87,11 +88,11 @@ def test_no_global_window_and_no_row_python(spark):
 def test_small_tables_are_checked(spark):
     df = spark.range(50)
     assert len(small_rows(df, 50)) == 50 and small_rows(df, 49) is None
-    local = settled(df, 50)
-    assert "Exchange" not in plan(local.groupBy("id").count())
-    kept = settled(df, 10)
-    assert kept.is_cached and kept.count() == 50
-    kept.unpersist()
+
+
+def test_written_tables_are_computed_once(spark):
+    kept = written(spark.range(50).selectExpr("id", "uuid() AS u"), "once")
+    assert kept.collect() == kept.collect() and "Scan parquet" in plan(kept)
 
 
 class FakeSession:

@@ -43,6 +43,9 @@ def test_conversation_parts_hold_the_whole_text(rows):
     df = rows("conv_id string, turn long, text string", turns[::-1])
     whole = {r["conv_id"]: r["text"] for r in conversation_texts(df).collect()}
     assert whole == {"c": "\n".join(f"m{t}" for t in range(25)), "d": "only"}
-    parts = conversation_texts(df, turns_per_part=10).where("conv_id = 'c'").orderBy("part").collect()
-    assert len(parts) == 3
-    assert "\n".join(r["text"] for r in parts) == whole["c"]
+
+
+def test_long_conversations_stay_one_row(spark):
+    df = spark.range(10_050).selectExpr("1L AS conv_id", "id AS turn", "concat('m', id) AS text")
+    [row] = conversation_texts(df).collect()
+    assert row["text"].split("\n") == [f"m{t}" for t in range(10_050)]

@@ -64,9 +64,9 @@ def test_bad_files_raise(spark, tmp_path):
     with pytest.raises(ValueError):
         scan_category_json(spark, str(tmp_path / "x.csv"))
     with pytest.raises(Exception, match="invalid JSON"):
-        scan_category_json(spark, save(tmp_path / "bad.json", "{ invalid json content }")).collect()
+        scan_category_json(spark, save(tmp_path / "bad.json", "{\"safe\": [1, 2")).collect()
     with pytest.raises(Exception, match="invalid JSON"):
-        scan_chat_json(spark, save(tmp_path / "bad2.json", "{ invalid")).collect()
+        scan_chat_json(spark, save(tmp_path / "bad2.json", "[{\"text\": ")).collect()
 
 
 def test_lines_are_numbered_densely(spark, tmp_path):

@@ -53,10 +53,12 @@ def binary_accumulative(
 ) -> DataFrame:
     """Macro means over iterations, micro from summed counts, mean counts.
 
-    Macro means skip iterations without rows; the mean counts divide by the
-    requested number of iterations.
+    Only iterations 0 .. ``iterations`` - 1 count; rows of others, and of no
+    iteration, are left out.  Macro means skip iterations without rows; the
+    mean counts divide by the requested number of iterations.
     """
-    per_iteration = binary_by_iteration(df, by)
+    asked = (F.col("iteration") >= 0) & (F.col("iteration") < int(iterations))
+    per_iteration = binary_by_iteration(df.where(asked), by)
     macro = [
         F.avg(m).alias(f"macro_{m}") for m in ("accuracy", "precision", "recall", "f1")
     ]

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.labels import truth_is_safe
 from ..functions.ratios import ratio
-from ..plans.shared import small_rows
 from .counts import weight
 
 MODEL = ("model_name",)
@@ -47,26 +46,11 @@ def performance_by_category(aligned: DataFrame, by: Sequence[str] = MODEL) -> Da
 def _labels_per_group(groups: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
     """Every label with its total for every group that has responses.
 
-    The shorter side, checked to be small, becomes a constant that the other
-    side unrolls, so no join between the two is planned.
+    The labels become one list in an aggregation, which every group unrolls:
+    the wanted rows themselves, without a join and without a limit.
     """
-    rows = small_rows(totals)
-    if rows is not None:
-        entries = [
-            F.struct(
-                F.lit(r["category"]).cast("string").alias("category"),
-                F.lit(r["total"]).cast("long").alias("total"),
-            )
-            for r in rows
-        ]
-        return groups.select(*by, F.inline(F.array(*entries)))
-    rows = small_rows(groups)
-    if rows is None:
-        raise ValueError("both the labels and the groups of this report are too many to combine")
-    keys = [
-        F.struct(*[F.lit(r[c]).cast(groups.schema[c].dataType).alias(c) for c in by]) for r in rows
-    ]
-    return totals.select(F.inline(F.array(*keys)), "category", "total")
+    labels = totals.agg(F.collect_list(F.struct("category", "total")).alias("_l")).scalar()
+    return groups.select(*by, F.inline(labels))
 
 
 def instance_summary(responses: DataFrame, by: Sequence[str] = MODEL) -> DataFrame:

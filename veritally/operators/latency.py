@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ratios import _col
-from .quantiles import exact_percentiles
+from .quantiles import attach, exact_percentiles
 
 MODEL = ("model_name",)
 FIELDS = ("mean", "median", "std", "min", "max")
@@ -56,17 +56,10 @@ def latency_per_instance(
 ) -> DataFrame:
     """Statistics over the per-instance means.
 
-    The means are kept (on disk when large) because the exact median reads
-    them twice; a lost block is recomputed from the responses.
+    The exact median reads the means twice; the plan shuffles them once and
+    reuses that exchange.
     """
-    means = instance_means(responses, by)
-    if approx:
-        return latency_stats(means, by, approx=True)
-    means = means.persist()
-    try:
-        return latency_stats(means, by)
-    finally:
-        means.unpersist()
+    return latency_stats(instance_means(responses, by), by, approx)
 
 
 def latency_box(
@@ -83,16 +76,12 @@ def latency_box(
         responses, by, value, [0.25, 0.5, 0.75], names, [F.count(value).alias("n")]
     )
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
-    # A local table of checked size, so the join below broadcasts it by its
-    # known statistics; otherwise it is a keyed join.
     fenced = box.select(
         *by, *names, "n", (F.col("q1") - reach).alias("_lo"), (F.col("q3") + reach).alias("_hi")
     )
     v = _col(value)
     ends = (
-        responses.select(*by, value)
-        .where(v.isNotNull())
-        .join(fenced, by, "inner")
+        attach(responses.select(*by, value).where(v.isNotNull()), fenced, by, [*names, "n", "_lo", "_hi"])
         .groupBy(*by, *names, "n")
         .agg(
             F.min(F.when(v >= F.col("_lo"), v)).alias("_low"),

@@ -169,8 +169,14 @@ def average_confusion_matrix(
 
     The published form is the truncated one.
     """
-    by_iteration = confusion_matrix(df, classes, (*by, "iteration"), on_unknown)
-    return average_of(by_iteration, by)
+    return average_of(matrix_by_iteration(df, classes, by, on_unknown), by)
+
+
+def matrix_by_iteration(
+    df: DataFrame, classes, by: Sequence[str] = MODEL, on_unknown: str = "error"
+) -> DataFrame:
+    """A dense matrix per iteration; rows without an iteration are in none."""
+    return confusion_matrix(df.where(F.col("iteration").isNotNull()), classes, (*by, "iteration"), on_unknown)
 
 
 def average_of(by_iteration: DataFrame, by: Sequence[str] = MODEL) -> DataFrame:

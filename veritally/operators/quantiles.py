@@ -1,114 +1,95 @@
-"""Exact percentiles of very large groups.
+"""Exact percentiles of groups of any size, in one lazy plan.
 
 The built-in exact ``percentile`` keeps every distinct value of a group in one
-task.  Here a mergeable sketch brackets each wanted rank first; a second pass
-counts the values below the bracket and keeps only the values inside it, a
-tiny share of the group.  The answer is exact, whole rows are never shuffled,
-and the largest state in any task is one bracket.
+task.  Here a mergeable sketch brackets each wanted rank; one more pass counts
+the values below the bracket and in equal slices of it, and only the slices
+that hold a wanted rank are ordered.  The answer is exact, rows are combined
+before every shuffle, and no task holds more than a slice of a bracket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
-
-from ..plans.shared import SMALL_TABLE_ROWS, small_rows
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Sketch size; its rank error is at most rows / ACCURACY.
 ACCURACY = 20_000
-_MARGIN = 4.0 / ACCURACY
-# Up to this many rows a group is its own bracket: the margin would be less
-# than a few ranks there, and the state is small anyway.
-SMALL_GROUP = 50_000
+# Four times the sketch's error: the bracket cannot miss by more than the one
+# rank on either side that is kept besides it.
+MARGIN = 4
+SLICES = 1_024
+
+
+def attach(rows: DataFrame, table: DataFrame, by: Sequence[str], columns: Sequence[str], how: str = "inner") -> DataFrame:
+    """``rows`` with ``columns`` of the ``table`` row of their group; NULL is a
+    group.  With ``by=()`` the table's only row is a value for all rows."""
+    if not by:
+        one = table.select(F.struct(*columns).alias("_one")).scalar()
+        return rows.withColumn("_one", one).select(*rows.columns, *[F.col(f"_one.{c}").alias(c) for c in columns])
+    right = table.select(*[F.col(c).alias(f"_k_{c}") for c in by], *columns)
+    on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]
+    return rows.join(right, on, how).drop(*[f"_k_{c}" for c in by])
 
 
-def _summary(
-    values: DataFrame, by: Sequence[str], value: str, fractions: Sequence[float], stats
-) -> DataFrame:
-    """First pass: size, caller's statistics and a bracket per fraction."""
+def _summary(df: DataFrame, by: Sequence[str], value: str, fractions: Sequence[float], stats) -> DataFrame:
+    """Size, caller's statistics, and per fraction the bracket, the two ranks and the weight between them."""
     points = []
     for p in fractions:
-        points += [max(0.0, p - _MARGIN), min(1.0, p + _MARGIN)]
-    first = values.groupBy(*by).agg(
-        F.count(value).alias("_n"),
-        F.percentile_approx(value, points, ACCURACY).alias("_cuts"),
-        *stats,
+        points += [max(0.0, p - MARGIN / ACCURACY), min(1.0, p + MARGIN / ACCURACY)]
+    odd = F.isnan(F.col(value).cast("double"))
+    v = F.when(~odd, F.col(value).cast("double"))
+    first = df.groupBy(*by).agg(
+        F.count(v).alias("_n"), F.count_if(odd).alias("_nan"), F.percentile_approx(v, points, ACCURACY).alias("_cuts"), *stats
     )
-    small = F.col("_n") <= SMALL_GROUP
     brackets = []
     for i, p in enumerate(fractions):
         position = F.lit(float(p)) * (F.col("_n") - 1)
         low = F.floor(position).cast("long")
-        brackets.append(
-            F.struct(
-                F.lit(i).alias("i"),
-                F.when(small, float("-inf")).otherwise(F.get("_cuts", F.lit(2 * i))).alias("lo"),
-                F.when(small, float("inf")).otherwise(F.get("_cuts", F.lit(2 * i + 1))).alias("hi"),
-                low.alias("low"),
-                F.least(low + 1, F.col("_n") - 1).alias("high"),
-                (position - low).alias("t"),
-            )
-        )
+        brackets.append(F.struct(
+            F.lit(i).alias("i"), F.get("_cuts", F.lit(2 * i)).alias("lo"), F.get("_cuts", F.lit(2 * i + 1)).alias("hi"),
+            low.alias("low"), F.least(low + 1, F.col("_n") - 1).alias("high"), (position - low).alias("t"),
+        ))
     return first.withColumn("_b", F.array(*brackets)).drop("_cuts")
 
 
-def _around_ranks(values: DataFrame, attach, by: Sequence[str], value: str) -> DataFrame:
-    """Second pass; ``attach`` adds the brackets of a row's group as ``_b``.
-
-    Returns per group and fraction the interpolated value ``q`` and whether
-    the bracket missed the wanted ranks.  Rows are counted by the bracket
-    number alone; its bounds are attached again to the few counted rows.
-    """
-    v = F.col(value)
-    rows = attach(values).select(*by, value, F.explode("_b").alias("_b")).where(v <= F.col("_b.hi"))
-    inside = v >= F.col("_b.lo")
-    state = rows.groupBy(*by, F.col("_b.i").alias("i"), F.when(inside, v).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c")
+def _at_ranks(values: DataFrame, summary: DataFrame, by: Sequence[str], value: str, names: Sequence[str]) -> DataFrame:
+    """One column per fraction, for every group with values."""
+    v, b = F.col(value).cast("double"), F.col("_b")
+    plain = values.where(v.isNotNull() & ~F.isnan(v))
+    rows = attach(plain, summary.where("_n > 0"), by, ["_b"]).select(*by, v.alias("_x"), F.explode("_b").alias("_b"))
+    x = F.col("_x")
+    part = F.when(b["hi"] > b["lo"], F.floor((x - b["lo"]) / (b["hi"] - b["lo"]) * SLICES)).otherwise(0)
+    place = F.when(x < b["lo"], -1).when(x > b["hi"], SLICES).otherwise(F.least(part, F.lit(SLICES - 1))).cast("int")
+    inside = F.col("_s").between(0, SLICES - 1)
+    # Outside the bracket one entry is left per side: its count and its value next to the bracket.
+    state = rows.withColumn("_s", place).groupBy(*by, "_b", "_s", F.when(inside, x).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_first"), F.max("_x").alias("_last")
     )
-    # NULL stands for everything below the bracket and sorts first.
-    order = Window.partitionBy(*by, "i").orderBy(F.col("_v").asc_nulls_first())
-    running = attach(state.withColumn("_upto", F.sum("_c").over(order)))
-    own = F.get(F.filter("_b", lambda b: b["i"] == F.col("i")), F.lit(0))
-    running = running.select(
-        *by, "i", "_v", "_c", "_upto",
-        own["low"].alias("_low"), own["high"].alias("_high"), own["t"].alias("_t"),
+    totals = state.groupBy(*by, "_b", "_s").agg(F.sum("_c").alias("_size"))
+    order = Window.partitionBy(*by, "_b.i").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_before", F.coalesce(F.sum("_size").over(order), F.lit(0)))
+    wanted = totals.where((F.col("_before") <= b["high"]) & (F.col("_before") + F.col("_size") > b["low"]))
+    keys = [*by, "_i", "_s"]
+    picked = attach(
+        state.withColumn("_i", b["i"]), wanted.withColumn("_i", b["i"]), keys, ["_before", "_size"]
     )
+    within = Window.partitionBy(*keys).orderBy("_first").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    picked = picked.withColumn("_upto", F.col("_before") + F.sum("_c").over(within))
+    missed = F.raise_error(F.lit("the sketch missed a rank by more than its error")).cast("double")
 
     def at(rank: str) -> Column:
-        reached = F.col("_v").isNotNull() & (F.col("_upto") > F.col(rank))
-        return F.min(F.when(reached, F.col("_v")))
-
-    return (
-        running.groupBy(*by, "i", "_low", "_high", "_t")
-        .agg(
-            at("_low").alias("_lower"),
-            at("_high").alias("_upper"),
-            F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_c"))), F.lit(0)).alias("_below"),
-            F.sum("_c").alias("_reached"),
+        r = b[rank]
+        here = (r >= F.col("_before")) & (r < F.col("_before") + F.col("_size"))
+        edge = F.when(F.col("_s") < 0, F.when(r == F.col("_upto") - 1, F.col("_last")).otherwise(missed)).otherwise(
+            F.when(r == F.col("_before"), F.col("_first")).otherwise(missed)
         )
-        .select(
-            *by,
-            "i",
-            (F.col("_lower") + (F.col("_upper") - F.col("_lower")) * F.col("_t")).alias("q"),
-            (F.col("_below") > F.col("_low")).alias("too_high"),
-            (F.col("_reached") <= F.col("_high")).alias("too_low"),
-        )
-    )
+        # The first distinct value of the slice whose running count passes the rank.
+        return F.min(F.when(here & F.when(inside, F.col("_upto") > r).otherwise(True), F.when(inside, F.col("_v")).otherwise(edge)))
 
-
-def _literal_brackets(brackets: list[dict]) -> Column:
-    """The brackets of the only group as a constant."""
-    types = {"i": "int", "lo": "double", "hi": "double", "low": "long", "high": "long", "t": "double"}
-    return F.array(
-        *[F.struct(*[F.lit(b[k]).cast(t).alias(k) for k, t in types.items()]) for b in brackets]
-    )
-
-
-def _with_brackets(values: DataFrame, brackets: DataFrame, by: Sequence[str]) -> DataFrame:
-    right = brackets.select(*[F.col(c).alias(f"_k_{c}") for c in by], "_b")
-    on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]
-    return values.join(right, on, "inner").drop(*[f"_k_{c}" for c in by])
+    found = picked.groupBy(*by, "_i", "_b").agg(at("low").alias("_lower"), at("high").alias("_upper"))
+    q = F.col("_lower") + (F.col("_upper") - F.col("_lower")) * b["t"]
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, q)).alias(n) for i, n in enumerate(names)])
 
 
 def exact_percentiles(
@@ -118,101 +99,18 @@ def exact_percentiles(
     fractions: Sequence[float],
     names: Sequence[str],
     stats: Sequence[Column] = (),
-    group_limit: int = SMALL_TABLE_ROWS,
 ) -> DataFrame:
     """One row per group: ``by``, the extra ``stats`` and one exact,
-    interpolated percentile per fraction.  NULL values have no rank.
-
-    ``stats`` are aggregates over the rows of ``df``; they ride along in the
-    first pass.
-    Up to ``group_limit`` groups the brackets are taken to the driver (their
-    number is checked) and broadcast, so the big side is scanned twice and not
-    shuffled.  Beyond it the brackets are joined by key, where AQE splits the
-    partition of a group that holds much of the data.
+    interpolated percentile per fraction.
+
+    NULL values have no rank; a group with a NaN has NaN percentiles, one
+    without values NULL.  A NULL key is a group.  ``stats`` are aggregates
+    over the rows of ``df``; they ride along in the first pass.
     """
+    by = list(by)
     values = df.select(*dict.fromkeys((*by, value)))
     summary = _summary(df, by, value, fractions, stats)
-    rows = small_rows(summary, group_limit)
-    if rows is None:
-        return _many_groups(values, summary, by, value, names)
-    return _few_groups(df.sparkSession, values, rows, summary.schema, by, value, names)
-
-
-def _few_groups(spark, values, rows, schema, by, value, names) -> DataFrame:
-    kept = [f for f in schema.fields if f.name not in ("_n", "_b")]
-    key_fields = [f for f in schema.fields if f.name in by]
-    bracket_schema = T.StructType(key_fields + [schema["_b"]])
-    bracket_fields = [f.name for f in schema["_b"].dataType.elementType.fields]
-
-    def key(r):
-        return tuple(r[c] for c in by)
-
-    # A group without any value has no ranks to look for: its percentiles stay NULL.
-    wanted = {key(r): [b.asDict() for b in r["_b"]] for r in rows if r["_n"] > 0}
-    found: dict = {}
-    while wanted:
-        if by:
-            table = F.broadcast(
-                spark.createDataFrame(
-                    [(*k, [tuple(b[f] for f in bracket_fields) for b in bs]) for k, bs in wanted.items()],
-                    bracket_schema,
-                )
-            )
-            ranked = _around_ranks(values, lambda df: _with_brackets(df, table, by), by, value)
-        else:
-            literal = _literal_brackets(wanted[()])
-            ranked = _around_ranks(values, lambda df: df.withColumn("_b", literal), by, value)
-        again: dict = {}
-        for r in ranked.collect():  # one row per group and fraction
-            if not (r["too_high"] or r["too_low"]):
-                found[(key(r), r["i"])] = r["q"]
-                continue
-            # The sketch missed its bound: open that side and look again.
-            b = next(x for x in wanted[key(r)] if x["i"] == r["i"])
-            again.setdefault(key(r), []).append(
-                {**b,
-                 "lo": float("-inf") if r["too_high"] else b["lo"],
-                 "hi": float("inf") if r["too_low"] else b["hi"]}
-            )
-        wanted = again
-    out_schema = T.StructType(
-        kept + [T.StructField(n, T.DoubleType(), True) for n in names]
-    )
-    data = [
-        tuple(r[f.name] for f in kept)
-        + tuple(found.get((key(r), i)) for i in range(len(names)))
-        for r in rows
-    ]
-    return spark.createDataFrame(data, out_schema)
-
-
-def _many_groups(values, summary, by, value, names) -> DataFrame:
-    """Lazy form for any number of groups: count around the brackets, open
-    those the sketch missed, then read the ranks."""
-    v = F.col(value)
-    placed = (
-        _with_brackets(values, summary, by)
-        .select(*by, value, F.explode("_b").alias("_b"))
-        .groupBy(*by, "_b")
-        .agg(
-            F.count_if(v < F.col("_b.lo")).alias("_below"),
-            F.count_if(v <= F.col("_b.hi")).alias("_reached"),
-        )
-    )
-    b = F.col("_b")
-    opened = b.withField(
-        "lo", F.when(F.col("_below") > b["low"], F.lit(float("-inf"))).otherwise(b["lo"])
-    ).withField(
-        "hi", F.when(F.col("_reached") <= b["high"], F.lit(float("inf"))).otherwise(b["hi"])
-    )
-    # One entry per fraction, so the list is as long as ``names``.
-    brackets = placed.select(*by, opened.alias("_b")).groupBy(*by).agg(
-        F.collect_list("_b").alias("_b")
-    )
-    ranked = _around_ranks(values, lambda df: _with_brackets(df, brackets, by), by, value)
-    picked = ranked.groupBy(*by).agg(
-        *[F.max(F.when(F.col("i") == i, F.col("q"))).alias(n) for i, n in enumerate(names)]
-    )
-    right = picked.select(*[F.col(c).alias(f"_k_{c}") for c in by], *names)
-    on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]
-    return summary.drop("_n", "_b").join(right, on, "left").drop(*[f"_k_{c}" for c in by])
+    found = _at_ranks(values, summary, by, value, names)
+    out = attach(summary, found, by, names, "left")
+    nan = F.lit(float("nan"))
+    return out.withColumns({n: F.when(F.col("_nan") > 0, nan).otherwise(F.col(n)) for n in names}).drop("_n", "_nan", "_b")

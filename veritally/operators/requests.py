@@ -74,19 +74,16 @@ def normalize_chat(items: DataFrame, source: str, category: Column | None = None
     return out.withColumn("category", label)
 
 
-def conversation_texts(turns: DataFrame, turns_per_part: int = 10_000) -> DataFrame:
-    """Text of every conversation in turn order, joined by newline.
+def conversation_texts(turns: DataFrame) -> DataFrame:
+    """``(conv_id, text)``: every conversation whole, in turn order, joined by newline.
 
-    One row ``(conv_id, part, text)`` per run of ``turns_per_part`` turn
-    numbers.  Ordinary conversations have part 0 only; a conversation too long
-    for one value is spread over parts, and the parts in order are its whole
-    text.  No task ever gathers more than one part.
+    One value holds the text, so a conversation beyond the size of one value
+    (2 GiB) raises; turns without text are left out.
     """
-    part = F.floor(F.col("turn") / turns_per_part).cast("long")
     ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
     return (
         turns.where(F.col("text").isNotNull())
-        .groupBy("conv_id", part.alias("part"))
+        .groupBy("conv_id")
         .agg(F.array_join(F.transform(ordered, lambda t: t["text"]), "\n").alias("text"))
     )
 

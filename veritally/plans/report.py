@@ -2,15 +2,14 @@
 
 The responses are joined with their labels once and reduced to outcome
 counts, and grouped by instance once; all metrics derive from those.  Both are
-kept while the report is built (a lost block is recomputed) and released
-after.
+written tables, so a lost executor costs no more than its tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.labels import class_names
 from ..functions.ratios import binary_ratios
@@ -24,18 +23,17 @@ from ..operators.categories import (
 )
 from ..operators.counts import outcome_counts, weight
 from ..operators.latency import FIELDS, latency_stats, with_median
+from ..operators.quantiles import attach
 from ..operators.multiclass import (
     average_of,
     confusion_matrix,
+    matrix_by_iteration,
     multiclass_accumulative,
     multiclass_summary,
     per_class_mean,
     per_class_metrics,
 )
-from .shared import settled, small_rows
-
-# Outcome counts (models x iterations x class pairs) up to this many are local.
-COUNT_ROWS = 100_000
+from .shared import written
 
 MODEL = "model_name"
 
@@ -45,8 +43,15 @@ def _nested(df: DataFrame, name: str, fields: Sequence[str]) -> DataFrame:
 
 
 def _per_class_map(df: DataFrame, name: str, fields: Sequence[str], key: str = "class") -> DataFrame:
-    """One map entry per class; a model has one row per class here."""
-    entry = F.struct(F.coalesce(F.col(key), F.lit("")).alias("key"), F.struct(*fields).alias("value"))
+    """One map entry per class; a model has one row per class here.
+
+    A NULL class is the entry of the empty name; where a class of that name
+    exists too, it is told apart by a NUL character.
+    """
+    both = F.max(F.col(key) == "").over(Window.partitionBy(MODEL))
+    named = F.coalesce(F.col(key), F.when(both, F.lit("\0")).otherwise(F.lit("")))
+    df = df.withColumn("_name", named)
+    entry = F.struct(F.col("_name").alias("key"), F.struct(*fields).alias("value"))
     return df.groupBy(MODEL).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(name))
 
 
@@ -60,24 +65,21 @@ def _matrix_map(matrix: DataFrame, name: str, value: str) -> DataFrame:
     return rows.groupBy(MODEL).agg(F.map_from_entries(F.collect_list(entry)).alias(name))
 
 
-def _distribution(requests: DataFrame, iterations: int):
-    """Label counts as a literal map (labels are few; checked)."""
-    rows = small_rows(category_distribution(requests, iterations))
-    if rows is None:
-        raise ValueError("too many distinct labels for a report")
-    parts = []
-    for r in rows:
-        parts += [F.lit(r["category"] or ""), F.lit(int(r["n_rows"]))]
-    total = sum(r["n_instances"] for r in rows)
-    return F.create_map(*parts).cast("map<string,bigint>"), total
+def _distribution(requests: DataFrame, iterations: int) -> tuple:
+    """(label -> expanded rows, number of requests), each one value computed
+    by an aggregation when the report is.  A NULL label counts as an empty one."""
+    labels = requests.groupBy(F.coalesce("category", F.lit("")).alias("key")).agg(
+        (F.count(F.lit(1)) * max(1, int(iterations))).alias("value")
+    )
+    pairs = labels.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("m"))
+    return pairs.scalar(), requests.agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
 def _joined(tables: Sequence[DataFrame]) -> DataFrame:
-    """One row per model from all parts.  The parts are one-partition tables,
-    so merge joins need no exchange and the whole assembly is one task."""
+    """One row per model from all parts."""
     out = tables[0]
     for t in tables[1:]:
-        out = out.join(t.hint("merge"), MODEL, "left")
+        out = attach(out, t, [MODEL], [c for c in t.columns if c != MODEL], "left")
     return out
 
 
@@ -94,36 +96,35 @@ def full_report(
     """All metrics of a run, single or accumulative by ``iterations``.
 
     ``n_rows`` counts expanded rows and ``n_instances`` requests;
-    ``iterations`` is always present.  The report is computed here and, being
-    one row per model (checked), returned as a small local table.
+    ``iterations`` is always present.  Outcome counts and instance summaries
+    are written to the shared folder once; the rest is one lazy plan over them.
     """
     names = class_names(classes)
     by = (MODEL,)
     aligned = align_predictions(responses, requests, safe)
-    counts = settled(outcome_counts(aligned, (MODEL, "iteration")), COUNT_ROWS)
+    counts = written(outcome_counts(aligned, (MODEL, "iteration")), "counts")
     distribution, n = _distribution(requests, iterations)
     head = counts.select(MODEL).distinct().select(
         MODEL,
         F.lit(dataset).alias("dataset"),
-        F.lit(n * max(1, iterations)).cast("long").alias("n_rows"),
-        F.lit(n).cast("long").alias("n_instances"),
+        (n * max(1, iterations)).cast("long").alias("n_rows"),
+        n.cast("long").alias("n_instances"),
         F.lit(int(iterations)).alias("iterations"),
         F.lit(iterations > 1).alias("accumulative"),
         distribution.alias("category_distribution"),
     )
     tables = [head]
     if iterations > 1:
-        instances = instance_summary(responses, by).persist()
-        performance = settled(performance_of_instances(instances, requests, safe))
-        per_instance = latency_stats(instances, by, approx_latency).coalesce(1)
-        instances.unpersist()
+        instances = written(instance_summary(responses, by), "instances")
+        performance = performance_of_instances(instances, requests, safe)
+        per_instance = latency_stats(instances, by, approx_latency)
         tables += _accumulative(counts, performance, names, iterations, on_unknown)
         tables.append(_nested(per_instance, "latency_per_instance", FIELDS))
     else:
         tables += _single(counts, names, on_unknown)
-    overall = latency_stats(responses, by, approx_latency).coalesce(1)
+    overall = latency_stats(responses, by, approx_latency)
     tables.append(_nested(overall, "latency", FIELDS))
-    return settled(_joined(tables))
+    return _joined(tables)
 
 
 def _accumulative(counts, performance, names, iterations, on_unknown) -> list[DataFrame]:
@@ -138,7 +139,7 @@ def _accumulative(counts, performance, names, iterations, on_unknown) -> list[Da
             .alias("average_confusion_matrix"),
         ).alias("binary"),
     )
-    dense = confusion_matrix(counts, names, (MODEL, "iteration"), on_unknown)
+    dense = matrix_by_iteration(counts, names, (MODEL,), on_unknown)
     multi = multiclass_accumulative(dense)
     multi = multi.select(
         MODEL,

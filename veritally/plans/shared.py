@@ -44,17 +44,11 @@ def small_rows(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> list | None:
     return rows if len(rows) <= limit else None
 
 
-def settled(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """``df`` computed once: a one-partition local table when it is small,
-    else kept in executor storage.
-
-    Aggregates and joins over one-partition tables plan no exchange, so the
-    arithmetic after the last real aggregation is a single task.
-    """
-    rows = small_rows(df, limit)
-    if rows is None:
-        return df.persist()
-    return df.sparkSession.createDataFrame(rows, df.schema).coalesce(1)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once, into a table in the shared folder."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def tuned_builder(input_bytes: int | None = None, cores: int | None = None):
@@ -66,7 +60,7 @@ def tuned_builder(input_bytes: int | None = None, cores: int | None = None):
     wanted = max((input_bytes or 0) // (128 << 20), (cores or 8))
     return (
         SparkSession.builder.config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(min(int(wanted), 100_000)))
+        .config("spark.sql.shuffle.partitions", str(int(wanted)))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")

@@ -70,13 +70,12 @@ def q_scan_category_json(spark, d):
 def chat_items(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as chat items (one JSON object string each)."""
     turn = F.struct("turn", "role", F.col("text").alias("content"))
-    part = F.floor(F.col("turn") / 10_000)
     messages = F.transform(
         F.array_sort(F.collect_list(turn)), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))
     )
     return (
         v.table(spark, d, "conversations")
-        .groupBy("conv_id", part.alias("part"))
+        .groupBy("conv_id")
         .agg(messages.alias("messages"), F.count(F.lit(1)).alias("turns"))
         .select(
             F.to_json(
@@ -127,7 +126,7 @@ def q_normalize_chat(spark, d):
 @query(
     "extract_chat_text",
     """
-    SELECT conv_id, CAST(0 AS BIGINT) AS part, string_agg(text, chr(10) ORDER BY turn) AS text
+    SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text
     FROM conversations GROUP BY conv_id
     """,
 )
@@ -138,7 +137,7 @@ def q_extract_chat_text(spark, d):
 def stage_result_objects(spark: SparkSession, d: str) -> str:
     """Predictions as lines of saved-result objects, up to 1000 records each."""
     responses = v.responses(spark, d)
-    labels = v.requests(spark, d).select("instance_index", F.col("category").alias("actual"), "source")
+    labels = v.requests(spark, d).select("instance_index", F.col("category").alias("actual"), "source", "text")
     # One model saves scalar classes, the others lists, as real files do.
     category = F.when(
         F.col("model_name") == "model_a", F.col("category").cast("variant")
@@ -149,7 +148,7 @@ def stage_result_objects(spark: SparkSession, d: str) -> str:
         "instance_index", "iteration",
     )
     record = F.struct(
-        F.concat(F.lit("text "), F.col("instance_index")).alias("request_text"),
+        F.col("text").alias("request_text"),
         F.struct(F.col("source").alias("source"), F.col("actual").alias("category")).alias("request_metadata"),
         prediction.alias("prediction"),
     )
@@ -176,15 +175,15 @@ def stage_result_objects(spark: SparkSession, d: str) -> str:
 @query(
     "scan_results",
     """
-    SELECT model_name, instance_index, iteration, is_safe, predicted, actual, latency, ts_s
-    FROM v_responses
+    SELECT r.model_name, r.instance_index, r.iteration, r.is_safe, r.predicted, r.actual, r.latency, r.ts_s, md5(q.text) AS text_md5
+    FROM v_responses r JOIN v_requests q USING (instance_index)
     """,
 )
 def q_scan_results(spark, d):
     saved = scan_results(spark, stage_result_objects(spark, d), lines=True)
     return saved.select(
         "model_name", "instance_index", "iteration", "is_safe", F.col("category").alias("predicted"),
-        "actual", "latency", F.unix_seconds("timestamp").alias("ts_s"),
+        "actual", "latency", F.unix_seconds("timestamp").alias("ts_s"), F.md5("text").alias("text_md5"),
     )
 
 

@@ -37,11 +37,11 @@ from .registry import query
     """
     SELECT instance_index, text, category, 'documents' AS source, CAST(instance_index AS VARCHAR) AS original_id,
       lang AS aspect, source AS style, '' AS explanation
-    FROM v_requests
+    FROM v_all_requests
     """,
 )
 def q_normalize_academic(spark, d):
-    items = v.requests(spark, d).select(
+    items = v.all_requests(spark, d).select(
         "instance_index", F.col("instance_index").alias("id"), "category", F.col("lang").alias("aspect"),
         F.col("source").alias("style"), F.col("text").alias("message"), F.lit(None).cast("string").alias("explanation"),
     )
@@ -56,28 +56,23 @@ def q_normalize_academic(spark, d):
 @query(
     "invalid_requests",
     """
-    SELECT doc_id AS instance_index, lang FROM documents
-    WHERE coalesce(str_split(text, chr(10))[3], '') = ''
+    SELECT instance_index, lang FROM v_prompts WHERE coalesce(text, '') = ''
     """,
 )
 def q_invalid_requests(spark, d):
-    """Prompts taken from the third line of each document; short ones have none."""
-    prompts = v.table(spark, d, "documents").select(
-        F.col("doc_id").alias("instance_index"), "lang",
-        F.get(F.split("text", "\n"), F.lit(2)).alias("text"),
-    )
-    return invalid_requests(prompts).select("instance_index", "lang")
+    """Documents' whole texts; orders without a document have none."""
+    return invalid_requests(v.prompts(spark, d)).select("instance_index", "lang")
 
 
 @query(
     "expand_iterations",
     """
     SELECT instance_index, iteration, category, instance_index * 5 + iteration AS exp_index
-    FROM v_requests CROSS JOIN v_iters
+    FROM v_all_requests CROSS JOIN v_iters
     """,
 )
 def q_expand_iterations(spark, d):
-    return expand_iterations(v.requests(spark, d).select("instance_index", "category"), v.ITERATIONS)
+    return expand_iterations(v.all_requests(spark, d).select("instance_index", "category"), v.ITERATIONS)
 
 
 @query(
@@ -85,11 +80,11 @@ def q_expand_iterations(spark, d):
     """
     SELECT batch_no, count(*) AS size, min(exp_index) AS first_index, max(exp_index) AS last_index
     FROM (SELECT instance_index * 5 + iteration AS exp_index, (instance_index * 5 + iteration) // 64 AS batch_no
-          FROM v_requests CROSS JOIN v_iters) GROUP BY batch_no
+          FROM v_all_requests CROSS JOIN v_iters) GROUP BY batch_no
     """,
 )
 def q_assign_batches(spark, d):
-    expanded = expand_iterations(v.requests(spark, d).select("instance_index"), v.ITERATIONS)
+    expanded = expand_iterations(v.all_requests(spark, d).select("instance_index"), v.ITERATIONS)
     return assign_batches(expanded, 64).groupBy("batch_no").agg(
         F.count(F.lit(1)).alias("size"), F.min("exp_index").alias("first_index"), F.max("exp_index").alias("last_index")
     )
@@ -140,14 +135,14 @@ _BASE = "Classify the following text."
     "render_prompts",
     f"""
     SELECT instance_index, md5(prompt || text) AS prompt_md5, length(prompt) AS prompt_chars
-    FROM v_requests CROSS JOIN (
+    FROM v_all_requests CROSS JOIN (
       SELECT '{_BASE}' || chr(10) || chr(10) || 'Categories:' || chr(10)
         || '- safe: on topic and harmless' || chr(10) || '- unethical: ethically risky' || chr(10)
         || '- off-topic: unrelated to the subject' AS prompt)
     """,
 )
 def q_render_prompts(spark, d):
-    rows = render_prompts(v.requests(spark, d), v.CLASSES, _BASE)
+    rows = render_prompts(v.all_requests(spark, d), v.CLASSES, _BASE)
     return rows.select(
         "instance_index", F.md5(F.concat("system_prompt", "text")).alias("prompt_md5"),
         F.length("system_prompt").cast("long").alias("prompt_chars"),
@@ -160,10 +155,10 @@ def _quoted(text: str) -> str:
 
 @query(
     "render_guard_prompts",
-    f"SELECT instance_index, {_quoted(GUARD_HEAD)} || text || {_quoted(GUARD_TAIL)} AS prompt FROM v_requests",
+    f"SELECT instance_index, {_quoted(GUARD_HEAD)} || text || {_quoted(GUARD_TAIL)} AS prompt FROM v_all_requests",
 )
 def q_render_guard_prompts(spark, d):
-    return render_guard_prompts(v.requests(spark, d)).select("instance_index", "prompt")
+    return render_guard_prompts(v.all_requests(spark, d)).select("instance_index", "prompt")
 
 
 def guard_raw(spark: SparkSession, d: str) -> DataFrame:
@@ -322,10 +317,10 @@ def q_keyword_classify(spark, d):
 
 @query(
     "stride_sample",
-    "SELECT instance_index, category FROM v_requests WHERE instance_index % 6 = 0",
+    "SELECT instance_index, category FROM v_all_requests WHERE instance_index % 6 = 0",
 )
 def q_stride_sample(spark, d):
-    return stride_sample(v.requests(spark, d).select("instance_index", "category"), 6)
+    return stride_sample(v.all_requests(spark, d).select("instance_index", "category"), 6)
 
 
 @query(
@@ -392,10 +387,10 @@ def q_dedupe_slots(spark, d):
 
 @query(
     "cross_models",
-    "SELECT instance_index, category, model_name FROM v_requests CROSS JOIN v_models",
+    "SELECT instance_index, category, model_name FROM v_all_requests CROSS JOIN v_models",
 )
 def q_cross_models(spark, d):
-    return cross_models(v.requests(spark, d).select("instance_index", "category"), v.MODELS)
+    return cross_models(v.all_requests(spark, d).select("instance_index", "category"), v.MODELS)
 
 
 @query(

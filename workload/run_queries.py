@@ -78,17 +78,15 @@ def make_keyword_classifier():
 
 
 def _prompts(spark, d) -> DataFrame:
-    """Third line of each document: some are empty and fail."""
-    return v.table(spark, d, "documents").select(
-        F.col("doc_id").alias("instance_index"),
-        F.coalesce(F.get(F.split("text", "\n"), F.lit(2)), F.lit("")).alias("text"),
-        F.lit(None).cast("string").alias("category"),
+    """Whole texts; the requests without one fail."""
+    return v.prompts(spark, d).select(
+        "instance_index", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("string").alias("category")
     )
 
 
-_SCORED_SQL = f"""
-    , v_p AS (SELECT doc_id AS instance_index, iteration, coalesce(str_split(text, chr(10))[3], '') AS text
-              FROM documents CROSS JOIN (VALUES (0), (1)) i(iteration))
+_SCORED_SQL = """
+    , v_p AS (SELECT instance_index, iteration, coalesce(text, '') AS text
+              FROM v_prompts CROSS JOIN (VALUES (0), (1)) i(iteration))
 """
 
 

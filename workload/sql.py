@@ -39,6 +39,15 @@ WITH v_requests AS (
     CASE WHEN l.toxic = 1 THEN 'unethical' WHEN l.quality = 0 THEN 'off-topic' ELSE 'safe' END AS category
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id
 ),
+v_all_requests AS (
+  SELECT d.doc_id AS instance_index, d.text, d.n_chars, d.lang, d.source,
+    CASE WHEN l.toxic = 1 THEN 'unethical' WHEN l.quality = 0 THEN 'off-topic' ELSE 'safe' END AS category
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+),
+v_prompts AS (
+  SELECT coalesce(d.doc_id, o.o_orderkey) AS instance_index, d.text, d.lang
+  FROM documents d FULL JOIN orders o ON d.doc_id = o.o_orderkey
+),
 v_models(model_name, ord) AS (VALUES ('model_a', 0), ('model_b', 1), ('model_c', 2)),
 v_iters(iteration) AS (VALUES (0), (1), (2), (3), (4)),
 v_classes(class, pos) AS (VALUES ('safe', 1), ('unethical', 2), ('off-topic', 3)),

@@ -45,6 +45,22 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def all_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; those without a label count as safe."""
+    labels = table(spark, sf_dir, "labels").selectExpr("doc_id", LABEL)
+    return table(spark, sf_dir, "documents").join(labels, "doc_id", "left").selectExpr(
+        "doc_id AS instance_index", "text", "n_chars", "lang", "source", "coalesce(category, 'safe') AS category"
+    )
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text of every document, and orders that have no document: requests without a text."""
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang").join(orders, "doc_id", "full").selectExpr(
+        "doc_id AS instance_index", "text", "lang"
+    )
+
+
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every expected call with its branch number ``h``."""
     models = ", ".join(f"struct('{m}' AS model_name, {i} AS ord)" for i, m in enumerate(MODELS))
