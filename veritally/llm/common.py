@@ -29,6 +29,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def narrow_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Arrow batches of texts stay small: they exist on both sides of the pipe at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def crc_mod(column: str, k: int) -> Column:
     """crc32 of the column as text, modulo ``k`` (NULL counts as empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % k
