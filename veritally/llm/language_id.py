@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import HashTable, Shipped, crc_mod, mix64, run_sums, unit_hash, worker_cache
+from .common import HashTable, Shipped, crc_mod, mix64, narrow_batches, run_sums, unit_hash, worker_cache
 
 ORDER = 5
 PAD = ORDER - 1
@@ -267,6 +267,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
     added = "lang_pred string, score double, rejected boolean, bits_per_char double"
     names = [c.split()[0] for c in added.split(", ")]
     base = docs.select([c for c in docs.columns if c not in names])
+    narrow_batches(docs.sparkSession)
     shipped = Shipped(docs.sparkSession, models)
     schema = T.StructType(base.schema.fields + T._parse_datatype_string(added).fields)
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from .common import HashTable, IdCache, Shipped, mix64, powers, slices, string_bytes, ragged, worker_cache
+from .common import HashTable, IdCache, Shipped, mix64, narrow_batches, powers, slices, string_bytes, ragged, worker_cache
 from .text import BASE, INVERSE
 
 # Kinds of pieces and models in the model file (fixed values of the format).
@@ -297,6 +297,7 @@ def encode(docs: DataFrame, model: Model, keep_ids: bool = True) -> DataFrame:
         del kinds["ids"]
     base = docs.select([c for c in docs.columns if c not in kinds])
     schema = T.StructType(base.schema.fields + [T.StructField(c, k) for c, k in kinds.items()])
+    narrow_batches(docs.sparkSession)
     shipped = Shipped(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

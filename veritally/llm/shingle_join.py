@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix64, ragged, slices, stored, string_bytes
+from .common import mix64, narrow_batches, ragged, slices, stored, string_bytes
 from .components import components
 from .text import shingles, words
 
@@ -36,7 +36,7 @@ NUM, DEN = 75, 100
 # A value with more sets than this is common.
 COMMON = 32
 # Signatures a task holds before it packs them, and bytes of them per reduce partition.
-PACK_ROWS = 1 << 21
+PACK_ROWS = 1 << 20
 # Pivots of a common value that all its sets are compared with, after the first.
 PIVOTS = 2
 # Rows of a common value compared with each other in one task.
@@ -178,6 +178,7 @@ def _sign(buckets: int):
             """Signatures by bucket; of a value's sets beyond the first COMMON + 1
             only memberships remain, spread over all buckets."""
             k, v, c = np.concatenate(keys), np.concatenate(nodes), np.concatenate(sure)
+            keys.clear(), nodes.clear(), sure.clear()
             order = np.argsort(k, kind="stable")
             k, v, c = k[order], v[order], c[order]
             first = np.flatnonzero(np.diff(k, prepend=~k[:1]) != 0)
@@ -222,7 +223,7 @@ def _sign(buckets: int):
                     held += len(value)
                 if held >= PACK_ROWS:
                     yield from packed()
-                    keys, nodes, sure, held = [], [], [], 0
+                    held = 0
             if docs:
                 doc, node, n, sketch = zip(*docs)
                 yield _rows(kind=[0] * len(docs), bucket=np.array(node) % buckets, doc_id=doc, node=node, n=n, sketch=sketch)
@@ -404,6 +405,7 @@ def similarity_links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     A node stands for all documents with an equal set; -1 for an empty one.
     """
     spark = documents.sparkSession
+    narrow_batches(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select("doc_id", "text").mapInArrow(_sign(buckets), _ddl(_OUT))
     met = stored(rows.repartition(buckets, "bucket").mapInArrow(_meet, _ddl(_MET)), "met")

@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import HashTable, Shipped, crc_mod, run_sums, slices, string_bytes, unit_hash, worker_cache
+from .common import HashTable, Shipped, crc_mod, narrow_batches, run_sums, slices, string_bytes, unit_hash, worker_cache
 from .text import run_bounds, span_hashes
 
 # Most labelled documents of each class, a hash sample, that the weights are fitted on.
@@ -183,6 +183,7 @@ def score(docs: DataFrame, weights: Weights) -> DataFrame:
     names = [c.split()[0] for c in ADDED.split(", ")]
     base = docs.select([c for c in docs.columns if c not in names])
     schema = T.StructType(base.schema.fields + T._parse_datatype_string(ADDED).fields)
+    narrow_batches(docs.sparkSession)
     shipped = Shipped(docs.sparkSession, weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
