@@ -173,13 +173,15 @@ def _verify(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Pairs of a block's own classes with each other and with its visitors."""
         own, seen = pdf[pdf["visit"] == 0], pdf
+        if not len(own):
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
         a, b = _matrix(own["unit"]), _matrix(seen["unit"])
         ia, ib = own["node"].to_numpy(), seen["node"].to_numpy()
         out = []
         for at in range(0, len(b), 2048):
             i, j = np.nonzero(a @ b[at : at + 2048].T >= threshold - 1e-9)
             out.append(np.stack((ia[i], ib[at + j]), 1))
-        pairs = np.concatenate(out) if out and len(a) else np.zeros((0, 2), np.int64)
+        pairs = np.concatenate(out)
         pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
         if len(pairs):
             # Once more in a plain sum of products, so that a pair's verdict does not hang on its block.
