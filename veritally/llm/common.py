@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..plans.shared import scratch_path
 
 # Text bytes handled at once inside a task; one longer document is a slice of its own.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

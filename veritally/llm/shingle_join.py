@@ -36,7 +36,7 @@ NUM, DEN = 75, 100
 # A value with more sets than this is common.
 COMMON = 32
 # Signatures a task holds before it packs them, and bytes of them per reduce partition.
-PACK_ROWS = 1 << 20
+PACK_ROWS = 1 << 19
 # Pivots of a common value that all its sets are compared with, after the first.
 PIVOTS = 2
 # Rows of a common value compared with each other in one task.
@@ -406,7 +406,7 @@ def similarity_links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     spark = documents.sparkSession
     narrow_batches(spark)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select("doc_id", "text").mapInArrow(_sign(buckets), _ddl(_OUT))
     met = stored(rows.repartition(buckets, "bucket").mapInArrow(_meet, _ddl(_MET)), "met")
     docs = met.where("kind = 0").select("doc_id", "node", "n")
