@@ -165,7 +165,8 @@ def estimates(rows: DataFrame) -> DataFrame:
     kind = "gid string, mean array<double>, inverse array<double>"
     # Start from medians and median deviations.
     half = rows.groupBy("gid").agg(*[F.percentile_approx(f"x{i}", 0.5, 2000).alias(f"m{i}") for i in range(p)])
-    spread = rows.join(half, "gid").groupBy("gid").agg(
+    # One row per group, written, so that the optimizer can see whether it is small enough to be sent to the big side.
+    spread = rows.join(stored(half, "medians"), "gid").groupBy("gid").agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(p)],
         *[(1.4826 * F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 2000)).alias(f"d{i}") for i in range(p)],
     )
