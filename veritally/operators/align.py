@@ -42,6 +42,13 @@ def align_predictions(
     )
 
 
+def unmatched_responses(
+    responses: DataFrame, requests: DataFrame, on: Sequence[str] = ("instance_index",)
+) -> DataFrame:
+    """Responses that no request explains: a NULL or unknown key."""
+    return responses.join(requests.select(*on).distinct(), list(on), "left_anti")
+
+
 def failed_requests(
     expanded: DataFrame, responses: DataFrame, keys: Sequence[str] = SLOT
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.labels import truth_is_safe
 from ..functions.ratios import ratio
 from .counts import weight
+from .quantiles import attach
 
 MODEL = ("model_name",)
 
@@ -43,14 +44,15 @@ def performance_by_category(aligned: DataFrame, by: Sequence[str] = MODEL) -> Da
     )
 
 
-def _labels_per_group(groups: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
+def _labels_per_group(groups: DataFrame, totals: DataFrame, by: list[str], shared: list[str]) -> DataFrame:
     """Every label with its total for every group that has responses.
 
-    The labels become one list in an aggregation, which every group unrolls:
-    the wanted rows themselves, without a join and without a limit.
+    The labels (of the group's dataset or run, if those are part of the keys)
+    become one list in an aggregation, which every group unrolls: the wanted
+    rows themselves, without a limit.
     """
-    labels = totals.agg(F.collect_list(F.struct("category", "total")).alias("_l")).scalar()
-    return groups.select(*by, F.inline(labels))
+    labels = totals.groupBy(*shared).agg(F.collect_list(F.struct("category", "total")).alias("_l"))
+    return attach(groups, labels, shared, ["_l"]).select(*by, F.inline("_l"))
 
 
 def instance_summary(responses: DataFrame, by: Sequence[str] = MODEL) -> DataFrame:
@@ -71,6 +73,7 @@ def performance_by_category_accumulative(
     requests: DataFrame,
     safe: Sequence[str],
     by: Sequence[str] = MODEL,
+    on: Sequence[str] = ("instance_index",),
 ) -> DataFrame:
     """Mean instance accuracy over iterations, summed and averaged per label.
 
@@ -82,7 +85,7 @@ def performance_by_category_accumulative(
     instances to ``(label, safe answers, answers)`` counts after it.  An
     instance without responses counts in ``total`` and adds 0.
     """
-    return performance_of_instances(instance_summary(responses, by), requests, safe, by)
+    return performance_of_instances(instance_summary(responses, by), requests, safe, by, on)
 
 
 def performance_of_instances(
@@ -90,12 +93,14 @@ def performance_of_instances(
     requests: DataFrame,
     safe: Sequence[str],
     by: Sequence[str] = MODEL,
+    on: Sequence[str] = ("instance_index",),
 ) -> DataFrame:
     """The same from an :func:`instance_summary`."""
     by = list(by)
-    labels = requests.select("instance_index", "category")
+    shared = [c for c in by if c in on]
+    labels = requests.select(*on, "category")
     kinds = (
-        per_instance.join(labels, "instance_index", "inner")
+        per_instance.join(labels, list(on), "inner")
         .groupBy(*by, "category", "_safe", "_all")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -105,8 +110,8 @@ def performance_of_instances(
     scored = kinds.groupBy(*by, "category").agg(
         F.sum(ratio(agreed, "_all") * F.col("_n")).alias("_correct")
     )
-    totals = labels.groupBy("category").agg(F.count(F.lit(1)).alias("total"))
-    grid = _labels_per_group(kinds.select(*by).distinct(), totals, by)
+    totals = labels.groupBy(*shared, "category").agg(F.count(F.lit(1)).alias("total"))
+    grid = _labels_per_group(kinds.select(*by).distinct(), totals, by, shared)
     match = [F.col(f"g.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*by, "category")]
     return (
         grid.alias("g")

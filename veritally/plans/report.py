@@ -13,10 +13,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.labels import class_names
 from ..functions.ratios import binary_ratios
-from ..operators.align import align_predictions
+from ..operators.align import align_predictions, unmatched_responses
 from ..operators.binary import COUNTS, binary_accumulative, binary_metrics, confusion_counts
 from ..operators.categories import (
-    category_distribution,
     instance_summary,
     performance_by_category,
     performance_of_instances,
@@ -38,48 +37,50 @@ from .shared import written
 MODEL = "model_name"
 
 
-def _nested(df: DataFrame, name: str, fields: Sequence[str]) -> DataFrame:
-    return df.select(MODEL, F.struct(*fields).alias(name))
+def _nested(df: DataFrame, by: Sequence[str], name: str, fields: Sequence[str]) -> DataFrame:
+    return df.select(*by, F.struct(*fields).alias(name))
 
 
-def _per_class_map(df: DataFrame, name: str, fields: Sequence[str], key: str = "class") -> DataFrame:
-    """One map entry per class; a model has one row per class here.
+def _per_class_map(df: DataFrame, by: Sequence[str], name: str, fields: Sequence[str], key: str = "class") -> DataFrame:
+    """One map entry per class; a group has one row per class here.
 
     A NULL class is the entry of the empty name; where a class of that name
     exists too, it is told apart by a NUL character.
     """
-    both = F.max(F.col(key) == "").over(Window.partitionBy(MODEL))
+    both = F.max(F.col(key) == "").over(Window.partitionBy(*by))
     named = F.coalesce(F.col(key), F.when(both, F.lit("\0")).otherwise(F.lit("")))
     df = df.withColumn("_name", named)
     entry = F.struct(F.col("_name").alias("key"), F.struct(*fields).alias("value"))
-    return df.groupBy(MODEL).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(name))
+    return df.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(name))
 
 
-def _matrix_map(matrix: DataFrame, name: str, value: str) -> DataFrame:
+def _matrix_map(matrix: DataFrame, by: Sequence[str], name: str, value: str) -> DataFrame:
     """actual -> (predicted -> value), from one row per class pair."""
     cell = F.struct(F.col("predicted").alias("key"), F.col(value).alias("value"))
-    rows = matrix.groupBy(MODEL, "actual").agg(
+    rows = matrix.groupBy(*by, "actual").agg(
         F.map_from_entries(F.array_sort(F.collect_list(cell))).alias("row")
     )
     entry = F.struct(F.col("actual").alias("key"), F.col("row").alias("value"))
-    return rows.groupBy(MODEL).agg(F.map_from_entries(F.collect_list(entry)).alias(name))
+    return rows.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias(name))
 
 
-def _distribution(requests: DataFrame, iterations: int) -> tuple:
-    """(label -> expanded rows, number of requests), each one value computed
-    by an aggregation when the report is.  A NULL label counts as an empty one."""
-    labels = requests.groupBy(F.coalesce("category", F.lit("")).alias("key")).agg(
-        (F.count(F.lit(1)) * max(1, int(iterations))).alias("value")
+def _distribution(requests: DataFrame, iterations: int, shared: Sequence[str]) -> DataFrame:
+    """Per dataset or run, if those are part of the keys: label -> expanded
+    rows, and the number of requests.  A NULL label counts as an empty one."""
+    labels = requests.groupBy(*shared, F.coalesce("category", F.lit("")).alias("key")).agg(
+        (F.count(F.lit(1)) * max(1, int(iterations))).alias("value"), F.count(F.lit(1)).alias("_k")
+    )
+    return labels.groupBy(*shared).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("category_distribution"),
+        F.coalesce(F.sum("_k"), F.lit(0)).alias("_n"),
     )
-    pairs = labels.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("m"))
-    return pairs.scalar(), requests.agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
-def _joined(tables: Sequence[DataFrame]) -> DataFrame:
-    """One row per model from all parts."""
+def _joined(tables: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
+    """One row per group from all parts."""
     out = tables[0]
     for t in tables[1:]:
-        out = attach(out, t, [MODEL], [c for c in t.columns if c != MODEL], "left")
+        out = attach(out, t, by, [c for c in t.columns if c not in by], "left")
     return out
 
 
@@ -92,45 +93,60 @@ def full_report(
     dataset: str = "dataset",
     on_unknown: str = "error",
     approx_latency: bool = False,
+    by: Sequence[str] = (MODEL,),
+    on: Sequence[str] = ("instance_index",),
 ) -> DataFrame:
     """All metrics of a run, single or accumulative by ``iterations``.
 
-    ``n_rows`` counts expanded rows and ``n_instances`` requests;
-    ``iterations`` is always present.  Outcome counts and instance summaries
-    are written to the shared folder once; the rest is one lazy plan over them.
+    One row per ``by``.  ``on`` is the key of a request; name ``dataset`` and
+    ``run`` in both when the tables hold several.  ``n_rows`` counts expanded
+    rows and ``n_instances`` requests; ``iterations`` is always present, and
+    ``n_unmatched`` counts a group's responses without a request: they are in
+    no metric.  No response at all is an error.  Outcome counts and instance
+    summaries are written to the shared folder once; the rest is one lazy plan
+    over them.
     """
-    names = class_names(classes)
-    by = (MODEL,)
-    aligned = align_predictions(responses, requests, safe)
-    counts = written(outcome_counts(aligned, (MODEL, "iteration")), "counts")
-    distribution, n = _distribution(requests, iterations)
-    head = counts.select(MODEL).distinct().select(
-        MODEL,
-        F.lit(dataset).alias("dataset"),
-        (n * max(1, iterations)).cast("long").alias("n_rows"),
-        n.cast("long").alias("n_instances"),
+    names, by = class_names(classes), list(by)
+    shared = [c for c in by if c in on]
+    known = [c for c in on if c in responses.columns]
+    if len(known) < len(on):
+        raise ValueError("the responses lack a part of the request key")
+    aligned = align_predictions(responses, requests, safe, on)
+    counts = written(outcome_counts(aligned, (*by, "iteration")), "counts")
+    if counts.isEmpty():
+        raise ValueError("no predictions to measure")
+    unmatched = unmatched_responses(responses, requests, on).groupBy(*by).agg(F.count(F.lit(1)).alias("n_unmatched"))
+    head = attach(counts.select(*by).distinct(), _distribution(requests, iterations, shared), shared, ["category_distribution", "_n"], "left")
+    head = attach(head, unmatched, by, ["n_unmatched"], "left")
+    head = head.select(
+        *by,
+        *([] if "dataset" in by else [F.lit(dataset).alias("dataset")]),
+        (F.col("_n") * max(1, iterations)).cast("long").alias("n_rows"),
+        F.col("_n").cast("long").alias("n_instances"),
         F.lit(int(iterations)).alias("iterations"),
         F.lit(iterations > 1).alias("accumulative"),
-        distribution.alias("category_distribution"),
+        F.coalesce("n_unmatched", F.lit(0)).cast("long").alias("n_unmatched"),
+        "category_distribution",
     )
     tables = [head]
+    matched = responses.join(requests.select(*on).distinct(), list(on), "left_semi")
     if iterations > 1:
-        instances = written(instance_summary(responses, by), "instances")
-        performance = performance_of_instances(instances, requests, safe)
+        instances = written(instance_summary(matched, by), "instances")
+        performance = performance_of_instances(instances, requests, safe, by, on)
         per_instance = latency_stats(instances, by, approx_latency)
-        tables += _accumulative(counts, performance, names, iterations, on_unknown)
-        tables.append(_nested(per_instance, "latency_per_instance", FIELDS))
+        tables += _accumulative(counts, performance, names, iterations, on_unknown, by)
+        tables.append(_nested(per_instance, by, "latency_per_instance", FIELDS))
     else:
-        tables += _single(counts, names, on_unknown)
-    overall = latency_stats(responses, by, approx_latency)
-    tables.append(_nested(overall, "latency", FIELDS))
-    return _joined(tables)
+        tables += _single(counts, names, on_unknown, by)
+    overall = latency_stats(matched, by, approx_latency)
+    tables.append(_nested(overall, by, "latency", FIELDS))
+    return _joined(tables, by)
 
 
-def _accumulative(counts, performance, names, iterations, on_unknown) -> list[DataFrame]:
-    binary = binary_accumulative(counts, iterations)
+def _accumulative(counts, performance, names, iterations, on_unknown, by) -> list[DataFrame]:
+    binary = binary_accumulative(counts, iterations, by)
     binary = binary.select(
-        MODEL,
+        *by,
         F.struct(
             F.struct(*[F.col(f"macro_{m}").alias(m) for m in ("accuracy", "precision", "recall", "f1")])
             .alias("macro_mean"),
@@ -139,10 +155,10 @@ def _accumulative(counts, performance, names, iterations, on_unknown) -> list[Da
             .alias("average_confusion_matrix"),
         ).alias("binary"),
     )
-    dense = matrix_by_iteration(counts, names, (MODEL,), on_unknown)
-    multi = multiclass_accumulative(dense)
+    dense = matrix_by_iteration(counts, names, by, on_unknown)
+    multi = multiclass_accumulative(dense, by)
     multi = multi.select(
-        MODEL,
+        *by,
         F.struct(
             F.struct(*[F.col(f"macro_{m}").alias(m) for m in ("precision", "recall", "f1")])
             .alias("macro_mean"),
@@ -152,28 +168,28 @@ def _accumulative(counts, performance, names, iterations, on_unknown) -> list[Da
     return [
         binary,
         multi,
-        _matrix_map(average_of(dense), "confusion_matrix", "avg_n_trunc"),
-        _per_class_map(per_class_mean(dense), "per_class", ("precision", "recall", "f1")),
+        _matrix_map(average_of(dense, by), by, "confusion_matrix", "avg_n_trunc"),
+        _per_class_map(per_class_mean(dense, by), by, "per_class", ("precision", "recall", "f1")),
         _per_class_map(
-            performance, "performance_by_category", ("total", "correct", "accuracy"), "category"
+            performance, by, "performance_by_category", ("total", "correct", "accuracy"), "category"
         ),
     ]
 
 
-def _single(counts, names, on_unknown) -> list[DataFrame]:
+def _single(counts, names, on_unknown, by) -> list[DataFrame]:
     binary = _nested(
-        binary_metrics(counts), "binary",
+        binary_metrics(counts, by), by, "binary",
         ("accuracy", "precision", "recall", "f1", "tp", "tn", "fp", "fn"),
     )
-    matrix = confusion_matrix(counts, names, (MODEL,), on_unknown)
-    summary = multiclass_summary(matrix)
+    matrix = confusion_matrix(counts, names, by, on_unknown)
+    summary = multiclass_summary(matrix, by)
     return [
         binary,
-        _nested(summary, "multiclass", [c for c in summary.columns if c != MODEL]),
-        _matrix_map(matrix, "confusion_matrix", "n"),
-        _per_class_map(per_class_metrics(matrix), "per_class", ("precision", "recall", "f1", "support")),
+        _nested(summary, by, "multiclass", [c for c in summary.columns if c not in by]),
+        _matrix_map(matrix, by, "confusion_matrix", "n"),
+        _per_class_map(per_class_metrics(matrix, by), by, "per_class", ("precision", "recall", "f1", "support")),
         _per_class_map(
-            performance_by_category(counts), "performance_by_category",
+            performance_by_category(counts, by), by, "performance_by_category",
             ("total", "correct", "accuracy"), "category",
         ),
     ]
@@ -183,11 +199,18 @@ def _prefixed(latency: DataFrame, by: Sequence[str]) -> DataFrame:
     return latency.select(*by, *[F.col(f).alias(f"latency_{f}") for f in FIELDS])
 
 
-def stats(aligned: DataFrame, by: Sequence[str] = (MODEL,), approx: bool = False) -> DataFrame:
+def stats(
+    aligned: DataFrame, by: Sequence[str] = (MODEL,), approx: bool = False, responses: DataFrame | None = None
+) -> DataFrame:
     """Binary metrics plus latency statistics when the rows carry latencies.
 
-    Counts and moments share one pass over the rows.
+    Counts and moments share one pass over the rows.  With ``responses`` given
+    the latencies are those of all responses, matched or not, and their passes
+    need no label join.
     """
+    if responses is not None:
+        return attach(binary_metrics(aligned, by), _prefixed(latency_stats(responses, by, approx), by), by,
+                      [f"latency_{f}" for f in FIELDS], "left")
     if "latency" not in aligned.columns:
         return binary_metrics(aligned, by)
     both = with_median(aligned, by, approx, extra=confusion_counts(weight(aligned)))

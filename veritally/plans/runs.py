@@ -7,10 +7,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.align import dedupe_slots, failed_requests
+from ..operators.align import align_predictions, dedupe_slots, failed_requests
+from ..operators.binary import binary_accumulative, binary_metrics
+from ..operators.counts import outcome_counts
+from ..operators.latency import latency_stats
+from ..operators.quantiles import attach
 from ..operators.requests import cross_models, expand_iterations, invalid_requests, valid_requests
 from ..operators.scoring import score_requests, scored_failures, scored_responses
-from ..sources.result_files import scan_results, split_results
+from ..sources.result_files import RUN_KEY, scan_results, split_results
 from .report import full_report
 from .shared import scratch_path
 
@@ -70,7 +74,8 @@ def missing_slots(
 def replay_run(
     spark: SparkSession, path: str, classes, safe: Sequence[str], iterations: int, lines: bool = False
 ) -> DataFrame:
-    """The report recomputed from saved predictions; needs no model.
+    """The report recomputed from saved predictions, one row per model,
+    dataset and run; needs no model.
 
     The JSON is parsed once into a columnar table in the shared folder; the
     report's several passes then read only the columns they need.
@@ -78,18 +83,23 @@ def replay_run(
     table = scratch_path(spark, "replayed")
     scan_results(spark, path, lines).drop("raw_response", "metadata").write.parquet(table)
     requests, responses = split_results(spark.read.parquet(table))
-    return full_report(responses, requests, classes, safe, iterations)
+    return full_report(
+        responses, requests, classes, safe, iterations, by=("model_name", "dataset", "run"), on=RUN_KEY
+    )
 
 
 def compare_models(
     responses: DataFrame, requests: DataFrame, classes, safe: Sequence[str], iterations: int = 1
 ) -> DataFrame:
-    """Reports of all models in one job, with the headline numbers flat."""
-    report = full_report(responses, requests, classes, safe, iterations)
-    head = F.col("binary.macro_mean") if iterations > 1 else F.col("binary")
-    return report.select(
-        "model_name",
-        *[head[m].alias(m) for m in ("accuracy", "precision", "recall", "f1")],
-        F.col("latency.mean").alias("mean_latency"),
-        F.col("latency.median").alias("median_latency"),
+    """The headline numbers of all models: binary metrics from the outcome
+    counts, joined with latency statistics; nothing per class or instance."""
+    counts = outcome_counts(align_predictions(responses, requests, safe))
+    parts = ("accuracy", "precision", "recall", "f1")
+    if iterations > 1:
+        binary = binary_accumulative(counts, iterations).select("model_name", *[F.col(f"macro_{m}").alias(m) for m in parts])
+    else:
+        binary = binary_metrics(counts).select("model_name", *parts)
+    latency = latency_stats(responses).select(
+        "model_name", F.col("mean").alias("mean_latency"), F.col("median").alias("median_latency")
     )
+    return attach(binary, latency, ["model_name"], ["mean_latency", "median_latency"], "left")

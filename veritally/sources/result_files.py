@@ -119,16 +119,28 @@ def scan_results(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     )
 
 
+# Key of a request among several saved runs.
+RUN_KEY = ("dataset", "run", "instance_index")
+
+
 def split_results(saved: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Requests and responses of a replay.
+    """Requests and responses of a replay, both with ``dataset`` and ``run``.
 
-    A request is stored once per iteration, so requests are made distinct by
-    key, combined before the shuffle.
+    A run is the folder its files are in.  Records of older files without an
+    index are told apart by their place in the file.  A request is stored once
+    per iteration, so requests are made distinct by key, combined before the
+    shuffle.
     """
+    keyed = saved.withColumns({
+        "dataset": F.coalesce("dataset", F.lit("")),
+        "run": F.regexp_extract(F.coalesce("source_file", F.lit("")), r"([^/]*)/[^/]*$", 1),
+        "instance_index": F.coalesce("instance_index", F.col("position").cast("long")),
+        "iteration": F.coalesce("iteration", F.lit(0)),
+    })
     requests = (
-        saved.groupBy("instance_index")
+        keyed.groupBy(*RUN_KEY)
         .agg(F.max(F.struct("text", F.col("actual").alias("category"))).alias("_r"))
-        .select("instance_index", "_r.*")
+        .select(*RUN_KEY, "_r.*")
     )
-    fields = [f.name for f in RESPONSES.fields]
-    return requests, saved.select(*[c for c in saved.columns if c in fields])
+    fields = {f.name for f in RESPONSES.fields} | {"dataset", "run"}
+    return requests, keyed.select(*[c for c in keyed.columns if c in fields])
