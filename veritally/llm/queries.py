@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from . import language_id, lm_scoring, mixing, multi_index, outliers, pieces, shingle_join, token_files, toxicity, wrappers
 
+SHARES = oracles.SHARES
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -18,6 +21,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def query(fn):
     QUERIES[fn.__name__] = fn
+    if fn.__name__ in oracles.SQL:
+        ORACLES[fn.__name__] = oracles.SQL[fn.__name__]
     return fn
 
 
@@ -31,10 +36,6 @@ def op3_toxicity(spark, sf_dir):
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-# Whole shares of the sources of ``documents``; others get mixing.DEFAULT_SHARE.
-SHARES = {f"src{i}": 1 + i % 5 for i in range(20)}
-
-
 @query
 def op6_mixing(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
