@@ -18,8 +18,11 @@ def test_failure_rules(rows):
         (None, 1, "", None),
     ]
     df = rows("model_name string, error string, attempt int", [("m", e, a) for e, a, *_ in data])
-    got = [(r["error_class"], r["wait_seconds"]) for r in classify_failures(df).collect()]
+    got = [(r["error_class"], r["wait_seconds"]) for r in classify_failures(df, attempts=1_000).collect()]
     assert got == [(c, w) for *_, c, w in data]
+    # By default a third call is the last one.
+    limited = {(r["error"], r["attempt"]): r["retryable"] for r in classify_failures(df).collect()}
+    assert [limited[("Quota exceeded for metric", a)] for a in (1, 5, 400)] == [True, False, False]
     counts = {r["error_class"]: r["failures"] for r in failure_summary(df).collect()}
     assert counts == {"quota": 5, "Error": 1, "Invalid response format": 1, "": 1}
     no_attempt = classify_failures(df.drop("attempt")).where("error LIKE 'Quota%'").collect()

@@ -6,6 +6,8 @@ import pytest
 
 from veritally.plans.report import full_report
 from veritally.plans.runs import replay_run
+from veritally.sources.result_files import scan_results
+from veritally.sources.sinks import write_predictions
 
 
 def record(i, category, safe, with_index=True, iteration=0, text="t"):
@@ -63,3 +65,15 @@ def test_an_empty_run_is_an_error(rows):
     responses = rows("model_name string, instance_index long, iteration int, is_safe boolean, category string, latency double", [])
     with pytest.raises(ValueError):
         full_report(responses, requests, ["safe"], ["safe"])
+
+
+def test_written_predictions_are_read_back(spark, rows, tmp_path):
+    requests = rows("instance_index long, text string, category string", [(0, "first", "safe"), (1, "sec\nond", "bad")])
+    data = [("m", i, k, i == 0, 0.5, "safe" if i == 0 else "bad", 1.0 + i + k) for i in (0, 1) for k in (0, 1)]
+    responses = rows("model_name string, instance_index long, iteration int, is_safe boolean, score double, category string, latency double", data)
+    write_predictions(responses, requests, str(tmp_path / "out"), "exp", 3, fmt="json")
+    saved = scan_results(spark, str(tmp_path / "out" / "*" / "*"), lines=True)
+    got = {(r["instance_index"], r["iteration"]): (r["model_name"], r["text"], r["actual"], r["category"], r["is_safe"], r["latency"]) for r in saved.collect()}
+    assert got == {(i, k): ("m", ["first", "sec\nond"][i], ["safe", "bad"][i], c, s, t) for _, i, k, s, _, c, t in data}
+    [r] = replay_run(spark, str(tmp_path / "out" / "*" / "*"), ["safe", "bad"], ["safe"], 2, lines=True).collect()
+    assert r["binary"]["macro_mean"]["accuracy"] == 1.0 and r["n_instances"] == 2

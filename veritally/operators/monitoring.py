@@ -11,6 +11,7 @@ from ..functions.ratios import ratio
 # Fixed patterns of the quota rule; the first must match from the start.
 QUOTA_PATTERN = r"\A(429 RESOURCE_EXHAUSTED|Quota exceeded)"
 RETRY_HINT = r"retry in (\d+\.?\d*)s"
+ATTEMPTS = 3
 BACKOFF_MIN, BACKOFF_MAX = 5.0, 60.0
 
 
@@ -42,11 +43,12 @@ def run_log_summary(lines: DataFrame, by: Sequence[str] = ("source_file",)) -> D
     )
 
 
-def classify_failures(failures: DataFrame) -> DataFrame:
+def classify_failures(failures: DataFrame, attempts: int = ATTEMPTS) -> DataFrame:
     """Error class and advised wait per failure.
 
-    Only quota errors are worth retrying: the wait is the hinted time plus one
-    second, else exponential in the attempt, between 5 and 60 seconds.
+    Only quota errors are worth retrying, and only until ``attempts`` calls
+    were made: the wait is the hinted time plus one second, else exponential
+    in the attempt, between 5 and 60 seconds.
     """
     error = F.coalesce("error", F.lit(""))
     quota = error.rlike(QUOTA_PATTERN)
@@ -56,11 +58,12 @@ def classify_failures(failures: DataFrame) -> DataFrame:
     doubling = F.pow(F.lit(2.0), F.least(attempt - 1, F.lit(6)).cast("double"))
     backoff = F.greatest(F.lit(BACKOFF_MIN), F.least(F.lit(BACKOFF_MAX), doubling))
     name = F.trim(F.substring_index(error, ":", 1))
+    again = quota & (attempt < int(attempts))
     return failures.withColumns(
         {
             "error_class": F.when(quota, F.lit("quota")).otherwise(name),
-            "retryable": quota,
-            "wait_seconds": F.when(quota, F.coalesce(hint + 1.0, backoff)),
+            "retryable": again,
+            "wait_seconds": F.when(again, F.coalesce(hint + 1.0, backoff)),
         }
     )
 

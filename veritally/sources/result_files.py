@@ -9,7 +9,9 @@ from ..schema import RESPONSES
 _FILE = (
     "model string, dataset string, total_samples long, metrics string, "
     "predictions array<struct<request_text:string, request_metadata:map<string,string>, "
-    "prediction:string, response:string, result:string>>"
+    "prediction:string, response:string, result:string>>, "
+    # A line may also be one record by itself, as the predictions sink writes it.
+    "request_text string, request_metadata map<string,string>, request_category string, prediction string"
 )
 _PREDICTION = (
     "is_safe boolean, score double, category string, latency double, model_name string, "
@@ -101,11 +103,18 @@ def scan_results(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     docs = _result_documents(spark, path, lines).select(
         "source_file", F.from_json("value", _FILE).alias("_f")
     )
+    f = F.col("_f")
+    nothing = F.lit(None).cast("string")
+    alone = F.array(F.struct(
+        f["request_text"].alias("request_text"), f["request_metadata"].alias("request_metadata"),
+        f["prediction"].alias("prediction"), nothing.alias("response"), nothing.alias("result"),
+    ))
+    records = F.coalesce(f["predictions"], F.when(f["prediction"].isNotNull(), alone))
     each = docs.select(
         "source_file", F.col("_f.model").alias("run_model"), F.col("_f.dataset").alias("dataset"),
-        F.posexplode("_f.predictions").alias("position", "p"),
+        F.col("_f.request_category").alias("_category"), F.posexplode(records).alias("position", "p"),
     ).select(
-        "source_file", "run_model", "dataset", "position",
+        "source_file", "run_model", "dataset", "position", "_category",
         F.col("p.request_text").alias("text"),
         F.col("p.request_metadata").alias("metadata"),
         F.coalesce("p.prediction", "p.response", "p.result").alias("_raw"),
@@ -114,7 +123,7 @@ def scan_results(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     fields = prediction_fields(F.col("_raw"), F.col("_p"))
     return parsed.select(
         "source_file", "run_model", "dataset", "position", "text", "metadata",
-        F.try_element_at("metadata", F.lit("category")).alias("actual"),
+        F.coalesce(F.try_element_at("metadata", F.lit("category")), "_category").alias("actual"),
         *[c.alias(n) for n, c in fields.items()],
     )
 

@@ -19,10 +19,10 @@ def to_json_record(df: DataFrame, columns: Sequence[str] | None = None, name: st
 
 
 def _write(df: DataFrame, path: str, partition_by: Sequence[str], fmt: str, mode: str) -> None:
-    """Rebalanced by the partition columns: AQE merges small tasks and splits
-    one run that holds much of the data, so no run is written by one task."""
+    """Rebalanced by size alone: AQE merges small tasks and splits large ones,
+    so no run is written by one task, and no key decides where rows go."""
     (
-        df.hint("rebalance", *partition_by)
+        df.hint("rebalance")
         .write.partitionBy(*partition_by)
         .mode(mode)
         .option("partitionOverwriteMode", "dynamic")
