@@ -23,8 +23,8 @@ def test_failure_rules(rows):
     # By default a third call is the last one.
     limited = {(r["error"], r["attempt"]): r["retryable"] for r in classify_failures(df).collect()}
     assert [limited[("Quota exceeded for metric", a)] for a in (1, 5, 400)] == [True, False, False]
-    counts = {r["error_class"]: r["failures"] for r in failure_summary(df).collect()}
-    assert counts == {"quota": 5, "Error": 1, "Invalid response format": 1, "": 1}
+    counts = {(r["error_class"], r["retryable"]): r["failures"] for r in failure_summary(df).collect()}
+    assert counts == {("quota", True): 3, ("quota", False): 2, ("Error", False): 1, ("Invalid response format", False): 1, ("", False): 1}
     no_attempt = classify_failures(df.drop("attempt")).where("error LIKE 'Quota%'").collect()
     assert {r["wait_seconds"] for r in no_attempt} == {5.0}
 

@@ -138,11 +138,11 @@ def q_run_log_summary(spark, d):
 
 _FAILURES_SQL = """
     , v_f AS (
-      SELECT *, regexp_matches(error, '^(429 RESOURCE_EXHAUSTED|Quota exceeded)') AS retryable FROM v_errors),
+      SELECT *, regexp_matches(error, '^(429 RESOURCE_EXHAUSTED|Quota exceeded)') AS quota FROM v_errors),
     v_c AS (
-      SELECT model_name, instance_index, iteration, retryable,
-        CASE WHEN retryable THEN 'quota' ELSE trim(split_part(error, ':', 1)) END AS error_class,
-        CASE WHEN retryable THEN
+      SELECT model_name, instance_index, iteration, quota AND attempt < 3 AS retryable,
+        CASE WHEN quota THEN 'quota' ELSE trim(split_part(error, ':', 1)) END AS error_class,
+        CASE WHEN quota AND attempt < 3 THEN
           CASE WHEN error LIKE '%retry in %' THEN CAST(regexp_extract(error, 'retry in (\\d+\\.?\\d*)s', 1) AS DOUBLE) + 1
                ELSE greatest(5.0, least(60.0, power(2.0, attempt - 1))) END END AS wait_seconds
       FROM v_f)
