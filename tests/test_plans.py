@@ -1,8 +1,11 @@
 """What the optimizer makes of the operators."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401  fills the registry
 from veritally.operators.align import align_predictions, dedupe_slots, failed_requests
 from veritally.operators.binary import binary_metrics
 from veritally.operators.counts import outcome_counts
@@ -11,7 +14,6 @@ from veritally.operators.requests import cross_models, expand_iterations
 from veritally.plans.shared import scratch_path, shared_dir, small_rows, written
 from workload import views as v
 from workload.registry import QUERIES
-import __spark_entry__  # noqa: F401  fills the registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,17 +74,19 @@ def test_counts_are_combined_before_the_shuffle(stored):
     assert "partial_max" in plan(dedupe_slots(responses))
 
 
-def test_no_global_window_and_no_row_python(spark):
-    """Over all registered queries that only build a plan."""
-    eager = ("scan_", "write_", "stream_", "replay", "evaluate_run", "full_report", "compare", "latency", "stats",
-             "multiclass_stats", "run_log", "performance_by_category_acc")
-    for name, fn in QUERIES.items():
-        if name.startswith(eager):
-            continue
-        text = plan(fn(spark, SF))
-        assert "CartesianProduct" not in text and "NestedLoop" not in text, name
-        assert "BatchEvalPython" not in text, name
-        assert "Exchange SinglePartition, ENSURE" not in text, name
+# Nested-loop joins with a table of one row, which an aggregation without keys has made.
+ONE_ROW = {"run_log_summary"}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_global_window_and_no_row_python(spark, name):
+    """Every registered query, those that write files on the way included."""
+    text = plan(QUERIES[name](spark, SF))
+    assert "CartesianProduct" not in text, name
+    assert "NestedLoop" not in text or name in ONE_ROW, name
+    assert "BatchEvalPython" not in text, name
+    # A window without keys would order all rows in one task; aggregates without keys are combined first.
+    assert not re.search(r"Window \[[^\n]*\], \[\], \[", text), name
 
 
 def test_small_tables_are_checked(spark):
