@@ -9,7 +9,7 @@ of the input are not carried along.  Rows that repeat stay rows of their own.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veritally.llm import language_id, mixing, pieces, shingle_join, toxicity
 from veritally.llm.common import stored
@@ -38,13 +38,17 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the smallest doc_id.
 
-    Texts without words are near copies of nothing and stay.
+    Texts without words are near copies of nothing and stay.  A NULL doc_id is
+    kept unless its text is a near copy of another document's.  Rows that
+    repeat doc_id and text are one document; rows that share a doc_id but not
+    the text are kept or dropped together.
     """
     groups = shingle_join.shingle_join(docs.select("doc_id", "text"))
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    once = docs.select(*DOCUMENT).join(kept, "doc_id", "left_semi")
-    # A doc_id that occurs more than once with equal texts is a copy too.
-    return once.dropDuplicates(["doc_id", "text"]).select(*DOCUMENT)
+    kept = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    once = docs.select(*DOCUMENT).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    repeat = F.when(words, F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    return once.withColumn("repeat", repeat).dropDuplicates(["doc_id", "text", "repeat"]).select(*DOCUMENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -171,7 +171,8 @@ def test_mixing_is_native(spark):
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     copies = docs.limit(20).withColumn("doc_id", docs["doc_id"] + 50_000)
-    odd = spark.createDataFrame([(90_000, None, None, None, None), (90_001, "", "en", "src1", 0), (90_002, "12 34", "en", None, 5)], docs.schema)
+    odd = spark.createDataFrame([(90_000, None, None, None, None), (90_001, "", "en", "src1", 0), (90_002, "12 34", "en", None, 5),
+                                 (None, "this text has no id but some words", "en", "src2", 3)], docs.schema)
     before = docs.union(copies).union(odd).selectExpr("*", "1 AS score", "2 AS node")
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -184,7 +185,8 @@ def test_pipeline_stages(spark):
         if name == "language ID":
             assert not {90_000, 90_001, 90_002} & {r[0] for r in rows}
         if name == "n-gram Jaccard join":
-            assert not any(r[0] >= 50_000 for r in rows) and len(rows) < len(had)
+            assert not any((r[0] or 0) >= 50_000 for r in rows) and len(rows) < len(had)
+            assert any(r[0] is None for r in rows)
         # Nearly all plain documents stay in the filtering stages.
         if name in ("toxicity", "language ID"):
             assert sum(rows.values()) >= 0.8 * sum(had.values())
