@@ -349,14 +349,19 @@ def _exact(pairs: DataFrame, sets: DataFrame, documents: DataFrame) -> DataFrame
 
 
 def _compare_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs across components in one block of a common value's sets."""
+    """Pairs across components in one block of a common value's sets.
+
+    A pair is made by the smallest of the values that both sets kept, and by
+    no other, so it is made once however many values they share.
+    """
+    value = pdf["value"].iloc[0]
     one, two = pdf[pdf["side"] < 2], pdf[pdf["side"] != 1]
     out = []
     sketches = [np.frombuffer(x, np.uint8) for x in two["sketch"]]
     length = np.array([len(x) for x in sketches])
     mats = {n: np.stack([sketches[i] for i in np.flatnonzero(length == n)]) for n in np.unique(length)}
     where = {n: np.flatnonzero(length == n) for n in mats}
-    n2, c2, v2 = two["n"].to_numpy(), two["component"].to_numpy(), two["node"].to_numpy()
+    n2, c2, v2, kept = two["n"].to_numpy(), two["component"].to_numpy(), two["node"].to_numpy(), two["kept"].tolist()
     for r in one.itertuples():
         mine = np.frombuffer(r.sketch, np.uint8)
         may = most_different(np.int64(r.n), n2)
@@ -370,7 +375,8 @@ def _compare_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
                 ok[at] = np.bitwise_count(mats[size][rows] ^ mine).sum(1) <= may[at]
             else:
                 ok[at] = [hamming(r.sketch, sketches[i].tobytes()) <= may[i] for i in at]
-        at = np.flatnonzero(ok)
+        mine = set(r.kept)
+        at = np.array([i for i in np.flatnonzero(ok) if next(x for x in kept[i] if x in mine) == value], np.int64)
         out.append(np.stack((np.minimum(v2[at], r.node), np.maximum(v2[at], r.node)), 1))
     found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
     return pd.DataFrame(found, columns=["a", "b"])
@@ -450,13 +456,15 @@ def similarity_links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     apart = _labelled(stay, label).select("node", "value", "component")
     split = apart.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y")
     split = split.select("value", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    members = apart.join(split, "value").join(sets.select("node", "n", "sketch"), "node")
+    # At most as many values as the set has segments.
+    kept = stay.groupBy("node").agg(F.sort_array(F.collect_set("value")).alias("kept"))
+    members = apart.join(split, "value").join(sets.select("node", "n", "sketch"), "node").join(kept, "node")
     members = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # Every pair of blocks is one task's work: side 0 within a block, 1 and 2 across two.
     placed = members.select(
         "*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("facing")
     ).select(
-        "value", F.least("own", "facing").alias("p"), F.greatest("own", "facing").alias("q"), "node", "component", "n", "sketch",
+        "value", F.least("own", "facing").alias("p"), F.greatest("own", "facing").alias("q"), "node", "component", "n", "sketch", "kept",
         F.expr("CASE WHEN own = facing THEN 0 WHEN own < facing THEN 1 ELSE 2 END").alias("side"),
     )
     late = placed.groupBy("value", "p", "q").applyInPandas(_compare_blocks, "a long, b long").distinct()
