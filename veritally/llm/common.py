@@ -29,11 +29,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def narrow_batches(spark: SparkSession, rows: int = 2_000) -> None:
     """Arrow batches of texts stay small: they exist on both sides of the pipe at once."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+    # Where the session knows the setting, long texts count by their bytes.
+    if spark.conf.isModifiable(BATCH_BYTES):
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
 
 
 def crc_mod(column: str, k: int) -> Column:
@@ -62,10 +68,18 @@ class Shipped:
     def get(self):
         cache = worker_cache()
         if cache.get("shipped", (None,))[0] != self.token:
+            cache.pop("pieces", None)
             cache["shipped"] = self.token, pickle.loads(self.packed.value)
         return cache["shipped"][1]
 
 
+def release() -> None:
+    """Drops what earlier operators keep in a Python worker that is used again."""
+    cache = worker_cache()
+    for key in [k for k in cache if k != "letters"]:
+        del cache[key]
+
+
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its n + 1 offsets; NULL is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix64, narrow_batches, ragged, slices, stored, string_bytes
+from .common import mix64, narrow_batches, ragged, release, slices, stored, string_bytes
 from .components import components
 from .text import shingles, words
 
@@ -171,6 +171,7 @@ def _rows(**columns) -> pa.RecordBatch:
 
 def _sign(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen: set[int] = set()
         keys, nodes, sure, held = [], [], [], 0
 
@@ -248,6 +249,7 @@ def _met(**columns) -> pa.RecordBatch:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     keys, nodes, sure = [], [], []
     for batch in batches:
         kind = batch.column("kind").to_numpy()
