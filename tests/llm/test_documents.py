@@ -261,6 +261,34 @@ def test_outliers_of_a_group_go(spark, given):
     assert all(out[i] for i in range(1_600)) and not any(out[10_000 + i] for i in range(40))
 
 
+def test_moderate_outliers_go(spark):
+    """A fifth of symbols, half the lines repeated or words twice as long are enough, in groups of their own and pooled ones."""
+    rng = random.Random(6)
+
+    def lines(n=12, size=(2, 9), symbols=0.0):
+        def word():
+            w = "".join(rng.choice("abcdefg") for _ in range(rng.randint(*size)))
+            return "#" * max(1, len(w) // 3) + w if rng.random() < symbols else w
+
+        return [" ".join(word() for _ in range(rng.randint(6, 7))) for _ in range(n)]
+
+    odd = [lambda: lines(symbols=1.0), lambda: (x := lines(6)) + [y for y in x for _ in range(2)][:6], lambda: lines(size=(9, 15))]
+    # Least size of an estimate is 100; the sources of "de" are smaller, but not all of them together.
+    groups = [("en", "big", 600), ("en", "least", 110), *[("de", f"s{i}", 40) for i in range(8)]]
+    rows, bad = [], set()
+    for lang, source, n in groups:
+        for i in range(n):
+            kind = i % 20
+            if kind < len(odd):
+                bad.add(len(rows))
+            rows.append((len(rows), "\n".join(odd[kind]() if kind < len(odd) else lines()), lang, source))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = outliers.quality(df).collect()
+    judged = {r["doc_id"]: r["kept"] for r in out if not r["base_failed"]}
+    assert len(bad & judged.keys()) >= 0.6 * len(bad) and not any(judged[i] for i in bad & judged.keys())
+    assert sum(not judged[i] for i in judged.keys() - bad) <= 0.01 * len(judged)
+
+
 def test_hash_table():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(0, 2**64, 5_000, dtype=np.uint64))

@@ -27,12 +27,15 @@ STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 FEATURES = ["x0", "x1", "x2", "x3", "x4"]
 CORE = 0.75
 STEPS = 4
-# Fewer documents give no estimate of their own: such groups of a language are taken together.
-LEAST_GROUP = 200
-# Normal deviations as rare as a rejection, and least deviations (in the
-# transformed units) that a spread is taken to have: most texts have no
+# Fewer documents, by the number of dimensions, give no estimate of their own: such groups of a language are taken together.
+LEAST_GROUP = 20 * len(FEATURES)
+# Share of normal documents within the chi-square limit, and least deviations
+# (in the transformed units) that a spread is taken to have: most texts have no
 # symbol or repeated line at all, which is no reason to reject those with a few.
-TAIL_DEVIATIONS = 8.0
+# A group at these floors rejects, by one statistic alone, beyond about 9 %
+# symbols, 26 % repeated lines, 17 % repeated words, an 8-fold length or a
+# 1.5-fold word length.  Lengths are skewed: 0.999 would reject plain short texts.
+CONFIDENCE = 0.9999
 LEAST_SPREAD = [0.4, 0.08, 0.06, 0.1, 0.08]
 
 
@@ -211,7 +214,7 @@ def quality(docs: DataFrame) -> DataFrame:
     grouped = good.join(groups.where("gid IS NOT NULL"), "own").select("gid", *FEATURES)
     found = estimates(grouped)
     judged = rows.join(groups.join(found, "gid"), "own", "left").withColumn("distance", F.expr(_distance()))
-    limit = float(_chi_square(TAIL_DEVIATIONS, len(FEATURES)))
+    limit = float(_chi_square(_normal(CONFIDENCE), len(FEATURES)))
     return judged.select(
         "doc_id", *STATS[:5], "base_failed",
         (~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True))).alias("kept"), "distance",
