@@ -79,6 +79,24 @@ def test_shingle_join_is_brute_force(odd, given):
         assert got == brute_join(df.select("doc_id", "text").collect())
 
 
+def test_shared_and_missing_ids_lose_no_link(spark):
+    """Different texts under one doc_id, and near (not exact) copies of which one or all have no doc_id."""
+    def text(group, *changed):
+        return " ".join(f"x{i}" if i in changed else f"g{group}w{i}" for i in range(60))
+
+    rows = []
+    for k in range(0, 40, 4):
+        # One doc_id for two unlike texts, each with a near copy of its own.
+        rows += [(k, text(k)), (k, text(k + 1)), (1_000 + k, text(k, 30)), (2_000 + k, text(k + 1, 20))]
+        # Near copies without a doc_id, of a document and of each other.
+        rows += [(3_000 + k, text(k + 2)), (None, text(k + 2, 10)), (None, text(k + 3)), (None, text(k + 3, 59))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in shingle_join.shingle_join(df).collect())
+    assert got == brute_join(df.collect())
+    _, links = shingle_join.similarity_links(df)
+    assert links.distinct().count() == 40
+
+
 @pytest.mark.parametrize("common", [2, 8])
 def test_common_values_lose_no_link(spark, monkeypatch, common):
     """Chains and crowds of copies through the path for common values: pivots, then blocks."""

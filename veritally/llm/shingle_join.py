@@ -321,9 +321,19 @@ def _close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _texts_to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every text's own node and set, equal ones of a task about once."""
+    seen: set[int] = set()
     for batch in batches:
-        packed = [s.tobytes() for _, s in _sets(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], ["node", "elements"])
+        nodes, packed = [], []
+        for _, s in _sets(batch):
+            node = _node(s)
+            if node in seen:
+                continue
+            if len(seen) >= 1 << 20:
+                seen.clear()
+            seen.add(node)
+            nodes.append(node), packed.append(s.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], ["node", "elements"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,9 +352,11 @@ def _exact(pairs: DataFrame, sets: DataFrame, documents: DataFrame) -> DataFrame
     """Links among ``pairs``, from the texts of one document per set."""
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     ids = asked.join(sets.select("node", "doc_id"), "node")
-    texts = ids.join(documents.select("doc_id", "text"), "doc_id")
-    # A doc_id that occurs twice with different texts: keep the text of that set.
-    full = stored(texts.select("node", "text").mapInArrow(_texts_to_sets, "node long, elements binary").dropDuplicates(["node"]), "sets")
+    # The node is told from the text: a doc_id may have several texts, and a set may be that of texts without an id only.
+    texts = documents.select("doc_id", "text").join(ids.select("doc_id"), "doc_id", "left_semi").select("text")
+    texts = texts.union(documents.where("doc_id IS NULL").select("text"))
+    full = texts.mapInArrow(_texts_to_sets, "node long, elements binary").join(asked, "node", "left_semi")
+    full = stored(full.dropDuplicates(["node"]), "sets")
     left = full.select(F.col("node").alias("a"), F.col("elements").alias("elements_a"))
     right = full.select(F.col("node").alias("b"), F.col("elements").alias("elements_b"))
     return pairs.join(left, "a").join(right, "b").mapInArrow(_verify, "a long, b long")
