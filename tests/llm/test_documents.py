@@ -163,6 +163,32 @@ def test_language(spark, odd, given):
         assert letters or (r["rejected"] and r["score"] == 0)
 
 
+def test_short_texts_of_no_language_are_rejected(spark, given):
+    """Random letters and an unlearned language, though calibration texts are short and of differing lengths."""
+    rng = random.Random(3)
+    short = given.where("text IS NOT NULL").selectExpr("doc_id", "IF(doc_id % 2 = 0, text, substr(text, 1, 20 + doc_id * 37 % 180)) AS text", "lang")
+    model = language_id.fit(short.where(crc_mod("doc_id", 4) != 2))
+    syllables = ["wzy", "szcz", "krz", "dło", "bąk", "gwo", "mię", "pły", "chu", "jak"]
+
+    def text(kind, size):
+        word = {
+            "letters": lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))),
+            "unlearned": lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))),
+        }[kind]
+        out = word()
+        while len(out) < size:
+            out += " " + word()
+        return out
+
+    rows = [(k, kind, text(kind, size)) for kind in ("letters", "unlearned") for size in (50, 100, 200, 500) for k in range(25)]
+    out = language_id.identify(spark.createDataFrame(rows, "doc_id long, kind string, text string"), model).collect()
+    for kind in ("letters", "unlearned"):
+        own = [r["rejected"] for r in out if r["kind"] == kind]
+        assert sum(own) >= 0.95 * len(own)
+    clean = language_id.identify(short, model).where(crc_mod("doc_id", 4) == 2).where("length(text) > 40").collect()
+    assert sum(r["rejected"] for r in clean) <= 0.05 * len(clean)
+
+
 def test_language_models_are_distributions(given):
     """After every context the stored characters' probabilities and the share of unseen ones sum to 1."""
     import pandas as pd

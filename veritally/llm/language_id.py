@@ -28,8 +28,11 @@ DISCOUNT = 0.75
 SAMPLE_CHARS = 2_000_000
 CALIBRATION_CHARS = 1_000_000
 MAX_LANGUAGES = 64
-# Deviations above a language's usual cross-entropy at which a text is rejected.
-REJECT_DEVIATIONS = 8.0
+# Deviations above a language's usual cross-entropy at which a text is rejected: as many as keep
+# this share of the language's calibration texts, within bounds; the most for a few such texts.
+KEEP_SHARE = 0.995
+LEAST_DEVIATIONS, MOST_DEVIATIONS = 3.0, 6.0
+FEW_TEXTS = 20
 # Characters scored at once: the arrays then stay in the processor's cache.
 SLICE_CHARS = 1 << 17
 
@@ -107,6 +110,7 @@ class Models:
         self.mean = np.zeros(len(self.langs))
         self.spread = np.ones(len(self.langs))
         self.noise = np.ones(len(self.langs))
+        self.deviations = np.full(len(self.langs), MOST_DEVIATIONS)
         self._tables = None
         if self.langs:
             self._estimate(counts)
@@ -160,6 +164,25 @@ class Models:
             order = np.argsort(h)
             self.back.append((h[order], np.log(gamma).astype(np.float32)[order]))
 
+    def calibrate(self, i: int, h: np.ndarray, n: np.ndarray) -> None:
+        """Limits of a language from cross-entropies ``h`` of texts of ``n`` characters.
+
+        Medians, so that junk among the texts does not widen the limits.
+        """
+        long = n >= 200
+        self.mean[i] = np.median(h[long] if long.any() else h)
+        apart = np.abs(h - self.mean[i])
+        if long.any():
+            self.spread[i] = max(1.4826 * np.median(apart[long]), 0.05)
+        else:
+            self.spread[i] = 0.05
+        # Around the language's mean: what is left is the scatter of short texts and not that of their lengths.
+        if not long.all():
+            self.noise[i] = max(1.4826 * np.median((apart * np.sqrt(n))[~long]), 1.0)
+        if len(h) >= FEW_TEXTS:
+            far = (h - self.mean[i]) / np.sqrt(self.spread[i] ** 2 + self.noise[i] ** 2 / n)
+            self.deviations[i] = np.clip(np.quantile(far, KEEP_SHARE), LEAST_DEVIATIONS, MOST_DEVIATIONS)
+
     def _open(self):
         if self._tables is None:
             self._tables = [HashTable(k) for k in self.keys], [(HashTable(h), g) for h, g in self.back]
@@ -246,13 +269,9 @@ def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS, calibration_chars
             yield pd.DataFrame({"lang": pdf["lang"][ok], "h": h, "n": n[ok]})
 
     seen = picked.where("u >= upto AND u < beyond").select("lang", "text").mapInPandas(measure, "lang string, h double, n long")
-    usual = seen.where("n >= 200").groupBy("lang").agg(F.avg("h").alias("m"), F.stddev_pop("h").alias("s"))
-    short = seen.where("n < 200").groupBy("lang").agg(F.avg("h").alias("m2"), F.stddev_pop(F.expr("h * sqrt(n)")).alias("v"))
-    for r in usual.join(short, "lang", "full_outer").collect():
-        i = models.langs.index(r["lang"])
-        models.mean[i] = r["m"] if r["m"] is not None else (r["m2"] or 0.0)
-        models.spread[i] = max(r["s"] or 0.0, 0.05)
-        models.noise[i] = max(r["v"] or 0.0, 1.0)
+    # At most calibration_chars numbers.
+    for lang, g in seen.toPandas().groupby("lang"):
+        models.calibrate(models.langs.index(lang), g["h"].to_numpy(float), g["n"].to_numpy(float))
     return models
 
 
@@ -292,7 +311,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
                 low = h[np.arange(len(rows)), pick]
                 odds = np.exp(-(h - low[:, None]) * np.minimum(size, 50)[:, None])
                 best[rows], score[rows], bits[rows] = pick, 1.0 / odds.sum(1), low / np.log(2)
-                limit = np.sqrt(m.spread[pick] ** 2 + m.noise[pick] ** 2 / size) * REJECT_DEVIATIONS
+                limit = np.sqrt(m.spread[pick] ** 2 + m.noise[pick] ** 2 / size) * m.deviations[pick]
                 rejected[rows] = low > m.mean[pick] + limit
             more = [pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(rejected),
                     pa.array(bits, mask=np.isnan(bits))]
