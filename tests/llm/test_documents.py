@@ -189,6 +189,28 @@ def test_short_texts_of_no_language_are_rejected(spark, given):
     assert sum(r["rejected"] for r in clean) <= 0.05 * len(clean)
 
 
+def test_every_language_has_a_model(spark, monkeypatch):
+    """Languages beyond one batch are predicted too, and batches change no result."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèñçøå"
+    rows = []
+    for lang in range(70):
+        own = ["".join(rng.choice(letters) for _ in range(rng.randint(3, 6))) for _ in range(12)]
+        rows += [(len(rows) + k, " ".join(rng.choice(own) for _ in range(40)), f"l{lang:02}") for k in range(6)]
+    rows.append((len(rows), "одно слово и ещё одно слово", "single"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(4)
+    found = []
+    for batch in (100, 64):
+        monkeypatch.setattr(language_id, "BATCH_LANGUAGES", batch)
+        models = language_id.fit(df, 200_000 * batch, 100_000 * batch)
+        assert sum(len(m.langs) for m in models) == 71
+        found.append({r["doc_id"]: r for r in language_id.identify(df, models).collect()})
+    one, two = found
+    for i, _, lang in rows:
+        assert one[i]["lang_pred"] == two[i]["lang_pred"] == lang
+        assert one[i]["score"] == pytest.approx(two[i]["score"], rel=1e-4)
+
+
 def test_language_models_are_distributions(given):
     """After every context the stored characters' probabilities and the share of unseen ones sum to 1."""
     import pandas as pd

@@ -18,16 +18,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import HashTable, Shipped, crc_mod, mix64, narrow_batches, run_sums, unit_hash, worker_cache
+from .common import HashTable, Shipped, crc_mod, mix64, narrow_batches, run_sums, stored, unit_hash, worker_cache
 
 ORDER = 5
 PAD = ORDER - 1
 DISCOUNT = 0.75
 # Most characters of labelled text, over all languages, that the models and
-# the limits are fitted on (a hash sample of whole documents), and most languages.
+# the limits of one batch of languages are fitted on (a hash sample of whole
+# documents), and languages whose models are in memory together.
 SAMPLE_CHARS = 2_000_000
 CALIBRATION_CHARS = 1_000_000
-MAX_LANGUAGES = 64
+BATCH_LANGUAGES = 64
 # Deviations above a language's usual cross-entropy at which a text is rejected: as many as keep
 # this share of the language's calibration texts, within bounds; the most for a few such texts.
 KEEP_SHARE = 0.995
@@ -102,7 +103,7 @@ class Models:
     the log of the weight given to shorter contexts after that sequence.
     """
 
-    def __init__(self, counts: pd.DataFrame):
+    def __init__(self, counts: pd.DataFrame, characters: int | None = None):
         self.langs = sorted(counts["lang"].unique().tolist())
         self.keys: list[np.ndarray] = []
         self.logp: list[np.ndarray] = []
@@ -113,9 +114,9 @@ class Models:
         self.deviations = np.full(len(self.langs), MOST_DEVIATIONS)
         self._tables = None
         if self.langs:
-            self._estimate(counts)
+            self._estimate(counts, characters)
 
-    def _estimate(self, counts: pd.DataFrame) -> None:
+    def _estimate(self, counts: pd.DataFrame, characters: int | None) -> None:
         L = len(self.langs)
         code = {lang: i for i, lang in enumerate(self.langs)}
         gram = np.frombuffer("".join(counts["gram"]).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -133,12 +134,14 @@ class Models:
             np.add.at(level, inverse.ravel(), seen.astype(float))
             shapes.insert(0, union)
             values.insert(0, level)
+        # Different characters of all batches, so that their models compare.
+        characters = characters or len(shapes[0])
         hashes = [_grams(s.ravel())[n][n :: n + 1] for n, s in enumerate(shapes)]
         prob, weight = [], []
         for n, (shape, c) in enumerate(zip(shapes, values)):
             if n == 0:
                 inverse, contexts = np.zeros(len(shape), np.int64), 1
-                lower = np.full((len(shape), L), 1.0 / (len(shape) + 1))
+                lower = np.full((len(shape), L), 1.0 / (characters + 1))
             else:
                 ctx, inverse = np.unique(shape[:, :-1], axis=0, return_inverse=True)
                 inverse, contexts = inverse.ravel(), len(ctx)
@@ -150,7 +153,7 @@ class Models:
             direct = np.where(c > 0, np.maximum(c - DISCOUNT, 0) / np.maximum(total, 1)[inverse], 0.0)
             prob.append(direct + gamma[inverse] * lower)
             if n == 0:
-                self.unseen = np.log(gamma[0] / (len(shape) + 1)).astype(np.float32)
+                self.unseen = np.log(gamma[0] / (characters + 1)).astype(np.float32)
             else:
                 # A context may be absent as a sequence (padding): it gets a row of its own.
                 weight.append((ctx, gamma))
@@ -229,35 +232,52 @@ def _rows(table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return order[np.searchsorted(a[order], b)]
 
 
-def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS, calibration_chars: int = CALIBRATION_CHARS) -> Models:
+def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS, calibration_chars: int = CALIBRATION_CHARS) -> list[Models]:
     """Models from ``labelled(doc_id, text, lang)``; rows without text or language are left out.
 
-    Each language gets an equal share of ``sample_chars``: a hash sample of
-    its whole documents.  Limits come from a disjoint sample.
+    Every language has a model, ``BATCH_LANGUAGES`` of them to an element.
+    Each gets an equal share of its batch's ``sample_chars``: a hash sample of
+    its whole documents, one at least.  Limits come from a disjoint sample.
     """
     spark = labelled.sparkSession
     rows = labelled.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL AND text <> ''")
-    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).orderBy(F.desc("n"), "lang")
-    sizes = sizes.limit(MAX_LANGUAGES).collect()
+    rows = rows.withColumn("u", unit_hash("doc_id", "text", salt="lang"))
+    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n"), F.min("u").alias("u")).collect()
+    sizes.sort(key=lambda r: r["lang"])
     if not sizes:
-        return Models(pd.DataFrame({"lang": [], "gram": [], "n": []}))
-    share = sample_chars / len(sizes)
-    more = calibration_chars / len(sizes)
-    parts = spark.createDataFrame(
-        [(r["lang"], min(1.0, share / r["n"]) * (1.0 if share + more <= r["n"] else share / (share + more)),
-          min(1.0, (share + more) / r["n"])) for r in sizes],
-        "lang string, upto double, beyond double",
-    )
-    # At most MAX_LANGUAGES rows are broadcast.
-    picked = rows.withColumn("u", unit_hash("doc_id", "text", salt="lang")).join(F.broadcast(parts), "lang")
+        return []
+    share = sample_chars / min(len(sizes), BATCH_LANGUAGES)
+    more = calibration_chars / min(len(sizes), BATCH_LANGUAGES)
+    step = 1.0 / (1 << 30)
+    parts = [
+        (k // BATCH_LANGUAGES, r["lang"],
+         max(r["u"] + step, min(1.0, share / r["n"]) * (1.0 if share + more <= r["n"] else share / (share + more))),
+         min(1.0, (share + more) / r["n"])) for k, r in enumerate(sizes)
+    ]
+    parts = spark.createDataFrame(parts, "batch int, lang string, upto double, beyond double")
+    # One row per language is broadcast.
+    picked = rows.join(F.broadcast(parts), "lang").where("u < upto OR u < beyond")
+    picked = stored(picked.select("batch", "lang", "text", (F.col("u") < F.col("upto")).alias("train")), "sample")
     counts = (
-        picked.where("u < upto").select("lang", "text").mapInPandas(_count_grams, "lang string, gram string, n long")
-        .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+        picked.where("train").select("lang", "text").mapInPandas(_count_grams, "lang string, gram string, n long")
+        .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    )
+    counts = stored(counts.join(F.broadcast(parts.select("lang", "batch")), "lang"), "grams")
+    batches = range((len(sizes) - 1) // BATCH_LANGUAGES + 1)
+    characters = None
+    if len(batches) > 1:
+        characters = counts.select(F.substring("gram", -1, 1)).distinct().count()
+    fitted = (
+        _fit_batch(counts.where(F.col("batch") == k), picked.where((F.col("batch") == k) & ~F.col("train")), characters) for k in batches
     )
-    models = Models(counts)
+    return [m for m in fitted if m.langs]
+
+
+def _fit_batch(counts: DataFrame, unseen: DataFrame, characters: int | None) -> Models:
+    models = Models(counts.select("lang", "gram", "n").toPandas(), characters)
     if not models.langs:
         return models
-    shipped = Shipped(spark, models)
+    shipped = Shipped(counts.sparkSession, models)
 
     def measure(batches):
         m = shipped.get()
@@ -268,36 +288,53 @@ def fit(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS, calibration_chars
             h = total[np.flatnonzero(ok), own[ok]] / n[ok]
             yield pd.DataFrame({"lang": pdf["lang"][ok], "h": h, "n": n[ok]})
 
-    seen = picked.where("u >= upto AND u < beyond").select("lang", "text").mapInPandas(measure, "lang string, h double, n long")
+    seen = unseen.select("lang", "text").mapInPandas(measure, "lang string, h double, n long")
     # At most calibration_chars numbers.
     for lang, g in seen.toPandas().groupby("lang"):
         models.calibrate(models.langs.index(lang), g["h"].to_numpy(float), g["n"].to_numpy(float))
     return models
 
 
-def identify(docs: DataFrame, models: Models) -> DataFrame:
+ADDED = "lang_pred string, score double, rejected boolean, bits_per_char double"
+
+
+def identify(docs: DataFrame, models: Models | list[Models]) -> DataFrame:
     """``docs`` plus ``lang_pred``, ``score``, ``rejected`` and ``bits_per_char``.
 
     Only ``text`` is looked at.  NULL and letterless texts give ``und``, score
     0 and ``rejected``; without any model every text does.  Equal scores go to
     the language first in order.  Columns of the input with these names are
-    replaced.
+    replaced.  Further batches of languages are a pass each over written rows,
+    so that a task holds one batch's models.
     """
-    added = "lang_pred string, score double, rejected boolean, bits_per_char double"
-    names = [c.split()[0] for c in added.split(", ")]
-    base = docs.select([c for c in docs.columns if c not in names])
+    names = [c.split()[0] for c in ADDED.split(", ")]
+    out = docs.select([c for c in docs.columns if c not in names])
     narrow_batches(docs.sparkSession)
+    models = [models] if isinstance(models, Models) else models or [Models(pd.DataFrame({"lang": [], "gram": [], "n": []}))]
+    for k, batch in enumerate(models):
+        out = _identify(out if k == 0 else stored(out, "languages"), batch, k > 0)
+    return out
+
+
+def _identify(docs: DataFrame, models: Models, again: bool) -> DataFrame:
+    """One batch of languages; ``again`` if ``docs`` has the best of earlier batches."""
+    names = [c.split()[0] for c in ADDED.split(", ")]
+    base = [f for f in docs.schema.fields if f.name not in names]
     shipped = Shipped(docs.sparkSession, models)
-    schema = T.StructType(base.schema.fields + T._parse_datatype_string(added).fields)
+    schema = T.StructType(base + T._parse_datatype_string(ADDED).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.get()
-        names = np.array(m.langs + ["und"], object)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             n = len(texts)
-            best, score = np.full(n, len(m.langs)), np.zeros(n)
-            bits, rejected = np.full(n, np.nan), np.ones(n, bool)
+            if again:
+                had = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names]
+                best, score, rejected = np.array(had[0], object), np.array(had[1], float), np.array(had[2], bool)
+                bits = np.array([np.nan if x is None else x for x in had[3]], float)
+            else:
+                best, score = np.full(n, "und", object), np.zeros(n)
+                bits, rejected = np.full(n, np.nan), np.ones(n, bool)
             for rows in _text_slices(texts, SLICE_CHARS):
                 if not m.langs:
                     break
@@ -309,15 +346,26 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
                 h = total / size[:, None]
                 pick = h.argmin(1)
                 low = h[np.arange(len(rows)), pick]
-                odds = np.exp(-(h - low[:, None]) * np.minimum(size, 50)[:, None])
-                best[rows], score[rows], bits[rows] = pick, 1.0 / odds.sum(1), low / np.log(2)
+                weight = np.minimum(size, 50)
+                odds = np.exp(-(h - low[:, None]) * weight[:, None]).sum(1)
                 limit = np.sqrt(m.spread[pick] ** 2 + m.noise[pick] ** 2 / size) * m.deviations[pick]
-                rejected[rows] = low > m.mean[pick] + limit
-            more = [pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(rejected),
+                far = low > m.mean[pick] + limit
+                # Against the best of earlier batches, whose languages come first in order.
+                before = bits[rows] * np.log(2)
+                new = ~(before <= low)
+                seen = ~np.isnan(before)
+                top = np.where(new, low, before)
+                odds = odds * np.exp(-(low - top) * weight)
+                odds[seen] += np.exp(-(before - top) * weight)[seen] / np.maximum(score[rows][seen], 1e-300)
+                score[rows] = 1.0 / odds
+                at = rows[new]
+                best[at], bits[at], rejected[at] = np.array(m.langs, object)[pick[new]], low[new] / np.log(2), far[new]
+            more = [pa.array(best.tolist(), pa.string()), pa.array(score), pa.array(rejected),
                     pa.array(bits, mask=np.isnan(bits))]
-            yield pa.RecordBatch.from_arrays(batch.columns + more, batch.schema.names + ["lang_pred", "score", "rejected", "bits_per_char"])
+            kept = [f.name for f in base]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + more, kept + names)
 
-    return base.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def _text_slices(texts: list, limit: int) -> Iterator[np.ndarray]:
