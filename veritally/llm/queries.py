@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
-from . import language_id, lm_scoring, manifest, mixing, multi_index, outliers, pieces, shingle_join, token_files, toxicity, wrappers
+from . import language_id, lm_scoring, manifest, mixing, multi_index, outliers, packing, pieces, shingle_join, token_files, toxicity, wrappers
 
 SHARES = oracles.SHARES
 
@@ -88,3 +88,8 @@ def op5_html_extraction(spark, sf_dir):
 @query
 def op13_merkle_manifest(spark, sf_dir):
     return manifest.manifest(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_best_fit_packing(spark, sf_dir):
+    return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
