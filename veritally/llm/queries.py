@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
-from . import language_id, lm_scoring, manifest, mixing, multi_index, outliers, packing, pieces, shingle_join, token_files, toxicity, wrappers
+from . import language_id, lm_scoring, manifest, mixing, multi_index, outliers, packing, pieces, repeats, shingle_join, token_files, toxicity, wrappers
 
 SHARES = oracles.SHARES
 
@@ -93,3 +93,8 @@ def op13_merkle_manifest(spark, sf_dir):
 @query
 def op12_best_fit_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query
+def op11_periodic_runs(spark, sf_dir):
+    return repeats.summary(repeats.detect(repeats.planted(_table(spark, sf_dir, "documents"))))
