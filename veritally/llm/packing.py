@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import IdCache, Shipped, slices, stored, string_bytes, worker_cache
+from .common import IdCache, Shipped, ragged, slices, stored, string_bytes, worker_cache
 from .text import is_space, run_bounds, span_keys
 
 CAPACITY = 2048
 END = 0
 # Words whose ids a worker remembers.
 CACHE_WORDS = 500_000
+# New words encoded in one call.
+JOINED = 256
 
 PIECES = "doc_id long, piece int, start long, length int, ids binary, part int, nth long"
 
@@ -51,6 +53,7 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.known = IdCache(CACHE_WORDS)
+        [self.bar] = self.tokenizer.encode("|", add_special_tokens=False).ids
 
     @staticmethod
     def of(vocabulary: str) -> Words:
@@ -60,22 +63,74 @@ class Words:
             cache[("words", vocabulary)] = Words(vocabulary)
         return cache[("words", vocabulary)]
 
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of new words, most of them many to a call.
+
+        A bar between spaces is a token of its own, which no word without a
+        bar has, so the ids between two bars are those of one word.
+        """
+        plain = np.array([b"|" not in w for w in words])
+        size, ids = np.zeros(len(words), np.int64), [None] * len(words)
+        rows = np.flatnonzero(plain)
+        parts = np.array_split(rows, -(-len(rows) // JOINED)) if len(rows) else []
+        texts = [b" | ".join([words[i] for i in part.tolist()]).decode("utf-8", "replace") for part in parts]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            got = np.array(e.ids, np.uint32)
+            marks = np.flatnonzero(got == self.bar)
+            size[part] = np.diff(marks, prepend=-1, append=len(got)) - 1
+            ids[part[0]] = got[got != self.bar]
+        for i in np.flatnonzero(~plain).tolist():
+            ids[i] = np.array(self.tokenizer.encode(words[i].decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+            size[i] = len(ids[i])
+        order = np.concatenate((rows, np.flatnonzero(~plain)))
+        flat = np.concatenate([ids[part[0]] for part in parts] + [ids[i] for i in np.flatnonzero(~plain).tolist()])
+        at = np.zeros(len(words), np.int64)
+        at[order] = np.cumsum(size[order]) - size[order]
+        return size, flat[ragged(at, size)]
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, bounds per document), without end ids."""
-        starts, ends = run_bounds(~is_space(data), offsets)
+        data, starts, ends = _pieces(data, offsets)
         keys, first, where = np.unique(span_keys(data, starts, ends), return_index=True, return_inverse=True)
         new = self.known.missing(keys)
         if len(new):
             raw, at = data.tobytes(), first[new]
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            size = np.array([len(x) for x in found], np.int64)
-            flat = np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
+            words = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+            size, flat = self._learn(words)
             self.known.add(keys[new], size, flat)
         ids, bounds = self.known.gather(keys, where)
         return ids, bounds[np.searchsorted(starts, offsets)]
 
 
+# Bytes that never share a token or a composed character with an ASCII letter before or after them.
+_MARKS = np.zeros(256, bool)
+_MARKS[[ord(c) for c in "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"]] = True
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[*range(65, 91), *range(97, 123)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(A-Z lowered, starts, ends): words, cut between a letter and a mark.
+
+    Special tokens, which are looked for before letters are lowered, have a bar
+    in them, so words with a bar stay as they are.
+    """
+    starts, ends = run_bounds(~is_space(data), offsets)
+    lowered = _LOWER[data]
+    bars = np.flatnonzero(data == ord("|"))
+    if len(bars):
+        odd = np.unique(np.searchsorted(starts, bars, "right") - 1)
+        own = ragged(starts[odd], ends[odd] - starts[odd])
+        lowered[own] = data[own]
+    letter, mark = _LETTERS[data], _MARKS[data]
+    inner = np.flatnonzero((letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])) + 1
+    begins, stops = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+    begins[starts] = begins[inner] = stops[ends] = stops[inner] = True
+    return lowered, np.flatnonzero(begins), np.flatnonzero(stops)
+
+
 def _places(lengths: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """How many pieces of the same length came before each, ``seen`` ones included."""
     order = np.argsort(lengths, kind="stable")
