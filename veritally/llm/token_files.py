@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import IdCache, Shipped, ragged, slices, stored, string_bytes, worker_cache
-from .text import span_hashes
+from .text import span_keys
 
 END = 0
 LIMIT = 16
@@ -178,7 +178,7 @@ class Pieces:
         """(all ids, bounds per document), without end ids."""
         starts = _cuts(data, offsets)
         ends = np.append(starts[1:], len(data))
-        keys, first, where = np.unique(span_hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
+        keys, first, where = np.unique(span_keys(data, starts, ends), return_index=True, return_inverse=True)
         new = self.known.missing(keys)
         if len(new):
             self._learn(keys[new], data, starts[first[new]], ends[first[new]])
@@ -210,41 +210,76 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def _count(vocabulary: str):
+ENCODED = "doc_id long, ids binary"
+
+
+def _encode(vocabulary: str, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, total = Pieces.of(vocabulary), np.zeros(1, np.int64)
+        pieces = Pieces.of(vocabulary)
         for batch in batches:
             data, offsets = string_bytes(batch.column("text"))
             for a, b in slices(offsets, 1 << 21):
-                ids, _ = pieces.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                own = np.bincount(ids, minlength=len(total))
-                own[: len(total)] += total
-                total = own
-            total[END] += batch.num_rows
+                own, bounds = pieces.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                ids = np.full(len(own) + b - a, END, kind)
+                inner = np.ones(len(ids), bool)
+                inner[bounds[1:] + np.arange(b - a)] = False
+                ids[inner] = own
+                edges = ((bounds + np.arange(b - a + 1)) * ids.itemsize).astype(np.int32)
+                blob = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(edges), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), blob], ["doc_id", "ids"])
+
+    return run
+
+
+class Encoded:
+    """Written ids of every document, the end id included, in numbers as wide as the vocabulary needs."""
+
+    def __init__(self, documents: DataFrame, vocabulary: str):
+        from tokenizers import Tokenizer
+
+        self.kind = "<u2" if Tokenizer.from_file(vocabulary).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        self.rows = stored(documents.select("doc_id", "text").mapInArrow(_encode(vocabulary, self.kind), ENCODED), "ids")
+
+
+def _count(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1, np.int64)
+        for batch in batches:
+            raw, offsets = batch.column("ids").buffers()[2], np.frombuffer(batch.column("ids").buffers()[1], np.int32)
+            first = batch.column("ids").offset
+            ids = np.frombuffer(raw, np.uint8)[offsets[first] : offsets[first + batch.num_rows]].view(kind) if raw is not None else np.zeros(0, kind)
+            own = np.bincount(ids, minlength=len(total))
+            own[: len(total)] += total
+            total = own
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
     return run
 
 
-def fit(documents: DataFrame, vocabulary: str, limit: int = LIMIT) -> Code:
-    """The code of all ids of ``documents(text)`` and one end id per row.
+def fit_ids(encoded: Encoded, limit: int = LIMIT) -> Code:
+    """The code of all written ids.
 
     Counts are combined per task; at most the vocabulary reaches the driver.
     """
-    counts = documents.select("text").mapInArrow(_count(vocabulary), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = encoded.rows.select("ids").mapInArrow(_count(encoded.kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     table = np.zeros(max((r["id"] for r in counts), default=0) + 1, np.int64)
     for r in counts:
         table[r["id"]] = r["n"]
     return Code(code_lengths(table, limit), limit)
 
 
+def fit(documents: DataFrame, vocabulary: str, limit: int = LIMIT) -> Code:
+    """The code of all ids of ``documents(doc_id, text)`` and one end id per row."""
+    return fit_ids(Encoded(documents, vocabulary), limit)
+
+
 BLOCKS = "part int, block int, n_ids long, doc_ids binary, doc_sizes binary, marks binary, bits binary"
 
 
-def _blocks(vocabulary: str, shipped: Shipped):
+def _blocks(kind: str, shipped: Shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, pieces, part = shipped.get(), Pieces.of(vocabulary), TaskContext.get().partitionId()
+        code, part = shipped.get(), TaskContext.get().partitionId()
         number, docs, sizes, held, n = 0, [], [], [], 0
 
         def close():
@@ -259,18 +294,15 @@ def _blocks(vocabulary: str, shipped: Shipped):
             return row
 
         for batch in batches:
-            names = batch.column("doc_id").fill_null(NO_ID).to_numpy()
-            data, offsets = string_bytes(batch.column("text"))
-            for a, b in slices(offsets, 1 << 21):
-                ids, bounds = pieces.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                for d in range(b - a):
-                    own = np.append(ids[bounds[d] : bounds[d + 1]], np.uint32(END))
-                    docs.append(names[a + d])
-                    sizes.append(len(own))
-                    held.append(own)
-                    n += len(own)
-                    if n >= BLOCK_IDS:
-                        yield close()
+            names, ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(), batch.column("ids")
+            for d in range(batch.num_rows):
+                own = np.frombuffer(ids[d].as_buffer(), kind).astype(np.uint32)
+                docs.append(names[d])
+                sizes.append(len(own))
+                held.append(own)
+                n += len(own)
+                if n >= BLOCK_IDS:
+                    yield close()
         if docs:
             yield close()
 
@@ -280,17 +312,26 @@ def _blocks(vocabulary: str, shipped: Shipped):
 NO_ID = -(1 << 63)
 
 
-def write(documents: DataFrame, vocabulary: str, code: Code) -> DataFrame:
-    """Writes the block table of ``documents(doc_id, text)`` in ascending
-    doc_id order (rows of one doc_id by text) and reads it back.
+def write_ids(encoded: Encoded, code: Code) -> DataFrame:
+    """Writes the block table of written ids in ascending doc_id order (rows
+    of one doc_id by the number of their ids, then by a hash of them) and
+    reads it back.
 
-    NULL texts are empty, so their only id is the end id.  Ranges of doc_id
-    are spread over tasks; ``part`` and ``block`` number the blocks in order.
+    Ranges of these three are spread over tasks, so rows that share a doc_id
+    are not one task's; ``part`` and ``block`` number the blocks in order.
     """
-    spark = documents.sparkSession
+    spark = encoded.rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = documents.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(rows.mapInArrow(_blocks(vocabulary, Shipped(spark, code)), BLOCKS), "blocks")
+    keys = ["doc_id", "n", "tie"]
+    rows = encoded.rows.withColumns({"n": F.octet_length("ids"), "tie": F.xxhash64("ids")})
+    rows = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("doc_id", "ids")
+    return stored(rows.mapInArrow(_blocks(encoded.kind, Shipped(spark, code)), BLOCKS), "blocks")
+
+
+def write(documents: DataFrame, vocabulary: str, code: Code) -> DataFrame:
+    """Writes the block table of ``documents(doc_id, text)``; NULL texts are
+    empty, so their only id is the end id."""
+    return write_ids(Encoded(documents, vocabulary), code)
 
 
 def _read(shipped: Shipped, with_ids: bool):
@@ -341,5 +382,7 @@ def read(blocks: DataFrame, code: Code, with_ids: bool = False) -> DataFrame:
 
 
 def token_files(documents: DataFrame, vocabulary: str) -> DataFrame:
-    code = fit(documents, vocabulary)
-    return read(write(documents, vocabulary, code), code)
+    """Every text is tokenized once; the code and the blocks come from the written ids."""
+    encoded = Encoded(documents, vocabulary)
+    code = fit_ids(encoded)
+    return read(write_ids(encoded, code), code)
