@@ -1,11 +1,14 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from veritally.operators.requests import invalid_requests, normalize_academic, normalize_chat, valid_requests
 from veritally.sources.category_json import scan_category_json, with_instance_index
+from veritally.sources import json_blocks
 from veritally.sources.chat_json import chat_items, scan_chat_json
+from veritally.sources.json_blocks import first_member, split_items
 from veritally.sources.result_files import scan_result_metrics, scan_results
 from veritally.sources.run_logs import scan_run_logs
 from veritally.sources.sinks import json_record, next_experiment_index, write_predictions, write_results
@@ -179,3 +182,123 @@ def test_json_record_keeps_nulls_and_iso_times(spark):
     df = spark.sql("SELECT timestamp'2024-01-02 03:04:05.678' AS t, map('k', 1) AS m, CAST(NULL AS STRING) AS n")
     record = df.select(json_record(["t", "m", "n"]).alias("r")).collect()[0]["r"]
     assert json.loads(record) == {"t": "2024-01-02T03:04:05.678000Z", "m": {"k": 1}, "n": None}
+
+
+def drawn(rng, depth=0):
+    """Any JSON value, with texts that look like structure."""
+    texts = ["a", "}", "{", '"', "\\", '\\"', '}"', '\\\\"}', ",", ":", "[", "]", "é", "日", "\n", '","', '":[{"', '{"metrics":1}']
+    text = "".join(rng.choice(texts) for _ in range(rng.randint(0, 6)))
+    k = rng.random()
+    if k < 0.3 or depth > 4:
+        return text
+    if k < 0.45:
+        return rng.choice([1, -2.5, True, False, None])
+    names = [text, "metrics", "k", text + "x"]
+    if k < 0.75:
+        return {rng.choice(names): drawn(rng, depth + 1) for _ in range(rng.randint(0, 4))}
+    return [drawn(rng, depth + 1) for _ in range(rng.randint(0, 4))]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_large_documents_are_cut_anywhere(spark, tmp_path, seed):
+    """Items of documents read in a dozen ranges each equal those of the whole documents."""
+    rng, want = random.Random(seed), []
+    for f in range(4):
+        if f % 2:
+            doc = [drawn(rng, 1) for _ in range(rng.randint(0, 500))]
+        else:
+            doc = {rng.choice(["safe", "p}q"]) if rng.random() < 0.4 else f"k{i}": drawn(rng) if rng.random() < 0.3 else [drawn(rng, 1) for _ in range(rng.randint(0, 200))]
+                   for i in range(rng.randint(2, 6))}
+        text = json.dumps(doc, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1, 4])) + rng.choice(["", " ", "\n\n"])
+        (tmp_path / f"{f}.json").write_text(text)
+        name = f"{f}.json"
+        for k, v in [(None, doc)] if isinstance(doc, list) else doc.items():
+            if isinstance(v, list):
+                want += [(name, k, "[", i, json.dumps(x, sort_keys=True)) for i, x in enumerate(v)]
+            elif not isinstance(v, dict):
+                want.append((name, k, "s", None, json.dumps(v, sort_keys=True)))
+    size = sum(p.stat().st_size for p in tmp_path.iterdir())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(max(3_000, size // 13)))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions() >= 8
+        rows = split_items(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    got = [(r["source_file"].rsplit("/", 1)[1], r["key"], r["kind"], r["item_index"], json.dumps(json.loads(r["item"]), sort_keys=True)) for r in rows]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_one_file_is_read_by_many_tasks(spark, tmp_path):
+    """A file of 20 MB in ranges of 2 MB: as many tasks, and the rows of the whole-file form."""
+    item = '{"id": %d, "message": "m } { \\" \\\\ ] %d", "parameters": {"aspect": "a%d", "style": "}"}, "explanation": "%s"}'
+    text = ",\n".join(item % (i, i, i % 7, "x" * (i % 400)) for i in range(60_000))
+    path = save(tmp_path / "big.json", '{"other": {"a": [1]}, "unsafe": [%s],\n"n": 3, "safe": [%s], "unethical": []}' % (text, text[: text.index("\n") - 1]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(2 << 20))
+    try:
+        assert spark.read.option("lineSep", "}").text(path).rdd.getNumPartitions() >= 8
+        got = scan_category_json(spark, path, split=True)
+        whole = scan_category_json(spark, path)
+        assert got.count() == whole.count() == 60_001 and got.exceptAll(whole).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("limit", [20, 10**6])
+def test_split_forms_equal_whole_forms(spark, tmp_path, limit, monkeypatch):
+    """Small files too, with the starts of ranges broadcast or joined by key."""
+    monkeypatch.setattr(json_blocks, "MOST_BROADCAST", limit if limit > 100 else 0)
+    path = save(tmp_path / "d.json", ITEMS)
+    assert sorted(scan_category_json(spark, path, split=True).collect()) == sorted(scan_category_json(spark, path).collect())
+    for name, shape in (("a", CHAT), ("b", {"data": CHAT, "v": 1}), ("c", []), ("e", {"v": "x", "data": []})):
+        path = save(tmp_path / f"{name}.json", shape)
+        got, want = scan_chat_json(spark, path, split=True), scan_chat_json(spark, path)
+        parsed = [sorted((r["item_index"], json.dumps(json.loads(r["item"]))) for r in x.collect()) for x in (got, want)]
+        assert parsed[0] == parsed[1] and got.columns == want.columns
+
+
+def test_split_reading_raises_on_bad_files(spark, tmp_path):
+    for i, text in enumerate(('{"safe": [1, 2', '[{"a": "x}, {"b": 1}]', '[{"a": 1}, {"b" 2}]', "12", "[1]]")):
+        with pytest.raises(Exception, match="invalid JSON"):
+            scan_chat_json(spark, save(tmp_path / f"{i}.json", text), split=True).collect()
+
+
+def find(obj, key):
+    if isinstance(obj, dict):
+        if key in obj:
+            return obj[key]
+        obj = list(obj.values())
+    for v in obj if isinstance(obj, list) else []:
+        found = find(v, key)
+        if found is not None:
+            return found
+    return None
+
+
+def test_first_member_at_any_depth(spark, rows):
+    rng = random.Random(8)
+    docs = [drawn(rng) for _ in range(1_500)] + [
+        {"a": [{"b": {"metrics": 1}}], "metrics": 2}, {"a": {"metrics": None, "c": {"metrics": 3}}, "d": [[{"metrics": 4}]]},
+        {"metrics": {"x": [1, {"metrics": 5}]}}, {"metrics": None, "z": {"metrics": 6}}, [[[[{"q": {"metrics": {"deep": True}}}]]]], [], {},
+    ]
+    texts = [json.dumps(d, indent=rng.choice([None, 2])) for d in docs] + [None, '{"a": {"\\u006detrics": 7}}']
+    df = rows("i int, t string", list(enumerate(texts))).withColumn("m", first_member(F.col("t"), "metrics"))
+    found = 0
+    for r in df.collect():
+        want = None if r["t"] is None else find(json.loads(r["t"]), "metrics")
+        got = r["m"] if r["m"] is None or isinstance(want, str) else json.loads(r["m"])
+        assert got == want, r["t"]
+        found += want is not None
+    assert found > 100
+
+
+def test_predictions_at_any_depth(spark, tmp_path):
+    good = {"is_safe": True, "score": 1.5, "category": "a", "latency": 2.5, "model_name": "m"}
+    records = [{"request_text": f"t{i}", "prediction": good} for i in range(3)]
+    nested = save(tmp_path / "n.json", {"run": [{"x": 1}, {"metrics": {"a": 1}, "predictions": records}]})
+    top = save(tmp_path / "t.json", {"model": "m}1", "predictions": records, "dataset": "d"})
+    want = [("t0", 0), ("t1", 1), ("t2", 2)]
+    assert sorted((r["text"], r["position"]) for r in scan_results(spark, nested).collect()) == want
+    whole, split = (sorted(scan_results(spark, top, split=x).collect(), key=lambda r: r["position"]) for x in (False, True))
+    assert whole == split and [(r["text"], r["position"], r["run_model"], r["dataset"]) for r in split] == [(*w, "m}1", "d") for w in want]

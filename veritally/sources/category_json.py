@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from .json_blocks import split_items
 
 # The class keys that are read, in this order.
 CATEGORY_KEYS = ("safe", "unethical", "off-topic", "unsafe")
@@ -41,12 +43,18 @@ def flatten_categories(objects: DataFrame) -> DataFrame:
         "source_file", "category", "offset", F.posexplode("items").alias("pos", "item")
     )
 
+    return _item_fields(items, (F.col("offset") + F.col("pos")).cast("long"))
+
+
+def _item_fields(items: DataFrame, index: Column) -> DataFrame:
+    """Columns of ``item`` (VARIANT) beside its file, place and class."""
+
     def field(path: str):
         return F.try_variant_get("item", path, "string")
 
     return items.select(
         "source_file",
-        (F.col("offset") + F.col("pos")).cast("long").alias("item_index"),
+        index.alias("item_index"),
         "category",
         field("$.id").alias("id"),
         field("$.message").alias("message"),
@@ -56,14 +64,34 @@ def flatten_categories(objects: DataFrame) -> DataFrame:
     )
 
 
-def scan_category_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def _split_categories(spark: SparkSession, path: str) -> DataFrame:
+    """The items of large objects, cut out by many tasks."""
+    found = split_items(spark, path).where(F.col("key").isin(*CATEGORY_KEYS) & (F.col("kind") == "["))
+    # A class begins after the items of the classes before it in the same file.
+    sizes = [F.count_if(F.col("key") == c) for c in CATEGORY_KEYS]
+    starts = found.groupBy(F.col("source_file").alias("of")).agg(F.array(*sizes).alias("sizes"))
+    place = F.array_position(F.lit(list(CATEGORY_KEYS)), F.col("key")).cast("int") - 1
+    before = F.aggregate(F.slice("sizes", F.lit(1), place), F.lit(0).cast("long"), lambda acc, n: acc + n)
+    item = F.try_parse_json("item")
+    checked = F.when(item.isNull(), F.raise_error(F.concat(F.lit("invalid JSON in "), F.col("source_file"))).cast("variant")).otherwise(item)
+    items = found.join(starts, F.col("source_file") == F.col("of")).select(
+        "source_file", (before + F.col("item_index")).alias("index"), F.col("key").alias("category"), checked.alias("item")
+    )
+    return _item_fields(items, F.col("index"))
+
+
+def scan_category_json(spark: SparkSession, path: str, lines: bool = False, split: bool = False) -> DataFrame:
     """Items of category-keyed objects under a file, folder or glob.
 
-    ``lines=False`` reads one (possibly pretty-printed) object per file.
-    ``lines=True`` reads one object per line, which splits large files between
-    tasks and is the form to use at scale.  Malformed JSON raises.
+    By default one (possibly pretty-printed) object per file is read by one
+    task.  ``split=True`` reads such files by byte ranges, many tasks to a
+    file; a class that is given twice in an object keeps the items of both.
+    ``lines=True`` reads one object per line, which any reader splits.
+    Malformed JSON raises.
     """
     _check_suffix(path, (".json", ".jsonl"))
+    if split:
+        return _split_categories(spark, path)
     schema = ", ".join(f"`{c}` array<variant>" for c in CATEGORY_KEYS)
     raw = (
         spark.read.schema(f"{schema}, {_CORRUPT} string")

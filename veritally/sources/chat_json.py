@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .category_json import _check_suffix
+from .json_blocks import split_items
 
 
 def chat_items(documents: DataFrame) -> DataFrame:
@@ -30,13 +31,22 @@ def chat_items(documents: DataFrame) -> DataFrame:
     )
 
 
-def scan_chat_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def scan_chat_json(spark: SparkSession, path: str, lines: bool = False, split: bool = False) -> DataFrame:
     """Items of chat files as JSON object strings in ``item``.
 
-    With ``lines=True`` every line is one item, the form to use at scale; the
-    other shapes are one document per file and read whole.
+    With ``lines=True`` every line is one item; the other shapes are one
+    document per file and read whole.  With ``split=True`` arrays and objects
+    with a ``data`` array are read by byte ranges, many tasks to a file (one
+    object alone is one item: read it whole).
     """
     _check_suffix(path, (".json", ".jsonl"))
+    if split:
+        found = split_items(spark, path).where("kind = '[' AND (key IS NULL OR key = 'data')")
+        bad = F.raise_error(F.concat(F.lit("invalid JSON in "), F.col("source_file"))).cast("string")
+        return found.select(
+            "source_file", F.col("item_index").cast("int").alias("item_index"),
+            F.when(F.try_parse_json("item").isNull(), bad).otherwise(F.trim("item")).alias("item"),
+        )
     if lines:
         return (
             spark.read.text(path)

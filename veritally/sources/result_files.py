@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schema import RESPONSES
+from .json_blocks import first_member, split_items
 
 _FILE = (
     "model string, dataset string, total_samples long, metrics string, "
@@ -13,6 +14,7 @@ _FILE = (
     # A line may also be one record by itself, as the predictions sink writes it.
     "request_text string, request_metadata map<string,string>, request_category string, prediction string"
 )
+_RUN = "model string, dataset string, total_samples long, metrics string"
 _PREDICTION = (
     "is_safe boolean, score double, category string, latency double, model_name string, "
     "timestamp string, instance_index long, iteration int, raw_response string"
@@ -26,29 +28,19 @@ def _result_documents(spark: SparkSession, path: str, lines: bool) -> DataFrame:
     )
 
 
-def _nested_metrics(value: Column) -> Column:
-    """``metrics`` of the first top-level member that has one."""
-    inner = F.transform(
-        F.json_object_keys(value),
-        lambda k: F.call_function(
-            "get_json_object", value, F.concat(F.lit("$['"), k, F.lit("'].metrics"))
-        ),
-    )
-    return F.get(F.filter(inner, lambda m: m.isNotNull()), F.lit(0))
-
-
 def scan_result_metrics(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One row per file: model, dataset and the metrics object as JSON text.
 
-    Both writers put ``metrics`` at the top level; a file that nests it one
-    level down is read too, and a file without any raises.
+    ``metrics`` may be at any depth, inside objects and lists: the first one
+    in depth-first order that is not null is read.  An object that has the key
+    is not searched further.  A file without any raises.
     """
-    docs = _result_documents(spark, path, lines).withColumn("_f", F.from_json("value", _FILE))
+    docs = _result_documents(spark, path, lines).withColumn("_f", F.from_json("value", _RUN))
     f = F.col("_f")
+    # Both writers put it at the top, where it is read without a search.
+    docs = docs.withColumn("_found", first_member(F.when(f["metrics"].isNull(), F.col("value")), "metrics"))
     metrics = F.coalesce(
-        f["metrics"],
-        _nested_metrics(F.col("value")),
-        F.raise_error(F.concat(F.lit("no metrics in "), F.col("source_file"))).cast("string"),
+        f["metrics"], "_found", F.raise_error(F.concat(F.lit("no metrics in "), F.col("source_file"))).cast("string")
     )
     return docs.select(
         "source_file", f["model"].alias("model"), f["dataset"].alias("dataset"),
@@ -92,28 +84,56 @@ def prediction_fields(raw: Column, p: Column) -> dict[str, Column]:
     }
 
 
-def scan_results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """One row per saved prediction: request and response side by side.
+_RECORD = "request_text string, request_metadata map<string,string>, prediction string, response string, result string"
 
-    Older files that use ``response`` or ``result`` instead of ``prediction``
-    are accepted.  ``lines=True`` reads one result object per line.
-    """
+
+def _whole_records(spark: SparkSession, path: str, lines: bool) -> DataFrame:
     # Each parse is a projection of its own: used by several columns, it is
     # evaluated once per row and not once per column.
-    docs = _result_documents(spark, path, lines).select(
-        "source_file", F.from_json("value", _FILE).alias("_f")
-    )
+    docs = _result_documents(spark, path, lines).select("source_file", "value", F.from_json("value", _FILE).alias("_f"))
     f = F.col("_f")
     nothing = F.lit(None).cast("string")
     alone = F.array(F.struct(
         f["request_text"].alias("request_text"), f["request_metadata"].alias("request_metadata"),
         f["prediction"].alias("prediction"), nothing.alias("response"), nothing.alias("result"),
     ))
-    records = F.coalesce(f["predictions"], F.when(f["prediction"].isNotNull(), alone))
-    each = docs.select(
+    here = F.coalesce(f["predictions"], F.when(f["prediction"].isNotNull(), alone))
+    # Predictions that are not at the top are searched for in the files without.
+    docs = docs.withColumn("_found", first_member(F.when(here.isNull(), F.col("value")), "predictions"))
+    records = F.coalesce(here, F.from_json("_found", f"array<struct<{_RECORD}>>"))
+    return docs.select(
         "source_file", F.col("_f.model").alias("run_model"), F.col("_f.dataset").alias("dataset"),
         F.col("_f.request_category").alias("_category"), F.posexplode(records).alias("position", "p"),
-    ).select(
+    )
+
+
+def _split_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of large files, cut out by many tasks."""
+    found = split_items(spark, path)
+
+    def top(key: str) -> Column:
+        return F.max(F.when(F.col("key") == key, F.get_json_object(F.concat(F.lit('{"x":'), F.col("item"), F.lit("}")), "$.x")))
+
+    files = found.where("kind = 's' AND key IN ('model', 'dataset')").groupBy(F.col("source_file").alias("of")).agg(
+        top("model").alias("run_model"), top("dataset").alias("dataset")
+    )
+    bad = F.raise_error(F.concat(F.lit("invalid JSON in "), F.col("source_file"))).cast("string")
+    text = F.when(F.try_parse_json("item").isNull(), bad).otherwise(F.col("item"))
+    return found.where("kind = '[' AND key = 'predictions'").join(files, F.col("source_file") == F.col("of"), "left").select(
+        "source_file", "run_model", "dataset", F.lit(None).cast("string").alias("_category"),
+        F.col("item_index").cast("int").alias("position"), text.alias("item"),
+    ).withColumn("p", F.from_json("item", _RECORD)).drop("item")
+
+
+def scan_results(spark: SparkSession, path: str, lines: bool = False, split: bool = False) -> DataFrame:
+    """One row per saved prediction: request and response side by side.
+
+    Older files that use ``response`` or ``result`` instead of ``prediction``
+    are accepted, and files that hold ``predictions`` at any depth.
+    ``lines=True`` reads one result object per line; ``split=True`` reads large
+    files with ``predictions`` at the top by byte ranges, many tasks to a file.
+    """
+    each = (_split_records(spark, path) if split else _whole_records(spark, path, lines)).select(
         "source_file", "run_model", "dataset", "position", "_category",
         F.col("p.request_text").alias("text"),
         F.col("p.request_metadata").alias("metadata"),

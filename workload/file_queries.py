@@ -3,7 +3,7 @@ reader under test reads them back."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from veritally.operators.binary import binary_accumulative, binary_metrics
 from veritally.operators.align import align_predictions
@@ -12,7 +12,7 @@ from veritally.operators.views import run_summary
 from veritally.plans.shared import scratch_path
 from veritally.sources.category_json import CATEGORY_KEYS, scan_category_json
 from veritally.sources.chat_json import scan_chat_json
-from veritally.sources.result_files import scan_results
+from veritally.sources.result_files import scan_result_metrics, scan_results
 from veritally.sources.run_logs import scan_run_logs
 from veritally.sources.sinks import (
     json_record,
@@ -187,6 +187,125 @@ def q_scan_results(spark, d):
     )
 
 
+# Items of a staged whole document: one document per so many keys.
+DOCUMENT_ITEMS = 20_000
+
+
+def stage_documents(rows: DataFrame, name: str, group: Column, first: Column, last: Column) -> str:
+    """One JSON document of many lines per ``doc``: items in the order of
+    (``ord``, ``id``) between the texts of ``first``, ``group`` and ``last``."""
+    order = Window.partitionBy("doc").orderBy("ord", "id")
+    before, after = F.lag("ord").over(order), F.lead("ord").over(order)
+    start = F.when(before.isNull(), F.concat(first, group)).when(before != F.col("ord"), F.concat(F.lit("], "), group)).otherwise(",")
+    lines = rows.select("doc", "ord", "id", F.concat(start, "item", F.when(after.isNull(), last).otherwise("")).alias("value"))
+    path = scratch_path(rows.sparkSession, name)
+    lines.sortWithinPartitions("doc", "ord", "id").select("doc", "value").write.partitionBy("doc").text(path)
+    return path
+
+
+def document_of(key: str) -> Column:
+    return F.floor(F.col(key) / DOCUMENT_ITEMS).alias("doc")
+
+
+@query(
+    "scan_category_documents",
+    """
+    SELECT instance_index // 20000 AS doc, instance_index, category, lang AS aspect, source AS style, text AS message,
+      CAST(row_number() OVER (PARTITION BY instance_index // 20000
+        ORDER BY CASE category WHEN 'safe' THEN 1 WHEN 'unethical' THEN 2 ELSE 3 END, instance_index) - 1
+        AS BIGINT) AS item_index
+    FROM v_all_requests
+    """,
+)
+def q_scan_category_documents(spark, d):
+    """Whole documents of many items, each read by many tasks."""
+    item = F.struct(
+        F.col("instance_index").alias("id"),
+        F.struct(F.col("lang").alias("aspect"), F.col("source").alias("style")).alias("parameters"),
+        F.col("text").alias("message"),
+    )
+    # In the documents the classes stand in another order than they are read in.
+    rows = v.all_requests(spark, d).select(
+        document_of("instance_index"), F.col("category").alias("ord"), F.col("instance_index").alias("id"), F.to_json(item).alias("item")
+    )
+    path = stage_documents(
+        rows, "category-documents", F.concat(F.lit('"'), "ord", F.lit('": [\n')), F.lit('{"other": {"safe": [0]},\n'), F.lit("]}")
+    )
+    return scan_category_json(spark, path, split=True).select(
+        F.regexp_extract("source_file", r"doc=(-?\d+)", 1).cast("long").alias("doc"), F.col("id").cast("long").alias("instance_index"),
+        "category", "aspect", "style", "message", "item_index",
+    )
+
+
+@query("scan_chat_documents", _CHAT_SQL)
+def q_scan_chat_documents(spark, d):
+    """Arrays, and objects with a ``data`` array, read by many tasks each."""
+    id = F.get_json_object("item", "$.id").cast("long")
+    rows = chat_items(spark, d).select(id.alias("id"), "item").select(document_of("id"), F.lit(0).alias("ord"), "id", "item")
+    odd = F.col("doc") % 2 == 1
+    path = stage_documents(
+        rows, "chat-documents", F.lit("[\n"), F.when(odd, '{"data": ').otherwise(""), F.when(odd, '], "v": 1}').otherwise("]")
+    )
+    return _chat_rows(scan_chat_json(spark, path, split=True).select("item"))
+
+
+@query(
+    "scan_result_documents",
+    """
+    SELECT r.model_name, r.instance_index, r.iteration, r.is_safe, r.predicted, r.actual, r.latency, md5(q.text) AS text_md5,
+      'run-' || r.model_name AS run_model
+    FROM v_responses r JOIN v_requests q USING (instance_index)
+    """,
+)
+def q_scan_result_documents(spark, d):
+    """Result files of whole runs, each read by many tasks."""
+    labels = v.requests(spark, d).select("instance_index", F.col("category").alias("actual"), "text")
+    prediction = F.struct("is_safe", "score", "category", "latency", "model_name", "instance_index", "iteration")
+    record = F.struct(
+        F.col("text").alias("request_text"), F.struct(F.col("actual").alias("category")).alias("request_metadata"), prediction.alias("prediction")
+    )
+    rows = v.responses(spark, d).join(labels, "instance_index").select(
+        F.concat_ws("-", "model_name", document_of("instance_index")).alias("doc"), F.lit(0).alias("ord"),
+        (F.col("instance_index") * v.ITERATIONS + F.col("iteration")).alias("id"), F.to_json(record).alias("item"), "model_name",
+    )
+    first = F.concat(F.lit('{"model": "run-'), "model_name", F.lit('", "metrics": {"n": [1]},\n'))
+    path = stage_documents(rows, "result-documents", F.lit('"predictions": [\n'), first, F.lit('], "total_samples": 1}'))
+    return scan_results(spark, path, split=True).select(
+        "model_name", "instance_index", "iteration", "is_safe", F.col("category").alias("predicted"), "actual", "latency",
+        F.md5("text").alias("text_md5"), "run_model",
+    )
+
+
+def nested_result(depth: Column, metrics: Column, name: Column) -> Column:
+    """A result object with its metrics ``depth`` levels down, through objects and lists, between others that do not count."""
+    inner = F.concat(F.lit('{"text": "\\"metrics\\": {1", "metrics": '), metrics, F.lit("}"))
+    wrap = F.aggregate(
+        F.sequence(F.lit(1), depth), inner,
+        lambda acc, i: F.when(i % 2 == 0, F.concat(F.lit('[{"metrics": null, "in": {"metrics": 1}}, 7, '), acc, F.lit("]"))).otherwise(
+            F.concat(F.lit('{"b": '), acc, F.lit(', "a": {"metrics": {"n": -1}}}'))
+        ),
+    )
+    return F.when(depth == 0, inner).otherwise(F.concat(F.lit('{"model": "'), name, F.lit('", "runs": '), wrap, F.lit("}")))
+
+
+@query(
+    "scan_result_metrics",
+    """
+    SELECT CASE WHEN depth = 0 THEN NULL ELSE model_name END AS model, '{"n":' || n || ',"bucket":' || bucket || '}' AS metrics
+    FROM (SELECT model_name, instance_index // 10 AS bucket, count(*) AS n, (instance_index // 10) % 7 AS depth
+          FROM v_all_responses GROUP BY ALL)
+    """,
+)
+def q_scan_result_metrics(spark, d):
+    """Metrics at the top and up to six levels down, through objects and lists."""
+    bucket = F.floor(F.col("instance_index") / 10)
+    runs = v.all_responses(spark, d).groupBy("model_name", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    metrics = F.concat(F.lit('{"n": '), "n", F.lit(', "bucket": '), "bucket", F.lit("}"))
+    path = scratch_path(spark, "nested-results")
+    runs.select(nested_result((F.col("bucket") % 7).cast("int"), metrics, F.col("model_name")).alias("value")).write.text(path)
+    return scan_result_metrics(spark, path, lines=True).select("model", "metrics")
+
+
 def errors(spark: SparkSession, d: str) -> DataFrame:
     """The failed calls with an error text per branch."""
     i = F.col("instance_index") % 4
@@ -199,7 +318,7 @@ def errors(spark: SparkSession, d: str) -> DataFrame:
         .when(i == 2, "Invalid response format from service: missing key")
         .otherwise("Unexpected error during evaluation: Quota exceeded")
     )
-    return v.slots(spark, d).where(F.col("h") == 19).select(
+    return v.slots(spark, d, labelled=False).where(F.col("h") == 19).select(
         "model_name", "instance_index", "iteration", (F.col("iteration") + 1).alias("attempt"),
         error.alias("error"),
     )
@@ -209,9 +328,9 @@ def stage_logs(spark: SparkSession, d: str) -> str:
     """One folder of log lines per model and iteration."""
     run = F.concat_ws("-", "model_name", "iteration")
     at = F.unix_seconds("timestamp")
-    samples = v.requests(spark, d).agg(F.count(F.lit(1)).alias("samples"))
+    samples = v.all_requests(spark, d).agg(F.count(F.lit(1)).alias("samples"))
     runs = (
-        v.responses(spark, d).groupBy("model_name", "iteration")
+        v.all_responses(spark, d).groupBy("model_name", "iteration")
         .agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n"))
         .join(F.broadcast(samples))  # one row
     )
@@ -258,7 +377,7 @@ def q_scan_run_logs(spark, d):
 
 
 def aligned(spark: SparkSession, d: str) -> DataFrame:
-    return align_predictions(v.responses(spark, d), v.requests(spark, d), v.SAFE)
+    return align_predictions(v.all_responses(spark, d), v.all_requests(spark, d), v.SAFE)
 
 
 @query(
@@ -329,18 +448,18 @@ def q_to_json_record(spark, d):
     "next_experiment_index",
     """
     SELECT e.experiment, CAST(coalesce(max(r.iteration) + 1, 0) AS INTEGER) AS next_index
-    FROM (SELECT DISTINCT model_name AS experiment FROM v_responses
-          UNION SELECT DISTINCT category FROM v_requests) e
-    LEFT JOIN v_responses r ON r.model_name = e.experiment GROUP BY e.experiment
+    FROM (SELECT DISTINCT model_name AS experiment FROM v_all_responses
+          UNION SELECT DISTINCT category FROM v_all_requests) e
+    LEFT JOIN v_all_responses r ON r.model_name = e.experiment GROUP BY e.experiment
     """,
 )
 def q_next_experiment_index(spark, d):
-    runs = v.responses(spark, d).select(
+    runs = v.all_responses(spark, d).select(
         F.col("model_name").alias("experiment"), F.col("iteration").alias("experiment_index")
     )
     names = (
         runs.select("experiment")
-        .union(v.requests(spark, d).select("category"))
+        .union(v.all_requests(spark, d).select("category"))
         .distinct()
     )
     return next_experiment_index(runs, names)

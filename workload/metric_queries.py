@@ -143,9 +143,9 @@ def q_multiclass_accumulative(spark, d):
     return rounded(out, *[c for c in out.columns if c != "model_name"])
 
 
-@query("latency_stats", f"SELECT model_name, {_R_LAT} FROM v_latency")
+@query("latency_stats", f"SELECT model_name, {_R_LAT} FROM v_all_latency")
 def q_latency_stats(spark, d):
-    return rounded(latency_stats(v.responses(spark, d)), "mean", "median", "std")
+    return rounded(latency_stats(v.all_responses(spark, d)), "mean", "median", "std")
 
 
 @query(
@@ -160,9 +160,9 @@ def q_latency_stats_events(spark, d):
     return rounded(latency_stats(v.event_responses(v.table(spark, d, "events"))), "mean", "median", "std")
 
 
-@query("latency_per_instance", f"SELECT model_name, {_R_LAT.replace('min, max', 'round(min, 6) AS min, round(max, 6) AS max')} FROM v_latency_instance")
+@query("latency_per_instance", f"SELECT model_name, {_R_LAT.replace('min, max', 'round(min, 6) AS min, round(max, 6) AS max')} FROM v_all_latency_instance")
 def q_latency_per_instance(spark, d):
-    return rounded(latency_per_instance(v.responses(spark, d)), *LAT)
+    return rounded(latency_per_instance(v.all_responses(spark, d)), *LAT)
 
 
 @query(
@@ -366,9 +366,9 @@ def q_latency_box(spark, d):
     return rounded(latency_box(v.event_responses(v.table(spark, d, "events"))), *_BOX)
 
 
-@query("latency_box_responses", _BOX_SQL.format("v_responses"))
+@query("latency_box_responses", _BOX_SQL.format("v_all_responses"))
 def q_latency_box_responses(spark, d):
-    return rounded(latency_box(v.responses(spark, d)), *_BOX)
+    return rounded(latency_box(v.all_responses(spark, d)), *_BOX)
 
 
 @query(

@@ -111,7 +111,7 @@ def q_truth_is_safe(spark, d):
     """
     SELECT model_name, instance_index, iteration,
       CASE WHEN h < 6 THEN 'safe' WHEN h < 12 THEN 'unethical' WHEN h < 15 THEN 'off-topic' END AS primary_class
-    FROM v_responses
+    FROM v_all_responses
     """,
 )
 def q_primary_category(spark, d):
@@ -122,7 +122,7 @@ def q_primary_category(spark, d):
         .when(h < 15, F.array(F.lit("off-topic"), F.lit("safe")))
         .when(h < 17, F.array().cast("array<string>"))
     )
-    rows = v.responses(spark, d, keep_branch=True).withColumn("categories", lists)
+    rows = v.all_responses(spark, d, keep_branch=True).withColumn("categories", lists)
     return rows.select(
         "model_name", "instance_index", "iteration", primary_category("categories").alias("primary_class")
     )
@@ -173,7 +173,7 @@ def guard_raw(spark: SparkSession, d: str) -> DataFrame:
         .when(h < 17, "\n\nunsafe\nA1,A3")
         .otherwise("\n\n\n")
     )
-    return v.responses(spark, d, keep_branch=True).select(
+    return v.all_responses(spark, d, keep_branch=True).select(
         "model_name", "instance_index", "iteration", raw.alias("raw_response")
     )
 
@@ -205,12 +205,12 @@ def q_guard_output_failures(spark, d):
     """
     SELECT model_name, instance_index, iteration, h % 3 <> 0 AS is_safe, h / 20.0::DOUBLE AS score,
       CASE WHEN h % 3 = 0 THEN CASE WHEN h < 9 THEN 'hate_speech' WHEN h < 15 THEN 'S99' ELSE '' END END AS category
-    FROM v_responses
+    FROM v_all_responses
     """,
 )
 def q_parse_label_output(spark, d):
     h = F.col("h")
-    raw = v.responses(spark, d, keep_branch=True).select(
+    raw = v.all_responses(spark, d, keep_branch=True).select(
         "model_name", "instance_index", "iteration",
         F.when(h % 3 == 0, "UNSAFE").when(h % 3 == 1, "SAFE").alias("label"),
         (h / 20.0).alias("label_score"),
@@ -231,7 +231,7 @@ _SCORE_NAMES = ("hate", "violence/graphic", "custom", "sexual")
         CASE WHEN s1 >= greatest(s2, s3, s4) THEN 'hate_speech' WHEN s2 >= greatest(s3, s4) THEN 'violence'
              WHEN s3 >= s4 THEN 'custom' ELSE 'sexual_content' END END AS category
     FROM (SELECT *, h % 2 = 0 AS flagged, (n_chars % 5) / 8.0::DOUBLE AS s1, (n_chars % 7) / 8.0::DOUBLE AS s2,
-            (instance_index % 6) / 8.0::DOUBLE AS s3, (h % 8) / 8.0::DOUBLE AS s4 FROM v_responses)
+            (instance_index % 6) / 8.0::DOUBLE AS s3, (h % 8) / 8.0::DOUBLE AS s4 FROM v_all_responses)
     """,
 )
 def q_parse_moderation_scores(spark, d):
@@ -239,7 +239,7 @@ def q_parse_moderation_scores(spark, d):
     scores = F.map_from_arrays(
         F.array(*[F.lit(n) for n in _SCORE_NAMES]), F.array(*[x / 8.0 for x in values])
     )
-    raw = v.responses(spark, d, keep_branch=True).select(
+    raw = v.all_responses(spark, d, keep_branch=True).select(
         "model_name", "instance_index", "iteration", (F.col("h") % 2 == 0).alias("flagged"),
         scores.alias("category_scores"),
     )
@@ -253,7 +253,7 @@ def q_parse_moderation_scores(spark, d):
       greatest(p1, p2, p3) / 4.0::DOUBLE AS score,
       CASE WHEN greatest(p1, p2, p3) > 2 THEN
         CASE WHEN p1 >= greatest(p2, p3) THEN 'harassment' WHEN p2 >= p3 THEN 'violence' ELSE 'HARM_OTHER' END END AS category
-    FROM (SELECT *, 1 + n_chars % 4 AS p1, 1 + instance_index % 3 AS p2, 1 + h % 4 AS p3 FROM v_responses)
+    FROM (SELECT *, 1 + n_chars % 4 AS p1, 1 + instance_index % 3 AS p2, 1 + h % 4 AS p3 FROM v_all_responses)
     """,
 )
 def q_parse_safety_ratings(spark, d):
@@ -265,7 +265,7 @@ def q_parse_safety_ratings(spark, d):
         rating("HARM_CATEGORY_DANGEROUS_CONTENT", F.col("instance_index") % 3),
         rating("HARM_OTHER", F.col("h") % 4),
     )
-    raw = v.responses(spark, d, keep_branch=True).select(
+    raw = v.all_responses(spark, d, keep_branch=True).select(
         "model_name", "instance_index", "iteration", ratings.alias("ratings")
     )
     return P.parse_safety_ratings(raw, names=HARM_CLASSES).drop("ratings")
@@ -337,24 +337,24 @@ def q_align_predictions(spark, d):
 
 
 def _expected(spark, d):
-    requests = v.requests(spark, d).select("instance_index")
+    requests = v.all_requests(spark, d).select("instance_index")
     return expand_iterations(cross_models(requests, v.MODELS), v.ITERATIONS).drop("exp_index")
 
 
 @query(
     "failed_requests",
-    "SELECT model_name, instance_index, iteration FROM v_slots WHERE h = 19",
+    "SELECT model_name, instance_index, iteration FROM v_all_slots WHERE h = 19",
 )
 def q_failed_requests(spark, d):
-    return failed_requests(_expected(spark, d), v.responses(spark, d))
+    return failed_requests(_expected(spark, d), v.all_responses(spark, d))
 
 
 @query(
     "answered_requests",
-    "SELECT model_name, instance_index, iteration FROM v_slots WHERE h <> 19",
+    "SELECT model_name, instance_index, iteration FROM v_all_slots WHERE h <> 19",
 )
 def q_answered_requests(spark, d):
-    return answered_requests(_expected(spark, d), v.responses(spark, d))
+    return answered_requests(_expected(spark, d), v.all_responses(spark, d))
 
 
 @query(
@@ -363,12 +363,12 @@ def q_answered_requests(spark, d):
     SELECT model_name, instance_index, iteration,
       CASE WHEN h % 4 = 0 THEN NOT is_safe ELSE is_safe END AS is_safe,
       CASE WHEN h % 4 = 0 THEN 'rewritten' ELSE predicted END AS category, latency
-    FROM v_responses
+    FROM v_all_responses
     """,
 )
 def q_dedupe_slots(spark, d):
     """Every slot has an earlier write; every fourth branch a later one."""
-    base = v.responses(spark, d, keep_branch=True).drop("n_chars", "ord")
+    base = v.all_responses(spark, d, keep_branch=True).drop("n_chars", "ord")
     write = F.explode(F.array(F.lit(-60), F.lit(0), F.lit(60)))
     shift = F.col("shift")
     writes = (
@@ -399,7 +399,7 @@ def q_cross_models(spark, d):
     SELECT model_name, instance_index, iteration,
       CASE WHEN h < 4 THEN 'harassment' WHEN h < 8 THEN 'self_harm' WHEN h < 12 THEN 'hate_speech'
            WHEN h < 16 THEN 'novel/class' END AS standard
-    FROM v_responses
+    FROM v_all_responses
     """,
 )
 def q_map_taxonomy(spark, d):
@@ -407,7 +407,7 @@ def q_map_taxonomy(spark, d):
     raw = (
         F.when(h < 4, "harassment/threatening").when(h < 8, "self-harm/intent").when(h < 12, "hate").when(h < 16, "novel/class")
     )
-    rows = v.responses(spark, d, keep_branch=True).withColumn("category", raw)
+    rows = v.all_responses(spark, d, keep_branch=True).withColumn("category", raw)
     return map_taxonomy(rows, MODERATION_CLASSES).select("model_name", "instance_index", "iteration", "standard")
 
 

@@ -124,7 +124,7 @@ def q_evaluate_run(spark, d):
 @query(
     "run_log_summary",
     """
-    SELECT run, max(split_part(run, '-', 1)) AS model_name, (SELECT count(*) FROM v_requests) AS samples,
+    SELECT run, max(split_part(run, '-', 1)) AS model_name, (SELECT count(*) FROM v_all_requests) AS samples,
       CAST(max(regexp_extract(message, 'Got (\\d+) responses', 1)) FILTER (message LIKE 'Completed%') AS BIGINT) AS responses,
       max(ts_s) FILTER (message LIKE 'Completed%') - max(ts_s) FILTER (message LIKE 'Evaluating%') AS seconds,
       count(*) FILTER (level = 'ERROR') AS errors
@@ -176,13 +176,13 @@ def q_classify_failures(spark, d):
     SELECT model_name, CAST(max(running) AS BIGINT) AS peak_calls FROM (
       SELECT model_name, sum(step) OVER (PARTITION BY model_name ORDER BY t, step
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running
-      FROM (SELECT model_name, ts_s * 1000000 AS t, -1 AS step FROM v_responses
-            UNION ALL SELECT model_name, ts_s * 1000000 - CAST(latency * 1000 AS BIGINT), 1 FROM v_responses))
+      FROM (SELECT model_name, ts_s * 1000000 AS t, -1 AS step FROM v_all_responses
+            UNION ALL SELECT model_name, ts_s * 1000000 - CAST(latency * 1000 AS BIGINT), 1 FROM v_all_responses))
     GROUP BY model_name
     """,
 )
 def q_peak_concurrency(spark, d):
-    return peak_concurrency(v.responses(spark, d))
+    return peak_concurrency(v.all_responses(spark, d))
 
 
 @query(

@@ -67,6 +67,22 @@ v_responses AS (
     1704067200 + instance_index * 5 + iteration AS ts_s
   FROM v_slots WHERE h <> 19
 ),
+v_all_slots AS (
+  SELECT m.model_name, m.ord, i.iteration, r.instance_index, r.n_chars, r.category,
+    (r.instance_index * 31 + i.iteration * 17 + m.ord * 7 + r.n_chars) % 20 AS h
+  FROM v_all_requests r CROSS JOIN v_models m CROSS JOIN v_iters i
+),
+v_all_responses AS (
+  SELECT model_name, ord, instance_index, iteration, h, n_chars, category AS actual,
+    CASE WHEN h <= 11 THEN category WHEN h <= 14 THEN 'safe' WHEN h <= 16 THEN 'unethical'
+         WHEN h = 17 THEN 'off-topic' END AS predicted,
+    CASE WHEN h <= 11 THEN category = 'safe' WHEN h <= 14 THEN true WHEN h <= 17 THEN false
+         ELSE instance_index % 2 = 0 END AS is_safe,
+    category = 'safe' AS actual_safe,
+    CAST(50 + (n_chars * 13 + iteration * 29 + ord * 101) % 1000 AS DOUBLE) AS latency,
+    1704067200 + instance_index * 5 + iteration AS ts_s
+  FROM v_all_slots WHERE h <> 19
+),
 v_binary AS (SELECT model_name, {COUNT4} FROM v_responses GROUP BY model_name),
 v_binary_iter AS (SELECT model_name, iteration, {COUNT4} FROM v_responses GROUP BY model_name, iteration),
 v_binary_iter_metrics AS (SELECT *, {BINARY} FROM v_binary_iter),
@@ -135,6 +151,9 @@ v_binary_acc AS (
 v_latency AS ({latency("v_responses")}),
 v_instance AS (SELECT model_name, instance_index, avg(latency) AS latency FROM v_responses GROUP BY ALL),
 v_latency_instance AS ({latency("v_instance")}),
+v_all_latency AS ({latency("v_all_responses")}),
+v_all_instance AS (SELECT model_name, instance_index, avg(latency) AS latency FROM v_all_responses GROUP BY ALL),
+v_all_latency_instance AS ({latency("v_all_instance")}),
 v_perf_acc AS (
   SELECT model_name, category, CAST(count(*) AS BIGINT) AS total, sum(acc) AS correct, avg(acc) AS accuracy
   FROM (
@@ -161,7 +180,7 @@ v_guard_raw AS (
          WHEN h < 17 THEN chr(10) || chr(10) || 'unsafe' || chr(10) || 'A1,A3'
          ELSE chr(10) || chr(10) || chr(10) END AS raw_response,
     h
-  FROM v_responses
+  FROM v_all_responses
 ),
 v_errors AS (
   SELECT model_name, instance_index, iteration, iteration + 1 AS attempt,
@@ -170,21 +189,21 @@ v_errors AS (
       WHEN 1 THEN 'Quota exceeded for requests per minute'
       WHEN 2 THEN 'Invalid response format from service: missing key'
       ELSE 'Unexpected error during evaluation: Quota exceeded' END AS error
-  FROM v_slots WHERE h = 19
+  FROM v_all_slots WHERE h = 19
 ),
 v_log AS (
   SELECT run, ts_s, level, message FROM (
     SELECT model_name || '-' || iteration AS run, min(ts_s) AS ts_s, 'INFO' AS level,
-      'Loaded ' || (SELECT count(*) FROM v_requests) || ' samples from dataset' AS message
-    FROM v_responses GROUP BY model_name, iteration
+      'Loaded ' || (SELECT count(*) FROM v_all_requests) || ' samples from dataset' AS message
+    FROM v_all_responses GROUP BY model_name, iteration
     UNION ALL
     SELECT model_name || '-' || iteration, min(ts_s), 'INFO',
-      'Evaluating ' || model_name || ' on ' || (SELECT count(*) FROM v_requests) || ' samples'
-    FROM v_responses GROUP BY model_name, iteration
+      'Evaluating ' || model_name || ' on ' || (SELECT count(*) FROM v_all_requests) || ' samples'
+    FROM v_all_responses GROUP BY model_name, iteration
     UNION ALL
     SELECT model_name || '-' || iteration, max(ts_s) + 60, 'INFO',
       'Completed evaluation. Got ' || count(*) || ' responses'
-    FROM v_responses GROUP BY model_name, iteration
+    FROM v_all_responses GROUP BY model_name, iteration
     UNION ALL
     SELECT model_name || '-' || iteration, 1704067200 + instance_index * 5 + iteration, 'ERROR',
       'Call ' || instance_index || ' failed: ' || error

@@ -61,11 +61,12 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every expected call with its branch number ``h``."""
+def slots(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame:
+    """Every expected call with its branch number ``h``; for metrics, those of labelled documents."""
+    given = requests(spark, sf_dir) if labelled else all_requests(spark, sf_dir)
     models = ", ".join(f"struct('{m}' AS model_name, {i} AS ord)" for i, m in enumerate(MODELS))
     return (
-        requests(spark, sf_dir)
+        given
         .selectExpr("instance_index", "n_chars", "category", f"inline(array({models}))")
         .selectExpr("*", f"explode(sequence(0, {ITERATIONS - 1})) AS iteration")
         .selectExpr("*", "(instance_index * 31 + iteration * 17 + ord * 7 + n_chars) % 20 AS h")
@@ -82,9 +83,9 @@ _PREDICTED = (
 )
 
 
-def responses(spark: SparkSession, sf_dir: str, keep_branch: bool = False) -> DataFrame:
+def responses(spark: SparkSession, sf_dir: str, keep_branch: bool = False, labelled: bool = True) -> DataFrame:
     extra = ["ord", "h", "n_chars"] if keep_branch else []
-    return slots(spark, sf_dir).where("h <> 19").selectExpr(
+    return slots(spark, sf_dir, labelled).where("h <> 19").selectExpr(
         "model_name",
         "instance_index",
         "iteration",
@@ -97,6 +98,11 @@ def responses(spark: SparkSession, sf_dir: str, keep_branch: bool = False) -> Da
     )
 
 
+def all_responses(spark: SparkSession, sf_dir: str, keep_branch: bool = False) -> DataFrame:
+    """Responses to every document, for what needs no label."""
+    return responses(spark, sf_dir, keep_branch, labelled=False)
+
+
 def event_responses(events: DataFrame) -> DataFrame:
     """The event table as arriving responses (batch or stream)."""
     return events.selectExpr(
