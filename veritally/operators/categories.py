@@ -55,13 +55,15 @@ def _labels_per_group(groups: DataFrame, totals: DataFrame, by: list[str], share
     return attach(groups, labels, shared, ["_l"]).select(*by, F.inline("_l"))
 
 
-def instance_summary(responses: DataFrame, by: Sequence[str] = MODEL) -> DataFrame:
+def instance_summary(
+    responses: DataFrame, by: Sequence[str] = MODEL, on: Sequence[str] = ("instance_index",)
+) -> DataFrame:
     """Per instance: safe answers, answers and mean latency.
 
     The one aggregation by instance that both the accumulative label view and
     the per-instance latencies need; combined before the shuffle.
     """
-    return responses.groupBy(*by, "instance_index").agg(
+    return responses.groupBy(*dict.fromkeys((*by, *on))).agg(
         F.count_if(F.col("is_safe")).alias("_safe"),
         F.count(F.lit(1)).alias("_all"),
         F.avg("latency").alias("latency"),
@@ -85,7 +87,7 @@ def performance_by_category_accumulative(
     instances to ``(label, safe answers, answers)`` counts after it.  An
     instance without responses counts in ``total`` and adds 0.
     """
-    return performance_of_instances(instance_summary(responses, by), requests, safe, by, on)
+    return performance_of_instances(instance_summary(responses, by, on), requests, safe, by, on)
 
 
 def performance_of_instances(

@@ -1,8 +1,9 @@
 """The full report of a run: one row per model with nested metrics.
 
-The responses are joined with their labels once and reduced to outcome
-counts, and grouped by instance once; all metrics derive from those.  Both are
-written tables, so a lost executor costs no more than its tasks.
+The responses are read and joined with their labels once, into a written table
+of the few columns that metrics need; outcome counts, instance summaries and
+latency statistics derive from it.  A lost executor costs no more than its
+tasks.
 """
 
 from __future__ import annotations
@@ -13,14 +14,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.labels import class_names
 from ..functions.ratios import binary_ratios
-from ..operators.align import align_predictions, unmatched_responses
 from ..operators.binary import COUNTS, binary_accumulative, binary_metrics, confusion_counts
 from ..operators.categories import (
     instance_summary,
     performance_by_category,
     performance_of_instances,
 )
-from ..operators.counts import outcome_counts, weight
+from ..operators.counts import OUTCOME, outcome_counts, weight
 from ..operators.latency import FIELDS, latency_stats, with_median
 from ..operators.quantiles import attach
 from ..operators.multiclass import (
@@ -33,6 +33,7 @@ from ..operators.multiclass import (
     per_class_metrics,
 )
 from .shared import written
+from .state import instances_of, labelled, report_levels
 
 MODEL = "model_name"
 
@@ -102,20 +103,61 @@ def full_report(
     ``run`` in both when the tables hold several.  ``n_rows`` counts expanded
     rows and ``n_instances`` requests; ``iterations`` is always present, and
     ``n_unmatched`` counts a group's responses without a request: they are in
-    no metric.  No response at all is an error.  Outcome counts and instance
-    summaries are written to the shared folder once; the rest is one lazy plan
-    over them.
+    no metric.  No response at all is an error.  The labelled rows, outcome
+    counts and instance summaries are written to the shared folder once; the
+    rest is one lazy plan over them.
     """
-    names, by = class_names(classes), list(by)
-    shared = [c for c in by if c in on]
+    by = list(by)
     known = [c for c in on if c in responses.columns]
     if len(known) < len(on):
         raise ValueError("the responses lack a part of the request key")
-    aligned = align_predictions(responses, requests, safe, on)
-    counts = written(outcome_counts(aligned, (*by, "iteration")), "counts")
+    # The only read of the responses, and the only join: narrow rows that all parts share.
+    keys = list(dict.fromkeys((*by, *on)))
+    rows = written(
+        labelled(responses, requests, safe, on).select(*keys, "iteration", "matched", *OUTCOME, "latency"), "labelled"
+    )
+    matched = rows.where("matched")
+    counts = written(outcome_counts(matched, (*by, "iteration")), "counts")
+    unmatched = rows.where("NOT matched").groupBy(*by).agg(F.count(F.lit(1)).alias("n_unmatched"))
+    instances = None
+    if iterations > 1:
+        instances = written(instance_summary(matched.withColumnRenamed("predicted_safe", "is_safe"), by, on), "instances")
+    latency = latency_stats(matched, by, approx_latency)
+    return _report(counts, unmatched, instances, latency, requests, classes, safe, iterations, dataset, on_unknown, approx_latency, by, on)
+
+
+def state_report(
+    outcomes: DataFrame,
+    instances: DataFrame,
+    requests: DataFrame,
+    classes,
+    safe: Sequence[str],
+    iterations: int = 1,
+    dataset: str = "dataset",
+    on_unknown: str = "error",
+    by: Sequence[str] = (MODEL,),
+    on: Sequence[str] = ("instance_index",),
+) -> DataFrame:
+    """The report of merged run state (:mod:`veritally.plans.state`).
+
+    Reads no response.  Everything is as in :func:`full_report` but the median
+    of all latencies, which comes from the sketch.
+    """
+    by = list(by)
+    outcomes = written(outcomes, "outcomes")
+    matched = outcomes.where("matched")
+    unmatched = outcomes.where("NOT matched").groupBy(*by).agg(F.sum("n").alias("n_unmatched"))
+    kept = written(instances_of(instances), "instances") if iterations > 1 else None
+    latency = report_levels(outcomes, by).where(F.col("level") == 1).select(*by, *FIELDS)
+    counts = matched.select(*by, "iteration", *OUTCOME, "n")
+    return _report(counts, unmatched, kept, latency, requests, classes, safe, iterations, dataset, on_unknown, False, by, on)
+
+
+def _report(counts, unmatched, instances, latency, requests, classes, safe, iterations, dataset, on_unknown, approx, by, on) -> DataFrame:
+    """The report from its small tables."""
+    names, shared = class_names(classes), [c for c in by if c in on]
     if counts.isEmpty():
         raise ValueError("no predictions to measure")
-    unmatched = unmatched_responses(responses, requests, on).groupBy(*by).agg(F.count(F.lit(1)).alias("n_unmatched"))
     head = attach(counts.select(*by).distinct(), _distribution(requests, iterations, shared), shared, ["category_distribution", "_n"], "left")
     head = attach(head, unmatched, by, ["n_unmatched"], "left")
     head = head.select(
@@ -129,17 +171,14 @@ def full_report(
         "category_distribution",
     )
     tables = [head]
-    matched = responses.join(requests.select(*on).distinct(), list(on), "left_semi")
     if iterations > 1:
-        instances = written(instance_summary(matched, by), "instances")
         performance = performance_of_instances(instances, requests, safe, by, on)
-        per_instance = latency_stats(instances, by, approx_latency)
+        per_instance = latency_stats(instances, by, approx)
         tables += _accumulative(counts, performance, names, iterations, on_unknown, by)
         tables.append(_nested(per_instance, by, "latency_per_instance", FIELDS))
     else:
         tables += _single(counts, names, on_unknown, by)
-    overall = latency_stats(matched, by, approx_latency)
-    tables.append(_nested(overall, by, "latency", FIELDS))
+    tables.append(_nested(latency, by, "latency", FIELDS))
     return _joined(tables, by)
 
 

@@ -77,11 +77,11 @@ def replay_run(
     """The report recomputed from saved predictions, one row per model,
     dataset and run; needs no model.
 
-    The JSON is parsed once into a columnar table in the shared folder; the
-    report's several passes then read only the columns they need.
+    The JSON is parsed once into a columnar table in the shared folder, without
+    texts: requests are told by their key and label.
     """
     table = scratch_path(spark, "replayed")
-    scan_results(spark, path, lines).drop("raw_response", "metadata").write.parquet(table)
+    scan_results(spark, path, lines).drop("raw_response", "metadata", "text").write.parquet(table)
     requests, responses = split_results(spark.read.parquet(table))
     return full_report(
         responses, requests, classes, safe, iterations, by=("model_name", "dataset", "run"), on=RUN_KEY

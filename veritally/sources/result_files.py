@@ -158,7 +158,7 @@ def split_results(saved: DataFrame) -> tuple[DataFrame, DataFrame]:
     A run is the folder its files are in.  Records of older files without an
     index are told apart by their place in the file.  A request is stored once
     per iteration, so requests are made distinct by key, combined before the
-    shuffle.
+    shuffle.  Records read without ``text`` give requests without it.
     """
     keyed = saved.withColumns({
         "dataset": F.coalesce("dataset", F.lit("")),
@@ -166,9 +166,10 @@ def split_results(saved: DataFrame) -> tuple[DataFrame, DataFrame]:
         "instance_index": F.coalesce("instance_index", F.col("position").cast("long")),
         "iteration": F.coalesce("iteration", F.lit(0)),
     })
+    text = [c for c in ("text",) if c in saved.columns]
     requests = (
         keyed.groupBy(*RUN_KEY)
-        .agg(F.max(F.struct("text", F.col("actual").alias("category"))).alias("_r"))
+        .agg(F.max(F.struct(*text, F.col("actual").alias("category"))).alias("_r"))
         .select(*RUN_KEY, "_r.*")
     )
     fields = {f.name for f in RESPONSES.fields} | {"dataset", "run"}

@@ -31,8 +31,10 @@ from veritally.operators.views import (
     metrics_comparison,
     metrics_long,
 )
-from veritally.plans.report import full_report, multiclass_stats, stats
+from veritally.plans.report import full_report, multiclass_stats, state_report, stats
 from veritally.plans.runs import compare_models, replay_run
+from veritally.plans.shared import scratch_path
+from veritally.plans.state import add_part, class_levels, labelled, outcome_state, read_state, report_levels
 
 from . import views as v
 from .file_queries import aligned, stage_result_objects
@@ -391,3 +393,73 @@ def q_metrics_comparison(spark, d):
 def q_metrics_comparison_multiclass(spark, d):
     summary = multiclass_summary(confusion_matrix(aligned(spark, d), v.CLASSES))
     return rounded(metrics_comparison(metrics_long(summary, _MULTI[:4]), _MULTI[:4]), *_MULTI[:4])
+
+
+_LEVEL_PARTS = """
+    , v_levels AS (
+      SELECT CAST(GROUPING_ID(model_name, iteration) AS INTEGER) AS level, model_name, iteration, count(*) AS n,
+        CAST(count(*) FILTER (is_safe AND actual_safe) AS BIGINT) AS tp,
+        CAST(count(*) FILTER (NOT is_safe AND NOT actual_safe) AS BIGINT) AS tn,
+        CAST(count(*) FILTER (is_safe AND NOT actual_safe) AS BIGINT) AS fp,
+        CAST(count(*) FILTER (NOT is_safe AND actual_safe) AS BIGINT) AS fn,
+        count(*) FILTER (predicted = actual) AS hit, count(predicted) AS seen,
+        avg(latency) AS mean, stddev_pop(latency) AS std, min(latency) AS min, max(latency) AS max
+      FROM v_responses GROUP BY GROUPING SETS ((model_name, iteration), (model_name), ()))
+"""
+_LEVELS_SQL = _LEVEL_PARTS + f"""
+    SELECT level, model_name, iteration, n, {_R_APRF}, tp, tn, fp, fn, round(CAST(hit AS DOUBLE) / seen, 6) AS multi_accuracy,
+      n - seen AS unpredicted, round(mean, 6) AS mean, round(std, 6) AS std, min, max
+    FROM (SELECT *, {BINARY} FROM v_levels)
+"""
+
+
+@query("report_levels", _LEVELS_SQL)
+def q_report_levels(spark, d):
+    """Iterations, models and everything, from one aggregation by grouping sets."""
+    out = report_levels(outcome_state(labelled(v.responses(spark, d), v.requests(spark, d), v.SAFE)))
+    return rounded(out.drop("median", "p95"), *APRF, "multi_accuracy", "mean", "std")
+
+
+@query(
+    "class_levels",
+    f"""
+    , v_pairs AS (
+      SELECT r.model_name, r.iteration, c.class, CAST(r.actual = c.class AS BIGINT) AS support, CAST(r.predicted = c.class AS BIGINT) AS picked,
+        CAST(r.actual = c.class AND r.predicted = c.class AS BIGINT) AS tp
+      FROM v_responses r CROSS JOIN v_classes c WHERE r.predicted IS NOT NULL),
+    v_sums AS (
+      SELECT CAST(GROUPING_ID(model_name, iteration) AS INTEGER) AS level, model_name, iteration, class, CAST(sum(support) AS BIGINT) AS support,
+        CAST(sum(picked) AS BIGINT) AS picked, CAST(sum(tp) AS BIGINT) AS tp
+      FROM v_pairs GROUP BY GROUPING SETS ((model_name, iteration, class), (model_name, class), (class)))
+    SELECT level, model_name, iteration, class, {_R_PRF}, support, tp
+    FROM (SELECT *, {ratio("tp", "picked")} AS "precision", {ratio("tp", "support")} AS recall,
+            {f1(ratio("tp", "picked"), ratio("tp", "support"))} AS f1 FROM v_sums)
+    """,
+)
+def q_class_levels(spark, d):
+    state = outcome_state(labelled(v.responses(spark, d), v.requests(spark, d), v.SAFE))
+    return rounded(class_levels(state, v.CLASSES), *PRF)
+
+
+def stage_state(spark, d) -> str:
+    """Run state of five parts, one of them written twice."""
+    path = scratch_path(spark, "run-state")
+    responses, requests = v.responses(spark, d), v.requests(spark, d)
+    for part in (*range(5), 3):
+        add_part(path, f"part-{part}", responses.where(F.col("instance_index") % 5 == part), requests, v.SAFE)
+    return path
+
+
+@query("merged_state_levels", _LEVELS_SQL)
+def q_merged_state_levels(spark, d):
+    """The same levels from stored parts that were reduced one by one."""
+    outcomes, _ = read_state(spark, stage_state(spark, d))
+    return rounded(report_levels(outcomes).drop("median", "p95"), *APRF, "multi_accuracy", "mean", "std")
+
+
+@query("state_report", _REPORT_SQL.replace(", round(l.median, 6) AS latency_median", ""))
+def q_state_report(spark, d):
+    """The full report from stored parts; its latency median is a sketch's, so it is not compared."""
+    outcomes, instances = read_state(spark, stage_state(spark, d))
+    report = state_report(outcomes, instances, v.requests(spark, d), v.CLASSES, v.SAFE, v.ITERATIONS, "documents")
+    return _flat_report(report).drop("latency_median")
