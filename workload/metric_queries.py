@@ -16,6 +16,7 @@ from veritally.operators.categories import (
     performance_by_category_accumulative,
 )
 from veritally.operators.latency import latency_box, latency_per_instance, latency_stats
+from veritally.operators.many_classes import sparse_class_metrics, sparse_summary
 from veritally.operators.multiclass import (
     average_confusion_matrix,
     confusion_matrix,
@@ -463,3 +464,60 @@ def q_state_report(spark, d):
     outcomes, instances = read_state(spark, stage_state(spark, d))
     report = state_report(outcomes, instances, v.requests(spark, d), v.CLASSES, v.SAFE, v.ITERATIONS, "documents")
     return _flat_report(report).drop("latency_median")
+
+
+# Order lines as answers: the part is the label, and two in three lines name it.
+_MANY_SQL = f"""
+    , v_lines AS (
+      SELECT l_returnflag AS model_name, 'p' || l_partkey AS actual,
+        CASE WHEN l_linenumber % 7 = 6 THEN NULL WHEN l_linenumber % 3 = 0 THEN 'p' || (1 + l_suppkey) ELSE 'p' || l_partkey END AS predicted
+      FROM lineitem),
+    v_names AS (SELECT DISTINCT 'p' || p_partkey AS class FROM part UNION SELECT 'p' || (1 + s_suppkey) FROM supplier),
+    v_rows AS (SELECT model_name, actual AS class, count(*) AS support FROM v_lines WHERE predicted IS NOT NULL GROUP BY ALL),
+    v_cols AS (SELECT model_name, predicted AS class, count(*) AS picked FROM v_lines WHERE predicted IS NOT NULL GROUP BY ALL),
+    v_diag AS (SELECT model_name, actual AS class, count(*) AS tp FROM v_lines WHERE predicted = actual GROUP BY ALL),
+    v_many AS (
+      SELECT g.model_name, c.class, coalesce(t.tp, 0) AS tp, coalesce(r.support, 0) AS support, coalesce(p.picked, 0) AS picked
+      FROM (SELECT DISTINCT model_name FROM v_lines) g CROSS JOIN v_names c
+      LEFT JOIN v_rows r ON r.model_name = g.model_name AND r.class = c.class
+      LEFT JOIN v_cols p ON p.model_name = g.model_name AND p.class = c.class
+      LEFT JOIN v_diag t ON t.model_name = g.model_name AND t.class = c.class),
+    v_many_metrics AS (
+      SELECT *, {ratio("tp", "picked")} AS "precision", {ratio("tp", "support")} AS recall,
+        {f1(ratio("tp", "picked"), ratio("tp", "support"))} AS f1 FROM v_many)
+"""
+
+
+def many_class_rows(spark, d):
+    """(aligned rows, class table): as many classes as there are parts."""
+    part = F.concat(F.lit("p"), "l_partkey")
+    other = F.concat(F.lit("p"), F.col("l_suppkey") + 1)
+    line = F.col("l_linenumber")
+    rows = v.table(spark, d, "lineitem").select(
+        F.col("l_returnflag").alias("model_name"), part.alias("actual"),
+        F.when(line % 7 == 6, None).when(line % 3 == 0, other).otherwise(part).alias("predicted"),
+    )
+    names = v.table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("class")).union(
+        v.table(spark, d, "supplier").select(F.concat(F.lit("p"), F.col("s_suppkey") + 1))
+    )
+    return rows, names
+
+
+@query("many_class_metrics", _MANY_SQL + f"SELECT model_name, class, {_R_PRF}, support, tp FROM v_many_metrics")
+def q_many_class_metrics(spark, d):
+    """Per-class metrics of thousands of classes."""
+    return rounded(sparse_class_metrics(*many_class_rows(spark, d)), *PRF)
+
+
+@query(
+    "many_class_summary",
+    _MANY_SQL + """
+    SELECT model_name, round(CAST(sum(tp) AS DOUBLE) / sum(support), 6) AS accuracy,
+      round(avg("precision"), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1,
+      round(sum("precision" * support) / sum(support), 6) AS weighted_precision,
+      round(sum(recall * support) / sum(support), 6) AS weighted_recall, round(sum(f1 * support) / sum(support), 6) AS weighted_f1
+    FROM v_many_metrics GROUP BY model_name
+    """,
+)
+def q_many_class_summary(spark, d):
+    return rounded(sparse_summary(*many_class_rows(spark, d)), *_MULTI)
