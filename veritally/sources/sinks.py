@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame, functions as F
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ISO = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
 
@@ -96,6 +98,69 @@ def write_predictions(
     _write(rows, path, ("experiment", "experiment_index"), fmt, mode)
 
 
+def _claim(spark: SparkSession, path: str) -> bool:
+    """Creates the file unless it is there; only one of several writers succeeds."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    where = fs.makeQualified(where)
+    fs.mkdirs(where.getParent())
+    try:
+        if fs.getScheme() == "file":
+            # The local file system looks first and creates then; the operating system does both at once.
+            jvm.java.nio.file.Files.createFile(jvm.java.nio.file.Paths.get(where.toUri()), _no_attributes(spark))
+        else:
+            fs.create(where, False).close()
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName() or fs.exists(where):
+            return False
+        raise
+    return True
+
+
+def _no_attributes(spark: SparkSession):
+    return spark.sparkContext._gateway.new_array(spark._jvm.java.nio.file.attribute.FileAttribute, 0)
+
+
+def _taken(spark: SparkSession, folder: str) -> int:
+    """The highest index that is claimed or written under ``folder``, -1 for none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+    return max((int(n.rpartition("=")[2]) for n in names if n.rpartition("=")[2].isdigit()), default=-1)
+
+
+def claim_experiment_index(spark: SparkSession, path: str, experiment: str, first: int = 0) -> int:
+    """The next run number of an experiment, for this writer alone.
+
+    A number is claimed by creating a file that must not be there yet, which
+    the file system lets one writer do.  A writer that fails keeps its
+    number, and no other run gets it.
+    """
+    name = quote(experiment, safe="")
+    claims = f"{path.rstrip('/')}/_claims/{name}"
+    index = max(first - 1, _taken(spark, claims), _taken(spark, f"{path.rstrip('/')}/experiment={name}")) + 1
+    while not _claim(spark, f"{claims}/{index}"):
+        index += 1
+    return index
+
+
+def save_run(
+    reports: DataFrame, path: str, experiment: str, dataset: str, requests: DataFrame | None = None,
+    responses: DataFrame | None = None, predictions_path: str | None = None, **options,
+) -> int:
+    """Writes a run's results, and its predictions if given, under a number of its own; returns the number.
+
+    Predictions come first: results that can be read have all of theirs.
+    Spark shows what a job wrote only when all of it is there.
+    """
+    index = claim_experiment_index(reports.sparkSession, path, experiment)
+    if predictions_path is not None:
+        write_predictions(responses, requests, predictions_path, experiment, index, mode="overwrite")
+    write_results(reports, path, experiment, index, dataset, mode="overwrite", **options)
+    return index
+
+
 def next_experiment_index(runs: DataFrame, experiments: DataFrame | None = None, first: int = 0) -> DataFrame:
     """Next run number per experiment: highest so far plus one.
 

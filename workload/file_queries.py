@@ -17,6 +17,7 @@ from veritally.sources.run_logs import scan_run_logs
 from veritally.sources.sinks import (
     json_record,
     next_experiment_index,
+    save_run,
     write_predictions,
     write_results,
 )
@@ -479,3 +480,20 @@ def q_run_summary(spark, d):
     return run_summary(
         binary_metrics(aligned(spark, d)), metrics, experiment="demo", dataset="documents"
     )
+
+
+@query(
+    "claimed_runs",
+    f"""
+    SELECT 'demo' AS experiment, i.experiment_index, model_name, round(accuracy, 6) AS accuracy, round(f1, 6) AS f1
+    FROM (SELECT model_name, {BINARY} FROM v_binary) CROSS JOIN (VALUES (0), (1)) i(experiment_index)
+    """,
+)
+def q_claimed_runs(spark, d):
+    """Two runs of an experiment, each under a number of its own."""
+    path = scratch_path(spark, "claimed")
+    report = binary_metrics(aligned(spark, d)).select("model_name", "accuracy", "f1")
+    for _ in range(2):
+        save_run(report, path, "demo", "documents")
+    back = spark.read.parquet(path).select("experiment", "experiment_index", "model_name", "accuracy", "f1")
+    return rounded(back, "accuracy", "f1")

@@ -19,6 +19,7 @@ from veritally.operators.monitoring import (
 from veritally.operators.parsing import keyword_classify
 from veritally.operators.requests import expand_iterations
 from veritally.operators.scoring import score_requests, scored_failures, scored_responses
+from veritally.plans.resume import resume_run
 from veritally.plans.runs import evaluate_run
 from veritally.plans.shared import scratch_path
 from veritally.sources.run_logs import scan_run_logs
@@ -224,3 +225,21 @@ def q_stream_windowed_confusion(spark, d):
     return spark.read.parquet(out).select(
         "model_name", F.unix_seconds("window_start").alias("start_s"), "tp", "tn", "fp", "fn"
     )
+
+
+@query(
+    "resume_run",
+    _SCORED_SQL + f"""
+    SELECT 'keyword' AS model_name, instance_index, iteration, {_KEYWORD_SQL} AS category, 1::BIGINT AS writes
+    FROM (SELECT *, lower(text) AS t FROM v_p WHERE text <> '')
+    """,
+)
+def q_resume_run(spark, d):
+    """A run over half of the prompts, taken up again with all: every slot is scored once."""
+    path, prompts = scratch_path(spark, "slots"), _prompts(spark, d)
+    resume_run(prompts.where("instance_index % 2 = 0"), {"keyword": make_keyword_classifier}, path, 2)
+    store = resume_run(prompts, {"keyword": make_keyword_classifier}, path, 2)
+    writes = spark.read.parquet(path).groupBy("instance_index", "iteration").agg(F.count(F.lit(1)).alias("writes"))
+    return store.join(writes, ["instance_index", "iteration"]).select(
+        "model_name", "instance_index", "iteration", "category", "writes"
+    )
