@@ -23,6 +23,7 @@ from veritally.plans.resume import resume_run
 from veritally.plans.runs import evaluate_run
 from veritally.plans.shared import scratch_path
 from veritally.sources.run_logs import scan_run_logs
+from veritally.streaming.stateful import ROCKSDB, slot_changes, slot_counts, stream_peak_concurrency
 from veritally.streaming.progress import (
     latest_complete,
     run_progress,
@@ -243,3 +244,65 @@ def q_resume_run(spark, d):
     return store.join(writes, ["instance_index", "iteration"]).select(
         "model_name", "instance_index", "iteration", "category", "writes"
     )
+
+
+def run_stateful(spark, stream: DataFrame, name: str) -> DataFrame:
+    """What a stream with state of its own emits until its input is read."""
+    out, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
+    old = {k: spark.conf.get(k, None) for k in ROCKSDB}
+    for k, x in ROCKSDB.items():
+        spark.conf.set(k, x)
+    try:
+        stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(
+            lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/n={n:06d}")
+        ).start().awaitTermination()
+    finally:
+        for k, x in old.items():
+            spark.conf.unset(k) if x is None else spark.conf.set(k, x)
+    return spark.read.parquet(out)
+
+
+@query(
+    "stream_slot_counts",
+    """
+    SELECT model_name, category, count(*) AS slots, CAST(count(*) FILTER (is_safe) AS BIGINT) AS safe FROM (
+      SELECT model_name, CASE WHEN h % 4 = 0 THEN 'rewritten' ELSE predicted END AS category,
+        CASE WHEN h % 4 = 0 THEN NOT is_safe ELSE is_safe END AS is_safe
+      FROM v_responses) GROUP BY ALL
+    """,
+)
+def q_stream_slot_counts(spark, d):
+    """Every slot is written, every fourth branch again later; an old write comes last."""
+    path = scratch_path(spark, "writes")
+    base = v.responses(spark, d, keep_branch=True).select("model_name", "instance_index", "iteration", "is_safe", "category", "timestamp", "h")
+    again = base.where("h % 4 = 0").withColumns({"is_safe": ~F.col("is_safe"), "category": F.lit("rewritten")})
+    shifted = lambda df, s: df.withColumn("timestamp", F.timestamp_seconds(F.unix_seconds("timestamp") + s))
+    for part in (base, shifted(again, 60), shifted(again.withColumn("category", F.lit("old")), -60)):
+        part.drop("h").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return slot_counts(run_stateful(spark, slot_changes(stream), "slot-changes"))
+
+
+@query(
+    "stream_peak_concurrency",
+    """
+    SELECT model_name, CAST(max(running) AS BIGINT) AS peak_calls FROM (
+      SELECT model_name, sum(step) OVER (PARTITION BY model_name ORDER BY t, step
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running
+      FROM (SELECT model_name, epoch_us(ts) AS t, -1 AS step FROM v_events
+            UNION ALL SELECT model_name, epoch_us(ts) - CAST(round(latency * 60000 * 1000) AS BIGINT), 1 FROM v_events))
+    GROUP BY model_name
+    """,
+)
+def q_stream_peak_concurrency(spark, d):
+    """Events as calls of so many minutes, out of order within two files; two late rows let the watermark pass all."""
+    path = scratch_path(spark, "calls")
+    calls = v.event_responses(v.table(spark, d, "events")).select("model_name", (F.col("latency") * 60_000).alias("latency"), "timestamp")
+    for part in (calls.orderBy(F.xxhash64("timestamp")), *[
+        calls.groupBy("model_name").agg(F.lit(0.0).alias("latency"), (F.max("timestamp") + F.make_interval(days=F.lit(9_000 + k))).alias("timestamp"))
+        for k in range(2)
+    ]):
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    peaks = run_stateful(spark, stream_peak_concurrency(stream, "10 minutes"), "peaks")
+    return peaks.groupBy("model_name").agg(F.max("peak_calls").alias("peak_calls"))
