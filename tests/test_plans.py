@@ -11,7 +11,8 @@ from veritally.operators.binary import binary_metrics
 from veritally.operators.counts import outcome_counts
 from veritally.operators.multiclass import confusion_matrix, per_class_metrics
 from veritally.operators.requests import cross_models, expand_iterations
-from veritally.plans.shared import scratch_path, shared_dir, small_rows, written
+from veritally.plans import shared
+from veritally.plans.shared import clean_scratch, scratch_path, shared_dir, small_rows, written
 from workload import views as v
 from workload.registry import QUERIES
 
@@ -99,6 +100,14 @@ def test_written_tables_are_computed_once(spark):
     assert kept.collect() == kept.collect() and "Scan parquet" in plan(kept)
 
 
+def test_scratch_of_an_application_can_be_dropped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "shared_dir", lambda session: str(tmp_path))
+    assert written(spark.range(5), "x").count() == 5
+    (tmp_path / "other-app").mkdir()
+    assert clean_scratch(spark) and [p.name for p in tmp_path.iterdir()] == ["other-app"]
+    assert not clean_scratch(spark)
+
+
 class FakeSession:
     """Just the settings that the folder choice looks at."""
 

@@ -47,6 +47,17 @@ def test_progress_resumes_and_equals_batch(spark, arrivals, tmp_path):
     assert sorted(map(tuple, latest_complete(spark, out).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_two_generations_are_kept(spark, arrivals, tmp_path):
+    source, add, batch = arrivals
+    out, mark = tmp_path / "out", str(tmp_path / "mark")
+    for k in range(5):
+        add(f"{k}", batch(20 * k, 20))
+        start_complete(run_progress(read(spark, source)), str(out), mark).awaitTermination()
+    assert len(list(out.iterdir())) == 2
+    (out / "batch=999999999999").mkdir()  # a batch that was not finished
+    assert latest_complete(spark, str(out)).agg(F.sum("finished")).first()[0] == 100
+
+
 def test_closed_windows_equal_batch_and_late_rows_are_dropped(spark, rows, arrivals, tmp_path):
     source, add, batch = arrivals
     out, mark = str(tmp_path / "out"), str(tmp_path / "mark")

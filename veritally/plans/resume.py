@@ -22,6 +22,7 @@ from ..operators.monitoring import ATTEMPTS, classify_failures
 from ..operators.requests import expand_iterations, valid_requests
 from ..operators.scoring import score_slots
 from ..schema import SCORED, SLOT
+from .shared import hadoop_path
 
 MOST_BITMAPS = 8_192
 STORED = T.StructType([*SCORED.fields, T.StructField("attempt", T.IntegerType())])
@@ -29,9 +30,8 @@ STORED = T.StructType([*SCORED.fields, T.StructField("attempt", T.IntegerType())
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """One row per slot of the store: the response if there is one, else the last failure."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    fs, where = hadoop_path(spark, path)
+    if not fs.exists(where):
         return spark.createDataFrame([], STORED)
     rows = spark.read.schema(STORED).parquet(path)
     # A response counts more than any failure; among failures the one after most calls.

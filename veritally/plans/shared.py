@@ -35,6 +35,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, qualified path) of Hadoop, which knows every store that Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, fs.makeQualified(where)
+
+
+def clean_scratch(spark: SparkSession) -> bool:
+    """Deletes this application's intermediate tables.
+
+    Results that were not written or collected read them, so this is for the
+    end of an application; no other application's folder is touched.
+    """
+    fs, where = hadoop_path(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    return bool(fs.delete(where, True))
+
+
 def small_rows(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> list | None:
     """All rows when there are at most ``limit``, else None.
 

@@ -8,6 +8,8 @@ from urllib.parse import quote
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..plans.shared import hadoop_path
+
 ISO = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
 
 
@@ -100,14 +102,12 @@ def write_predictions(
 
 def _claim(spark: SparkSession, path: str) -> bool:
     """Creates the file unless it is there; only one of several writers succeeds."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    where = fs.makeQualified(where)
+    fs, where = hadoop_path(spark, path)
     fs.mkdirs(where.getParent())
     try:
         if fs.getScheme() == "file":
             # The local file system looks first and creates then; the operating system does both at once.
+            jvm = spark._jvm
             jvm.java.nio.file.Files.createFile(jvm.java.nio.file.Paths.get(where.toUri()), _no_attributes(spark))
         else:
             fs.create(where, False).close()
@@ -124,8 +124,7 @@ def _no_attributes(spark: SparkSession):
 
 def _taken(spark: SparkSession, folder: str) -> int:
     """The highest index that is claimed or written under ``folder``, -1 for none."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, where = hadoop_path(spark, folder)
     names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
     return max((int(n.rpartition("=")[2]) for n in names if n.rpartition("=")[2].isdigit()), default=-1)
 

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.labels import truth_is_safe
 from ..operators.binary import binary_confusion
+from ..plans.shared import hadoop_path
 
 
 def run_progress(stream: DataFrame, by: Sequence[str] = ("model_name",)) -> DataFrame:
@@ -78,11 +79,15 @@ def start_complete(stream: DataFrame, out: str, checkpoint: str) -> StreamingQue
     """Complete mode: each batch replaces the table of its batch number.
 
     Rewriting a batch after a failure writes the same folder again, so the
-    result does not double; the latest folder is the current table.
+    result does not double; the latest folder is the current table.  The
+    newest two are kept: a reader of the one before is not cut off.
     """
 
     def replace(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id:012d}")
+        fs, _ = hadoop_path(batch.sparkSession, out)
+        for old in _generations(batch.sparkSession, out)[:-2]:
+            fs.delete(old, True)
 
     return (
         stream.writeStream.outputMode("complete")
@@ -93,8 +98,14 @@ def start_complete(stream: DataFrame, out: str, checkpoint: str) -> StreamingQue
     )
 
 
+def _generations(spark, out: str) -> list:
+    """Complete tables under a complete-mode folder, oldest first."""
+    fs, where = hadoop_path(spark, out)
+    done = [s.getPath() for s in fs.listStatus(where) if s.getPath().getName().startswith("batch=")]
+    done = [p for p in done if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(done, key=lambda p: p.getName())
+
+
 def latest_complete(spark, out: str) -> DataFrame:
-    """The table of the newest batch under a complete-mode folder."""
-    table = spark.read.parquet(out)
-    newest = table.agg(F.max("batch").alias("_newest"))
-    return table.join(newest, F.col("batch") == F.col("_newest")).drop("batch", "_newest")
+    """The table of the newest complete batch, read by its path."""
+    return spark.read.parquet(_generations(spark, out)[-1].toString())
