@@ -287,6 +287,71 @@ def test_lm_with_and_without_a_dictionary(given, monkeypatch, dictionary):
         assert by[r["doc_id"]][0][0] == pytest.approx(base, abs=0.02)
 
 
+@pytest.mark.parametrize("dictionary", [0, 16, 1 << 18])
+def test_lm_base_scores_are_exact(odd, given, monkeypatch, dictionary):
+    """Double precision, whatever the dictionary holds."""
+    monkeypatch.setattr(lm_scoring.fit_counts, "__defaults__", (dictionary,))
+    for df in (odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), given):
+        rows = {r["doc_id"]: re.findall(WORD, lower(r["text"])) + [None] for r in df.collect()}
+        c = Counter(t for i, ts in rows.items() if crc(i) % 5 != 1 for t in ts)
+        n, v = sum(c.values()), len(c)
+        for r in lm_scoring.lm_scoring(df).collect():
+            want = math.fsum(math.log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in rows[r["doc_id"]])
+            assert r["base_score"] == pytest.approx(want, rel=1e-12)
+
+
+def brute_lm(rows, held):
+    """The whole model over plain dictionaries: score per row, with weights learned from unrounded estimates."""
+    tokens = [re.findall(WORD, lower(t)) for t in rows]
+    pairs = [list(zip([0, *ts], [*ts, 1])) for ts in tokens]
+    c2 = Counter(p for ps, h in zip(pairs, held) if not h for p in ps)
+    c1 = Counter(w for ps, h in zip(pairs, held) if not h for _, w in ps)
+    cv = Counter(v for ps, h in zip(pairs, held) if not h for v, _ in ps)
+    n, once = sum(c1.values()), sum(k == 1 and w != 1 for w, k in c1.items())
+    uniform = 1 / (len(c1) + once + 1)
+    klass = lambda v: min(int(math.log2(cv[v] + 1)), lm_scoring.CLASSES - 1)
+    mix = {}
+    for k in {klass(v) for v, _ in c2}:
+        cells = [((c - 1) / max(cv[v] - 1, 1), max(c1[w] / n - 1 / n, 0), uniform, c) for (v, w), c in c2.items() if klass(v) == k]
+        m = [0.4, 0.5, 0.1]
+        for _ in range(lm_scoring.EM_STEPS):
+            new = [0.0] * 3
+            for *p, c in cells:
+                s = sum(a * b for a, b in zip(m, p))
+                for j in range(3):
+                    new[j] += m[j] * p[j] / s * c
+            m = [(x + y) / (sum(new) + 2) for x, y in zip(new, (0.5, 1.0, 0.5))]
+        mix[k] = m
+    rest = [0.4, 0.5, 0.1]
+    for _ in range(lm_scoring.EM_STEPS):
+        rest = [0.25, 0.5, 0.25]
+    mix[0] = [0.0, rest[0] + rest[1], rest[2]]
+
+    def one(ps):
+        total = 0.0
+        for v, w in ps:
+            m = mix.get(klass(v), mix[0])
+            total += math.log10(m[0] * c2[(v, w)] / max(cv[v], 1) + m[1] * c1[w] / n + m[2] * uniform)
+        return total
+
+    return [one(ps) for ps in pairs]
+
+
+def test_lm_scores_are_the_whole_model(given):
+    """Up to the rounding of estimates that the tasks send, and of the histogram the weights are learned from."""
+    rows = sorted(given.collect(), key=lambda r: r["doc_id"])
+    want = brute_lm([r["text"] for r in rows], [crc(r["doc_id"]) % 5 == 1 for r in rows])
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.lm_scoring(given).collect()}
+    for r, w in zip(rows, want):
+        assert got[r["doc_id"]] == pytest.approx(w, rel=0.01, abs=0.05)
+
+
+def test_small_probabilities_are_kept():
+    p = 2.0 ** -np.arange(0, 63, 0.37)
+    assert np.allclose(lm_scoring._value(lm_scoring._fixed(p).astype("<u2")), p, rtol=4e-4)
+    assert lm_scoring._value(lm_scoring._fixed(np.zeros(1)).astype("<u2"))[0] == 0
+
+
 def brute_counts(text):
     t = text or ""
     w = re.findall(WORD, t)
