@@ -113,6 +113,20 @@ def test_vectors_are_brute_force(spark, monkeypatch, block):
     assert multi_index.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("grids", [64, 1, 0])
+def test_ids_that_are_shared_or_missing(spark, monkeypatch, grids):
+    """One vec_id on two vectors, NULL ids, and lengths without a grid of their own lose no link."""
+    monkeypatch.setattr(multi_index, "GRIDS", grids)
+    e = lambda k, near=0.0, n=8: [near if i == (k + 1) % n else float(i == k) for i in range(n)]
+    rows = [(1, e(0)), (1, e(3)), (2, e(0, 0.1)), (3, e(3, 0.1)), (4, e(6)), (None, e(6, 0.1)), (None, e(5, 0.1)), (None, e(5)), (None, None), (7, e(1, 0.0, 3)), (8, e(1, 0.1, 3))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((tuple(r) for r in multi_index.near_vectors(df).collect()), key=repr)
+    assert got == sorted([
+        (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (None, 1, 4, False),
+        (None, 1, None, True), (None, 1, None, True), (None, 0, None, True), (7, 1, 7, True), (8, 1, 7, False),
+    ], key=repr)
+
+
 def test_recall_on_the_given_vectors(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     got = Counter(tuple(r) for r in multi_index.near_vectors(df).collect())

@@ -111,6 +111,10 @@ def fit(sample: np.ndarray, tune: np.ndarray, rows: int, threshold: float) -> Gr
     return grid
 
 
+# Vector lengths with a grid of their own, the most frequent ones.
+GRIDS = 64
+
+
 def _unit_rows(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     """(which rows are usable, their vectors in double precision)."""
     lists = column.to_pylist()
@@ -151,8 +155,12 @@ def _place(shipped: Shipped):
             out = []
             for dim in np.unique(dims):
                 rows = np.flatnonzero(dims == dim)
+                grid = grids.get(int(dim))
+                if grid is None:
+                    # A rare length has one cell, whose blocks are compared all with all.
+                    out += [(x, dim, 0, 0) for x in ids[rows].tolist()]
+                    continue
                 unit = _matrix(batch.column("unit").take(pa.array(rows)).to_pylist())
-                grid = grids[int(dim)]
                 d1, d2 = grid.distances(unit)
                 own = d1.argmin(1) * np.int64(len(grid.second)) + d2.argmin(1)
                 reach = d1.min(1) + d2.min(1) + grid.slack
@@ -200,7 +208,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Rows link when their cosine is ``threshold`` or more.  Vectors that are
     NULL, empty, zero or hold NULL or non-finite components link with nothing;
     vectors of different lengths never link.  Copies count as links of each
-    other.  ``kept`` is the row with the component's smallest vec_id.
+    other.  ``kept`` is the row with the component's smallest vec_id.  Rows of
+    one vec_id with different vectors are different vectors; a NULL vec_id is
+    no smallest one, and where a component has no other, its id is NULL.
     """
     spark = vectors.sparkSession
     rows = stored(
@@ -208,16 +218,17 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .withColumn("hash", F.sha2("key", 256)), "vectors",
     )
     usable = rows.where("key IS NOT NULL")
-    # One row per distinct vector; its smallest id names the class.
+    # One row per distinct vector, with a number of its own for as long as it is written; ids may be NULL or shared.
     nodes = usable.groupBy("hash").agg(
-        F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("unit").alias("unit"), F.first("dim").alias("dim")
+        F.min("vec_id").alias("lowest"), F.count("*").alias("copies"), F.first("unit").alias("unit"), F.first("dim").alias("dim")
     )
-    nodes = stored(nodes, "classes")
-    sizes = {r["dim"]: r["n"] for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).limit(1_000).collect()}
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    lengths = nodes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim")
+    sizes = {r["dim"]: r["n"] for r in lengths.limit(GRIDS).collect()}
     grids = {}
     for dim, n in sizes.items():
         # Bounded samples: FIT_ROWS and TUNE_ROWS rows on average, whatever the table's size.
-        part = nodes.where(F.col("dim") == dim).withColumn("u", unit_hash("node", salt="index"))
+        part = nodes.where(F.col("dim") == dim).withColumn("u", unit_hash("hash", salt="index"))
         picked = part.where(F.col("u") < min(1.0, (FIT_ROWS + TUNE_ROWS) / n)).select("unit", "u").orderBy("u")
         sample = _matrix([bytes(r["unit"]) for r in picked.limit(2 * (FIT_ROWS + TUNE_ROWS)).collect()])
         cut = len(sample) * FIT_ROWS // (FIT_ROWS + TUNE_ROWS) if len(sample) > 64 else len(sample)
@@ -241,10 +252,15 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     degree = both.join(nodes.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(
         F.sum("copies").alias("partners")
     )
-    classes = nodes.select("hash", "node", "copies").join(label, "node", "left").join(degree, "node", "left").select(
-        "hash", (F.coalesce("partners", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")
+    classes = nodes.select("hash", "node", "copies", "lowest").join(label, "node", "left").join(degree, "node", "left").select(
+        "hash", "lowest", (F.coalesce("partners", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")
     )
-    out = rows.select("vec_id", "hash").join(stored(classes, "judged"), "hash", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
+    classes = stored(classes, "judged")
+    # A component is named by its smallest id, combined before the shuffle.
+    names = classes.groupBy("component").agg(F.min("lowest").alias("component_id"))
+    classes = classes.join(names, "component").select("hash", "n_links", "component_id", F.lit(True).alias("usable"))
+    out = rows.select("vec_id", "hash").join(classes, "hash", "left").select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.col("usable"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"),
     )
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
