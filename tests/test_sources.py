@@ -111,6 +111,13 @@ def test_chat_shapes_and_text_precedence(spark, tmp_path, shape):
     assert normalize_chat(items.select("item"), "chat", label).where("category = 'bad'").count() == 1
 
 
+def test_extra_chat_fields_keep_their_types(spark, rows):
+    items = [{**CHAT[0], "n": 3, "f": 0.5, "l": [1, "x", None], "o": {"a": {"b": True}}, "s": "5", "z": None}, {"id": 2, "text": "t"}, {"id": 3, "text": "t", "_n": 1}]
+    df = normalize_chat(rows("item string", [(json.dumps(i),) for i in items]), "chat", typed=True)
+    got = {r["i"]: json.loads(r["e"]) if r["e"] else None for r in df.selectExpr("metadata['original_id'] AS i", "to_json(extra) AS e").collect()}
+    assert got == {"1": {"toxic": True, "lang": "pt", "n": 3, "f": 0.5, "l": [1, "x", None], "o": {"a": {"b": True}}, "s": "5", "z": None}, "2": None, "3": None}
+
+
 def test_single_chat_object(spark, tmp_path, rows):
     items = scan_chat_json(spark, save(tmp_path / "c.json", CHAT[1]))
     assert [r["item_index"] for r in items.collect()] == [0]

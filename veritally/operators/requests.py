@@ -41,21 +41,26 @@ def normalize_academic(items: DataFrame, source: str) -> DataFrame:
 _TEXT_FIELDS = ("id", "messages", "content", "text")
 
 
-def normalize_chat(items: DataFrame, source: str, category: Column | None = None) -> DataFrame:
+def normalize_chat(
+    items: DataFrame, source: str, category: Column | None = None, typed: bool = False
+) -> DataFrame:
     """Chat items (JSON object strings in ``item``) to requests.
 
     Extra fields become metadata unless they start with an underscore.  The
     items carry no class of their own, so ``category`` may be given as an
     expression over ``toxic`` (BOOLEAN) and ``metadata``; by default it is the
-    field of that name.
+    field of that name.  Metadata are texts; ``typed=True`` adds ``extra``, the
+    same extra fields as one VARIANT object with their numbers, booleans,
+    lists and objects as they were (NULL when there are none).
     """
     # Parsed once per item, in a projection of its own.
     parsed = items.withColumns({"_map": chat_map("item"), "_fields": chat_fields("item")})
     fields = F.col("_map")
-    extra = F.map_filter(
-        fields,
-        lambda k, v: ~k.isin(list(_TEXT_FIELDS)) & ~k.startswith("_"),
-    )
+
+    def extra_field(k: Column, v: Column) -> Column:
+        return ~k.isin(list(_TEXT_FIELDS)) & ~k.startswith("_")
+
+    extra = F.map_filter(fields, extra_field)
     toxic = F.coalesce(F.try_element_at(fields, F.lit("toxic")), F.lit("false"))
     base = F.create_map(
         F.lit("source"), F.lit(source),
@@ -64,12 +69,16 @@ def normalize_chat(items: DataFrame, source: str, category: Column | None = None
     )
     # A field repeated in the item replaces the base entry of the same name.
     kept = F.map_filter(base, lambda k, v: ~F.map_contains_key(extra, k))
-    out = parsed.select(
+    columns = [
         *[c for c in items.columns if c != "item"],
         chat_text("item", "_fields", "_map").alias("text"),
         (F.lower(toxic) == "true").alias("toxic"),
         F.map_concat(kept, extra).alias("metadata"),
-    )
+    ]
+    if typed:
+        values = F.map_filter(F.try_variant_get(F.try_parse_json("item"), "$", "map<string,variant>"), extra_field)
+        columns.append(F.when(F.size(values) > 0, F.to_variant_object(values)).alias("extra"))
+    out = parsed.select(*columns)
     label = category if category is not None else F.try_element_at("metadata", F.lit("category"))
     return out.withColumn("category", label)
 

@@ -497,3 +497,27 @@ def q_claimed_runs(spark, d):
         save_run(report, path, "demo", "documents")
     back = spark.read.parquet(path).select("experiment", "experiment_index", "model_name", "accuracy", "f1")
     return rounded(back, "accuracy", "f1")
+
+
+@query(
+    "chat_typed_fields",
+    """
+    SELECT conv_id AS id, count(*) AS turns, conv_id % 3 = 0 AS toxic, list(CAST(turn AS BIGINT) ORDER BY turn) AS marks,
+      CAST(max(turn) AS BIGINT) AS last
+    FROM conversations GROUP BY conv_id
+    """,
+)
+def q_chat_typed_fields(spark, d):
+    """Extra fields of chat items keep their types: numbers, booleans, lists, objects."""
+    marks = F.array_sort(F.collect_list("turn"))
+    items = v.table(spark, d, "conversations").groupBy("conv_id").agg(marks.alias("marks"), F.count(F.lit(1)).alias("turns")).select(
+        F.to_json(F.struct(
+            F.col("conv_id").alias("id"), F.lit("x").alias("text"), (F.col("conv_id") % 3 == 0).alias("toxic"), "turns", "marks",
+            F.struct(F.array_max("marks").alias("last")).alias("about"),
+        )).alias("item")
+    )
+    field = lambda path, kind: F.try_variant_get("extra", path, kind)
+    return normalize_chat(items, "chat", typed=True).select(
+        F.try_element_at("metadata", F.lit("original_id")).cast("long").alias("id"), field("$.turns", "bigint").alias("turns"),
+        field("$.toxic", "boolean").alias("toxic"), field("$.marks", "array<bigint>").alias("marks"), field("$.about.last", "bigint").alias("last"),
+    )
