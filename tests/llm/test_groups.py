@@ -214,3 +214,55 @@ def test_pipeline_over_nothing(spark):
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, SF)
     assert none.count() == 0
+
+
+def test_hostile_pages_are_read_in_time():
+    """Deep nesting, very many siblings, unclosed and stray tags: no recursion, no more than linear work."""
+    import time
+
+    start = time.monotonic()
+    deep = "<body>" + "<div>" * 20_000 + "<p>Hello there text</p>" + "</div>" * 20_000
+    wide = "<body>" + "".join(f"<div class=a{i % 7}><p>t {i}</p></div>" for i in range(4_000))
+    stray = "<div>" * 5_000 + "</section>" * 5_000 + "<p>words here</p>" + "</div>" * 9_000
+    template = wrappers.induce([deep, deep.replace("text", "texts"), wide, wide.replace("t 5", "u 5"), stray])
+    again = wrappers._region(wrappers._plain(template))
+    for t in (wrappers.Region("body"), template, again):
+        assert wrappers.extract(deep, t) == "Hello there text"
+        assert wrappers.extract(stray, t) == "words here"
+        assert wrappers.extract(wide, t).count("\n\n") == 3_999
+    assert time.monotonic() - start < 60
+
+
+def test_templates_travel_whole():
+    """A template comes back from its rows as it was."""
+    rng = random.Random(3)
+
+    def tree(depth):
+        r = wrappers.Region(rng.choice(["div", "ul", "section"]), f'class="c{rng.randint(0, 3)}"')
+        r.main, r.constant = rng.random() < 0.1, frozenset(rng.choice("abc") for _ in range(rng.randint(0, 2)))
+        for _ in range(rng.randint(0, 4) if depth else 0):
+            r.add(tree(depth - 1))
+        return r
+
+    def shape(r):
+        return r.tag, r.label, r.around, r.main, r.constant, [shape(k) for k in r.kids]
+
+    for _ in range(30):
+        t = tree(4)
+        assert shape(wrappers._region(wrappers._plain(t))) == shape(t)
+
+
+def test_long_sibling_lists_are_matched_in_order(monkeypatch):
+    """Beyond the limit the matching keeps order and labels, and finds what is equal."""
+    monkeypatch.setattr(wrappers, "MOST_CHILDREN", 10)
+    rng = random.Random(5)
+    for _ in range(40):
+        a, b = wrappers.Region("body"), wrappers.Region("body")
+        for r in (a, b):
+            for _ in range(rng.randint(15, 40)):
+                r.add(wrappers.Region("div", f'class="c{rng.randint(0, 4)}x"'))
+        score, pairs = wrappers.matching(a, b, {})
+        places = [(a.kids.index(p), b.kids.index(q)) for p, q in pairs]
+        assert all(p.label == q.label for p, q in pairs) and score == 1 + len(pairs) and len(pairs) > 5
+        assert places == sorted(places) and len({i for i, _ in places}) == len({j for _, j in places}) == len(places)
+        assert wrappers.matching(a, wrappers._copy(a), {})[0] == 1 + len(a.kids)
