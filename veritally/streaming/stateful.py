@@ -6,6 +6,7 @@ which Spark's custom state requires.
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Iterator, Sequence
 
@@ -26,38 +27,60 @@ ROCKSDB = {
 CHANGES = "model_name string, instance_index long, iteration int, is_safe boolean, category string, change int"
 
 
+# Consecutive instances that share one entry of the state: reading and writing it costs more than what is in it.
+INSTANCES = 64
+
+
 class _LatestWrite(StatefulProcessor):
-    """The latest write of a slot; emits what a newer one takes back and puts in its place."""
+    """The latest writes of some slots; emits what a newer one takes back and puts in its place."""
 
     def __init__(self, keep_ms: int | None):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at long, is_safe boolean, category string")
+        self.state = handle.getValueState("slots", "packed binary")
+
+    def _slots(self) -> dict:
+        """(instance, iteration) -> (time, is_safe, category)."""
+        packed = self.state.get()
+        return pickle.loads(packed[0]) if packed is not None else {}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        old = tuple(self.last.get()) if self.last.exists() else None
-        new = old
+        slots, old = self._slots(), {}
         for part in rows:
-            for at, is_safe, category in zip(part["at"], part["is_safe"], part["category"]):
-                write = (int(at), bool(is_safe), None if pd.isna(category) else str(category))
+            for instance, iteration, at, is_safe, category in zip(*(part[c].tolist() for c in ("instance_index", "iteration", "at", "is_safe", "category"))):
+                slot = None if pd.isna(instance) else int(instance), None if pd.isna(iteration) else int(iteration)
+                write = int(at), bool(is_safe), None if pd.isna(category) else str(category)
+                known = slots.get(slot)
                 # Equal times are decided by the columns, as in the batch form.
-                if new is None or _order(write) > _order(new):
-                    new = write
-        if new != old:
-            self.last.update(new)
-            if self.keep_ms is not None:
-                for timer in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(timer)
-                self.handle.registerTimer(new[0] // 1000 + self.keep_ms)
-            if old is None or old[1:] != new[1:]:
-                out = [(*key, *old[1:], -1)] if old is not None else []
-                yield pd.DataFrame([*out, (*key, *new[1:], 1)], columns=[c.split()[0] for c in CHANGES.split(", ")])
+                if known is None or _order(write) > _order(known):
+                    old.setdefault(slot, known)
+                    slots[slot] = write
+        if not old:
+            return
+        self._keep(slots)
+        out = []
+        for slot, before in old.items():
+            after = slots[slot]
+            if before is None or before[1:] != after[1:]:
+                out += [(key[0], *slot, *before[1:], -1)] if before is not None else []
+                out.append((key[0], *slot, *after[1:], 1))
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
+
+    def _keep(self, slots: dict) -> None:
+        if not slots:
+            self.state.clear()
+            return
+        self.state.update((pickle.dumps(slots, protocol=5),))
+        if self.keep_ms is not None and not any(True for _ in self.handle.listTimers()):
+            self.handle.registerTimer(min(w[0] for w in slots.values()) // 1000 + self.keep_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """The slot is settled: no write of it can come any more."""
-        self.last.clear()
+        """Slots that no write can reach any more are settled and leave the state."""
+        passed = timerValues.getCurrentWatermarkInMs()
+        self._keep({k: w for k, w in self._slots().items() if w[0] // 1000 + self.keep_ms > passed})
         return iter(())
 
     def close(self) -> None:
@@ -76,10 +99,10 @@ def slot_changes(stream: DataFrame, settle: str | None = None, keep_seconds: int
     holds, and a row with 1.  Sums of ``change`` are the counts of the batch
     ``dedupe_slots`` over all that has arrived.
 
-    A slot's state is its latest write.  With ``settle``, a watermark delay, it
-    is dropped ``keep_seconds`` of event time after that write, and older
-    writes that come later than the watermark are dropped by Spark; without,
-    it is kept.
+    A slot's state is its latest write, kept with those of its neighbours.
+    With ``settle``, a watermark delay, it is dropped ``keep_seconds`` of event
+    time after that write, and writes that come later than the watermark are
+    dropped by Spark; without, it is kept.
     """
     rows = stream.select(
         *SLOT, F.unix_micros(F.col("timestamp").cast("timestamp")).alias("at"), "is_safe", "category",
@@ -87,7 +110,8 @@ def slot_changes(stream: DataFrame, settle: str | None = None, keep_seconds: int
     )
     if settle is not None:
         rows = rows.withWatermark("timestamp", settle)
-    return rows.groupBy(*SLOT).transformWithStateInPandas(
+    near = F.coalesce(F.floor(F.col("instance_index") / INSTANCES), F.lit(0))
+    return rows.withColumn("near", near).groupBy("model_name", "near").transformWithStateInPandas(
         statefulProcessor=_LatestWrite(keep_seconds * 1000 if settle is not None else None),
         outputStructType=CHANGES, outputMode="Update", timeMode="EventTime" if settle is not None else "None",
     )
@@ -101,7 +125,7 @@ def slot_counts(changes: DataFrame, by: Sequence[str] = ("model_name",)) -> Data
     ).where("slots <> 0")
 
 
-BUCKET_US = 60_000_000
+BUCKET_US = 1_800_000_000
 
 
 class _InFlight(StatefulProcessor):
@@ -109,7 +133,7 @@ class _InFlight(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # Steps not swept yet, (instant, step) pairs by minute; calls running at the last swept instant; the highest number so far.
+        # Steps not swept yet, (instant, step) pairs by half hour; calls running at the last swept instant; the highest number so far.
         self.steps = handle.getMapState("steps", "bucket long", "pairs binary")
         self.state = handle.getValueState("state", "running long, peak long")
 
@@ -168,7 +192,7 @@ def stream_peak_concurrency(stream: DataFrame, delay: str) -> DataFrame:
 
     Emits a model's number whenever it has grown.  State is the starts and
     ends that the watermark has not reached, added up per instant and kept by
-    minute, and two numbers; rows later than the watermark are dropped.  A call that is over before another starts at
+    half hour, and two numbers; rows later than the watermark are dropped.  A call that is over before another starts at
     the same instant is not counted beside it, as in the batch form.
     """
     end = F.unix_micros("timestamp")
