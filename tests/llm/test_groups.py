@@ -266,3 +266,33 @@ def test_long_sibling_lists_are_matched_in_order(monkeypatch):
         assert all(p.label == q.label for p, q in pairs) and score == 1 + len(pairs) and len(pairs) > 5
         assert places == sorted(places) and len({i for i, _ in places}) == len({j for _, j in places}) == len(places)
         assert wrappers.matching(a, wrappers._copy(a), {})[0] == 1 + len(a.kids)
+
+
+def test_rare_layouts_of_a_large_host_are_known(spark, monkeypatch):
+    """What repeats is counted over all pages: a layout of a few percent is not missed, copies count once."""
+    rng = random.Random(7)
+    rows, want = [], {}
+
+    def words(n):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+
+    for i in range(300):
+        text = [words(30) for _ in range(3)]
+        rare = i % 30 == 0
+        body = "".join(f"<p>{t}</p>" for t in text)
+        if rare:
+            html = f"<body><div class=r><div><p>Read our other pages in the evening</p></div><div class=x>{body}</div></div>"
+        else:
+            html = f"<body><div class=a><p>All rights of this host are kept</p>{body}<p>{i}</p></div>"
+        want[i] = "\n\n".join(text + ([] if rare else [str(i)]))
+        rows.append((i, f"http://one.example.org/{i}", html))
+    # Copies of one article repeat its blocks, which does not make them template.
+    copy = words(40), words(5)
+    for i in range(300, 700):
+        rows.append((i, f"http://one.example.org/{i}", f"<body><div class=a><p>All rights of this host are kept</p><p>{copy[0]}</p><p>{copy[1]}</p></div>"))
+        want[i] = "\n\n".join(copy)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in wrappers.extract_pages(df).collect()} == want
+    # A host too large for one template reads the same.
+    monkeypatch.setattr(wrappers, "HOST_REGIONS", 1)
+    assert {r["page_id"]: r["text"] for r in wrappers.extract_pages(df).collect()} == want

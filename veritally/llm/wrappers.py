@@ -1,33 +1,35 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host come from few templates.  A bounded sample of a host's pages
-is aligned region by region with simple tree matching; what stays the same
-becomes template, the slots that vary are candidates for content, and of
-those the region with most running text is the article.  Every page is then
-aligned with its host's template, and the article's slots are read out.
+Pages of a host come from few templates.  Every page is outlined: its regions,
+named by the labels on the way to them, and the blocks right inside them.  What
+repeats in a region on most of the different pages that have it is template;
+the region that most of those pages have their running text in is the article.
+Both are counted over all pages of the host; every page is then aligned with
+what its host's pages have in common, and the article's blocks are read out.
 
 Regions are the structural elements; paragraphs, headings, list items and
 the like are blocks inside them.  Menus, forms, adverts, notices, side bars,
 page headers and footers and reader comments are known by their element, by
 the words of their class or id, or by being mostly links.
+
+:func:`induce` makes a template of a few given pages by simple tree matching.
 """
 
 from __future__ import annotations
 
 import bisect
+import hashlib
 import html as entities
-import pickle
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import stored, unit_hash
+from .common import stored
 
-# Pages of a host that its template is induced from (a hash sample).
-SAMPLE_PAGES = 10
+# A host with more regions to know than this has them sent to each page apart, and not all to every page.
+HOST_REGIONS = 300
 # Lists of siblings with more pairs than this squared are matched by their labels in order.
 MOST_CHILDREN = 300
 # A block this short that so large a part of a host's differing pages repeats is template.
@@ -314,7 +316,7 @@ def choose(root: Region, constant: frozenset = frozenset()) -> Region:
 
 
 def induce(pages: list[str]) -> Region:
-    """The template of a host's sampled pages: regions with their constant
+    """The template of a few pages: regions with their constant
     blocks, and marks on the region of the article."""
     trees = [parse(p) for p in dict.fromkeys(pages)]
     # Copies of one article tell nothing about what is constant: one page for each longest block.
@@ -388,31 +390,161 @@ def host_of(url: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """``(host, template)`` from at most SAMPLE_PAGES pages of each host.
+def _mark(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def places(root: Region) -> dict[int, tuple[int, int]]:
+    """Hashes of the way from the root to every region that may be an article's: by labels
+    and the number among the siblings of that label, and by labels alone."""
+    out = {id(root): (_mark("= body"), _mark("body"))}
+    for r in _inside(root):
+        exact, plain = out[id(r)]
+        number: dict[str, int] = {}
+        for k in r.kids:
+            if not k.outside:
+                number[k.label] = number.get(k.label, 0) + 1
+                out[id(k)] = _mark(f"= {exact} {number[k.label]} {k.label}"), _mark(f"{plain} {k.label}")
+    return out
+
+
+def _short(root: Region, at: dict[int, tuple[int, int]]) -> Iterator[tuple[int, str]]:
+    """(way, text) of the blocks that may be template; inside an element made for the article none is."""
+    stack = [root]
+    while stack:
+        r = stack.pop()
+        if r.tag not in ("article", "main"):
+            for x in r.items:
+                if not isinstance(x, Region):
+                    if len(x[0]) <= CONSTANT_CHARS:
+                        yield at[id(r)][1], x[0]
+                elif not x.outside:
+                    stack.append(x)
+
+
+def outline(page: str) -> tuple[int, list[int], list[tuple[int, int]]]:
+    """The page's article (by its longest block), the ways to its regions, and its (way, block) pairs."""
+    root = parse(page)
+    at = places(root)
+    longest = max((x[0] for r in _walk(root) for x in r.items if not isinstance(x, Region)), key=len, default="")
+    return _mark(longest), sorted({k for pair in at.values() for k in pair}), sorted({(k, _mark(t)) for k, t in _short(root, at)})
+
+
+def _template(rows: list[dict] | None) -> tuple[dict[int, frozenset], dict[int, float]]:
+    rows = rows or []
+    return {r["k"]: frozenset(r["fixed"]) for r in rows if r["fixed"]}, {r["k"]: r["share"] for r in rows if r["share"]}
+
+
+def _own(root: Region, at: dict[int, tuple[int, int]], fixed: dict[int, frozenset]) -> tuple[Region, frozenset]:
+    """The page's own article region, and its blocks (way, text) that are template."""
+    constant = frozenset((k, t) for k, t in _short(root, at) if k in fixed and _mark(t) in fixed[k])
+    return choose(root, frozenset(t for _, t in constant)), constant
+
+
+def read(page: str | None, template: tuple[dict, dict] = ({}, {})) -> str:
+    """The article's blocks in page order, joined by an empty line.
+
+    ``template``: by the ways to regions, hashes of their blocks that repeat,
+    and shares of pages that have their article there.
+    """
+    if not page:
+        return ""
+    fixed, share = template
+    root = parse(page)
+    at = places(root)
+    main, constant = _own(root, at, fixed)
+    # The region most pages with such a one have their article in; of several ones of a way, the page's own or the longest.
+    known = [(share[k], not plain, r is main, r) for r in _inside(root) for plain, k in enumerate(at[id(r)]) if k in share] if share else []
+    if known:
+        best = max(known, key=lambda x: x[:3])[:3]
+        long = running(root)
+        found = max((r for *x, r in known if tuple(x) == best), key=lambda r: long[id(r)])
+        main = found if long[id(found)] else main
+    out: list[str] = []
+    # What a host repeats inside an element made for the article is still its text.
+    stack: list = [(main, main.tag in ("article", "main"), at[id(main)][1])]
+    while stack:
+        x, whole, way = stack.pop()
+        if not isinstance(x, Region):
+            if whole or (way, x[0]) not in constant:
+                out.append(x[0])
+        elif x is main or not x.outside:
+            inside = whole or x.tag in ("article", "main")
+            stack += [(y, inside, at[id(x)][1]) for y in reversed(x.items)]
+    return "\n\n".join(out)
+
+
+def regions(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(host, k, share, fixed)`` of the regions to know, counted over all pages, and
+    ``(page, host, keys)``: which regions a page has.
+
+    Pages with one article count once.  Only hashes are moved, never html.
+    """
+    rows = pages.where("html <> ''").select(F.xxhash64("url", "html").alias("page"), host_of().alias("host"), "html")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = pa.list_(pa.struct([("k", pa.int64()), ("t", pa.int64())]))
+        for batch in batches:
+            article, keys, blocks = zip(*map(outline, batch.column("html").to_pylist())) if len(batch) else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page"), batch.column("host"), pa.array(article, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
+                 pa.array([[{"k": k, "t": t} for k, t in x] for x in blocks], marks)], ["page", "host", "article", "keys", "blocks"])
+
+    drawn = stored(rows.mapInArrow(draw, "page long, host string, article long, keys array<long>, blocks array<struct<k:long,t:long>>"), "outlines")
+    # One page to an article: the one of the least hash.
+    first = stored(drawn.groupBy("host", "article").agg(F.min("page").alias("page")), "articles")
+    one = drawn.join(first, ["host", "article", "page"]).dropDuplicates(["host", "article"])
+    one = stored(one.select("host", "article", "keys", "blocks"), "distinct")
+    seen = one.select("host", F.explode("keys").alias("k")).groupBy("host", "k").agg(F.count("*").alias("seen")).where(F.col("seen") >= LEAST_PAGES)
+    seen = stored(seen, "seen")
+    often = one.select("host", F.inline("blocks")).groupBy("host", "k", "t").agg(F.count("*").alias("n")).where(F.col("n") >= CONSTANT_SHARE * LEAST_PAGES)
+    fixed = often.join(seen, ["host", "k"]).where(F.col("n") >= CONSTANT_SHARE * F.col("seen"))
+    fixed = stored(fixed.groupBy("host", "k").agg(F.collect_list("t").alias("fixed")), "fixed")
+    # With the repeated blocks known, every page tells where its own article is.
+    known = fixed.select("host", "k", F.lit(0.0).alias("share"), "fixed")
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for page, template in zip(batch.column("html").to_pylist(), _templates(batch)):
+                root = parse(page)
+                at = places(root)
+                found.append(list(at[id(_own(root, at, template[0])[0])]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page"), batch.column("host"), pa.array(found, pa.list_(pa.int64()))], ["page", "host", "keys"])
+
+    told = with_regions(rows, known, drawn).mapInArrow(vote, "page long, host string, keys array<long>")
+    told = told.join(first, ["host", "page"]).dropDuplicates(["host", "article"])
+    votes = told.select("host", F.explode("keys").alias("k")).groupBy("host", "k").agg(F.count("*").alias("votes"))
+    share = votes.join(seen, ["host", "k"]).select("host", "k", (F.col("votes") / F.col("seen")).alias("share"))
+    return stored(share.join(fixed, ["host", "k"], "full"), "regions"), drawn.select("page", "host", "keys")
+
+
+def with_regions(rows: DataFrame, known: DataFrame, drawn: DataFrame) -> DataFrame:
+    """``rows(page, host, ...)`` with ``template``, what is known of a page's regions.
 
-    The sample is thinned by the host's count before it is ranked, so that not
-    even the numbers of a host with very many pages meet in one task.
+    All of a host, or, where that is much, only those the page has.
     """
-    key = unit_hash("page_id", "html", salt="page")
-    rows = pages.where("html <> ''").select(host_of().alias("host"), "page_id", key.alias("u"))
-    # Pages are picked by their numbers alone; only the html of those picked is moved.
-    counts = stored(rows.groupBy("host").agg(F.count("*").alias("n")), "hosts")
-    few = rows.join(counts, "host").where(F.col("u") * F.col("n") < 4 * SAMPLE_PAGES + 20).drop("n")
-    first = Window.partitionBy("host").orderBy("u", "page_id")
-    picked = few.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= SAMPLE_PAGES)
-    picked = stored(picked.select("host", F.col("page_id").alias("of"), F.col("u").alias("at")).distinct(), "picked")
-    texts = pages.where("html <> ''").select("page_id", "html", key.alias("u"))
-    # Repeated rows come back all; a host's sample is ranked once more.
-    sample = texts.join(picked, texts["page_id"].eqNullSafe(picked["of"]) & (texts["u"] == picked["at"])).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("host").orderBy("u", "html"))
-    ).where(F.col("rank") <= SAMPLE_PAGES).select("host", "rank", "html")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        template = induce(pdf.sort_values("rank")["html"].tolist())
-        return pd.DataFrame({"host": pdf["host"].iloc[:1], "template": [pickle.dumps(_plain(template))]})
-
-    return sample.groupBy("host").applyInPandas(fit, "host string, template binary")
+    size = known.groupBy("host").agg(F.count("*").alias("n"))
+    large = stored(size.where(F.col("n") > HOST_REGIONS).select("host"), "large-hosts")
+    entry = F.collect_list(F.struct("k", "share", "fixed")).alias("template")
+    by_host = stored(known.join(large, "host", "left_anti").groupBy("host").agg(entry), "templates")
+    out = rows.join(by_host, "host", "left")
+    if large.isEmpty():
+        return out
+    keys = drawn.join(large, "host", "left_semi").dropDuplicates(["page"]).select("page", "host", F.explode("keys").alias("k"))
+    by_page = stored(keys.join(known, ["host", "k"]).groupBy("page").agg(entry), "page-templates")
+    apart = rows.join(large, "host", "left_semi").join(by_page, "page", "left")
+    return rows.join(large, "host", "left_anti").join(by_host, "host", "left").unionByName(apart)
+
+
+def _templates(batch: pa.RecordBatch) -> Iterator[tuple[dict, dict]]:
+    """The templates of a batch's pages; neighbours that share one unpack it once."""
+    column, last, value = batch.column("template"), None, ({}, {})
+    for x in column:
+        if last is None or not x.equals(last):
+            last, value = x, _template(x.as_py())
+        yield value
 
 
 def _plain(root: Region) -> list[tuple]:
@@ -452,27 +584,19 @@ def _copy(root: Region) -> Region:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` of ``pages(page_id, url, html)``.
 
-    NULL, empty and textless pages give an empty text.  Hosts with a single
-    page, and pages without a usable URL, are read by the rules alone.
+    NULL, empty and textless pages give an empty text.  Hosts with fewer than
+    LEAST_PAGES different pages are read by the rules alone.
     Repeated rows are rows of their own.
     """
-    found = stored(templates(pages), "templates")
-    rows = pages.select("page_id", "url", "html", host_of().alias("host")).join(found, "host", "left").drop("host")
+    known, drawn = regions(pages)
+    rows = pages.select("page_id", "url", "html", F.xxhash64("url", "html").alias("page"), host_of().alias("host"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, Region] = {}
-        nothing = Region("body")
         for batch in batches:
-            texts = []
-            for page, raw in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist()):
-                if raw is not None and raw not in known:
-                    if len(known) >= 1_000:
-                        known.clear()
-                    known[raw] = _region(pickle.loads(raw))
-                texts.append(extract(page, nothing if raw is None else known[raw]))
+            texts = [read(page, template) for page, template in zip(batch.column("html").to_pylist(), _templates(batch))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
             )
 
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return with_regions(rows, known, drawn).mapInArrow(run, "page_id long, url string, text string, n_chars long")
