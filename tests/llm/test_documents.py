@@ -346,6 +346,16 @@ def test_lm_scores_are_the_whole_model(given):
         assert got[r["doc_id"]] == pytest.approx(w, rel=0.01, abs=0.05)
 
 
+@pytest.mark.parametrize("dictionary", [0, 16, 300])
+def test_lm_scores_do_not_depend_on_the_dictionary(given, monkeypatch, dictionary):
+    """A word outside the dictionary has its own estimate too."""
+    want = {r["doc_id"]: r["score"] for r in lm_scoring.lm_scoring(given).collect()}
+    monkeypatch.setattr(lm_scoring.fit_counts, "__defaults__", (dictionary,))
+    monkeypatch.setattr(lm_scoring, "HOLD_TOKENS", 5_000)
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.lm_scoring(given).collect()}
+    assert got == {k: pytest.approx(x, rel=1e-6) for k, x in want.items()}
+
+
 def test_small_probabilities_are_kept():
     p = 2.0 ** -np.arange(0, 63, 0.37)
     assert np.allclose(lm_scoring._value(lm_scoring._fixed(p).astype("<u2")), p, rtol=4e-4)

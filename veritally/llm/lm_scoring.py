@@ -7,9 +7,8 @@ expectation-maximisation on deleted counts: every training token is predicted
 from the counts without itself.
 
 * Word counts of the whole training part are one aggregation.  The most
-  frequent words, at most ``DICTIONARY``, go to the tasks; the others share
-  their probability mass evenly in the word estimate, but keep exact bigrams,
-  contexts and base scores.
+  frequent words, at most ``DICTIONARY``, go to the tasks; bigrams that end in
+  another word are joined with the counts of those by the word.
 * Bigrams of all documents meet by context in one exchange of packed arrays:
   the training ones are counted there and all are looked up there.  Frequent
   contexts are split by the following word, since their counts are known.
@@ -25,7 +24,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import HashTable, Shipped, crc_mod, mix64, narrow_batches, run_sums, slices, stored, string_bytes
 from .text import words
@@ -65,10 +64,8 @@ class Counts:
         return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.kinds + 1)))
 
     def word_estimate(self, place: np.ndarray) -> np.ndarray:
-        """Maximum-likelihood estimate by place in the dictionary (-1: outside)."""
-        listed = int(self.counts.sum()) + self.documents
-        rest = max(self.tokens - listed, 0) / max(self.kinds - len(self.hashes) + self.hapaxes, 1)
-        c = np.where(place >= 0, self.counts[np.maximum(place, 0)] if len(self.counts) else 0, rest)
+        """Maximum-likelihood estimate by place in the dictionary (-1: not known here)."""
+        c = np.where(place >= 0, self.counts[np.maximum(place, 0)] if len(self.counts) else 0, 0)
         return c / max(self.tokens, 1)
 
     def uniform(self) -> float:
@@ -95,8 +92,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield send()
 
 
-def fit_counts(training: DataFrame, dictionary: int = DICTIONARY) -> Counts:
-    """Counts over all words of ``training(text)``; one end token per row."""
+def fit_counts(training: DataFrame, dictionary: int = DICTIONARY) -> tuple[Counts, DataFrame]:
+    """Counts over all words of ``training(text)``, one end token per row, and
+    ``(w, c)``, the counts of the words that are not in the dictionary."""
     spark = training.sparkSession
     table = stored(training.select("text").mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
     total = table.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count(F.when(F.col("n") == 1, 1)).alias("once")).first()
@@ -116,7 +114,8 @@ def fit_counts(training: DataFrame, dictionary: int = DICTIONARY) -> Counts:
     docs = training.count()
     tokens = int(total["n"] or 0) + docs
     parts = max(2 * spark.sparkContext.defaultParallelism, tokens // PART_TOKENS)
-    return Counts(h[order], n[order], docs, tokens, int(total["v"]) + (docs > 0), int(total["once"]), parts)
+    others = (table if least is None else table.where(step < least)).select(F.col("h").bitwiseOR(F.lit(TAIL.view(np.int64).item())).alias("w"), F.col("n").alias("c"))
+    return Counts(h[order], n[order], docs, tokens, int(total["v"]) + (docs > 0), int(total["once"]), parts), others
 
 
 _SENT = pa.schema([
@@ -137,14 +136,14 @@ def _ddl(schema: pa.Schema) -> str:
 def _pack(a: np.ndarray) -> bytes:
     """Compressed, the first bytes of all numbers before the second ones: most numbers are small."""
     planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T) if len(a) else a
-    return pa.compress(planes.tobytes(), codec="lz4", asbytes=True) if len(a) else b""
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(a) else b""
 
 
 def _unpack(raw: bytes, kind: str, n: int) -> np.ndarray:
     size = np.dtype(kind).itemsize
     if not n:
         return np.zeros(0, kind)
-    planes = np.frombuffer(pa.decompress(raw, decompressed_size=n * size, codec="lz4", asbytes=True), np.uint8).reshape(size, n)
+    planes = np.frombuffer(pa.decompress(raw, decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
@@ -232,9 +231,10 @@ def _send(shipped: Shipped):
 
 NO_ID = -(1 << 63)
 
-# kind 0 as sent; 1: found estimates by document; 2: one cell of the histogram.
+# kind 0 as sent; 1: found estimates by document; 2: one cell of the histogram; 3: one bigram (``cell``: see _item) that
+# ends in a word outside the dictionary, ``entries`` times in a document.
 _FOUND = pa.schema([f for f in _SENT if f.name not in ("v", "w", "part")] + [
-    ("klass", pa.binary()), ("bigram", pa.binary()), ("word", pa.binary()), ("tail", pa.binary()), ("cell", pa.int64()), ("weight", pa.float64()),
+    ("klass", pa.binary()), ("bigram", pa.binary()), ("word", pa.binary()), ("tail", pa.binary()), ("cell", pa.int64()), ("weight", pa.float64()), ("word_key", pa.int64()),
 ])
 
 
@@ -252,6 +252,15 @@ def _value(x: np.ndarray) -> np.ndarray:
 _BINS = ABSENT * 8 // SCALE + 2
 
 
+def _item(doc: np.ndarray, bigram: np.ndarray, deleted: np.ndarray, klass: np.ndarray, train: np.ndarray) -> np.ndarray:
+    """A bigram's document in its flush, estimate, deleted estimate's bin, context class, and whether it trains."""
+    return doc.astype(np.int64) | bigram.astype(np.int64) << 16 | deleted.astype(np.int64) << 32 | klass.astype(np.int64) << 48 | train.astype(np.int64) << 56
+
+
+def _rows(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
 def _find(shipped: Shipped):
     """Counts every context of an exchange partition and looks its bigrams up."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,15 +299,14 @@ def _find(shipped: Shipped):
         p2 = pair / np.maximum(total, 1)
 
         # Deleted: each of the pair's training tokens seen from the others.
-        some = np.flatnonzero(pair > 0)
-        d2, d1 = (pair[some] - 1) / np.maximum(total[some] - 1, 1), np.maximum(p1[some] - 1.0 / max(c.tokens, 1), 0)
-        cell = (klass[some] * _BINS + _fixed(d2) * 8 // SCALE) * _BINS + _fixed(d1) * 8 // SCALE
+        far = (w_at & TAIL) != 0
+        d2 = _fixed(np.maximum(pair - 1, 0) / np.maximum(total - 1, 1)) * 8 // SCALE
+        some = np.flatnonzero((pair > 0) & ~far)
+        d1 = np.maximum(p1[some] - 1.0 / max(c.tokens, 1), 0)
+        cell = (klass[some] * _BINS + d2[some]) * _BINS + _fixed(d1) * 8 // SCALE
         cells, where = np.unique(cell, return_inverse=True)
         weight = np.bincount(where, pair[some].astype(float))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(cells), 2, np.int8)) if f.name == "kind" else pa.array(cells) if f.name == "cell"
-             else pa.array(weight) if f.name == "weight" else pa.nulls(len(cells), f.type) for f in _FOUND], schema=_FOUND,
-        )
+        yield _rows(_FOUND, len(cells), kind=np.full(len(cells), 2, np.int8), cell=cells, weight=weight)
 
         def back(x, kind):
             out = np.empty(len(v), kind)
@@ -306,6 +314,16 @@ def _find(shipped: Shipped):
             return out
 
         klass, p2, p1 = back(klass, "u1"), back(_fixed(p2), "<u2"), back(_fixed(p1), "<u2")
+        far, d2, words_at = back(far, bool), back(d2, "<u2"), back(w_at, "<u8")
+        train = np.empty(len(v), bool)
+        train[order] = n > 0
+        single = np.flatnonzero(far)
+        doc, many = (np.concatenate([x[k] for x in rows])[single] for k in (2, 3))
+        yield _rows(
+            _FOUND, len(single), kind=np.full(len(single), 3, np.int8), flush=np.repeat([x[0] for x in rows], sizes)[single],
+            entries=many.astype(np.int32), cell=_item(doc, p2[single], d2[single], klass[single], train[single]), word_key=words_at[single].view(np.int64),
+        )
+        del doc, many, d2, words_at, train
         # Base scores of words outside the dictionary, by their occurrences as contexts.
         out = np.empty(len(v), np.int64)
         out[order] = np.where(listed, -1, context)
@@ -320,8 +338,9 @@ def _find(shipped: Shipped):
             base = np.bincount(where, c.base(out[s][some]) * n[some], minlength=len(tail))
             known = np.bincount(where, (out[s][some] > 0) * n[some].astype(float), minlength=len(tail))
             by = np.argsort(doc, kind="stable")
+            by = by[~far[s][by]]
             yield _batch(
-                _FOUND, kind=1, flush=flush, docs=docs, entries=size, doc=_pack(doc[by].astype("<u2")), n=_pack(n[by].astype("<u4")), klass=_pack(klass[s][by]),
+                _FOUND, kind=1, flush=flush, docs=docs, entries=len(by), doc=_pack(doc[by].astype("<u2")), n=_pack(n[by].astype("<u4")), klass=_pack(klass[s][by]),
                 bigram=_pack(p2[s][by]), word=_pack(p1[s][by]), tail=tail.astype("<u2").tobytes(), base=base.astype("<f8").tobytes(),
                 known=known.astype("<u4").tobytes(),
             )
@@ -329,6 +348,33 @@ def _find(shipped: Shipped):
     return run
 
 
+def _bits(at: int, width: int) -> Column:
+    """A part of :func:`_item`."""
+    return F.shiftright("cell", at).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def _fixed_column(count: Column, tokens: int) -> Column:
+    """:func:`_fixed` of a count's share of all tokens."""
+    x = F.rint(F.least(-F.log2(count / float(max(tokens, 1))) * float(SCALE), F.lit(float(ABSENT))))
+    return F.when(count > 0, x).otherwise(float(ABSENT))
+
+
+def joined_cells(joined: DataFrame, tokens: int) -> DataFrame:
+    """Histogram cells of training bigrams that were joined with their word's count."""
+    by = joined.where(_bits(56, 1) == 1).groupBy(_bits(48, 8).alias("klass"), _bits(32, 16).alias("d2"), "c").agg(F.sum("entries").alias("weight"))
+    d1 = F.floor(_fixed_column(F.col("c") - 1, tokens) * 8 / SCALE)
+    return by.select(((F.col("klass") * _BINS + F.col("d2")) * _BINS + d1).cast("long").alias("cell"), F.col("weight").cast("double").alias("weight"))
+
+
+def joined_scores(joined: DataFrame, tokens: int, mix: np.ndarray, uniform: float) -> DataFrame:
+    """Their log-probabilities, as rows of kind 3: ``weight`` of document ``entries``."""
+    share = [F.get(F.array(*[F.lit(float(x)) for x in mix[:, k]]), _bits(48, 8).cast("int")) for k in range(3)]
+    value = lambda x: F.when(x == ABSENT, 0.0).otherwise(F.pow(F.lit(2.0), -x / float(SCALE)))
+    p = share[0] * value(_bits(16, 16)) + share[1] * value(_fixed_column(F.col("c"), tokens)) + share[2] * uniform
+    have = {"kind": F.lit(3).cast("tinyint"), "flush": F.col("flush"), "entries": _bits(0, 16).cast("int"), "weight": F.log10(p) * F.col("entries")}
+    return joined.select(*[have.get(f.name, F.lit(None)).alias(f.name) for f in _SUMS])
+
+
 def learn_weights(cells: np.ndarray, weight: np.ndarray, uniform: float, steps: int = EM_STEPS) -> np.ndarray:
     """(context class, [bigram, word, uniform]) weights by expectation-maximisation."""
     klass, rest = cells // (_BINS * _BINS), cells % (_BINS * _BINS)
@@ -346,7 +392,7 @@ def learn_weights(cells: np.ndarray, weight: np.ndarray, uniform: float, steps:
     return mix
 
 
-_SUMS = pa.schema([f for f in _FOUND if f.name in ("kind", "flush", "train", "docs", "doc_id", "tokens", "known", "base", "tail")] + [("score", pa.binary())])
+_SUMS = pa.schema([f for f in _FOUND if f.name in ("kind", "flush", "train", "docs", "doc_id", "tokens", "known", "base", "tail")] + [("score", pa.binary()), ("entries", pa.int32()), ("weight", pa.float64())])
 
 
 def _sum(shipped: Shipped):
@@ -370,8 +416,12 @@ def _sum(shipped: Shipped):
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    docs, sums = {}, {}
+    docs, sums, joined = {}, {}, []
     for batch in batches:
+        single = batch.column("kind").to_numpy() == 3
+        if single.any():
+            joined.append([batch.column(k).filter(pa.array(single)).to_numpy() for k in ("flush", "entries", "weight")])
+            batch = batch.filter(pa.array(~single))
         for r in batch.to_pylist():
             if r["kind"] == 0:
                 docs[r["flush"]] = r
@@ -381,9 +431,16 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own[0] += _unpack(r["score"], "<f4", n)
             own[1][tail] += np.frombuffer(r["base"], "<f8")
             own[2][tail] += np.frombuffer(r["known"], "<u4")
+    if joined:
+        of, doc, weight = (np.concatenate([x[k] for x in joined]) for k in range(3))
+        order = np.argsort(of, kind="stable")
+        of, doc, weight = of[order], doc[order], weight[order]
     for flush, r in docs.items():
         ids = np.frombuffer(r["doc_id"], "<i8")
         own = sums.get(flush, np.zeros((3, len(ids))))
+        if joined:
+            s = slice(*np.searchsorted(of, [flush, flush + 1]))
+            own[0] += np.bincount(doc[s], weight[s], minlength=len(ids))
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, mask=ids == NO_ID), pa.array(~np.frombuffer(r["train"], bool)), pa.array(np.frombuffer(r["tokens"], "<i8")),
              pa.array(np.frombuffer(r["known"], "<i8") + own[2].astype(np.int64)), pa.array(np.frombuffer(r["base"], "<f8") + own[1]), pa.array(own[0])],
@@ -401,13 +458,18 @@ def score(documents: DataFrame, held_out) -> DataFrame:
     spark = documents.sparkSession
     narrow_batches(spark)
     rows = documents.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    counts = fit_counts(rows.where("NOT held_out"))
+    counts, others = fit_counts(rows.where("NOT held_out"))
     shipped = Shipped(spark, counts)
     sent = rows.mapInArrow(_send(shipped), _ddl(_SENT))
     found = stored(sent.repartition(counts.parts, "part").mapInArrow(_find(shipped), _ddl(_FOUND)), "bigrams")
-    cells = found.where("kind = 2").groupBy("cell").agg(F.sum("weight").alias("weight")).toPandas()
+    # Words outside the dictionary meet their counts; those never trained on have none.
+    single = found.where("kind = 3").select("flush", "entries", "cell", F.col("word_key").alias("w"))
+    joined = stored(single.join(others, "w", "left").select("flush", "entries", "cell", F.coalesce("c", F.lit(0)).alias("c")), "joined")
+    cells = found.where("kind = 2").select("cell", "weight").union(joined_cells(joined, counts.tokens))
+    cells = cells.groupBy("cell").agg(F.sum("weight").alias("weight")).toPandas()
     mix = learn_weights(cells["cell"].to_numpy(np.int64), cells["weight"].to_numpy(float), counts.uniform())
     sums = found.where("kind < 2").mapInArrow(_sum(Shipped(spark, (mix, counts.uniform()))), _ddl(_SUMS))
+    sums = sums.unionByName(joined_scores(joined, counts.tokens, mix, counts.uniform()))
     out = sums.repartition(counts.parts, "flush").mapInArrow(
         _gather, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
