@@ -18,3 +18,18 @@ def size(path):
 def test_staged_results_hold_each_text_about_once(spark):
     text = v.requests(spark, SF).selectExpr("sum(length(text)) AS n").first()["n"]
     assert size(file_queries.stage_result_objects(spark, SF)) < 2 * text
+
+
+def test_predictions_of_a_request_stay_together(spark, tmp_path):
+    rng = random.Random(1)
+    texts = [(i, "%02000x" % rng.getrandbits(8000), "safe") for i in range(2_000)]
+    requests = spark.createDataFrame(texts, "instance_index long, text string, category string").repartition(4)
+    responses = spark.range(40_000).selectExpr("id % 2000 AS instance_index", "'m' AS model_name", "cast(id / 2000 AS int) AS iteration", "true AS is_safe")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        write_predictions(responses, requests, str(tmp_path), "e", 0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert spark.read.parquet(str(tmp_path)).count() == 40_000
+    assert size(tmp_path) < 6 * 2_000 * 2_000
