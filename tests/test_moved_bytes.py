@@ -33,3 +33,10 @@ def test_predictions_of_a_request_stay_together(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert spark.read.parquet(str(tmp_path)).count() == 40_000
     assert size(tmp_path) < 6 * 2_000 * 2_000
+
+
+def test_stream_input_is_written_by_many_tasks(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(run_queries, "scratch_path", lambda s, name: made.append((name, scratch_path(s, name))) or made[-1][1])
+    assert run_queries.q_stream_slot_counts(spark, SF).count() > 0
+    assert len([f for f in os.listdir(dict(made)["writes"]) if f.endswith(".parquet")]) > 3

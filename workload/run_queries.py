@@ -277,9 +277,10 @@ def q_stream_slot_counts(spark, d):
     base = v.responses(spark, d, keep_branch=True).select("model_name", "instance_index", "iteration", "is_safe", "category", "timestamp", "h")
     again = base.where("h % 4 = 0").withColumns({"is_safe": ~F.col("is_safe"), "category": F.lit("rewritten")})
     shifted = lambda df, s: df.withColumn("timestamp", F.timestamp_seconds(F.unix_seconds("timestamp") + s))
+    files = spark.sparkContext.defaultParallelism
     for part in (base, shifted(again, 60), shifted(again.withColumn("category", F.lit("old")), -60)):
-        part.drop("h").coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part.drop("h").repartition(files).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)
     return slot_counts(run_stateful(spark, slot_changes(stream), "slot-changes"))
 
 
