@@ -35,6 +35,21 @@ def test_predictions_of_a_request_stay_together(spark, tmp_path):
     assert size(tmp_path) < 6 * 2_000 * 2_000
 
 
+def test_records_of_result_documents_are_not_moved_to_be_numbered(spark):
+    path = scratch_path(spark, "doc")
+    items = ",\n".join('{"request_text": "%s", "prediction": {"is_safe": true}}' % ("%0300x" % i) for i in range(3_000))
+    spark.createDataFrame([('{"model": "m", "predictions": [\n' + items + "]}",)], "value string").coalesce(1).write.text(path)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "30000")
+    try:
+        out = scan_results(spark, path, split=True)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == 3_000 and out.select("run_model").distinct().collect()[0][0] == "m"
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" not in plan
+
+
 def test_stream_input_is_written_by_many_tasks(spark, monkeypatch):
     made = []
     monkeypatch.setattr(run_queries, "scratch_path", lambda s, name: made.append((name, scratch_path(s, name))) or made[-1][1])
