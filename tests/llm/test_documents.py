@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veritally.llm import language_id, lm_scoring, outliers, shingle_join, toxicity
@@ -356,6 +357,48 @@ def test_lm_scores_do_not_depend_on_the_dictionary(given, monkeypatch, dictionar
     assert got == {k: pytest.approx(x, rel=1e-6) for k, x in want.items()}
 
 
+@pytest.mark.parametrize("parts", [16, 1_000])
+def test_lm_rows_between_tasks_follow_the_tokens(monkeypatch, parts):
+    """More partitions do not mean a batch for every row, nor a sum for every document and partition."""
+    class Task:
+        partitionId = staticmethod(lambda: 0)
+        get = classmethod(lambda cls: cls)
+
+    class Given:
+        def __init__(self, value):
+            self.get = lambda: value
+
+    monkeypatch.setattr(lm_scoring, "TaskContext", Task)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in (400 * rng.random(30) ** 3).astype(int)) for _ in range(500)]
+    rows = pa.RecordBatch.from_pydict({"doc_id": range(500), "text": texts, "held_out": [i % 5 == 1 for i in range(500)]})
+    (words,) = lm_scoring._count_words(iter([rows]))
+    h, n = (x.to_numpy() for x in words.columns)
+    most = np.flatnonzero(n > 20)
+    counts = lm_scoring.Counts(h.view(np.uint64)[most], n[most], 500, 15_500, len(h) + 1, int((n == 1).sum()), parts)
+    sent = list(lm_scoring._send(Given(counts))(iter([rows])))
+    packed = sum(x.num_rows for x in sent)
+    assert packed <= parts + 1 and len(sent) <= 1 + packed // 100
+    entries = sum(sum(x.column("entries").drop_null().to_pylist()) for x in sent)
+    assert 10_000 < entries <= 15_500
+    found = list(lm_scoring._find(Given(counts))(iter(sent)))
+    assert len(found) <= 5 + packed // 100
+    scored = [x for x in found if x.column("kind")[0].as_py() < 2]
+    model = np.tile([0.5, 0.4, 0.1], (lm_scoring.CLASSES, 1)), counts.uniform()
+    sums = list(lm_scoring._sum(Given(model))(iter(scored)))
+    assert len(sums) <= 1 + packed // 100
+    # Before, each row had a sum for every document of its flush.
+    assert sum(sum(x.column("entries").drop_null().to_pylist()) for x in sums) <= entries
+
+
+def test_lm_holds_more_for_more_partitions():
+    def hold(parts):
+        return lm_scoring.Counts(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1, 1, 1, 0, parts).hold()
+
+    assert hold(16) == hold(512) == lm_scoring.HOLD_TOKENS
+    assert all(hold(parts) // parts >= 250 for parts in (512, 700, 2_000, 8_000))
+
+
 def test_small_probabilities_are_kept():
     p = 2.0 ** -np.arange(0, 63, 0.37)
     assert np.allclose(lm_scoring._value(lm_scoring._fixed(p).astype("<u2")), p, rtol=4e-4)

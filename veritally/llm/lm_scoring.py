@@ -12,6 +12,7 @@ from the counts without itself.
 * Bigrams of all documents meet by context in one exchange of packed arrays:
   the training ones are counted there and all are looked up there.  Frequent
   contexts are split by the following word, since their counts are known.
+  A bigram of two dictionary words is one number.
 * What is looked up is written, the weights are learned from its histogram,
   and a last exchange sums log-probabilities per document.
 """
@@ -30,9 +31,14 @@ from .common import HashTable, Shipped, crc_mod, mix64, narrow_batches, run_sums
 from .text import words
 
 DICTIONARY = 1 << 18
-# Tokens a task holds before it sends them, and tokens to an exchange partition.
-HOLD_TOKENS = 1 << 17
-PART_TOKENS = 1 << 19
+# Tokens a task holds before it sends them, and tokens to an exchange partition.  With more than DENSE_PARTS
+# partitions it holds as many times more, up to MOST_HOLD, so that what goes to one partition at once stays long.
+HOLD_TOKENS = 1 << 18
+PART_TOKENS = 1 << 20
+DENSE_PARTS, MOST_HOLD = 512, 8
+BATCH_ROWS = 256
+# Two words and a document's number in its flush share 64 bits.
+MOST_WORDS = 1 << 22
 # Contexts are told apart by the logarithm of their frequency.
 CLASSES = 24
 EM_STEPS = 40
@@ -54,24 +60,61 @@ class Counts:
     hapaxes: int
     parts: int
     _table: HashTable | None = field(default=None)
+    _by_key: KeyFigures | None = field(default=None)
 
     def table(self) -> HashTable:
         if self._table is None:
             self._table = HashTable(self.hashes)
         return self._table
 
+    def by_key(self) -> KeyFigures:
+        if self._by_key is None:
+            self._by_key = KeyFigures(self)
+        return self._by_key
+
+    def bits(self) -> int:
+        """Of a key of START, END or a word of the dictionary."""
+        return (len(self.hashes) + 8).bit_length()
+
+    def hold(self) -> int:
+        return HOLD_TOKENS * min(max(1, -(-self.parts // DENSE_PARTS)), MOST_HOLD)
+
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.kinds + 1)))
 
-    def word_estimate(self, place: np.ndarray) -> np.ndarray:
-        """Maximum-likelihood estimate by place in the dictionary (-1: not known here)."""
-        c = np.where(place >= 0, self.counts[np.maximum(place, 0)] if len(self.counts) else 0, 0)
-        return c / max(self.tokens, 1)
-
     def uniform(self) -> float:
         return 1.0 / (self.kinds + self.hapaxes + 1)
 
 
+class KeyFigures:
+    """What depends on a small key alone, by key."""
+
+    def __init__(self, c: Counts):
+        keys = np.arange(len(c.counts) + 8, dtype=np.uint64)
+        self.seen, ends = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        self.seen[8:] = ends[8:] = c.counts
+        self.seen[int(START)] = ends[int(END)] = c.documents
+        self.klass = _class(self.seen)
+        share = ends / max(c.tokens, 1)
+        self.word = _fixed(share).astype("<u2")
+        self.deleted = _fixed(np.maximum(share - 1.0 / max(c.tokens, 1), 0)) * 8 // SCALE
+        self.base = np.append(c.base(c.counts), 0.0)  # by place; at -1 that of words outside the dictionary, added later
+        # A context's share of all tokens, in exchange partitions, says into how many pieces it is split.
+        self.pieces = np.maximum(np.ceil(16.0 * self.seen * c.parts / max(c.tokens, 1)), 1).astype(np.uint64)
+        self.home, self.mixed = mix64(keys * np.uint64(3)), mix64(keys)
+
+
+def _class(seen: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(seen + 1.0).astype(np.int64), CLASSES - 1)
+
+
+def _parts(c: Counts, home: np.ndarray, pieces: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    """Exchange partitions of bigrams: by context, and by follower too where a context is split."""
+    split = np.flatnonzero(pieces > 1)
+    home[split] += mixed[split] % pieces[split] * np.uint64(0x9E3779B97F4A7C15)
+    return ((mix64(home) >> np.uint64(33)) % np.uint64(c.parts)).astype(np.uint16 if c.parts <= 1 << 16 else np.uint32)
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
@@ -85,7 +128,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, _, _ = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             held.append(h)
             size += len(h)
-            if size >= HOLD_TOKENS:
+            if size >= 4 * HOLD_TOKENS:
                 yield send()
                 held, size = [], 0
     if size:
@@ -101,7 +144,7 @@ def fit_counts(training: DataFrame, dictionary: int = DICTIONARY) -> tuple[Count
     # The least count at which the words fit into the dictionary, by eighths of a power of two.
     step = F.floor(F.log2("n") * 8)
     least = None
-    room = dictionary
+    room = min(dictionary, MOST_WORDS)
     for r in table.groupBy(step.alias("step")).agg(F.count("*").alias("k")).orderBy(F.desc("step")).collect():
         room -= r["k"]
         if room < 0:
@@ -119,13 +162,25 @@ def fit_counts(training: DataFrame, dictionary: int = DICTIONARY) -> tuple[Count
 
 
 _SENT = pa.schema([
-    ("kind", pa.int8()), ("part", pa.int32()), ("flush", pa.int64()), ("train", pa.binary()), ("v", pa.binary()), ("w", pa.binary()),
-    ("docs", pa.int32()), ("entries", pa.int32()), ("doc", pa.binary()), ("n", pa.binary()), ("doc_id", pa.binary()), ("tokens", pa.binary()), ("known", pa.binary()), ("base", pa.binary()),
+    ("kind", pa.int8()), ("part", pa.int32()), ("flush", pa.int64()), ("train", pa.binary()), ("pair", pa.binary()), ("v", pa.binary()), ("w", pa.binary()),
+    ("docs", pa.int32()), ("entries", pa.int32()), ("far", pa.int32()), ("doc", pa.binary()), ("n", pa.binary()), ("doc_id", pa.binary()), ("tokens", pa.binary()), ("known", pa.binary()), ("base", pa.binary()),
 ])
 
 
-def _batch(schema: pa.Schema, **values) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in schema], schema=schema)
+def _batches(schema: pa.Schema, rows: Iterator[dict | pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows, some hundreds to a batch, among batches that stay as they are."""
+    held, size = [], 0
+    for r in rows:
+        if isinstance(r, pa.RecordBatch):
+            yield r
+            continue
+        held.append(r)
+        size += sum(len(x) for x in r.values() if isinstance(x, bytes))
+        if len(held) >= BATCH_ROWS or size >= 1 << 21:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -154,7 +209,7 @@ def _key(h: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 def _send(shipped: Shipped):
     """Documents' tokens as bigrams by context, and what needs no exchange."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict | pa.RecordBatch]:
         c = shipped.get()
         task = TaskContext.get().partitionId()
         number, held, size = 0, [], 0
@@ -167,47 +222,60 @@ def _send(shipped: Shipped):
             ids = np.concatenate([x[2] for x in held])
             train = np.concatenate([x[3] for x in held])
             docs = len(ids)
-            place = c.table().find(h)
-            doc = np.repeat(np.arange(docs), count)
+            place, by = c.table().find(h), c.by_key()
+            doc = np.repeat(np.arange(docs, dtype=np.uint64), count)
             bounds = np.concatenate(([0], np.cumsum(count)))
-            listed = np.where(place >= 0, c.counts[np.maximum(place, 0)] if len(c.counts) else 0, 0)
-            # Words outside the dictionary are added where their context is counted.
-            base = np.bincount(doc, np.where(place >= 0, c.base(listed), 0.0), minlength=docs) + c.base(np.float64(c.documents))
+            # Words outside the dictionary are added where they are joined with their counts.
+            base = np.bincount(doc.view(np.int64), by.base[place], minlength=docs) + c.base(np.float64(c.documents))
             known = run_sums((place >= 0).astype(np.int64), bounds) + (c.documents > 0)
             flush = task << 32 | number
-            yield _batch(
-                _SENT, kind=0, part=flush % c.parts, flush=flush, train=train.tobytes(), doc_id=ids.astype("<i8").tobytes(),
+            yield dict(
+                kind=0, part=flush % c.parts, flush=flush, train=train.tobytes(), doc_id=ids.astype("<i8").tobytes(),
                 tokens=(count + 1).astype("<i8").tobytes(), known=known.astype("<i8").tobytes(), base=base.astype("<f8").tobytes(),
             )
             key = _key(h, place)
             # Contexts: the start, then every word; followers: every word, then the end.
             v, w = np.empty(len(h) + docs, np.uint64), np.empty(len(h) + docs, np.uint64)
-            at = np.arange(len(h)) + doc
+            at = np.arange(len(h)) + doc.view(np.int64)
             first = bounds[:-1] + np.arange(docs)
             v[first], w[first + count] = START, END
             v[at + 1], w[at] = key, key
-            d = np.empty(len(v), np.int64)
+            d = np.empty(len(v), np.uint64)
             d[at], d[first + count] = doc, np.arange(docs)
-            # A context's share of all tokens, in exchange partitions, says into how many pieces it is split.
-            seen = np.zeros(len(v))
-            seen[at + 1] = listed
-            seen[first] = c.documents
-            pieces = np.ceil(16.0 * seen * c.parts / max(c.tokens, 1)).astype(np.uint64)
-            home = mix64(v * np.uint64(3)) + np.where(pieces > 1, mix64(w) % np.maximum(pieces, 1), 0).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            part = (mix64(home) >> np.uint64(33)) % np.uint64(c.parts)
-            order = np.lexsort((d, w, v, part))
-            part, v, w, d = part[order], v[order], w[order], d[order]
-            fresh = np.flatnonzero((np.diff(part, prepend=~part[:1]) != 0) | (np.diff(v, prepend=~v[:1]) != 0)
-                                   | (np.diff(w, prepend=~w[:1]) != 0) | (np.diff(d, prepend=-1) != 0))
-            n = np.diff(fresh, append=len(v))
-            part, v, w, d = part[fresh], v[fresh], w[fresh], d[fresh]
-            cut = np.flatnonzero(np.diff(part, prepend=~part[:1]) != 0)
+            del h, place, key, doc, at
+            far = ((v | w) & TAIL) != 0
+            rest = np.flatnonzero(far)
+            bits, low = np.uint64(c.bits()), np.uint64(docs.bit_length())
+            one = ~far
+            both = np.sort((v[one] << bits | w[one]) << low | d[one])
+            v, w, d = v[rest], w[rest], d[rest]
+            del far, one
+            # Near bigrams, of two dictionary words.
+            fresh = np.flatnonzero(np.diff(both, prepend=~both[:1]) != 0)
+            n, both = np.diff(fresh, append=len(both)), both[fresh]
+            pair, doc = both >> low, both & ((np.uint64(1) << low) - np.uint64(1))
+            ahead = pair >> bits
+            part = _parts(c, by.home[ahead], by.pieces[ahead], by.mixed[pair & ((np.uint64(1) << bits) - np.uint64(1))])
+            order = np.argsort(part, kind="stable")
+            pair, doc, n = pair[order], doc[order].astype("<u2"), n[order]
+            edges = np.searchsorted(part[order], np.arange(c.parts + 1))
+            # Far ones, in the order of a hash: equal bigrams of a document stand together.
+            order = np.argsort(mix64(mix64(v) + w) + d * np.uint64(0x9E3779B97F4A7C15))
+            v, w, d = v[order], w[order], d[order]
+            fresh = np.flatnonzero((np.diff(v, prepend=~v[:1]) != 0) | (np.diff(w, prepend=~w[:1]) != 0) | (np.diff(d, prepend=~d[:1]) != 0))
+            far_n, v, w, d = np.diff(fresh, append=len(v)), v[fresh], w[fresh], d[fresh]
+            small = np.where(v & TAIL, np.uint64(0), v)  # no word has the key 0
+            part = _parts(c, mix64(v * np.uint64(3)), by.pieces[small], mix64(w))
+            order = np.lexsort((v, part))
+            v, w, d, far_n = v[order], w[order], d[order].astype("<u2"), far_n[order]
+            far_edges = np.searchsorted(part[order], np.arange(c.parts + 1))
             # Whether an entry's document trains is the lowest bit of its number.
-            n = (n << 1 | train[d]).astype("<u4")
-            for a, b in zip(cut, np.append(cut[1:], len(part))):
-                yield _batch(
-                    _SENT, kind=1, part=int(part[a]), flush=flush, docs=docs, entries=int(b - a),
-                    v=_pack(v[a:b]), w=_pack(w[a:b]), doc=_pack(d[a:b].astype("<u2")), n=_pack(n[a:b]),
+            n, far_n = ((x << 1 | train[y]).astype("<u4") for x, y in ((n, doc), (far_n, d)))
+            for k in np.flatnonzero((np.diff(edges) + np.diff(far_edges)) > 0):
+                s, f = slice(edges[k], edges[k + 1]), slice(far_edges[k], far_edges[k + 1])
+                yield dict(
+                    kind=1, part=int(k), flush=flush, docs=docs, entries=int(s.stop - s.start + f.stop - f.start), far=int(f.stop - f.start),
+                    pair=_pack(pair[s]), v=_pack(v[f]), w=_pack(w[f]), doc=_pack(np.concatenate((doc[s], d[f]))), n=_pack(np.concatenate((n[s], far_n[f]))),
                 )
 
         for batch in batches:
@@ -218,7 +286,7 @@ def _send(shipped: Shipped):
                 for x in range(a, b, 60_000):
                     y = min(x + 60_000, b)
                     own = bounds[x - a : y - a + 1]
-                    if size >= HOLD_TOKENS or sum(len(z[2]) for z in held) + y - x > 65_535:
+                    if size >= c.hold() or sum(len(z[2]) for z in held) + y - x > 65_535:
                         yield from send()
                         number, held, size = number + 1, [], 0
                     held.append((h[own[0] : own[-1]], np.diff(own), ids[x:y], train[x:y]))
@@ -226,15 +294,15 @@ def _send(shipped: Shipped):
         if held:
             yield from send()
 
-    return run
+    return lambda batches: _batches(_SENT, rows_of(batches))
 
 
 NO_ID = -(1 << 63)
 
 # kind 0 as sent; 1: found estimates by document; 2: one cell of the histogram; 3: one bigram (``cell``: see _item) that
 # ends in a word outside the dictionary, ``entries`` times in a document.
-_FOUND = pa.schema([f for f in _SENT if f.name not in ("v", "w", "part")] + [
-    ("klass", pa.binary()), ("bigram", pa.binary()), ("word", pa.binary()), ("tail", pa.binary()), ("cell", pa.int64()), ("weight", pa.float64()), ("word_key", pa.int64()),
+_FOUND = pa.schema([f for f in _SENT if f.name not in ("pair", "v", "w", "far", "part")] + [
+    ("klass", pa.binary()), ("bigram", pa.binary()), ("word", pa.binary()), ("cell", pa.int64()), ("weight", pa.float64()), ("word_key", pa.int64()),
 ])
 
 
@@ -261,91 +329,115 @@ def _rows(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
+def _pack_hits(klass: np.ndarray, bigram: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return klass.astype(np.uint64) << np.uint64(32) | bigram.astype(np.uint64) << np.uint64(16) | word.astype(np.uint64)
+
+
+def _cells(klass: np.ndarray, d2: np.ndarray, d1: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of the histogram and their sums."""
+    cells, where = np.unique((klass * _BINS + d2) * _BINS + d1, return_inverse=True)
+    return cells, np.bincount(where, weight.astype(float), minlength=len(cells))
+
+
+def _find_near(c: Counts, pair: np.ndarray, n: np.ndarray):
+    """Estimates of bigrams of two dictionary words, and their histogram."""
+    by, bits = c.by_key(), np.uint64(c.bits())
+    order = np.argsort(pair)
+    pair = pair[order]
+    first = np.flatnonzero(np.diff(pair, prepend=~pair[:1]) != 0)
+    size, count, pair = np.diff(first, append=len(pair)), np.add.reduceat(n[order], first, dtype=np.int64), pair[first]
+    v, w = pair >> bits, pair & ((np.uint64(1) << bits) - np.uint64(1))
+    total = by.seen[v]
+    hits = np.empty(len(n), np.uint64)
+    hits[order] = np.repeat(_pack_hits(by.klass[v], _fixed(count / np.maximum(total, 1)), by.word[w]), size)
+    some = np.flatnonzero(count > 0)
+    # Deleted: each of the pair's training tokens seen from the others.
+    d2 = _fixed((count[some] - 1) / np.maximum(total[some] - 1, 1)) * 8 // SCALE
+    return hits, _cells(by.klass[v[some]], d2, by.deleted[w[some]], count[some])
+
+
+def _find_far(c: Counts, v: np.ndarray, w: np.ndarray, n: np.ndarray):
+    """The same where a word is not in the dictionary; bins of the deleted estimates, too."""
+    by = c.by_key()
+    order = np.lexsort((w, v))
+    v, w, n = v[order], w[order], n[order].astype(np.int64)
+    fresh = np.diff(v, prepend=~v[:1]) != 0
+    v_first = np.flatnonzero(fresh)
+    pair_first = np.flatnonzero(fresh | (np.diff(w, prepend=~w[:1]) != 0))
+    v_size, pair_size = np.diff(v_first, append=len(v)), np.diff(pair_first, append=len(v))
+    # The dictionary knows a frequent context's count, of which this partition may hold a piece.
+    context = np.repeat(np.add.reduceat(n, v_first), v_size)[pair_first]
+    pair, v, w = np.add.reduceat(n, pair_first), v[pair_first], w[pair_first]
+    total = np.where(v & TAIL, context, by.seen[np.where(v & TAIL, np.uint64(0), v)])
+    klass, tail = _class(total), (w & TAIL) != 0
+    small = np.where(tail, np.uint64(0), w)
+    d2 = _fixed(np.maximum(pair - 1, 0) / np.maximum(total - 1, 1)) * 8 // SCALE
+    some = np.flatnonzero((pair > 0) & ~tail)
+    cells = _cells(klass[some], d2[some], by.deleted[small[some]], pair[some])
+    hits, bins = np.empty(len(n), np.uint64), np.empty(len(n), "<u2")
+    hits[order] = np.repeat(_pack_hits(klass, _fixed(pair / np.maximum(total, 1)), by.word[small]), pair_size)
+    bins[order] = np.repeat(d2, pair_size)
+    return hits, bins, cells
+
+
 def _find(shipped: Shipped):
     """Counts every context of an exchange partition and looks its bigrams up."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict | pa.RecordBatch]:
         c = shipped.get()
-        rows, parts = [], []
+        rows, near, far = [], [], []
         for batch in batches:
             for r in batch.to_pylist():
                 if r["kind"] == 0:
-                    yield _batch(_FOUND, **{k: x for k, x in r.items() if k not in ("v", "w", "part")})
+                    yield {k: x for k, x in r.items() if k in _FOUND.names}
                     continue
-                k = r["entries"]
+                k, f = r["entries"], r["far"]
                 n = _unpack(r["n"], "<u4", k)
-                rows.append((r["flush"], r["docs"], _unpack(r["doc"], "<u2", k), n >> 1))
-                parts.append((_unpack(r["v"], "<u8", k), _unpack(r["w"], "<u8", k), np.where(n & 1, n >> 1, 0).astype(np.uint32)))
+                rows.append((r["flush"], r["docs"], _unpack(r["doc"], "<u2", k), n, k - f, f))
+                near.append(_unpack(r["pair"], "<u8", k - f))
+                far.append((_unpack(r["v"], "<u8", f), _unpack(r["w"], "<u8", f)))
         if not rows:
             return
-        sizes = [len(x[2]) for x in rows]
-        v, w, n = (np.concatenate([x[k] for x in parts]) for k in range(3))
-        del parts
-        order = np.lexsort((w, v))
-        v, w, n = v[order], w[order], n[order].astype(np.int64)
-        v_first = np.flatnonzero(np.diff(v, prepend=~v[:1]) != 0)
-        pair_first = np.flatnonzero((np.diff(v, prepend=~v[:1]) != 0) | (np.diff(w, prepend=~w[:1]) != 0))
-        v_size, pair_size = np.diff(v_first, append=len(v)), np.diff(pair_first, append=len(v))
-        context = np.repeat(np.add.reduceat(n, v_first), v_size)
-        pair = np.add.reduceat(n, pair_first)
-        # The dictionary knows a frequent context's count, of which this partition may hold a piece.
-        listed = (v & TAIL) == 0
-        place = np.where(listed, v - np.minimum(v, np.uint64(8)), 0).astype(np.int64)
-        context = np.where(v == START, c.documents, np.where(listed & (v >= 8), c.counts[place] if len(c.counts) else 0, context))
-        w_at = w[pair_first]
-        w_place = np.where((w_at & TAIL) == 0, w_at.astype(np.int64) - 8, -1)
-        p1 = np.where(w_at == END, c.documents / max(c.tokens, 1), c.word_estimate(w_place))
-        total = context[pair_first]
-        klass = np.minimum(np.log2(total + 1.0).astype(np.int64), CLASSES - 1)
-        p2 = pair / np.maximum(total, 1)
-
-        # Deleted: each of the pair's training tokens seen from the others.
-        far = (w_at & TAIL) != 0
-        d2 = _fixed(np.maximum(pair - 1, 0) / np.maximum(total - 1, 1)) * 8 // SCALE
-        some = np.flatnonzero((pair > 0) & ~far)
-        d1 = np.maximum(p1[some] - 1.0 / max(c.tokens, 1), 0)
-        cell = (klass[some] * _BINS + d2[some]) * _BINS + _fixed(d1) * 8 // SCALE
-        cells, where = np.unique(cell, return_inverse=True)
-        weight = np.bincount(where, pair[some].astype(float))
-        yield _rows(_FOUND, len(cells), kind=np.full(len(cells), 2, np.int8), cell=cells, weight=weight)
-
-        def back(x, kind):
-            out = np.empty(len(v), kind)
-            out[order] = np.repeat(x, pair_size)
-            return out
-
-        klass, p2, p1 = back(klass, "u1"), back(_fixed(p2), "<u2"), back(_fixed(p1), "<u2")
-        far, d2, words_at = back(far, bool), back(d2, "<u2"), back(w_at, "<u8")
-        train = np.empty(len(v), bool)
-        train[order] = n > 0
-        single = np.flatnonzero(far)
-        doc, many = (np.concatenate([x[k] for x in rows])[single] for k in (2, 3))
-        yield _rows(
-            _FOUND, len(single), kind=np.full(len(single), 3, np.int8), flush=np.repeat([x[0] for x in rows], sizes)[single],
-            entries=many.astype(np.int32), cell=_item(doc, p2[single], d2[single], klass[single], train[single]), word_key=words_at[single].view(np.int64),
-        )
-        del doc, many, d2, words_at, train
-        # Base scores of words outside the dictionary, by their occurrences as contexts.
-        out = np.empty(len(v), np.int64)
-        out[order] = np.where(listed, -1, context)
-        at = 0
-        del v, w, n, context, pair, w_at, w_place, total
-        for (flush, docs, doc, n), size in zip(rows, sizes):
-            s = slice(at, at + size)
-            at += size
-            # Sums by document, of those that have such words.
-            some = np.flatnonzero(out[s] >= 0)
-            tail, where = np.unique(doc[some], return_inverse=True)
-            base = np.bincount(where, c.base(out[s][some]) * n[some], minlength=len(tail))
-            known = np.bincount(where, (out[s][some] > 0) * n[some].astype(float), minlength=len(tail))
+        trained = [np.where(n & 1, n >> 1, 0).astype(np.uint32) for _, _, _, n, _, _ in rows]
+        near, near_n = np.concatenate(near), np.concatenate([x[: r[4]] for x, r in zip(trained, rows)])
+        v, w = (np.concatenate([x[k] for x in far]) for k in range(2))
+        far_n = np.concatenate([x[r[4] :] for x, r in zip(trained, rows)])
+        del trained, far
+        cells = []
+        if len(near):
+            near, own = _find_near(c, near, near_n)
+            cells.append(own)
+        if len(v):
+            hits, bins, own = _find_far(c, v, w, far_n)
+            cells.append(own)
+            tail = (w & TAIL) != 0
+            single = np.flatnonzero(tail)
+            flush = np.repeat([r[0] for r in rows], [r[5] for r in rows])
+            doc, many = (np.concatenate([r[k][r[4] :] for r in rows])[single] for k in (2, 3))
+            own = hits[single]
+            yield _rows(
+                _FOUND, len(single), kind=np.full(len(single), 3, np.int8), flush=flush[single], entries=(many >> 1).astype(np.int32),
+                cell=_item(doc, own >> np.uint64(16) & np.uint64(0xFFFF), bins[single], own >> np.uint64(32), many & 1), word_key=w[single].view(np.int64),
+            )
+            del flush, doc, many, own, bins
+        for own, weight in cells:
+            yield _rows(_FOUND, len(own), kind=np.full(len(own), 2, np.int8), cell=own, weight=weight)
+        del cells, v, w, near_n, far_n
+        at = far_at = 0
+        for flush, docs, doc, n, k, f in rows:
+            own = near[at : at + k]
+            if f:
+                stay = np.flatnonzero(~tail[far_at : far_at + f])
+                own = np.concatenate((own, hits[far_at : far_at + f][stay]))
+                doc, n = (np.concatenate((x[:k], x[k:][stay])) for x in (doc, n))
+            at, far_at = at + k, far_at + f
             by = np.argsort(doc, kind="stable")
-            by = by[~far[s][by]]
-            yield _batch(
-                _FOUND, kind=1, flush=flush, docs=docs, entries=len(by), doc=_pack(doc[by].astype("<u2")), n=_pack(n[by].astype("<u4")), klass=_pack(klass[s][by]),
-                bigram=_pack(p2[s][by]), word=_pack(p1[s][by]), tail=tail.astype("<u2").tobytes(), base=base.astype("<f8").tobytes(),
-                known=known.astype("<u4").tobytes(),
+            own = own[by].view("<u2").reshape(-1, 4)
+            yield dict(
+                kind=1, flush=flush, docs=docs, entries=len(by), doc=_pack(doc[by]), n=_pack(n[by] >> 1),
+                klass=_pack(own[:, 2].astype("u1")), bigram=_pack(own[:, 1].copy()), word=_pack(own[:, 0].copy()),
             )
 
-    return run
+    return lambda batches: _batches(_FOUND, rows_of(batches))
 
 
 def _bits(at: int, width: int) -> Column:
@@ -366,13 +458,19 @@ def joined_cells(joined: DataFrame, tokens: int) -> DataFrame:
     return by.select(((F.col("klass") * _BINS + F.col("d2")) * _BINS + d1).cast("long").alias("cell"), F.col("weight").cast("double").alias("weight"))
 
 
-def joined_scores(joined: DataFrame, tokens: int, mix: np.ndarray, uniform: float) -> DataFrame:
-    """Their log-probabilities, as rows of kind 3: ``weight`` of document ``entries``."""
+def joined_scores(joined: DataFrame, counts: Counts, mix: np.ndarray) -> DataFrame:
+    """Their sums by document, as rows of kind 3: log-probabilities and base scores of the document ``entries`` of a
+    flush, and how many were trained on."""
     share = [F.get(F.array(*[F.lit(float(x)) for x in mix[:, k]]), _bits(48, 8).cast("int")) for k in range(3)]
     value = lambda x: F.when(x == ABSENT, 0.0).otherwise(F.pow(F.lit(2.0), -x / float(SCALE)))
-    p = share[0] * value(_bits(16, 16)) + share[1] * value(_fixed_column(F.col("c"), tokens)) + share[2] * uniform
-    have = {"kind": F.lit(3).cast("tinyint"), "flush": F.col("flush"), "entries": _bits(0, 16).cast("int"), "weight": F.log10(p) * F.col("entries")}
-    return joined.select(*[have.get(f.name, F.lit(None)).alias(f.name) for f in _SUMS])
+    p = share[0] * value(_bits(16, 16)) + share[1] * value(_fixed_column(F.col("c"), counts.tokens)) + share[2] * counts.uniform()
+    base = F.log10((F.col("c") + 0.5) / (counts.tokens + 0.5 * (counts.kinds + 1)))
+    sums = joined.groupBy("flush", _bits(0, 16).cast("int").alias("entries")).agg(
+        F.sum(F.log10(p) * F.col("entries")).alias("weight"), F.sum(base * F.col("entries")).alias("far_base"),
+        F.sum(F.when(F.col("c") > 0, F.col("entries")).otherwise(0)).cast("long").alias("far_known"),
+    )
+    have = {"kind": F.lit(3).cast("tinyint")} | {k: F.col(k) for k in sums.columns}
+    return sums.select(*[have.get(f.name, F.lit(None)).alias(f.name) for f in _SUMS])
 
 
 def learn_weights(cells: np.ndarray, weight: np.ndarray, uniform: float, steps: int = EM_STEPS) -> np.ndarray:
@@ -392,27 +490,37 @@ def learn_weights(cells: np.ndarray, weight: np.ndarray, uniform: float, steps:
     return mix
 
 
-_SUMS = pa.schema([f for f in _FOUND if f.name in ("kind", "flush", "train", "docs", "doc_id", "tokens", "known", "base", "tail")] + [("score", pa.binary()), ("entries", pa.int32()), ("weight", pa.float64())])
+# kind 1: ``entries`` documents' sums, the steps from one to the next (``at``); kind 3: see joined_scores.
+_SUMS = pa.schema([f for f in _FOUND if f.name in ("kind", "flush", "train", "doc_id", "tokens", "known", "base", "entries", "weight")] + [
+    ("at", pa.binary()), ("score", pa.binary()), ("far_base", pa.float64()), ("far_known", pa.int64()),
+])
 
 
 def _sum(shipped: Shipped):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict | pa.RecordBatch]:
         mix, uniform = shipped.get()
+        value = _value(np.arange(ABSENT + 1))
+        shares = [mix[:, 0].copy(), mix[:, 1].copy(), mix[:, 2] * uniform]
         for batch in batches:
             for r in batch.to_pylist():
                 if r["kind"] == 0:
-                    yield _batch(_SUMS, **{k: x for k, x in r.items() if k in _SUMS.names})
+                    yield {k: x for k, x in r.items() if k in _SUMS.names}
                     continue
-                k, docs = r["entries"], r["docs"]
-                n = _unpack(r["n"], "<u4", k)
-                m = mix[_unpack(r["klass"], "u1", k)]
-                p = m[:, 0] * _value(_unpack(r["bigram"], "<u2", k)) + m[:, 1] * _value(_unpack(r["word"], "<u2", k)) + m[:, 2] * uniform
-                score = np.bincount(_unpack(r["doc"], "<u2", k), np.log10(p) * n, minlength=docs)
-                yield _batch(
-                    _SUMS, kind=1, flush=r["flush"], docs=docs, base=r["base"], known=r["known"], tail=r["tail"], score=_pack(score.astype("<f4"))
+                if not (k := r["entries"]):
+                    continue
+                klass = _unpack(r["klass"], "u1", k)
+                p = shares[0][klass] * value[_unpack(r["bigram"], "<u2", k)]
+                p += shares[1][klass] * value[_unpack(r["word"], "<u2", k)]
+                p += shares[2][klass]
+                # Only documents that have such bigrams are sent; entries stand by document.
+                doc = _unpack(r["doc"], "<u2", k)
+                first = np.flatnonzero(np.diff(doc, prepend=~doc[:1]) != 0)
+                score = np.add.reduceat(np.log(p) * _unpack(r["n"], "<u4", k), first) / np.log(10.0)
+                yield dict(
+                    kind=1, flush=r["flush"], entries=len(first), at=_pack(np.diff(doc[first], prepend=np.uint16(0))), score=_pack(score.astype("<f4")),
                 )
 
-    return run
+    return lambda batches: _batches(_SUMS, rows_of(batches))
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,30 +528,34 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         single = batch.column("kind").to_numpy() == 3
         if single.any():
-            joined.append([batch.column(k).filter(pa.array(single)).to_numpy() for k in ("flush", "entries", "weight")])
+            joined.append([batch.column(k).filter(pa.array(single)).to_numpy() for k in ("flush", "entries", "weight", "far_base", "far_known")])
             batch = batch.filter(pa.array(~single))
         for r in batch.to_pylist():
             if r["kind"] == 0:
                 docs[r["flush"]] = r
                 continue
-            n, tail = r["docs"], np.frombuffer(r["tail"], "<u2")
-            own = sums.setdefault(r["flush"], np.zeros((3, n)))
-            own[0] += _unpack(r["score"], "<f4", n)
-            own[1][tail] += np.frombuffer(r["base"], "<f8")
-            own[2][tail] += np.frombuffer(r["known"], "<u4")
+            k = r["entries"]
+            at, score = np.cumsum(_unpack(r["at"], "<u2", k), dtype=np.int64), _unpack(r["score"], "<f4", k)
+            own = sums.get(r["flush"], np.zeros(0))
+            if len(own) <= at[-1]:
+                own = sums[r["flush"]] = np.concatenate((own, np.zeros(int(at[-1]) + 1 - len(own))))
+            own[at] += score
     if joined:
-        of, doc, weight = (np.concatenate([x[k] for x in joined]) for k in range(3))
-        order = np.argsort(of, kind="stable")
-        of, doc, weight = of[order], doc[order], weight[order]
+        joined = [np.concatenate([x[k] for x in joined]) for k in range(5)]
+        order = np.argsort(joined[0], kind="stable")
+        of, doc, *joined = [x[order] for x in joined]
     for flush, r in docs.items():
         ids = np.frombuffer(r["doc_id"], "<i8")
-        own = sums.get(flush, np.zeros((3, len(ids))))
+        own = np.zeros((3, len(ids)))
+        if (have := sums.get(flush)) is not None:
+            own[0, : len(have)] = have
         if joined:
             s = slice(*np.searchsorted(of, [flush, flush + 1]))
-            own[0] += np.bincount(doc[s], weight[s], minlength=len(ids))
+            for k, x in enumerate(joined):
+                own[k] += np.bincount(doc[s], x[s], minlength=len(ids))
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, mask=ids == NO_ID), pa.array(~np.frombuffer(r["train"], bool)), pa.array(np.frombuffer(r["tokens"], "<i8")),
-             pa.array(np.frombuffer(r["known"], "<i8") + own[2].astype(np.int64)), pa.array(np.frombuffer(r["base"], "<f8") + own[1]), pa.array(own[0])],
+             pa.array(np.frombuffer(r["known"], "<i8") + np.rint(own[2]).astype(np.int64)), pa.array(np.frombuffer(r["base"], "<f8") + own[1]), pa.array(own[0])],
             ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
         )
 
@@ -469,8 +581,8 @@ def score(documents: DataFrame, held_out) -> DataFrame:
     cells = cells.groupBy("cell").agg(F.sum("weight").alias("weight")).toPandas()
     mix = learn_weights(cells["cell"].to_numpy(np.int64), cells["weight"].to_numpy(float), counts.uniform())
     sums = found.where("kind < 2").mapInArrow(_sum(Shipped(spark, (mix, counts.uniform()))), _ddl(_SUMS))
-    sums = sums.unionByName(joined_scores(joined, counts.tokens, mix, counts.uniform()))
-    out = sums.repartition(counts.parts, "flush").mapInArrow(
+    sums = sums.unionByName(joined_scores(joined, counts, mix))
+    out = sums.repartition(max(2 * spark.sparkContext.defaultParallelism, counts.parts // 4), "flush").mapInArrow(
         _gather, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(counts.tokens).cast("long").alias("train_tokens"), "base_score", "score")
