@@ -37,6 +37,7 @@ HOLD_TOKENS = 1 << 18
 PART_TOKENS = 1 << 20
 DENSE_PARTS, MOST_HOLD = 512, 8
 BATCH_ROWS = 256
+CHUNK = 1 << 17  # bigrams that are brought into the order of documents, or summed, at once
 # Two words and a document's number in its flush share 64 bits.
 MOST_WORDS = 1 << 22
 # Contexts are told apart by the logarithm of their frequency.
@@ -162,8 +163,8 @@ def fit_counts(training: DataFrame, dictionary: int = DICTIONARY) -> tuple[Count
 
 
 _SENT = pa.schema([
-    ("kind", pa.int8()), ("part", pa.int32()), ("flush", pa.int64()), ("train", pa.binary()), ("pair", pa.binary()), ("v", pa.binary()), ("w", pa.binary()),
-    ("docs", pa.int32()), ("entries", pa.int32()), ("far", pa.int32()), ("doc", pa.binary()), ("n", pa.binary()), ("doc_id", pa.binary()), ("tokens", pa.binary()), ("known", pa.binary()), ("base", pa.binary()),
+    ("kind", pa.int8()), ("part", pa.int32()), ("flush", pa.int64()), ("train", pa.binary()), ("packed", pa.binary()),
+    ("entries", pa.int32()), ("far", pa.int32()), ("doc_id", pa.binary()), ("tokens", pa.binary()), ("known", pa.binary()), ("base", pa.binary()),
 ])
 
 
@@ -188,18 +189,23 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
-def _pack(a: np.ndarray) -> bytes:
-    """Compressed, the first bytes of all numbers before the second ones: most numbers are small."""
-    planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T) if len(a) else a
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(a) else b""
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Compressed together, the first bytes of all numbers of an array before the second ones: most numbers are small."""
+    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays if len(a)]
+    return pa.compress(b"".join(planes), codec="zstd", asbytes=True) if planes else b""
 
 
-def _unpack(raw: bytes, kind: str, n: int) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    if not n:
-        return np.zeros(0, kind)
-    planes = np.frombuffer(pa.decompress(raw, decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
+def _unpack(raw: bytes, *arrays: tuple[str, int]) -> list[np.ndarray]:
+    """The arrays by their types and lengths."""
+    sizes = [np.dtype(kind).itemsize * n for kind, n in arrays]
+    if not sum(sizes):
+        return [np.zeros(0, kind) for kind, _ in arrays]
+    data, at, out = np.frombuffer(pa.decompress(raw, decompressed_size=sum(sizes), codec="zstd", asbytes=True), np.uint8), 0, []
+    for (kind, n), size in zip(arrays, sizes):
+        planes = data[at : at + size].reshape(np.dtype(kind).itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel() if n else np.zeros(0, kind))
+        at += size
+    return out
 
 
 def _key(h: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -274,8 +280,8 @@ def _send(shipped: Shipped):
             for k in np.flatnonzero((np.diff(edges) + np.diff(far_edges)) > 0):
                 s, f = slice(edges[k], edges[k + 1]), slice(far_edges[k], far_edges[k + 1])
                 yield dict(
-                    kind=1, part=int(k), flush=flush, docs=docs, entries=int(s.stop - s.start + f.stop - f.start), far=int(f.stop - f.start),
-                    pair=_pack(pair[s]), v=_pack(v[f]), w=_pack(w[f]), doc=_pack(np.concatenate((doc[s], d[f]))), n=_pack(np.concatenate((n[s], far_n[f]))),
+                    kind=1, part=int(k), flush=flush, entries=int(s.stop - s.start + f.stop - f.start), far=int(f.stop - f.start),
+                    packed=_pack(pair[s], v[f], w[f], doc[s], d[f], n[s], far_n[f]),
                 )
 
         for batch in batches:
@@ -301,8 +307,8 @@ NO_ID = -(1 << 63)
 
 # kind 0 as sent; 1: found estimates by document; 2: one cell of the histogram; 3: one bigram (``cell``: see _item) that
 # ends in a word outside the dictionary, ``entries`` times in a document.
-_FOUND = pa.schema([f for f in _SENT if f.name not in ("pair", "v", "w", "far", "part")] + [
-    ("klass", pa.binary()), ("bigram", pa.binary()), ("word", pa.binary()), ("cell", pa.int64()), ("weight", pa.float64()), ("word_key", pa.int64()),
+_FOUND = pa.schema([f for f in _SENT if f.name not in ("far", "part")] + [
+    ("cell", pa.int64()), ("weight", pa.float64()), ("word_key", pa.int64()),
 ])
 
 
@@ -384,58 +390,56 @@ def _find(shipped: Shipped):
     """Counts every context of an exchange partition and looks its bigrams up."""
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict | pa.RecordBatch]:
         c = shipped.get()
-        rows, near, far = [], [], []
+        rows, parts = [], []
         for batch in batches:
             for r in batch.to_pylist():
                 if r["kind"] == 0:
                     yield {k: x for k, x in r.items() if k in _FOUND.names}
                     continue
-                k, f = r["entries"], r["far"]
-                n = _unpack(r["n"], "<u4", k)
-                rows.append((r["flush"], r["docs"], _unpack(r["doc"], "<u2", k), n, k - f, f))
-                near.append(_unpack(r["pair"], "<u8", k - f))
-                far.append((_unpack(r["v"], "<u8", f), _unpack(r["w"], "<u8", f)))
+                f = r["far"]
+                k = r["entries"] - f
+                rows.append((r["flush"], k, f))
+                parts.append(_unpack(r["packed"], ("<u8", k), ("<u8", f), ("<u8", f), ("<u2", k), ("<u2", f), ("<u4", k), ("<u4", f)))
         if not rows:
             return
-        trained = [np.where(n & 1, n >> 1, 0).astype(np.uint32) for _, _, _, n, _, _ in rows]
-        near, near_n = np.concatenate(near), np.concatenate([x[: r[4]] for x, r in zip(trained, rows)])
-        v, w = (np.concatenate([x[k] for x in far]) for k in range(2))
-        far_n = np.concatenate([x[r[4] :] for x, r in zip(trained, rows)])
-        del trained, far
-        cells = []
+        near, v, w, doc, far_doc, n, far_n = (np.concatenate([x[k] for x in parts]) for k in range(7))
+        del parts
+        # Entries that train count; the lowest bit of a number tells.
+        trained = lambda n: np.where(n & 1, n >> 1, 0).astype(np.uint32)
+        cells, hits, tail = [], np.zeros(0, np.uint64), (w & TAIL) != 0
         if len(near):
-            near, own = _find_near(c, near, near_n)
+            near, own = _find_near(c, near, trained(n))
             cells.append(own)
         if len(v):
-            hits, bins, own = _find_far(c, v, w, far_n)
+            hits, bins, own = _find_far(c, v, w, trained(far_n))
             cells.append(own)
-            tail = (w & TAIL) != 0
             single = np.flatnonzero(tail)
-            flush = np.repeat([r[0] for r in rows], [r[5] for r in rows])
-            doc, many = (np.concatenate([r[k][r[4] :] for r in rows])[single] for k in (2, 3))
-            own = hits[single]
+            flush = np.repeat([r[0] for r in rows], [r[2] for r in rows])[single]
+            own, many = hits[single], far_n[single]
             yield _rows(
-                _FOUND, len(single), kind=np.full(len(single), 3, np.int8), flush=flush[single], entries=(many >> 1).astype(np.int32),
-                cell=_item(doc, own >> np.uint64(16) & np.uint64(0xFFFF), bins[single], own >> np.uint64(32), many & 1), word_key=w[single].view(np.int64),
+                _FOUND, len(single), kind=np.full(len(single), 3, np.int8), flush=flush, entries=(many >> 1).astype(np.int32),
+                cell=_item(far_doc[single], own >> np.uint64(16) & np.uint64(0xFFFF), bins[single], own >> np.uint64(32), many & 1), word_key=w[single].view(np.int64),
             )
-            del flush, doc, many, own, bins
+            del flush, own, many, bins, single
         for own, weight in cells:
             yield _rows(_FOUND, len(own), kind=np.full(len(own), 2, np.int8), cell=own, weight=weight)
-        del cells, v, w, near_n, far_n
-        at = far_at = 0
-        for flush, docs, doc, n, k, f in rows:
-            own = near[at : at + k]
-            if f:
-                stay = np.flatnonzero(~tail[far_at : far_at + f])
-                own = np.concatenate((own, hits[far_at : far_at + f][stay]))
-                doc, n = (np.concatenate((x[:k], x[k:][stay])) for x in (doc, n))
-            at, far_at = at + k, far_at + f
-            by = np.argsort(doc, kind="stable")
-            own = own[by].view("<u2").reshape(-1, 4)
-            yield dict(
-                kind=1, flush=flush, docs=docs, entries=len(by), doc=_pack(doc[by]), n=_pack(n[by] >> 1),
-                klass=_pack(own[:, 2].astype("u1")), bigram=_pack(own[:, 1].copy()), word=_pack(own[:, 0].copy()),
-            )
+        del cells, v, w
+        # What was found by document, some rows at once.
+        sizes = np.array([r[1:] for r in rows])
+        ends = np.concatenate((np.zeros((1, 2), np.int64), np.cumsum(sizes, axis=0)))
+        for a, b in slices(ends.sum(axis=1), CHUNK):
+            s, f = (slice(ends[a, k], ends[b, k]) for k in range(2))
+            stay = np.flatnonzero(~tail[f])
+            row = np.concatenate([np.repeat(np.arange(b - a), sizes[a:b, k]) for k in range(2)])
+            row = np.delete(row, len(row) - len(tail[f]) + np.flatnonzero(tail[f]))
+            own_doc, own_n, own = (np.concatenate((x[s], y[f][stay])) for x, y in ((doc, far_doc), (n, far_n), (near, hits)))
+            order = np.argsort(row << 16 | own_doc)
+            own_doc, own_n, own = own_doc[order], own_n[order] >> np.uint32(1), own[order].view("<u2").reshape(-1, 4)
+            klass, bigram, word = own[:, 2].astype("u1"), own[:, 1].copy(), own[:, 0].copy()
+            edges = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=b - a))))
+            for k in np.flatnonzero(np.diff(edges)):
+                x = slice(edges[k], edges[k + 1])
+                yield dict(kind=1, flush=rows[a + k][0], entries=int(x.stop - x.start), packed=_pack(own_doc[x], own_n[x], klass[x], bigram[x], word[x]))
 
     return lambda batches: _batches(_FOUND, rows_of(batches))
 
@@ -490,35 +494,48 @@ def learn_weights(cells: np.ndarray, weight: np.ndarray, uniform: float, steps:
     return mix
 
 
-# kind 1: ``entries`` documents' sums, the steps from one to the next (``at``); kind 3: see joined_scores.
-_SUMS = pa.schema([f for f in _FOUND if f.name in ("kind", "flush", "train", "doc_id", "tokens", "known", "base", "entries", "weight")] + [
-    ("at", pa.binary()), ("score", pa.binary()), ("far_base", pa.float64()), ("far_known", pa.int64()),
+# kind 1: ``entries`` documents' sums, and the steps from one to the next; kind 3: see joined_scores.
+_SUMS = pa.schema([f for f in _FOUND if f.name in ("kind", "flush", "train", "packed", "doc_id", "tokens", "known", "base", "entries", "weight")] + [
+    ("far_base", pa.float64()), ("far_known", pa.int64()),
 ])
 
 
 def _sum(shipped: Shipped):
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict | pa.RecordBatch]:
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         mix, uniform = shipped.get()
         value = _value(np.arange(ABSENT + 1))
         shares = [mix[:, 0].copy(), mix[:, 1].copy(), mix[:, 2] * uniform]
+
+        def summed(rows: list[dict]) -> Iterator[dict]:
+            sizes = [r["entries"] for r in rows]
+            parts = [_unpack(r["packed"], ("<u2", k), ("<u4", k), ("u1", k), ("<u2", k), ("<u2", k)) for r, k in zip(rows, sizes)]
+            doc, n, klass, bigram, word = (np.concatenate([x[k] for x in parts]) for k in range(5))
+            p = shares[0][klass] * value[bigram]
+            p += shares[1][klass] * value[word]
+            p += shares[2][klass]
+            # Only documents that have such bigrams are sent; entries of a row stand by document.
+            fresh = np.diff(doc, prepend=~doc[:1]) != 0
+            fresh[np.cumsum(sizes)[:-1]] = True
+            first = np.flatnonzero(fresh)
+            score = (np.add.reduceat(np.log(p) * n, first) / np.log(10.0)).astype("<f4")
+            edges = np.searchsorted(first, np.concatenate(([0], np.cumsum(sizes))))
+            doc = doc[first]
+            for r, a, b in zip(rows, edges, edges[1:]):
+                yield dict(kind=1, flush=r["flush"], entries=int(b - a), packed=_pack(np.diff(doc[a:b], prepend=np.uint16(0)), score[a:b]))
+
+        held, size = [], 0
         for batch in batches:
             for r in batch.to_pylist():
                 if r["kind"] == 0:
                     yield {k: x for k, x in r.items() if k in _SUMS.names}
                     continue
-                if not (k := r["entries"]):
-                    continue
-                klass = _unpack(r["klass"], "u1", k)
-                p = shares[0][klass] * value[_unpack(r["bigram"], "<u2", k)]
-                p += shares[1][klass] * value[_unpack(r["word"], "<u2", k)]
-                p += shares[2][klass]
-                # Only documents that have such bigrams are sent; entries stand by document.
-                doc = _unpack(r["doc"], "<u2", k)
-                first = np.flatnonzero(np.diff(doc, prepend=~doc[:1]) != 0)
-                score = np.add.reduceat(np.log(p) * _unpack(r["n"], "<u4", k), first) / np.log(10.0)
-                yield dict(
-                    kind=1, flush=r["flush"], entries=len(first), at=_pack(np.diff(doc[first], prepend=np.uint16(0))), score=_pack(score.astype("<f4")),
-                )
+                held.append(r)
+                size += r["entries"]
+                if size >= CHUNK:
+                    yield from summed(held)
+                    held, size = [], 0
+        if held:
+            yield from summed(held)
 
     return lambda batches: _batches(_SUMS, rows_of(batches))
 
@@ -535,7 +552,8 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 docs[r["flush"]] = r
                 continue
             k = r["entries"]
-            at, score = np.cumsum(_unpack(r["at"], "<u2", k), dtype=np.int64), _unpack(r["score"], "<f4", k)
+            at, score = _unpack(r["packed"], ("<u2", k), ("<f4", k))
+            at = np.cumsum(at, dtype=np.int64)
             own = sums.get(r["flush"], np.zeros(0))
             if len(own) <= at[-1]:
                 own = sums[r["flush"]] = np.concatenate((own, np.zeros(int(at[-1]) + 1 - len(own))))
