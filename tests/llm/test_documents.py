@@ -382,8 +382,8 @@ def test_lm_rows_between_tasks_follow_the_tokens(monkeypatch, parts):
     entries = sum(sum(x.column("entries").drop_null().to_pylist()) for x in sent)
     assert 10_000 < entries <= 15_500
     found = list(lm_scoring._find(Given(counts))(iter(sent)))
-    assert len(found) <= 5 + packed // 100
-    scored = [x for x in found if x.column("kind")[0].as_py() < 2]
+    scored = [x for x in found if x.num_rows and x.column("kind")[0].as_py() < 2]
+    assert len(scored) <= 1 + packed // 100
     model = np.tile([0.5, 0.4, 0.1], (lm_scoring.CLASSES, 1)), counts.uniform()
     sums = list(lm_scoring._sum(Given(model))(iter(scored)))
     assert len(sums) <= 1 + packed // 100
