@@ -388,9 +388,20 @@ def _find_far(c: Counts, v: np.ndarray, w: np.ndarray, n: np.ndarray):
 
 def _find(shipped: Shipped):
     """Counts every context of an exchange partition and looks its bigrams up."""
-    def found(c: Counts, given: list[dict]) -> Iterator[dict | pa.RecordBatch]:
-        rows = [(r["flush"], r["entries"] - r["far"], r["far"]) for r in given]
-        parts = [_unpack(r["packed"], ("<u8", k), ("<u8", f), ("<u8", f), ("<u2", k), ("<u2", f), ("<u4", k), ("<u4", f)) for r, (_, k, f) in zip(given, rows)]
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict | pa.RecordBatch]:
+        c = shipped.get()
+        rows, parts = [], []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["kind"] == 0:
+                    yield {k: x for k, x in r.items() if k in _FOUND.names}
+                    continue
+                f = r["far"]
+                k = r["entries"] - f
+                rows.append((r["flush"], k, f))
+                parts.append(_unpack(r["packed"], ("<u8", k), ("<u8", f), ("<u8", f), ("<u2", k), ("<u2", f), ("<u4", k), ("<u4", f)))
+        if not rows:
+            return
         near, v, w, doc, far_doc, n, far_n = (np.concatenate([x[k] for x in parts]) for k in range(7))
         del parts
         # Entries that train count; the lowest bit of a number tells.
@@ -430,18 +441,6 @@ def _find(shipped: Shipped):
                 x = slice(edges[k], edges[k + 1])
                 yield dict(kind=1, flush=rows[a + k][0], entries=int(x.stop - x.start), packed=_pack(own_doc[x], own_n[x], klass[x], bigram[x], word[x]))
 
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict | pa.RecordBatch]:
-        c, held = shipped.get(), {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["kind"] == 0:
-                    yield {k: x for k, x in r.items() if k in _FOUND.names}
-                else:
-                    held.setdefault(r["part"], []).append(r)
-        # Partitions that Spark deals to one task are unpacked one after the other.
-        while held:
-            yield from found(c, held.popitem()[1])
-
     return lambda batches: _batches(_FOUND, rows_of(batches))
 
 
