@@ -1,5 +1,7 @@
 """Texts are moved and stored once, not once per response."""
 
+import glob
+import json
 import os
 import random
 
@@ -50,6 +52,47 @@ def test_records_of_result_documents_are_not_moved_to_be_numbered(spark):
     assert "SortMergeJoin" not in plan
 
 
+def test_result_documents_are_staged_in_groups_and_not_kept(spark, tmp_path, monkeypatch):
+    # Ten ranges of keys, a key twice, a text that is NULL or has quotes and braces, and documents without a label.
+    ids = [i * 5_000 for i in range(40)] + [20_000]
+    texts = [(i, None if i == 5_000 else '}"{\\' if i == 10_000 else "text %d " % i * 50, "en", "web", 400 + i % 7) for i in ids]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, i % 2, i // 5_000 % 2) for i in sorted(set(ids))[:-4]]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    made, kept, orders = [], [], []
+
+    def path_of(spark, name):
+        made.append(scratch_path(spark, name))
+        return made[-1]
+
+    def scan(spark, path, **how):
+        kept.append(sum(size(p) for p in made))
+        for file in glob.glob(f"{path}/*/part-*"):
+            with open(file) as f:
+                keys = [(r["prediction"]["instance_index"], r["prediction"]["iteration"]) for r in json.load(f)["predictions"]]
+            orders.append((len(keys), [k for k, _ in keys] == sorted(k for k, _ in keys)))
+        return scan_results(spark, path, **how)
+
+    monkeypatch.setattr(file_queries, "scratch_path", path_of)
+    monkeypatch.setattr(file_queries, "scan_results", scan)
+    answers, asked = v.responses(spark, str(tmp_path)), v.requests(spark, str(tmp_path))
+    want = sorted(
+        answers.join(asked.selectExpr("instance_index", "md5(text) AS m"), "instance_index")
+        .selectExpr("model_name", "instance_index", "iteration", "is_safe", "category AS predicted", "latency", "coalesce(m, '') AS m").collect(),
+        key=str,
+    )
+    for bytes_, groups in ((1 << 40, 1), (1, 8)):
+        monkeypatch.setattr(file_queries, "GROUP_BYTES", bytes_, raising=False)
+        made.clear(), kept.clear(), orders.clear()
+        got = file_queries.q_scan_result_documents(spark, str(tmp_path))
+        assert not any(os.path.exists(p) for p in made)
+        rows = got.selectExpr("model_name", "instance_index", "iteration", "is_safe", "predicted", "latency", "coalesce(text_md5, '') AS m").collect()
+        assert sorted(rows, key=str) == want and {r["run_model"] for r in got.select("run_model", "model_name").collect()} == {f"run-{m}" for m in v.MODELS}
+        assert sum(n for n, _ in orders) == len(want) and all(ordered for _, ordered in orders) and len(kept) == groups
+        whole = kept[0] if groups == 1 else whole
+    assert max(kept) < whole / 2
+
+
 def test_stream_input_is_written_by_many_tasks(spark, monkeypatch):
     made = []
     monkeypatch.setattr(run_queries, "scratch_path", lambda s, name: made.append((name, scratch_path(s, name))) or made[-1][1])
